@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import prose
 from tracewright.llm.packing import match_and_fit, pack_documents
-from tracewright.llm.token_output import best_fit_decreasing, packed_rows, segments, write_packed
+from tracewright.llm.token_output import best_fit_decreasing, packed_rows, position_type, segments, write_packed
 from tracewright.llm.tokens import DEFAULT_TOKENIZER, encoder
 
 lengths_ = st.lists(st.integers(1, 64), max_size=120)
@@ -97,7 +97,7 @@ def test_binary_table_round_trips(make_docs, rows, tmp_path):
     packed = write_packed(make_docs(rows), f"file://{tmp_path}/packed", capacity=256)
     check(segments(packed).collect(), rows, 256)
     for r in packed.collect():
-        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, position_type(256))
         assert len(ids) == len(positions) == 256 and not ids[r.cu_seqlens[-1] :].any()
         for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             assert (positions[a:b] == np.arange(b - a)).all()

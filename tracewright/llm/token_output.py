@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tracewright.llm.common import new_path
-from tracewright.llm.tokens import DEFAULT_TOKENIZER, pieces_of
+from tracewright.llm.tokens import DEFAULT_TOKENIZER, encoded, pieces_of
 
 CAPACITY = 2048
 #: Pieces of a task that are packed together; bounds a worker's memory.
@@ -71,12 +71,16 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return packed
 
 
+def position_type(capacity: int) -> str:
+    return "<u2" if capacity <= 1 << 16 else "<u4"
+
+
 def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW_PIECES) -> DataFrame:
     """One row per packed sequence, made without a shuffle.
 
     ``ids`` holds ``capacity`` little-endian 32-bit ids, padded with 0 at the end;
-    ``cu_seqlens`` starts with 0 and ends with the ids used; ``positions`` holds 32-bit
-    positions that restart at each segment and count on over the padding; ``doc_ids``,
+    ``cu_seqlens`` starts with 0 and ends with the ids used; ``positions`` holds 16-bit
+    positions (32-bit beyond 65536) that restart at each segment and count on over the padding; ``doc_ids``,
     ``pieces`` and ``starts`` name each segment.  Overlong documents are cut without loss.
     """
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text"))
@@ -102,7 +106,7 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFA
             yield (
                 ids.ljust(4 * capacity, PAD.to_bytes(1, "little")),
                 starts.astype(np.int32).tolist(),
-                positions.astype("<u4").tobytes(),
+                positions.astype(position_type(capacity)).tobytes(),
                 [held[i][0] for i in chosen],
                 [held[i][1] for i in chosen],
                 [held[i][2] for i in chosen],
@@ -119,8 +123,9 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFA
         held: list[tuple] = []
         for batch in batches:
             # object keeps ids whole where some are null
-            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["_text"], strict=True):
-                held.extend((doc_id if doc_id is None else type_of(doc_id), *p) for p in pieces_of(text, tokenizer, capacity))
+            keys = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+            for doc_id, whole in zip(keys, encoded(batch["_text"], tokenizer), strict=True):
+                held.extend((doc_id if doc_id is None else type_of(doc_id), *p) for p in pieces_of(whole, capacity))
                 if len(held) >= window:
                     yield from frames(held)
                     held = []

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,10 +15,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_OF_DOCUMENT = 0
 #: Words whose ids a worker remembers at most, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
-_LETTER_POINT = re.compile(rb"([a-z])([,.])")
-_MARK = "\x01"
+_MARK, WORD_END = "\x01", "</w>"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -28,8 +26,7 @@ class Encoder:
 
     Where the tokenizer drops white space, no token crosses it, so a text's ids are those
     of its words in order and each worker remembers the ids of words it has met; words
-    not met for a while are forgotten.  Words are encoded many at once, with a mark
-    between them.  Other tokenizers get whole texts.
+    not met for a while are forgotten.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -44,6 +41,10 @@ class Encoder:
         self.mark = mark[0] if len(mark) == 1 else None
         #: Whether ASCII case is dropped, and a comma or stop after a letter stands alone.
         self.folds = encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
+        #: By id whether it ends a word; where the tokenizer has such ids, a run of letters gives one.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.by_word = self.mark is not None and encode(f"a1 \n b,\t{_MARK}  C") == [i for w in ("a1", "b,", _MARK, "C") for i in encode(w)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -51,32 +52,59 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            texts = [w.decode() for w in part]
-            ids = self.whole([f" {_MARK} ".join(texts)])[0]
-            marks = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark).tolist()
-            if len(marks) == len(part) - 1:
-                cuts = zip([0, *(4 * m + 4 for m in marks)], [*(4 * m for m in marks), len(ids)], strict=True)
-                self.known.update(zip(part, [ids[a:b] for a, b in cuts], strict=True))
-            else:  # a word that holds the mark itself
-                self.known.update(zip(part, self.whole(texts), strict=True))
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self.by_word:
-            return self.whole([text])[0]
+        """Remember ``words``.  One that ends in a letter and a point is the word before
+        the point and the point, so it needs no encoding of its own."""
+        if self.folds:
+            pointed = [w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
+            plain = {w[:-1] for w in pointed}.union(set(words).difference(pointed), (b",", b"."))
+            self.encode([w for w in plain if w not in self.known])
+            self.known.update([(w, self.known[w[:-1]] + self.known[w[-1:]]) for w in pointed])
+        else:
+            self.encode(words)
+
+    def encode(self, words: list[bytes]) -> None:
+        """Remember the ids of ``words``, encoded many at once and cut apart again: runs of
+        letters at the ids that end words, others at a mark put between them."""
+        texts = [w.decode() for w in words]
+        for letters, between in ((True, " "), (False, f" {_MARK} ")):
+            chosen = [i for i, t in enumerate(texts) if t.isalpha() == letters]
+            for at in range(0, len(chosen), 1000):
+                part = chosen[at : at + 1000]
+                ids = self.whole([between.join([texts[i] for i in part])])[0]
+                numbers = np.frombuffer(ids, dtype="<u4")
+                if letters:
+                    stops = (4 * np.flatnonzero(self.ends[numbers]) + 4).tolist()
+                    starts = [0, *stops[:-1]]
+                else:
+                    marks = np.flatnonzero(numbers == self.mark).tolist()
+                    starts, stops = [0, *(4 * m + 4 for m in marks)], [*(4 * m for m in marks), len(ids)]
+                keys = [words[i] for i in part]
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    self.known.update(zip(keys, [ids[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
+                else:  # a letter that folds into several, or a word that holds the mark
+                    self.known.update(zip(keys, self.whole([texts[i] for i in part]), strict=True))
+
+    def words(self, text: str) -> list[bytes]:
         data = text.encode("utf-8", "replace").translate(_SPACES)
         if self.folds and b"\xcc" not in data and b"\xcd" not in data:  # else a combining mark may join a letter of one case only
-            data = _LETTER_POINT.sub(rb"\1 \2", data.lower())
-        words = data.split(b" ")
+            data = data.lower()
+        return data.split(b" ")
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return self.whole(texts)
+        split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = set(words).difference(self.known)
         known, older = self.known, self.older
+        new = set().union(*split).difference(known)
         known.update([(w, older[w]) for w in new if w in older])
         self.learn([w for w in new if w not in known])
-        return b"".join([known[w] for w in words])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
 
 
 def encoder(tokenizer: str) -> Encoder:
@@ -91,9 +119,22 @@ def encoder(tokenizer: str) -> Encoder:
     return _encoders[tokenizer]
 
 
-def pieces_of(text: str | None, tokenizer: str, capacity: int) -> Iterator[tuple[int, int, bytes]]:
-    """(number, ids before it, its ids) of each piece; ids end with the end-of-document id."""
-    ids = encoder(tokenizer).ids(text or "") + END_OF_DOCUMENT.to_bytes(4, "little")
+def encoded(texts: Iterable[str | None], tokenizer: str, at_once: int = 1 << 17) -> Iterator[bytes]:
+    """Ids of each text, null as empty, with the end-of-document id; texts are encoded in
+    groups of about ``at_once`` characters."""
+    group, size, end = [], 0, END_OF_DOCUMENT.to_bytes(4, "little")
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= at_once:
+            yield from (ids + end for ids in encoder(tokenizer).ids_of(group))
+            group, size = [], 0
+    if group:
+        yield from (ids + end for ids in encoder(tokenizer).ids_of(group))
+
+
+def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
+    """(number, ids before it, its ids) of each piece of a document's ids."""
     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
         yield piece, at // 4, ids[at : at + 4 * capacity]
 
@@ -110,8 +151,8 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENI
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["_text"], strict=True):
-                for piece, start, ids in pieces_of(text, tokenizer, capacity):
+            for doc_id, whole in zip(batch["doc_id"], encoded(batch["_text"], tokenizer), strict=True):
+                for piece, start, ids in pieces_of(whole, capacity):
                     rows.append((doc_id, piece, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
                 if with_ids and len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=names)

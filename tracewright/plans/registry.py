@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import Z95
-from tracewright.plans import characterize, doctor, overtime, study, workload
+from tracewright.plans import characterize, doctor, overtime, replication, study, workload
 from tracewright.sources.bridge import trace, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,13 @@ STREAM = "partition by session, agent order by sort_ts, seq"
 CLASS = """case when is_error then 'errored' when name in ('AskUserQuestion', 'ExitPlanMode') then 'waiting_on_human'
     when name in ('Agent', 'Monitor', 'TaskStop', 'SendMessage') or background then 'waiting_on_agent' else 'heavy_work' end"""
 FIRST = "calls as (select *, min(seq) over (partition by session, agent) as stream_ord from tool_calls), ordered as (select *, row_number() over (order by stream_ord, sort_ts, seq) as first from calls)"
-ISLANDS = """marks as (select *, case when row_number() over s = 1 or lag(name) over s is distinct from name or lag(args_shape) over s is distinct from args_shape {strict} then 1 else 0 end as starts
+ISLANDS = """{p}marks as (select *, case when row_number() over s = 1 or lag(name) over s is distinct from name or lag(args_shape) over s is distinct from args_shape {strict} then 1 else 0 end as starts
     from tool_calls window s as (partition by session, agent order by sort_ts, seq)),
-numbered as (select *, sum(starts) over (partition by session, agent order by sort_ts, seq) as island from marks),
-runs as (select session, agent, count(*) as length, any_value(name) as tool, any_value(args_shape) as args_shape, arg_min(ts, sort_ts::hugeint * 10000000 + seq) as start_ts,
-    count(*) filter (is_error) as errors_in_run, arg_min(seq, sort_ts::hugeint * 10000000 + seq) as first_seq from numbered group by session, agent, island having count(*) >= 2)"""
-UPPER, LOWER = ISLANDS.format(strict=""), ISLANDS.format(strict="or lag(result_chars) over s is distinct from result_chars")
+{p}numbered as (select *, sum(starts) over (partition by session, agent order by sort_ts, seq) as island from {p}marks),
+{p}runs as (select session, agent, count(*) as length, any_value(name) as tool, any_value(args_shape) as args_shape, arg_min(ts, sort_ts::hugeint * 10000000 + seq) as start_ts,
+    count(*) filter (is_error) as errors_in_run, arg_min(seq, sort_ts::hugeint * 10000000 + seq) as first_seq from {p}numbered group by session, agent, island having count(*) >= 2)"""
+BY_SIZE = "or lag(result_chars) over s is distinct from result_chars"
+UPPER, LOWER, LOW = ISLANDS.format(strict="", p=""), ISLANDS.format(strict=BY_SIZE, p=""), ISLANDS.format(strict=BY_SIZE, p="low_")
 AGENTS = f"""placed as (select *, row_number() over (partition by session, agent order by sort_ts, seq) as pos, lead(seq) over (partition by session, agent order by sort_ts, seq) is null as is_last from tool_calls where agent is not null),
 opened as (select *, is_error and coalesce(max(case when not is_error then pos end) over (partition by session, agent, name) < pos, true) as open from placed),
 per as (select session, agent, count(*) as n_calls, count(*) filter (is_error) as n_errors, bool_or(open) as has_unresolved, bool_or(is_last and is_error) as last_errored from opened group by session, agent),
@@ -186,6 +187,19 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overtime.timeline(daily, ("calls", "errors")).drop("ord")
 
 
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main threads' snapshot against agents'."""
+    whole = trace(spark, sf_dir)
+    side = lambda cond: overtime.snapshot(type(whole)(whole.events.where(cond)))
+    return overtime.what_moved(side("agent is null"), side("agent is not null"), {"tool_error_rate": ("rate", 1), "duration_p95_ms": ("ms", 1), "tool_share_of_busy_time": ("rate", None)})
+
+
+def _bracket_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes against exact signatures, here the event's own value."""
+    calls = trace(spark, sf_dir).tool_calls
+    return replication.bracket(calls, calls.withColumn("args_shape", F.concat("args_shape", F.lit(":"), F.col("result_chars") % 9)))
+
+
 def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = workload.turns(workload.steps(trace(spark, sf_dir)))
     return workload.replicate(turns, 3).groupBy("replica").agg(F.count("*").alias("turns"), F.count_distinct("session").alias("sessions"))
@@ -442,6 +456,21 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         select generated_at, calls, errors, row_number() over w as position, calls - first_value(calls) over w as calls_from_first, calls - lag(calls) over w as calls_from_previous,
         errors - first_value(errors) over w as errors_from_first, errors - lag(errors) over w as errors_from_previous from d window w as (order by generated_at)""",
     ),
+    "what_moved": (_moved, None),
+    # one corpus against another
+    "replication_by_session": (
+        _T(replication.by_session),
+        f"""with {UPPER}, {LOW},
+        nx as (select session, is_error, lead(name) over s is not distinct from name and lead(args_shape) over s is not distinct from args_shape and lead(seq) over s is not null as retry from tool_calls window s as ({STREAM})),
+        c as (select session, count(*) as calls, count(*) filter (is_error) as e, count(*) filter (is_error and retry) as r from nx group by 1),
+        n as (select session, count(*) as streams from (select distinct session, agent from tool_calls) group by 1),
+        hi as (select session, count(*) as k from (select distinct session, agent from runs where length >= 5) group by 1), lo as (select session, count(*) as k from (select distinct session, agent from low_runs where length >= 5) group by 1),
+        d as (select session, count(*) as runs, count(*) filter (end_status = 'completed') as done from sessions where agent is not null group by 1)
+        select session, calls, round(100 * (e::double / calls), 3) as error_pct, round(100 * ({_share("r", "e")}), 3) as retry_pct, round(100 * (coalesce(lo.k, 0)::double / streams), 3) as stuck_lower_pct,
+        round(100 * (coalesce(hi.k, 0)::double / streams), 3) as stuck_upper_pct, round(100 * ({_share("coalesce(done, 0)", "runs")}), 3) as finished_pct
+        from c join n using (session) left join hi using (session) left join lo using (session) left join d using (session)""",
+    ),
+    "bracket_position": (_bracket_position, None),
     # workloads
     "asof_turn_split": (
         _turn_split,

@@ -139,12 +139,13 @@ def replay(trace: Trace, depth: int = 4) -> DataFrame:
     A step's tools run side by side; one that waits for a child takes the child's own
     replayed time and its overhead, settled from the leaves up over ``depth`` levels.
     """
-    step_rows = steps(trace)
-    turn_rows = turns(step_rows)
+    step_rows = steps(trace).persist()  # each level reads them again
+    turn_rows = turns(step_rows).persist()
     settled = reconcile(tools(trace), turn_rows)
-    placed = settled.alias("t").join(step_rows.alias("s"), _same_stream("t", "s") & (F.col("t.api_uuid") == F.col("s.uuid"))).select("t.*", "s.turn", "s.step")
+    placed = settled.alias("t").join(step_rows.alias("s"), _same_stream("t", "s") & (F.col("t.api_uuid") == F.col("s.uuid"))).select("t.*", "s.turn", "s.step").persist()
+    levels = depth if placed.where("child is not null and not background").limit(1).count() else 1
     latency = turn_rows.select("session", "agent", "turn", "spawned", F.col("model_ms").alias("latency_ms"))
-    for _ in range(depth):
+    for _ in range(levels):
         child = latency.where("spawned").select(F.col("session").alias("_s"), F.col("agent").alias("_a"), F.col("latency_ms").alias("_child_ms"))
         timed = placed.join(child, (F.col("session") == F.col("_s")) & (F.col("child") == F.col("_a")), "left")
         waits = F.col("child").isNotNull() & ~F.col("background") & F.col("_child_ms").isNotNull()

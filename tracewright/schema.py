@@ -80,6 +80,10 @@ class Trace:
 
     events: DataFrame
 
+    def cached(self) -> Trace:
+        """The same log kept in memory and on disk, for reports that read it many times."""
+        return Trace(self.events.persist())
+
     def of(self, kind: str) -> DataFrame:
         fields = [f.name for f in kind_schema(kind) if f.name in self.events.columns]
         return self.events.where(F.col("ev") == kind).select(*fields, "seq")
