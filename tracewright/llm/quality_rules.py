@@ -37,7 +37,7 @@ RULES = (
     Rule("mean_word_chars", least=2.0, most=15.0),
     Rule("symbol_ratio", most=0.15),
     Rule("stop_word_ratio", least=0.01),
-    Rule("dup_line_ratio", most=0.3),
+    Rule("dup_line_char_ratio", most=0.3),
     Rule("ellipsis_line_ratio", most=0.5),
 )
 
@@ -81,14 +81,18 @@ def text_metrics(text: Column) -> Column:
             count(F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted({*STOP_WORDS}))))).alias("n_stop_words"),
         ),
     )
-    by_lines = let(
-        lines,
-        lambda x: F.struct(
+    chars_in = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
+
+    def line_counts(x: Column, once: Column) -> Column:
+        return F.struct(
             count(F.size(x)).alias("n_lines"),
-            count(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+            count(F.size(x) - F.size(once)).alias("n_dup_lines"),
+            chars_in(x).alias("line_chars"),
+            (chars_in(x) - chars_in(once)).alias("dup_line_chars"),
             count(F.size(F.filter(x, lambda line: F.endswith(F.rtrim(line), F.lit("...")) | F.endswith(F.rtrim(line), F.lit("…"))))).alias("n_ellipsis_lines"),
-        ),
-    )
+        )
+
+    by_lines = let(lines, lambda x: let(F.array_distinct(x), lambda once: line_counts(x, once)))
     sums = F.struct(count(F.length(stripped)).alias("word_chars"), count(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"))
 
     def joined(all_: Column) -> Column:
@@ -102,7 +106,7 @@ def text_metrics(text: Column) -> Column:
             ratio(s["word_chars"], w["n_words"]).alias("mean_word_chars"),
             ratio(s["n_symbols"], w["n_words"]).alias("symbol_ratio"),
             ratio(w["n_stop_words"], w["n_words"]).alias("stop_word_ratio"),
-            ratio(x["n_dup_lines"], x["n_lines"]).alias("dup_line_ratio"),
+            ratio(x["dup_line_chars"], x["line_chars"]).alias("dup_line_char_ratio"),
             ratio(x["n_ellipsis_lines"], x["n_lines"]).alias("ellipsis_line_ratio"),
         )
 
@@ -160,13 +164,14 @@ cover as (select rid, word, max(again) over (partition by rid order by pos rows
 by_word as (select rid, count(*) as n_words, sum(length(word)) as word_chars, sum(inside) as n_repeat_words,
             count(*) filter (lower(word) in ({stop})) as n_stop from cover group by rid),
 lines as (select rid, unnest(string_split(t, chr(10))) as line from d),
-by_line as (select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines,
-            count(*) filter (rtrim(line, ' ') like '%...' or rtrim(line, ' ') like '%…') as n_ellipsis
-            from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+each_line as (select rid, line, count(*) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid, line),
+by_line as (select rid, sum(n) as n_lines, sum(n) - count(*) as n_dup_lines, sum((n - 1) * length(line)) as dup_line_chars, sum(n * length(line)) as line_chars,
+            coalesce(sum(n) filter (rtrim(line, ' ') like '%...' or rtrim(line, ' ') like '%…'), 0) as n_ellipsis
+            from each_line group by rid),
 m as (select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
       coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_stop / n_words, 0.0) as stop_word_ratio,
-      coalesce(word_chars / n_words, 0.0) as mean_word_chars, coalesce(n_dup_lines / n_lines, 0.0) as dup_line_ratio,
+      coalesce(word_chars / n_words, 0.0) as mean_word_chars, coalesce(dup_line_chars / line_chars, 0.0) as dup_line_char_ratio,
       coalesce(n_ellipsis / n_lines, 0.0) as ellipsis_line_ratio
       from d left join by_word using (rid) left join by_line using (rid)),
 r as (select *, coalesce(n_symbols / nullif(n_words, 0), 0.0) as symbol_ratio,
