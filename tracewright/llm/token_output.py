@@ -144,7 +144,7 @@ def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer
     are not read.
     """
     rows = packed_rows(docs, capacity, tokenizer, **columns)
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "snappy").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 

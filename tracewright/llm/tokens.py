@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,11 @@ END_OF_DOCUMENT = 0
 REMEMBERED = 200_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
 _MARK, WORD_END = "\x01", "</w>"
+#: ASCII punctuation but for the apostrophe, which begins tokens of its own.
+POINTS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_POINTS = POINTS.encode()
+#: A sample of lower-case letters that no normalizer should change.
+_PLAIN = "abcdefghijklm nopqrstuvwxyz éèêçäöüßñáíóú a éa"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,38 +45,60 @@ class Encoder:
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         mark = encode(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        #: Whether ASCII case is dropped, and a comma or stop after a letter stands alone.
-        self.folds = encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
+        #: Whether ASCII case is dropped, and punctuation after a letter stands alone.
+        self.folds = encode("Ab,C. d.") == encode("ab ,c . d .") and all(encode(f"ab{c} \xe9{c}{c}.") == encode(f"ab {c} \xe9 {c}{c}.") for c in POINTS)
         #: By id whether it ends a word; where the tokenizer has such ids, a run of letters gives one.
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.by_word = self.mark is not None and encode(f"a1 \n b,\t{_MARK}  C") == [i for w in ("a1", "b,", _MARK, "C") for i in encode(w)]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        #: The same tokenizer without what changes or splits text; words of lower-case letters need neither.
+        self.plain = self.without_normalizer(path) if self.by_word and self.folds else None
+        if self.plain and self.plain.encode(_PLAIN, add_special_tokens=False).ids != encode(_PLAIN):
+            self.plain = None
+
+    @staticmethod
+    def without_normalizer(path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        parts |= {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        return Tokenizer.from_str(json.dumps(parts))
+
+    def whole(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        found = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def learn(self, words: list[bytes]) -> None:
-        """Remember ``words``.  One that ends in a letter and a point is the word before
-        the point and the point, so it needs no encoding of its own."""
-        if self.folds:
-            pointed = [w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
-            plain = {w[:-1] for w in pointed}.union(set(words).difference(pointed), (b",", b"."))
-            self.encode([w for w in plain if w not in self.known])
-            self.known.update([(w, self.known[w[:-1]] + self.known[w[-1:]]) for w in pointed])
-        else:
-            self.encode(words)
+        """Remember ``words``.  One of Latin-1 letters with points after them is the letters'
+        ids and the points', so it needs no encoding of its own."""
+        if not self.folds:
+            return self.encode(words)
+        pointed, plain = [], set()
+        for w in words:
+            stem = w.rstrip(_POINTS)
+            if len(stem) < len(w) and stem and (letters := stem.decode()).isalpha() and max(letters) <= "\xff":
+                pointed.append((w, stem, w[len(stem) :]))
+            else:
+                plain.add(w)
+        known = self.known
+        self.encode([w for w in plain.union([p[1] for p in pointed], [p[2] for p in pointed]) if w not in known])
+        known.update([(w, known[stem] + known[points]) for w, stem, points in pointed])
 
     def encode(self, words: list[bytes]) -> None:
         """Remember the ids of ``words``, encoded many at once and cut apart again: runs of
         letters at the ids that end words, others at a mark put between them."""
         texts = [w.decode() for w in words]
-        for letters, between in ((True, " "), (False, f" {_MARK} ")):
-            chosen = [i for i, t in enumerate(texts) if t.isalpha() == letters]
+        letters_, lower, others = [], [], []
+        for i, t in enumerate(texts):
+            (others if not t.isalpha() else lower if self.plain and t.islower() and max(t) <= "\xff" else letters_).append(i)
+        for chosen, letters, between in ((lower, True, " "), (letters_, True, " "), (others, False, f" {_MARK} ")):
             for at in range(0, len(chosen), 1000):
                 part = chosen[at : at + 1000]
-                ids = self.whole([between.join([texts[i] for i in part])])[0]
+                ids = self.whole([between.join([texts[i] for i in part])], chosen is lower)[0]
                 numbers = np.frombuffer(ids, dtype="<u4")
                 if letters:
                     stops = (4 * np.flatnonzero(self.ends[numbers]) + 4).tolist()
