@@ -9,6 +9,7 @@ segment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ CAPACITY = 2048
 #: Pieces of a task that are packed together; bounds a worker's memory.
 WINDOW_PIECES = 8192
 PAD = 0
+#: Packed rows that leave a worker at once.
+FRAME_ROWS = 64
 
 
 class CapacityTree:
@@ -113,11 +116,11 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFA
             )
 
     def frames(held: list[tuple]) -> Iterator[pd.DataFrame]:
-        rows = list(rows_of(held))
-        for at in range(0, len(rows), 500):
-            part = pd.DataFrame(rows[at : at + 500], columns=[f.name for f in out][1:])
-            part.insert(0, "sequence", np.int64(0))
-            yield part
+        rows = rows_of(held)
+        while part := list(islice(rows, FRAME_ROWS)):
+            frame = pd.DataFrame(part, columns=[f.name for f in out][1:])
+            frame.insert(0, "sequence", np.int64(0))
+            yield frame
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
