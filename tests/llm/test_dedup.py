@@ -116,3 +116,38 @@ def test_one_document_of_each_component_stays(make_docs):
     found = simhash.near_duplicates(docs)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {r.component_id for r in found.collect()}
+
+
+def test_null_and_repeated_ids_lose_only_their_near_rows(make_docs):
+    base = prose(42, 400).split()
+    near = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(8)]
+    assert all((simhash.fingerprint(near[0]) ^ simhash.fingerprint(t)).bit_count() <= 4 for t in near)
+    own = [prose(900 + i, 80) for i in range(12)]
+    other = prose(77, 400).split()
+    far = [" ".join(other[:i] + ["changed"] + other[i + 1 :]) for i in range(3)]
+    assert len(set(components([(i, simhash.fingerprint(t)) for i, t in enumerate([near[0], far[0], *own])], 4).values())) == 14
+    # One component with ids: 3 is smallest and stands twice; null and 7 have unique texts too.
+    rows = [(3, near[0]), (3, near[0]), (3, near[1]), (None, near[2]), (7, near[3]), (8, near[4])]
+    rows += [(None, own[0]), (None, own[1]), (7, own[2]), (9, own[3]), (3, own[4])]
+    rows += [(None, t) for t in far]  # a component without any id
+    left = simhash.drop_near_duplicates(make_docs(rows)).select("doc_id", "text").collect()
+    alone = Counter(rows[6:11])
+    rest = Counter(map(tuple, left)) - alone
+    assert Counter(map(tuple, left)) & alone == alone
+    assert rest.total() == 2
+    assert {(i, t in near[:2], t in far) for i, t in rest} == {(3, True, False), (None, False, True)}
+    again = simhash.drop_near_duplicates(make_docs(rows[::-1]).repartition(3)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, left))
+
+
+def test_columns_named_like_helpers_are_left_as_they_are(make_docs):
+    base = prose(42, 400).split()
+    texts = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(3)]
+    rows = [(i, t) for i, t in enumerate([*texts, prose(5, 80)])]
+    for docs in (make_docs(rows), make_docs(rows + rows[:1])):
+        docs = docs.withColumns({"_id": F.lit("mine"), "_fp": F.lit("mine"), "_digest": F.lit("mine"), "__id": F.lit(1)})
+        for drop, n in ((simhash.drop_near_duplicates, 2), (drop_duplicates, 4)):
+            left = drop(docs)
+            assert left.columns == docs.columns
+            found = left.select("doc_id", "_id", "_fp", "_digest", "__id").collect()
+            assert len(found) == n and {tuple(r)[1:] for r in found} == {("mine", "mine", "mine", 1)}

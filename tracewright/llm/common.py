@@ -43,6 +43,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores before it as keep it apart from ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one is set only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

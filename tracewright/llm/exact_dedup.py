@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, joined, materialize, new_path, text_of
+from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, new_path, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Files that one micro-batch takes in.
@@ -129,13 +129,13 @@ def find_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; one row for each text."""
     found = find_duplicates(docs, id_column, text_column)
-    columns = docs.columns
-    lost = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "lost")
+    columns, key, sum_ = docs.columns, free_name("_id", docs.columns), free_name("_digest", docs.columns)
+    lost = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("digest").alias(sum_)).distinct(), "lost")
     again = found.where("kept and group_size > 1").groupBy("digest", "doc_id").count().where("count > 1")
-    own = docs.withColumns({"_digest": sha256(text_of(text_column)), "_id": F.col(id_column)})
+    own = docs.withColumns({sum_: sha256(text_of(text_column)), key: F.col(id_column)})
     few = lost.count() <= BROADCAST_ROWS
     lost = F.broadcast(lost) if few else lost
-    left = own.alias("a").join(lost.alias("b"), (F.col("a._digest") == F.col("b._digest")) & F.col("a._id").eqNullSafe(F.col("b._id")), "left_anti")
+    left = own.alias("a").join(lost.alias("b"), (F.col(f"a.{sum_}") == F.col(f"b.{sum_}")) & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "left_anti")
     if not again.isEmpty():  # whole rows that repeat an id with its text
-        left = left.dropDuplicates(["_digest", "_id"])
+        left = left.dropDuplicates([sum_, key])
     return left.select(*columns)

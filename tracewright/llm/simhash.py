@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, joined, materialize
+from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, text_of
 
 BITS = 64
 RADIUS = 4
@@ -204,6 +204,20 @@ def roots(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def component_rows(docs: DataFrame, id_column: str, text_column: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of the fingerprints that two
+    rows or more share or that link; ``root`` names a component also where no id does."""
+    prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
+    tree = roots(links(tile_jobs(classes, radius, classes.count()), radius))
+    members = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+    members = materialize(members.join(classes, "fp"), "members")
+    named = materialize(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
+    linked = materialize(members.join(named, "root").select("fp", "root", "component_id"), "linked")
+    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
+    return prints, materialize(linked.unionByName(alone), "components")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id.
 
@@ -214,26 +228,59 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     name a component; where all ids are null, neither does anything.  Repeated rows get
     equal results; an empty table gives an empty one; other columns are not read.
     """
-    prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
-    tree = roots(links(tile_jobs(classes, radius, classes.count()), radius))
-    members = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    members = materialize(members.join(classes, "fp"), "members")
-    named = materialize(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
-    linked = materialize(members.join(named, "root").select("fp", "component_id"), "linked")
-    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"))
-    special = materialize(linked.unionByName(alone), "components")
-    return joined(prints, special.withColumn("_found", F.lit(True)), "fp", "left").select("doc_id", "fp", F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    prints, special = component_rows(docs, id_column, text_column, radius)
+    special = special.select("fp", "component_id", F.lit(True).alias("_found"))
+    return joined(prints, special, "fp", "left").select("doc_id", "fp", F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+@F.pandas_udf(LongType())
+def fingerprint_udf(texts: pd.Series) -> pd.Series:
+    """Signed fingerprints; null for null."""
+    return pd.Series([None if t is None else signed(fingerprint(t)) for t in texts], dtype="Int64")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id, all
-    columns unchanged.  Rows that repeat an id share its fate; rows without an id stay
-    only where nothing with an id is in their component."""
-    found = near_duplicates(docs, id_column, text_column, radius)
-    lost = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "lost")
-    few = lost.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(lost) if few else lost, docs[id_column].eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` with one row of each component, all columns unchanged.
+
+    The row with the smallest id stays, null ids last; of rows that share it, the one
+    with the smallest fingerprint, then the smallest hash of the whole row.  Rows are
+    told apart by id and fingerprint, so a null or repeated id loses only those of its
+    rows that are near another.
+    """
+    prints, special = component_rows(docs, id_column, text_column, radius)
+    rows = materialize(joined(prints, special.select("fp", "root"), "fp", "inner").groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n")), "component-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    stays = materialize(rows.groupBy("root").agg(F.min(first).alias("s")).select("root", F.col("s.doc_id").alias("keep_id"), F.col("s.fp").alias("keep_fp")), "stays")
+    is_stay = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
+    judged = materialize(joined(rows, stays, "root", "inner").where(~is_stay | (F.col("n") > 1)).select("doc_id", "fp", is_stay.alias("again")), "judged")
+
+    columns, key, print_ = docs.columns, free_name("_id", docs.columns), free_name("_fp", docs.columns)
+    gone = judged.select(F.col("doc_id").alias(key), F.col("fp").alias(print_))
+    repeated = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "repeated-ids")
+    if repeated.isEmpty():  # each id is one row
+        few = gone.count() <= BROADCAST_ROWS
+        gone = gone.select(key)
+        return docs.join(F.broadcast(gone) if few else gone, docs[id_column].eqNullSafe(gone[key]), "left_anti")
+
+    def matched(left: DataFrame, right: DataFrame, how: str, *on: str) -> DataFrame:
+        right = F.broadcast(right) if right.count() <= BROADCAST_ROWS else right
+        condition = F.lit(True)
+        for name in on:
+            condition = condition & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+        return left.alias("a").join(right.alias("b"), condition, how)
+
+    # Only rows of repeated ids need their fingerprint again; others are told apart by id.
+    marked = repeated.withColumn(print_, F.lit(True))
+    own = matched(docs.withColumn(key, F.col(id_column)), marked, "left", key).select("a.*", F.col(f"b.{print_}").alias(print_))
+    own = own.withColumn(print_, fingerprint_udf(F.when(F.col(print_), text_of(text_column))))
+    gone = matched(gone, marked, "left", key).select(f"a.{key}", F.when(F.col(f"b.{print_}"), F.col(f"a.{print_}")).alias(print_))
+    left = matched(own, materialize(gone, "lost"), "left_anti", key, print_).select(*columns)
+    again = judged.where("again").select(F.col("doc_id").alias(key), F.col("fp").alias(print_))
+    if again.isEmpty():
+        return left
+    whole = F.struct(*columns)
+    one = matched(own, again, "left_semi", key, print_).groupBy(key, print_).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(print_ + "_row"))
+    return left.unionByName(one.select(F.col(print_ + "_row.*")))
 
 
 def hex_of(fp: Column) -> Column:
