@@ -52,3 +52,26 @@ def test_sql_agrees(make_docs, odd_rows):
     want = con.sql(f"select doc_id, {', '.join(COUNTS)}, kept from ({quality_rules.oracle_sql()})").fetchall()
     found = judge_quality(make_docs([r for r in rows if r[1] is None or "\x00" not in r[1]])).select("doc_id", *COUNTS, "kept").collect()
     assert Counter(map(tuple, found)) == Counter(want)
+
+
+OTHER_SCRIPTS = {
+    "ru": "река камень рынок зелёный открытый письмо зима дом малый ответ дорога и не на что он был",
+    "el": "ποτάμι πέτρα αγορά πράσινο ανοιχτό γράμμα χειμώνας σπίτι μικρό απάντηση δρόμος και το της με",
+    "ar": "نهر حجر سوق أخضر مفتوح رسالة شتاء بيت صغير جواب طريق في من على إلى",
+    "hi": "नदी पत्थर बाज़ार हरा खुला पत्र सर्दी घर छोटा उत्तर सड़क और है में की",
+}
+
+
+def test_languages_without_stop_words_are_not_judged_by_them(make_docs):
+    said = {lang: prose(i, 200, words.split()) for i, (lang, words) in enumerate(OTHER_SCRIPTS.items())}
+    indonesian = prose(9, 200, "sungai batu pasar hijau terbuka surat rumah kecil jawaban jalan dan yang untuk dengan".split())
+    no_words = prose(8, 200, "xkq zzt vbn qwrt plmk tgbv yhnj rfcd wsxz olkm".split())
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(said.items())]
+    rows += [(10 + i, text, None) for i, text in enumerate(said.values())]
+    rows += [(20, indonesian, "id"), (21, indonesian, "id-ID")]
+    bad = [(30, no_words, "en"), (31, no_words, None), (32, no_words, "und"), (33, no_words, "de-AT"), (34, " ".join(w + "$$$" for w in said["ru"].split()), "ru"), (35, " ".join(f"4{i % 9}71{i}-=" for i in range(100)) + " я", "en")]
+    docs = make_docs(rows + bad)
+    assert {r.doc_id for r in keep_good(docs).collect()} == {r[0] for r in rows}
+    assert {r.doc_id for r in judge_quality(docs).where("kept").collect()} == {r[0] for r in rows}
+    bare = docs.drop("lang")
+    assert {r.doc_id for r in keep_good(bare).collect()} == {r[0] for r in rows if r[0] < 20}

@@ -2,6 +2,11 @@
 
 A threshold table over length, symbol, stop-word and line ratios is compiled into Spark
 columns; no user function runs, and no row leaves its partition.
+
+The stop words are those of English, French, German and Spanish, so that rule judges only
+what may be in one of them: not texts mainly in another script than the Latin one, nor
+rows whose ``lang`` names another language.  All other rules hold for every language; the
+counts go by words between white space, so scripts without spaces rarely reach 50.
 """
 
 from __future__ import annotations
@@ -21,6 +26,9 @@ STOP_WORDS = (
     "der die das und den von zu mit sich ist im nicht ein eine als auch es auf dem für "
     "el los las del y una por con para su al lo como más o pero sus le"
 ).split()
+#: Codes of the languages that have stop words, and codes that name no language.
+STOP_WORD_LANGUAGES = "en eng fr fra fre de deu ger es spa".split()
+NO_LANGUAGE = "und unk zxx mul mis".split()
 
 
 @dataclass(frozen=True)
@@ -117,41 +125,67 @@ def base_failed(metrics: Column) -> Column:
     return (metrics["n_words"] < 50) | (100 * metrics["n_repeat_words"] > 50 * metrics["n_words"])
 
 
-def passes(metrics: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """One condition compiled from the threshold table."""
+def without_stop_words(docs: DataFrame, text_column: str, lang_column: str) -> Column:
+    """Whether a row's language has no stop words in the list, as far as lang or script say.
+
+    ``lang`` counts where it is a code of two or three letters, with or without a region;
+    a text is in another script where its letters outside the Latin one, with their marks,
+    are half or more of all that isn't white space.
+    """
+    text = text_of(text_column)
+    other_letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+|\p{IsLatin}+", ""))
+    word_chars = F.length(F.translate(text, SEPARATORS, ""))
+    by_script = (other_letters > 0) & (2 * other_letters >= word_chars)
+    if lang_column not in docs.columns:
+        return by_script
+    code = F.regexp_extract(F.lower(F.trim(F.col(lang_column).cast("string"))), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.coalesce((code != "") & ~code.isin(*STOP_WORD_LANGUAGES, *NO_LANGUAGE), F.lit(False)) | by_script
+
+
+def passes(metrics: Column, rules: tuple[Rule, ...] = RULES, without_stop_words: Column | None = None) -> Column:
+    """One condition compiled from the threshold table.  The stop-word rule passes where
+    ``without_stop_words`` holds, which is looked at only where the rule fails."""
     condition = F.lit(True)
     for rule in rules:
+        held = F.lit(True)
         if rule.least is not None:
-            condition = condition & (metrics[rule.metric] >= rule.least)
+            held = held & (metrics[rule.metric] >= rule.least)
         if rule.most is not None:
-            condition = condition & (metrics[rule.metric] <= rule.most)
+            held = held & (metrics[rule.metric] <= rule.most)
+        if rule.metric == "stop_word_ratio" and without_stop_words is not None:
+            held = held | without_stop_words
+        condition = condition & held
     return condition
 
 
-def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed`` and ``kept``.
 
     A null text counts as empty: no words, so ``base_failed``.  Repeated rows are judged
-    alike; an empty table gives an empty one; other columns are not read.
+    alike; an empty table gives an empty one; ``lang`` is read where the table has it, for
+    the stop-word rule alone, and no other column is.
     """
     metrics = F.col("_metrics")
-    judged = docs.select(F.col(id_column), text_metrics(text_of(text_column)).alias("_metrics"))
+    judged = docs.withColumn("_metrics", text_metrics(text_of(text_column)))
     return judged.select(
         F.col(id_column),
         *[metrics[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed(metrics).alias("base_failed"),
-        (~base_failed(metrics) & passes(metrics, rules)).alias("kept"),
+        (~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column))).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
     judged = docs.withColumn("_metrics", text_metrics(text_of(text_column)))
-    return judged.where(~base_failed(F.col("_metrics")) & passes(F.col("_metrics"), rules)).drop("_metrics")
+    return judged.where(~base_failed(F.col("_metrics")) & passes(F.col("_metrics"), rules, without_stop_words(docs, text_column, lang_column))).drop("_metrics")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The same judgement in DuckDB's SQL, from words and windows of words as rows."""
+    """The same judgement in DuckDB's SQL, from words and windows of words as rows.
+
+    It puts the stop-word rule to every text, so it agrees where all texts are in
+    languages that have stop words, as those of the given tables are."""
     tests = " and ".join([f"{r.metric} >= {r.least}" for r in rules if r.least is not None] + [f"{r.metric} <= {r.most}" for r in rules if r.most is not None])
     stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS}))
     return f"""
