@@ -37,3 +37,20 @@ def test_table(spark):
     out = extract_main_text(rows.withColumn("text", rows.url))
     assert sorted((r.page_id, r.text) for r in out.collect()) == [(1, "a"), (1, "a"), (2, "")]
     assert extract_main_text(rows.limit(0)).count() == 0
+
+
+FIVE = "".join(f"<p>{LONG} {i}</p>" for i in range(5))
+FIVE_TEXT = "\n".join(f"{LONG} {i}" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><h1>Title</h1><div>{FIVE}</div><ul><li>one<li>two</ul></div>", f"Title\n{FIVE_TEXT}\none\ntwo"),
+        (f"<body><h1>Title</h1><div><div>{FIVE}</div><table><tr><td>1<td>2</table><pre>x = 1</pre><blockquote>Q</blockquote></div></body>", f"Title\n{FIVE_TEXT}\n1\n2\nx = 1\nQ"),
+        (f"<div>By <a href=/me>me</a>, who wrote it all<div>{FIVE}</div><section><h2>End</h2><p>Short.</p></section></div>", f"By me, who wrote it all\n{FIVE_TEXT}\nEnd\nShort."),
+        (f"<div><a href=/a>Home</a> <a href=/b>About</a><div>{FIVE}</div><ul><li><a href=/c>one</a><li><a href=/d>two</a></ul><div class=comments><p>{LONG}</p></div></div>", FIVE_TEXT),
+    ],
+)
+def test_what_stands_beside_the_text_stays(page, text):
+    assert main_text(page) == text

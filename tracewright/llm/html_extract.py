@@ -1,8 +1,9 @@
 """Operator 1: main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors, a container's
-points are discounted by the share of its text that stands in links, and the best
-container is kept with those siblings that score enough beside it.
+points are discounted by the share of its text that stands in links.  An article or main
+element is kept with those siblings that score enough beside it; where the best container
+is no such element, all that stands around it is kept but noise and lists of links.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ NOISE = frozenset(
     "contentinfo alert tracking".split()
 )
 FAVOURED = frozenset("article content post entry body text story main page".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 BASE_POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
 #: Elements whose start ends an open one of the listed kinds, up to the nearest of the second list.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -167,11 +169,43 @@ def best_container(root: Node) -> list[Node]:
         up = up.parent
     if not best.parent:
         return [best]
+    if best.tag not in ("article", "main"):
+        return [without_link_lists(best)]
     floor = max(10, value(best) / 5)
     near = [n for n in best.parent.items if isinstance(n, Node)]
     return [n for n in near if n is best or (id(n) in scored and value(n) >= floor and not n.noise(False)) or (n.tag == "p" and n.parent is best.parent and not n.noise(False))]
 
 
+def without_link_lists(best: Node) -> Node:
+    """The page around ``best`` where no element names the article: what stands beside it,
+    or beside an element around it, goes only if it is noise or mostly links.  A run of
+    text with the inline elements in it is judged as one."""
+    node = best
+    while node.parent:
+        groups: list[list[Node | str]] = []
+        run = False
+        for item in node.parent.items:
+            inline = isinstance(item, str) or item.tag in INLINE
+            inline = inline and item is not node
+            if inline and run:
+                groups[-1].append(item)
+            else:
+                groups.append([item])
+            run = inline
+        kept: list[Node | str] = []
+        for group in groups:
+            if group[0] is not node:
+                aside = Node("div", None)
+                aside.items = group
+                found = [(len(text), links) for _, text, links in blocks(aside)]
+                if 2 * sum(n for _, n in found) > sum(n for n, _ in found):
+                    continue
+            kept += group
+        node.parent.items = kept
+        node = node.parent
+    return node
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, one line a block; empty where there is none."""
     if not page:
