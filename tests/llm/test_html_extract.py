@@ -54,3 +54,33 @@ FIVE_TEXT = "\n".join(f"{LONG} {i}" for i in range(5))
 )
 def test_what_stands_beside_the_text_stays(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("around", ["article", "div"])
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<h2 id='related-work'>Related work</h2>", "Related work"),
+        ("<h2 id='search'>Search</h2>", "Search"),
+        ("<section id='search-algorithms'><p>They search.</p></section>", "They search."),
+        ("<h2 id='social-effects'>Effects</h2>", "Effects"),
+        ("<p title='the hidden cost'>Cost.</p>", "Cost."),
+        ("<p alt='class=ad' data-id='ad' data-role='banner'>Data.</p>", "Data."),
+        ("<p style='color: red' data-note='display: none'>Seen.</p>", "Seen."),
+        ("<section id=comments><p>Me first</p></section>", None),
+        ("<div id='ad-container'>Buy</div>", None),
+        ("<div class='share-buttons'>Share</div>", None),
+        ("<div class=related>Read on</div>", None),
+        ("<p hidden>Unseen</p>", None),
+        ("<p style='display: none'>Unseen</p>", None),
+        ("<p aria-hidden=true>Unseen</p>", None),
+    ],
+)
+def test_labels_and_hiding_are_read_by_attribute(around, part, text):
+    assert main_text(f"<{around}>{FIVE}{part}</{around}>") == (f"{FIVE_TEXT}\n{text}" if text else FIVE_TEXT)
+
+
+def test_text_overrules_a_weak_label_inside_an_article():
+    assert main_text(f"<article>{FIVE}<section id=search>{FIVE}</section></article>") == f"{FIVE_TEXT}\n{FIVE_TEXT}"
+    links = "".join(f"<p><a href=/{i}>{LONG}</a></p>" for i in range(5))
+    assert main_text(f"<article>{FIVE}<section id=search>{links}</section></article>") == FIVE_TEXT

@@ -35,8 +35,16 @@ NOISE = frozenset(
     "share sharing social related recommended recommendations widget pager pagination login search skip complementary "
     "contentinfo alert tracking".split()
 )
-FAVOURED = frozenset("article content post entry body text story main page".split())
+#: Of these, words that article text is labelled with too: inside an article its text decides.
+WEAK = frozenset("alert notice notices promotion recommended recommendations related search sharing social tracking".split())
+#: Words that may stand beside the others in an id that marks what is not the article.
+LAYOUT = frozenset("article articles area bar block bottom box button buttons col column container content form group inner item items left link links list main outer page panel post posts right row section site top wrap wrapper".split())
+#: Elements whose ids are anchors of the text.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Characters that text under a weak label needs to count as the article's.
+WEAK_CHARS = 200
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+FAVOURED = frozenset("article content post entry body text story main page".split())
 BASE_POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
 #: Elements whose start ends an open one of the listed kinds, up to the nearest of the second list.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -49,19 +57,36 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
-LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "labels", "hidden", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "items", "labels", "marks", "hidden", "score", "chars", "links", "all_chars", "all_links")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
-        self.labels = [w.lower() for m in LABEL.finditer(attrs) for w in WORD.findall(m[1] or m[2] or m[3] or "")]
-        self.hidden = bool(attrs) and bool(HIDDEN.search(attrs))
+        self.labels, self.marks, self.hidden = [], frozenset(), False
+        if attrs and not attrs.isspace():
+            self.read(attrs)
         self.score, self.chars, self.links = 0.0, 0, 0
+        self.all_chars = self.all_links = 0
+
+    def read(self, attrs: str) -> None:
+        """Labels, marks of noise and hiding, from attributes by their names."""
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attrs):
+            if m[1]:
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        words = {k: [w.lower() for w in WORD.findall(found.get(k, ""))] for k in ("class", "id", "role")}
+        self.labels = [w for k in found if k in words for w in words[k]]
+        self.hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(found.get("style", "")))
+        named = [*words["class"], *words["role"]]
+        marks = {w for b, w in zip(["", *named], named, strict=False) if w in NOISE and b not in ("has", "no", "with", "without")}
+        if self.tag not in ANCHORED and all(w in NOISE or w in LAYOUT for w in words["id"]):
+            marks |= NOISE & {*words["id"]}
+        self.marks = frozenset(marks)
 
     def noise(self, inside_article: bool) -> bool:
         """Whether this element and all in it is left out."""
@@ -69,11 +94,31 @@ class Node:
             return False
         if self.hidden or (self.tag in DROPPED and not (self.tag == "header" and inside_article)):
             return True
-        before = ["", *self.labels]
-        marked = any(w in NOISE and b not in ("has", "no", "with", "without") for b, w in zip(before, self.labels, strict=False))
         if self.tag == "article" or (self.tag == "header" and inside_article):
-            return bool({"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"} & {*self.labels})
-        return marked
+            return bool({"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"} & self.marks)
+        if inside_article and self.marks and self.marks <= WEAK:
+            return self.all_chars < WEAK_CHARS or 10 * self.all_links > self.all_chars
+        return bool(self.marks)
+
+
+def measure(root: Node) -> None:
+    """``all_chars`` and ``all_links`` of each element: its text, and what of it is in links."""
+    found, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        found.append(node)
+        linked = linked or node.tag == "a"
+        for item in node.items:
+            if isinstance(item, str):
+                n = len(item.strip())
+                node.all_chars += n
+                node.all_links += n * linked
+            else:
+                stack.append((item, linked))
+    for node in reversed(found):
+        if node.parent:
+            node.parent.all_chars += node.all_chars
+            node.parent.all_links += node.all_links
 
 
 def parse(page: str) -> Node:
@@ -104,6 +149,7 @@ def parse(page: str) -> Node:
             at.items.append(node := Node(tag, at, m["attrs"]))
             if not m["attrs"].endswith("/") or tag in BLOCK:
                 at = node
+    measure(root)
     return root
 
 
