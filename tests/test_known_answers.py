@@ -179,6 +179,25 @@ def test_spawns_wait_or_dont_as_the_log_shows(log, wait, background, overhead, l
     assert {r.agent: r.latency_ms for r in workload.replay(t).collect()} == {None: latency, "k": 6000}
 
 
+@pytest.mark.parametrize("depth", [1, 4, 7])
+def test_agents_that_wait_for_agents_are_settled_at_any_depth(log, depth):
+    """Each agent thinks for a second, then waits for the next, whose call adds 10 ms; the
+    deepest waits for a tool of 5000 ms."""
+    rows = [{"ev": "prompt", "ts": 0}]
+    for i in range(depth + 1):
+        agent, left = (f"k{i}" if i else None), 1000 * (depth - i) + 5000 + 10 * (depth - i)
+        link = {"spawned_agent": f"k{i + 1}"} if i < depth else {}
+        rows += [api(1000 * i, 1000 * (i + 1), agent=agent, uuid=f"u{i}"), call(1000 * (i + 1), left, "Agent" if link else "Bash", agent=agent, api_uuid=f"u{i}", **link)]
+    found = {r.agent: (r.latency_ms, r.traced_ms) for r in workload.replay(log(rows)).collect()}
+    assert found == {(f"k{i}" if i else None): (1000 * (depth - i + 1) + 5000 + 10 * (depth - i),) * 2 for i in range(depth + 1)}
+
+
+def test_agents_that_wait_in_a_circle_raise(log):
+    rows = [api(0, 1000, agent="a", uuid="p"), call(1000, 5000, "Agent", agent="a", api_uuid="p", spawned_agent="b"), api(1000, 2000, agent="b", uuid="q"), call(2000, 5000, "Agent", agent="b", api_uuid="q", spawned_agent="a")]
+    with pytest.raises(ValueError, match="circle"):
+        workload.replay(log(rows))
+
+
 def test_policies(spark):
     def pick(policy, rows, k, now=0.0):
         queue = spark.createDataFrame([("q", i, *r) for i, r in enumerate(rows)], "queue_id string, pos int, ready_ms double, service_ms double, waiters int, warm int")

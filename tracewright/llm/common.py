@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.storage import materialize, new_path, shared_dir  # noqa: F401
+
 #: Word separators of every contract here: space, tab, \n, \v, \f and \r.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
@@ -50,27 +49,6 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later uses neither repeat
-    the work nor depend on any one executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join with a written table of short rows: broadcast while its counted rows are few,
     else by shuffle, where Spark splits what is skewed."""

@@ -17,6 +17,7 @@ from tracewright.functions.stats import dist
 from tracewright.operators.joins import asof_backward
 from tracewright.operators.sequences import replay_completion
 from tracewright.schema import Trace
+from tracewright.storage import materialize
 
 MIN_SERVICE_MS = 1
 ACK_MS = 1000
@@ -133,19 +134,24 @@ def reconcile(tool_rows: DataFrame, turn_rows: DataFrame) -> DataFrame:
     return joined.withColumns({"overhead_ms": over, "reclassified": F.coalesce(early, F.lit(False)), "background": F.col("background") | F.coalesce(early, F.lit(False))}).drop("_child_ms")
 
 
-def replay(trace: Trace, depth: int = 4) -> DataFrame:
+def replay(trace: Trace) -> DataFrame:
     """Turns replayed at unlimited capacity: latency_ms beside traced_ms, and completion_ts.
 
     A step's tools run side by side; one that waits for a child takes the child's own
-    replayed time and its overhead, settled from the leaves up over ``depth`` levels.
+    replayed time and its overhead.  Children are settled from the leaves up, a level a
+    round, until no turn's time changes: as many rounds as agents wait for each other in a
+    chain.  Agents that wait for each other in a circle have no such time, and raise.
     """
     step_rows = steps(trace).persist()  # each level reads them again
     turn_rows = turns(step_rows).persist()
     settled = reconcile(tools(trace), turn_rows)
     placed = settled.alias("t").join(step_rows.alias("s"), _same_stream("t", "s") & (F.col("t.api_uuid") == F.col("s.uuid"))).select("t.*", "s.turn", "s.step").persist()
-    levels = depth if placed.where("child is not null and not background").limit(1).count() else 1
+    waited = placed.where("child is not null and not background")
+    nested = waited.limit(1).count() > 0
+    most = waited.select("session", "child").distinct().count() + 1 if nested else 0  # a chain has no child twice
     latency = turn_rows.select("session", "agent", "turn", "spawned", F.col("model_ms").alias("latency_ms"))
-    for _ in range(levels):
+    last, rounds = None, 0
+    while True:
         child = latency.where("spawned").select(F.col("session").alias("_s"), F.col("agent").alias("_a"), F.col("latency_ms").alias("_child_ms"))
         timed = placed.join(child, (F.col("session") == F.col("_s")) & (F.col("child") == F.col("_a")), "left")
         waits = F.col("child").isNotNull() & ~F.col("background") & F.col("_child_ms").isNotNull()
@@ -154,6 +160,17 @@ def replay(trace: Trace, depth: int = 4) -> DataFrame:
         per_turn = per_step.groupBy("session", "agent", "turn").agg(F.sum("_ms").alias("_tools_ms"))
         joined = turn_rows.alias("r").join(per_turn.alias("p"), _same_stream("r", "p") & (F.col("r.turn") == F.col("p.turn")), "left")
         latency = joined.select("r.*", (F.col("r.model_ms") + F.coalesce("p._tools_ms", F.lit(0))).alias("latency_ms"))
+        if not nested:
+            break
+        latency, rounds = materialize(latency, "replay-round"), rounds + 1
+        if last is not None:
+            now, before = latency.alias("n"), last.alias("l")
+            same = _same_stream("n", "l") & (F.col("n.turn") == F.col("l.turn")) & F.col("n.latency_ms").eqNullSafe(F.col("l.latency_ms"))
+            if not now.join(before, same, "left_anti").agg(F.count("*")).first()[0]:
+                break
+        if rounds > most + 1:
+            raise ValueError("agents wait for each other in a circle")
+        last = latency
     return replay_completion(latency, ["session", "agent"], "arrival_ts", "latency_ms", ["arrival_ts", "turn"]).withColumnRenamed("completion", "completion_ts")
 
 
