@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from tracewright.llm.common import SEPARATORS
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_OF_DOCUMENT = 0
 #: Words whose ids a worker remembers at most, in each of two generations.
 REMEMBERED = 200_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
 _MARK, WORD_END = "\x01", "</w>"
+#: The normalizer that turns each run of white space into one space.
+COLLAPSE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 _encoders: dict[str, Encoder] = {}
 
 
+def parts_of(definition: dict | None, kind: str, each: str) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer, of which a sequence may hold several."""
+    if definition is None:
+        return []
+    return definition[each] if definition["type"] == kind else [definition]
+
+
+def drops_spaces(definition: dict) -> bool:
+    """Whether the pre-tokenizer keeps only what its pattern finds, and the pattern finds no white space."""
+    first = next(iter(parts_of(definition["pre_tokenizer"], "Sequence", "pretokenizers")), None)
+    if not first or first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
+        return False
+    try:
+        found = regex.compile(first["pattern"]["Regex"])
+    except (KeyError, regex.error):
+        return False
+    return not any(re.search(r"\s", m[0]) for a in " a1.'" for b in " a1.'" for space in SEPARATORS for m in found.finditer(a + space + b))
+
+
 class Encoder:
     """Ids of texts.
 
     Where the tokenizer drops white space, no token crosses it, so a text's ids are those
     of its words in order and each worker remembers the ids of words it has met; words
-    not met for a while are forgotten.  Other tokenizers get whole texts.
+    not met for a while are forgotten.  Which tokenizers do is read from their definition.
+    Other tokenizers get whole texts, and so does a text that holds an added token in
+    whatever case: those are found in the raw text, before any word is.
     """
 
     def __init__(self, path: str):
@@ -36,16 +64,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        definition = json.loads(self.tokenizer.to_str())
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         mark = encode(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        steps = parts_of(definition["normalizer"], "Sequence", "normalizers")
         #: Whether ASCII case is dropped, and a comma or stop after a letter stands alone.
-        self.folds = encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
+        self.folds = any(n["type"] == "Lowercase" for n in steps) and encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
         #: By id whether it ends a word; where the tokenizer has such ids, a run of letters gives one.
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.by_word = self.mark is not None and encode(f"a1 \n b,\t{_MARK}  C") == [i for w in ("a1", "b,", _MARK, "C") for i in encode(w)]
+        self.added = [t["content"].lower().encode() for t in definition["added_tokens"] if t["content"]]
+        plain = all(n["type"] in ("NFC", "Lowercase") or n == COLLAPSE for n in steps) and definition["model"]["type"] == "BPE" and definition["model"]["dropout"] is None
+        self.by_word = self.mark is not None and plain and definition["truncation"] is None and definition["post_processor"] is None and drops_spaces(definition)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -84,10 +116,14 @@ class Encoder:
                 else:  # a letter that folds into several, or a word that holds the mark
                     self.known.update(zip(keys, self.whole([texts[i] for i in part]), strict=True))
 
-    def words(self, text: str) -> list[bytes]:
+    def words(self, text: str) -> list[bytes] | None:
+        """The text's words, None where an added token may stand among them."""
         data = text.encode("utf-8", "replace").translate(_SPACES)
+        low = data.lower()
+        if any(token in low for token in self.added):
+            return None
         if self.folds and b"\xcc" not in data and b"\xcd" not in data:  # else a combining mark may join a letter of one case only
-            data = data.lower()
+            data = low
         return data.split(b" ")
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
@@ -98,10 +134,10 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
+        new = set().union(*filter(None, split)).difference(known)
         known.update([(w, older[w]) for w in new if w in older])
         self.learn([w for w in new if w not in known])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
