@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from tracewright.storage import materialize
 
 
+#: Rows up to which one window does.
+FEW = 50_000
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], keep: bool = False) -> DataFrame:
     """``df`` with the sum of each of ``sums`` over all rows up to this one, itself included.
 
     Rows are sorted by range and written, summed within each range, and moved up by the
-    totals of the ranges before; only those totals meet in one place.  ``order`` must tell
-    rows apart, or their sums may change from run to run.
+    totals of the ranges before; only those totals meet in one place.  A table of up to
+    :data:`FEW` rows, which are counted, is summed as it is.  ``order`` must tell rows
+    apart, or their sums may change from run to run.
     """
+    if df.count() <= FEW:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     ranged = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id(), **{f"_{n}": c for n, c in sums.items()}})
     ranged = materialize(ranged, "ranges", keep)
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
