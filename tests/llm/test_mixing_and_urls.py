@@ -1,13 +1,15 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tracewright.llm import mixing, url_filter
+from tracewright.operators import ordering
+
+
+DEFAULTS = (mixing.WEIGHTS, mixing.SHARE, mixing.MOST_REPEATS)
 
 
 def slow_targets(sizes):
@@ -26,13 +28,28 @@ def slow_targets(sizes):
     return done
 
 
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-@settings(max_examples=200, deadline=None)
-def test_targets_match_sharing_in_rounds(sizes):
-    named = [(f"s{i:02d}", n) for i, n in enumerate(sizes)]
-    named[-1] = (None, named[-1][1])
-    want, got = slow_targets(named), mixing.targets(named)
-    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+def test_targets_match_sharing_in_rounds(spark):
+    draw = random.Random(3)
+    cases = [[draw.choice([0, 1, draw.randint(0, 1000)]) for _ in range(draw.randint(1, 12))] for _ in range(12)] + [[0, 0], [5]]
+    for sizes in cases:
+        named = [(f"s{i:02d}", n) for i, n in enumerate(sizes)]
+        named[-1] = (None, named[-1][1])
+        want = slow_targets(named)
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(named, "source string, size long"), *DEFAULTS).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_more_sources_than_may_be_broadcast(spark, monkeypatch):
+    rows = spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 110_000).alias("source"), F.lit("one two three").alias("text"))
+    found = mixing.mix(rows)
+    kept = found.agg(F.count("*"), F.sum("size"), F.sum("taken"), F.max(F.col("taken") - 2 * F.col("size"))).first()
+    assert kept[0] == 120_000 and kept[3] <= 0
+    assert abs(kept[2] - 1.5 * kept[1]) < 0.25 * kept[1]  # a source is one or two rows, taken whole or not
+    few = rows.where("doc_id % 1000 = 0")
+    want = sorted(mixing.mix(few).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ordering, "FEW", 3)
+    assert sorted(mixing.mix(few).collect()) == want
 
 
 @pytest.fixture(scope="module")
@@ -62,8 +79,13 @@ def test_thresholds_are_those_of_a_sorted_prefix(make_docs, mixed):
     docs = make_docs(mixed)
     found = mixing.mix(docs).collect()
     source = {r[0]: r[3] for r in mixed}
-    h = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
-    for s in {*source.values()}:
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    keys = defaultdict(set)
+    for doc_id, text, *_ in mixed:
+        keys[doc_id].add(int(md5(f"{'' if doc_id is None else doc_id}:{md5(text or '')}")[:15], 16))
+    found = [r for r in found if len(keys[r.doc_id]) == 1]
+    h = lambda i: next(iter(keys[i]))
+    for s in {*source.values()} - {"odd"}:
         of = [r for r in found if source[r.doc_id] == s]
         total, target = of[0].source_size, of[0].target
         copies = int(min(2, target // total)) if total else 0
@@ -82,6 +104,11 @@ def test_rows_are_repeated_as_the_mix_says(make_docs, mixed):
         taken[r.doc_id] += r.taken // r.size
     left = mixing.take_mix(docs)
     assert left.columns == docs.columns
+    clashing = docs.withColumns({c: F.lit(c) for c in ("_h", "_source", "_cut", "_copy", "h", "row", "size", "s", "t", "cut", "copies")})
+    again = mixing.take_mix(clashing)
+    assert again.columns == clashing.columns
+    assert Counter(map(tuple, again.select(*docs.columns).collect())) == Counter(map(tuple, left.collect()))
+    assert {r["_h"] for r in again.collect()} == {"_h"}
     counted = {r.doc_id: r["count"] for r in left.groupBy("doc_id").count().collect()}
     assert counted == {i: n for i, n in taken.items() if n}
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.take_mix(docs.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.storage import materialize, new_path, shared_dir  # noqa: F401
+from tracewright.storage import materialize, new_path, scratch, shared_dir  # noqa: F401
 
 #: Word separators of every contract here: space, tab, \n, \v, \f and \r.
 SEPARATORS = " \t\n\x0b\f\r"

@@ -2,132 +2,146 @@
 
 Words are summed by source and hash bucket; the bucket in which a source's budget ends is
 found and alone refined, until its threshold is one hash.  Rows are then filtered by
-comparing their own hash with their source's threshold: nothing is sorted.
+comparing their own hash with their source's threshold: rows are never sorted.  Sources
+stay in tables throughout, so there may be as many of them as there are rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from tracewright.llm.common import materialize, text_of, words_of
+from tracewright.llm.common import BROADCAST_ROWS, materialize, scratch, text_of, words_of
+from tracewright.operators.ordering import running
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 HASH_BITS, LEVEL_BITS = 60, 12
-#: Bound of the sources, whose one row each reaches the driver and is broadcast.
-MAX_SOURCES = 100_000
 
 
-def hash_of(id_column: str) -> Column:
-    """The first 60 bits of the md5 of the id as text (null: empty)."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash_of(id_column: str, text_column: str) -> Column:
+    """The first 60 bits of the md5 of the id as text (null: empty) and its text's md5, so
+    that rows which share an id part where their texts do."""
+    digest = F.md5(text_of(text_column).cast("binary"))
+    whole = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(":"), digest)
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def size_of(text_column: str) -> Column:
     return F.size(words_of(text_of(text_column))).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> dict[str | None, float]:
-    """Words wanted of each source: ``share`` of all sizes by weight, at most ``most`` times
-    its own size, the excess shared anew until no source is above that.
+def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
+    """source, size, target: ``share`` of all sizes by weight, at most ``most`` times a
+    source's own size, the excess shared anew until no source is above that.
 
-    Sources whose limit is least for their weight reach it first, so one pass in that
-    order finds the level at which the others share the rest.
+    ``sums`` has source and size.  Weights repeat over the sources by code point, null
+    last.  Sources whose limit is least for their weight reach it first, so running sums
+    in that order tell the level at which the others share the rest.
     """
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    rows = sorted((most * size / weights[i % len(weights)], i, source, size, weights[i % len(weights)]) for i, (source, size) in enumerate(ordered))
-    left, weight, out = share * sum(r[3] for r in rows), sum(r[4] for r in rows), {}
-    for at, (ratio, _, source, size, own) in enumerate(rows):
-        if left / weight <= ratio:
-            return out | {r[2]: left / weight * r[4] for r in rows[at:]}
-        out[source] = float(most * size)
-        left -= most * size
-        weight -= own
-    return out
+    named = running(sums, [F.col("source").asc_nulls_last()], {"nth": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long")
+    ratio = named.withColumn("weight", weight).withColumn("ratio", most * F.col("size") / F.col("weight"))
+    ordered = running(ratio, [F.col("ratio"), F.col("nth")], {"rank": F.lit(1), "limits": most * F.col("size"), "weights": F.col("weight")})
+    total, whole = ordered.agg(F.sum("size"), F.sum("weight")).first()
+    if not total:
+        return sums.select("source", "size", F.lit(0.0).alias("target"))
+    level = (F.lit(float(share * total)) - (F.col("limits") - most * F.col("size"))) / (F.lit(whole) - (F.col("weights") - F.col("weight")))
+    first, at = ordered.withColumn("level", level).where("level <= ratio").agg(F.min("rank"), F.min_by("level", "rank")).first()
+    limit = (most * F.col("size")).cast("double")
+    target = limit if first is None else F.when(F.col("rank") < first, limit).otherwise(F.lit(at) * F.col("weight"))
+    return ordered.select("source", "size", target.alias("target"))
+
+
+def of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (alias s) with the row of ``table`` (alias t, written) for their source."""
+    table = (F.broadcast(table) if table.count() <= BROADCAST_ROWS else table).alias("t")
+    return rows.alias("s").join(table, F.col("s.source").eqNullSafe(F.col("t.source")))
 
 
 def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
-    """One row per source: source, source_size, target, copies, cut, cut_in.
+    """One row per source, written: source, source_size, target, copies, cut, cut_in.
 
     A row is taken ``copies`` times, and once more if its hash is below ``cut`` (or is
-    ``cut`` and ``cut_in``).  ``sized`` has source, size and h.
+    ``cut`` and ``cut_in``).  ``sized`` (written) has source, size and h.
     """
-    spark = sized.sparkSession
-    sums = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()]
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: group rare ones before mixing")
-    wanted = targets(sums, weights, share, most)
-    copies = {s: int(min(most, wanted[s] // size)) if size else 0 for s, size in sums}
-    budget = {s: wanted[s] - copies[s] * size for s, size in sums}
-    cut = {s: (0, False) for s, _ in sums}  # nothing beyond the whole copies
-    open_ = {s: (None, budget[s]) for s, size in sums if budget[s] > 0}
-
-    source_type = sized.schema["source"].dataType
-    state_type = StructType([StructField("source", source_type), StructField("prefix", LongType()), StructField("left", DoubleType())])
-    for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        if not open_:
-            break
-        state = F.broadcast(spark.createDataFrame([(s, p, b) for s, (p, b) in open_.items()], state_type).alias("o"))
-        inside = F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("o.prefix").isNull() | (F.col("o.prefix") == F.shiftright("s.h", shift + LEVEL_BITS)))
-        histogram = (
-            sized.alias("s")
-            .join(state, inside)
-            .groupBy("s.source", F.shiftright("s.h", shift).alias("bucket"))
-            .agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("o.left").alias("left"))
-        )
-        order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**LEVEL_BITS rows a source
-        upto = histogram.withColumn("upto", F.sum("size").over(order)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("size") <= F.col("left")))
-        found, open_before, open_ = upto.collect(), open_, {}
-        for r in found:
-            rest = r["left"] - (r["upto"] - r["size"])
-            if r["low"] == r["high"]:
-                cut[r["source"]] = (r["low"], r["size"] - rest < rest)
-            else:
-                open_[r["source"]] = (r["bucket"], rest)
-        for source in open_before.keys() - {r["source"] for r in found}:
-            cut[source] = (1 << HASH_BITS, False)  # the budget covers every row
-    rows = [(s, size, float(wanted[s]), copies[s], *cut[s]) for s, size in sums]
-    fields = [StructField("source", source_type), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("copies", LongType()), StructField("cut", LongType()), StructField("cut_in", BooleanType())]
-    return spark.createDataFrame(rows, StructType(fields))
-
-
-def times_taken(h: Column) -> Column:
-    extra = (h < F.col("cut")) | (F.col("cut_in") & (h == F.col("cut")))
-    return F.col("copies") + F.when(extra, 1).otherwise(0)
+    with scratch(sized.sparkSession):
+        sums = materialize(sized.groupBy("source").agg(F.sum("size").alias("size")), "sums")
+        copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(most), F.floor(F.col("target") / F.col("size")))).cast("long")
+        table = materialize(targets(sums, weights, share, most).withColumn("copies", copies), "targets")
+        budget = F.col("target") - F.col("copies") * F.col("size")
+        opened = materialize(table.where(budget > 0).select("source", F.lit(None).cast("long").alias("prefix"), budget.alias("left")), "level")
+        cuts = []
+        for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+            if opened.isEmpty():
+                break
+            inside = F.col("t.prefix").isNull() | (F.col("t.prefix") == F.shiftright("s.h", shift + LEVEL_BITS))
+            histogram = (
+                of_source(sized, opened)
+                .where(inside)
+                .groupBy("s.source", F.shiftright("s.h", shift).alias("bucket"))
+                .agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("t.left").alias("left"))
+            )
+            order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**LEVEL_BITS rows a source
+            before = F.col("upto") - F.col("size")
+            ends_here = (F.col("upto") > F.col("left")) & (before <= F.col("left"))
+            found = F.max(F.when(ends_here, F.struct("bucket", (F.col("left") - before).alias("rest"), "low", "high", "size"))).alias("b")
+            level = histogram.withColumn("upto", F.sum("size").over(order)).groupBy("source").agg(found)
+            one = F.col("b.low") == F.col("b.high")
+            level = level.select(
+                "source",
+                F.col("b.bucket").alias("prefix"),
+                F.col("b.rest").alias("left"),
+                F.when(F.col("b").isNull(), F.lit(1 << HASH_BITS)).when(one, F.col("b.low")).alias("cut"),  # without one, the budget covers every row
+                F.coalesce(one & (F.col("b.size") - F.col("b.rest") < F.col("b.rest")), F.lit(False)).alias("cut_in"),
+            )
+            level = materialize(level, "level")
+            cuts.append(level.where("cut is not null").select("source", "cut", "cut_in"))
+            opened = level.where("cut is null").select("source", "prefix", "left")
+        table = table.withColumnRenamed("size", "source_size")
+        if not cuts:
+            return materialize(table.withColumns({"cut": F.lit(0).cast("long"), "cut_in": F.lit(False)}), "thresholds", keep=True)
+        found = reduce(DataFrame.unionByName, cuts).alias("c")
+        joined = table.alias("t").join(found, F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+        return materialize(joined.select("t.*", F.coalesce("cut", F.lit(0)).cast("long").alias("cut"), F.coalesce("cut_in", F.lit(False)).alias("cut_in")), "thresholds", keep=True)
+
+
+def times_taken() -> Column:
+    """Over :func:`of_source` with :func:`thresholds`: how often the mix takes a row."""
+    h, cut = F.col("s.h"), F.col("t.cut")
+    return F.col("t.copies") + F.when((h < cut) | (F.col("t.cut_in") & (h == cut)), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     A null text has size 0; a null source is a source of its own, the last; a null id
-    hashes as empty text.  Rows with equal ids hash alike and are taken alike.  A source
-    of size 0 has target 0; an empty table gives an empty one.  Reruns agree, as hashes
-    depend on ids alone.
+    hashes as empty text.  Rows with equal ids and texts hash alike and are taken alike.  A
+    source of size 0 has target 0; an empty table gives an empty one.  Reruns agree, as
+    hashes depend on ids and texts alone.  Other columns are not read.
     """
-    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size_of(text_column).alias("size"), hash_of(id_column).alias("h"))
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size_of(text_column).alias("size"), hash_of(id_column, text_column).alias("h"))
     sized = materialize(sized, "sizes")
-    table = F.broadcast(thresholds(sized, weights, share, most).alias("t"))
-    return sized.alias("s").join(table, F.col("s.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "source_size", "target", (times_taken(F.col("h")) * F.col("size")).alias("taken"))
+    return of_source(sized, thresholds(sized, weights, share, most)).select("doc_id", "size", "source_size", "target", (times_taken() * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it, columns
-    unchanged.  A row of size 0 is taken like others with its hash."""
-    sized = materialize(docs.select(F.col(source_column).alias("source"), size_of(text_column).alias("size"), hash_of(id_column).alias("h")), "sizes")
-    table = thresholds(sized, weights, share, most).withColumnsRenamed({"source": "_source"}).select("_source", "copies", "cut", "cut_in")
-    table = table.select("_source", F.struct("copies", "cut", "cut_in").alias("_cut"))
-    times = F.col("_cut.copies") + F.when((F.col("_h") < F.col("_cut.cut")) | (F.col("_cut.cut_in") & (F.col("_h") == F.col("_cut.cut"))), 1).otherwise(0)
-    own = docs.withColumn("_h", hash_of(id_column)).join(F.broadcast(table), docs[source_column].eqNullSafe(F.col("_source")))
-    repeated = own.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    unchanged, whatever their names.  A row of size 0 is taken like others with its hash."""
+    own = docs.select(F.col(source_column).alias("source"), hash_of(id_column, text_column).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), size_of(text_column).alias("size"))
+    with scratch(docs.sparkSession):
+        table = thresholds(materialize(own.select("source", "size", "h"), "sizes"), weights, share, most)
+        table = materialize(table, "thresholds", keep=True)
+    taken = of_source(own, table).where(times_taken() > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times_taken().cast("long")))).select("row.*")
 
 
 ORACLE_SQL = """
 with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::bigint as size,
-           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents),
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as h from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight, row_number() over (order by source nulls last) as ord from s),
 o as (select *, 2 * source_size / weight as ratio, row_number() over (order by 2 * source_size / weight, ord) as j,

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import SEPARATORS, let, text_of, words_of
+from tracewright.llm.common import SEPARATORS, free_name, let, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -165,8 +165,8 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     alike; an empty table gives an empty one; ``lang`` is read where the table has it, for
     the stop-word rule alone, and no other column is.
     """
-    metrics = F.col("_metrics")
-    judged = docs.withColumn("_metrics", text_metrics(text_of(text_column)))
+    name = free_name("_metrics", docs.columns)
+    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column))), F.col(name)
     return judged.select(
         F.col(id_column),
         *[metrics[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -177,8 +177,9 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    judged = docs.withColumn("_metrics", text_metrics(text_of(text_column)))
-    return judged.where(~base_failed(F.col("_metrics")) & passes(F.col("_metrics"), rules, without_stop_words(docs, text_column, lang_column))).drop("_metrics")
+    name = free_name("_metrics", docs.columns)
+    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column))), F.col(name)
+    return judged.where(~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column))).drop(name)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
