@@ -148,7 +148,17 @@ def test_trie_and_join_match_a_scan_of_the_rules(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
 
 
-def test_too_many_rules_are_refused(spark, monkeypatch):
+def test_more_rules_than_a_trie_may_hold_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    want = sorted(url_filter.filter_urls(pages, RULES).collect())
     monkeypatch.setattr(url_filter, "MAX_RULES", 1)
-    with pytest.raises(ValueError):
-        url_filter.filter_urls(spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url")), RULES)
+    assert sorted(url_filter.filter_urls(pages, RULES).collect()) == want
+
+
+def test_many_rules_of_one_directory_cost_one_look_each():
+    import time
+
+    root = url_filter.build_trie([(f"a.com/x/{i:06d}", "block") for i in range(100_000)])
+    began = time.perf_counter()
+    assert all(url_filter.match(root, "w.a.com", f"/x/{i:06d}q/y") == (f"a.com/x/{i:06d}", "block") for i in range(0, 100_000, 20))
+    assert time.perf_counter() - began < 2

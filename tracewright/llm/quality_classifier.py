@@ -14,11 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from tracewright.llm.common import joined, materialize, scratch, text_of
 
 BITS = 18
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 6000
+#: Bound of the different features of one training text.
+SAMPLE_FEATURES = 8192
 EPOCHS = 4
 #: Bound of the words whose hashes a worker remembers.
 REMEMBERED = 200_000
@@ -88,55 +92,71 @@ def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> tup
     return final[:-1].astype(np.float32), float(final[-1])
 
 
+def example(text: str) -> tuple[bytes, bytes]:
+    """(feature ids, values) of a training text; of over :data:`SAMPLE_FEATURES` different
+    features those stay whose mixed ids are smallest, the same ids of every text."""
+    ids, counts = np.unique(feature_ids(text), return_counts=True)
+    if len(ids) > SAMPLE_FEATURES:
+        mixed = ids.astype(np.uint32) * np.uint32(2654435761) % np.uint32(1 << BITS)
+        few = np.sort(np.argpartition(mixed, SAMPLE_FEATURES)[:SAMPLE_FEATURES])
+        ids, counts = ids[few], counts[few]
+    values = SCALE * counts / max(1, counts.sum())
+    return np.append(ids, 1 << BITS).astype(np.int32).tobytes(), np.append(values, 1.0).astype(np.float32).tobytes()
+
+
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, float]:
-    """(weights, bias) learned from about :data:`SAMPLE_ROWS` labelled rows.
+    """(weights, bias) learned from about :data:`SAMPLE_ROWS` labelled ids.
 
-    The sample's ids, drawn by hash, are few by construction and are what is broadcast to
-    the scan of ``docs``; one task learns from the sample and returns the non-zero weights.
+    Ids are drawn by hash; one that is labelled both ways doesn't teach, and of several
+    rows of one id the text with the smallest hash does.  Texts become vectors of bounded
+    size where they are read; one task learns from these and returns the weights that
+    aren't zero.
     """
-    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"))
-    count = known.count()
-    if not count:
-        return np.zeros(1 << BITS, np.float32), 0.0
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40) < SAMPLE_ROWS / count).groupBy("_id").agg(F.max("_label").alias("_label"))
-    sample = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(drawn), "_id")
-    fields = StructType([StructField("id", IntegerType()), StructField("weight", FloatType())])
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        examples = []
-        for batch in batches:
-            for _, label, text in batch.sort_values("_id", kind="stable")[["_id", "_label", "_text"]].itertuples(index=False):
-                ids, counts = np.unique(feature_ids(text or ""), return_counts=True)
-                values = SCALE * counts / max(1, counts.sum())
-                examples.append((np.append(ids, 1 << BITS).astype(np.int32), np.append(values, 1.0).astype(np.float32), int(label)))
-        w, bias = follow_the_leader(examples)
-        at = np.flatnonzero(w)
-        yield pd.DataFrame({"id": np.append(at, 1 << BITS).astype(np.int32), "weight": np.append(w[at], bias).astype(np.float32)})
-
-    found = sample.select("_id", "_label", "_text").repartition(1).sortWithinPartitions("_id", F.xxhash64("_text")).mapInPandas(learn, fields).toPandas()
+    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
+    with scratch(docs.sparkSession):
+        known = materialize(known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label"), "labels")
+        count = known.count()
+        if not count:
+            return np.zeros(1 << BITS, np.float32), 0.0
+        drawn = materialize(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40) < SAMPLE_ROWS / count), "drawn")
+        texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
+        sample = joined(texts, drawn, "id", "inner").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+        def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [example(t) for t in batch["text"]]
+                yield pd.DataFrame({"label": batch["label"], "ids": [f[0] for f in found], "vals": [f[1] for f in found]})
+
+        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            examples = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), int(r.label)) for batch in batches for r in batch.itertuples(index=False)]
+            w, bias = follow_the_leader(examples)
+            at = np.flatnonzero(w)
+            yield pd.DataFrame({"id": np.append(at, 1 << BITS).astype(np.int32), "weight": np.append(w[at], bias).astype(np.float32)})
+
+        rows = sample.mapInPandas(vectors, "label int, ids binary, vals binary")
+        found = rows.repartition(1).sortWithinPartitions("label", "ids", "vals").mapInPandas(learn, "id int, weight float").toPandas()
     w = np.zeros((1 << BITS) + 1, np.float32)
     w[found["id"]] = found["weight"]
     return w[:-1], float(w[-1])
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, learn_from: Column, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row per row of ``docs``: id, the columns of ``keep``, ``score`` (0 to 1), ``predicted``.
+def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, ``score`` (0 to 1), ``predicted``.
 
     ``learn_from`` (over ``labels``) tells which labelled rows may teach.  Scores read
     nothing but the whole text.  A null text counts as empty; an empty text scores the
     bias alone; without labels every score is 0.5.  Null or other labels don't teach;
-    repeated rows score alike; an empty table gives an empty one.
+    repeated rows score alike; an empty table gives an empty one; other columns are not
+    read.
     """
     weights, bias = train(docs, labels.where(learn_from), label_column, id_column, text_column)
-    base = docs.select(F.col(id_column), *keep, F.col(text_column).alias("_text"))
-    out = StructType([*(f for f in base.schema if f.name != "_text"), StructField("score", DoubleType()), StructField("predicted", LongType())])
+    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    out = StructType([base.schema["doc_id"], StructField("score", DoubleType()), StructField("predicted", LongType())])
     model = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats, whatever the input
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            odds = np.array([dot(model.value, bias, t or "") for t in batch.pop("_text")], dtype=np.float64)
+            odds = np.array([dot(model.value, bias, t or "") for t in batch.pop("text")], dtype=np.float64)
             chance = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield batch.assign(score=chance, predicted=(chance >= 0.5).astype(np.int64))
 

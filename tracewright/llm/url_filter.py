@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 ALLOW, BLOCK = "allow", "block"
-#: Bound of the rules in a broadcast trie, about 200 MB in a worker; beyond it
-#: :func:`filter_by_join` gives the same rows.
+#: Bound of the rules in a broadcast trie, about 200 MB in a worker; more are joined.
 MAX_RULES = 500_000
 
 
@@ -26,6 +25,8 @@ class Node:
     segments: dict[str, Node] = field(default_factory=dict)
     #: Rules that end here: what the next segment starts with -> (rule, verdict).
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: The lengths of what the next segment may start with, longest first.
+    lengths: list[int] = field(default_factory=list)
 
 
 def split_rule(rule: str) -> tuple[str, str]:
@@ -36,7 +37,7 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 def build_trie(rules: Iterable[tuple[str, str]]) -> Node:
     """The trie of ``(rule, verdict)``.  Of the same rule with both verdicts, block counts."""
-    root = Node()
+    root, ended = Node(), {}
     for rule, verdict in rules:
         host, path = split_rule(rule)
         node = root
@@ -47,6 +48,9 @@ def build_trie(rules: Iterable[tuple[str, str]]) -> Node:
             node = node.segments.setdefault(segment, Node())
         if node.ends.get(last, ("", ""))[1] != BLOCK:
             node.ends[last] = (rule, verdict)
+            ended[id(node)] = node
+    for node in ended.values():
+        node.lengths = sorted({len(end) for end in node.ends}, reverse=True)
     return root
 
 
@@ -62,8 +66,7 @@ def match(root: Node, host: str, path: str) -> tuple[str, str] | None:
     for at in reversed(hosts):
         best, node = None, at
         for segment in path[1:].split("/"):
-            fits = [end for end in node.ends if segment.startswith(end)]
-            best = node.ends[max(fits, key=len)] if fits else best
+            best = next((node.ends[segment[:n]] for n in node.lengths if segment[:n] in node.ends), best)
             node = node.segments.get(segment)
             if node is None:
                 break
@@ -88,10 +91,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
 
     A URL without a rule gets ``default`` and a null rule; so does one that is null,
     empty or has no ``://``, whose host and path are empty.  Repeated rows get equal
-    results; an empty table gives an empty one; other columns are not read.  No shuffle.
+    results; an empty table gives an empty one; other columns are not read.  No shuffle;
+    beyond :data:`MAX_RULES` rules :func:`filter_by_join` gives the same rows.
     """
     if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules: use filter_by_join")
+        return filter_by_join(pages, pages.sparkSession.createDataFrame(rules, "rule string, verdict string"), id_column, url_column, default)
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     @F.pandas_udf(StructType([StructField("rule", StringType()), StructField("verdict", StringType())]))
@@ -106,8 +110,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
 def filter_by_join(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = ALLOW) -> DataFrame:
     """What :func:`filter_urls` returns, for rule tables (rule, verdict) of any size.
 
-    Each distinct URL meets the rules of its host and of the domains above it by an
-    equal join; the best fit of each is aggregated before it goes back to the pages.
+    Each distinct URL is cut to the lengths that rule paths of its host, and of the domains
+    above it, have; equal joins find the rules among those cuts, so that many rules of one
+    host make no pairs.  The best fit is aggregated before it goes back to the pages.
     """
     rule_host = F.lower(F.substring_index("rule", "/", 1))
     own = rules.select("rule", "verdict", rule_host.alias("_host"), F.concat(F.lit("/"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 2)")).alias("_path"))
@@ -115,9 +120,11 @@ def filter_by_join(pages: DataFrame, rules: DataFrame, id_column: str = "page_id
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     urls = split.where("host != ''").select("host", "path").distinct()
-    fits = F.startswith(F.col("path"), F.col("_path"))
+    lengths = own.groupBy("_host").agg(F.collect_set(F.length("_path")).alias("_lengths"))
+    near = urls.withColumn("_host", F.explode(above)).join(lengths, "_host")
+    cut = near.withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("path")))).withColumn("_path", F.expr("substring(path, 1, _n)"))
     rank = F.struct(F.size(F.split("_host", r"\.")), F.length("_path"), (F.col("verdict") == BLOCK), F.col("rule"), F.col("verdict"))
-    best = urls.withColumn("_host", F.explode(above)).join(own, "_host").where(fits).groupBy("host", "path").agg(F.max(rank).alias("_best"))
+    best = cut.join(own, ["_host", "_path"]).groupBy("host", "path").agg(F.max(rank).alias("_best"))
     return split.join(best, ["host", "path"], "left").select(id_column, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
