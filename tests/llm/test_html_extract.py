@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from tracewright.llm import html_extract
 from tracewright.llm.html_extract import extract_main_text, main_text
 
 LONG = "A long paragraph, with commas, that goes on for a while so that it scores."
@@ -84,3 +88,77 @@ def test_text_overrules_a_weak_label_inside_an_article():
     assert main_text(f"<article>{FIVE}<section id=search>{FIVE}</section></article>") == f"{FIVE_TEXT}\n{FIVE_TEXT}"
     links = "".join(f"<p><a href=/{i}>{LONG}</a></p>" for i in range(5))
     assert main_text(f"<article>{FIVE}<section id=search>{links}</section></article>") == FIVE_TEXT
+
+
+TAGS = "div p span a b ul li h1 h2 section main table tr td dl dd nav blockquote header form".split()
+
+
+def random_page(draw):
+    parts = []
+    for _ in range(draw.randint(1, 60)):
+        tag, kind = draw.choice(TAGS), draw.random()
+        if kind < 0.4:
+            parts.append(f"<{tag}{draw.choice(['', '', ' class=ad', ' id=main-content', ' hidden', ' class=post'])}>")
+        elif kind < 0.6:
+            parts.append(f"</{tag}>")
+        else:
+            parts.append(", ".join("word" for _ in range(draw.randint(1, 30))))
+    return "".join(parts)
+
+
+def slow_values(found):
+    """Each element's value from all paragraphs, each with all its ancestors."""
+    root = found[0]
+    paragraphs = []
+    for node, text, links in html_extract.blocks(root):
+        home = node if node.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else node.parent or node
+        chain = [home]
+        while chain[-1].parent:
+            chain.append(chain[-1].parent)
+        paragraphs.append((chain, text, links))
+    values = {}
+    for node in found:
+        mine = [(chain.index(node), text, links) for chain, text, links in paragraphs if node in chain]
+        if mine:
+            points = html_extract.BASE_POINTS.get(node.tag, 0.0) + (10 if html_extract.FAVOURED & {*node.labels} else 0)
+            for depth, text, _ in mine:
+                if depth < html_extract.LEVELS:
+                    points += (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25) / {0: 1, 1: 2}.get(depth, 3 * depth)
+            values[node] = points * (1 - min(1, sum(k for _, _, k in mine) / sum(len(t) for _, t, _ in mine)))
+    return values
+
+
+def test_scores_match_a_scorer_that_asks_every_ancestor():
+    draw = random.Random(6)
+    for _ in range(400):
+        found = html_extract.parse(random_page(draw))
+        want = slow_values(found)
+        scored = html_extract.score(found)
+        assert {*scored} == {*want} and all(abs(html_extract.value(n) - want[n]) < 1e-9 for n in scored)
+
+
+def test_page_order_and_closing_match_a_walk_to_the_root():
+    """Elements are listed as a walk of the tree meets them, and a start ends what the plain rule says."""
+    draw = random.Random(8)
+    for _ in range(400):
+        page = random_page(draw)
+        found = html_extract.parse(page)
+        walked, stack = [], found[:1]
+        while stack:
+            walked.append(stack.pop())
+            stack += [i for i in reversed(walked[-1].items) if not isinstance(i, str)]
+        assert walked == found
+        for node in (n for n in found[1:] if n.tag != "tr"):  # a row may end a cell and stay inside the row before
+            ends, stop = html_extract.ENDS.get(node.tag, html_extract.ENDS_BLOCK if node.tag in html_extract.BLOCK else ("", ""))
+            up = node.parent
+            while ends and up and up.tag not in ends.split() and up.tag not in stop.split():
+                up = up.parent
+            assert not ends or not up or up.tag not in ends.split()
+
+
+@pytest.mark.parametrize("part", ["<div>some text, here", "<b></i>x", "<p><li><h1>x", "<a '\">x", "<p><span>y<h1>z", "<div class='ad'>x", "<ul><li>a, b"])
+def test_time_grows_with_the_page(part):
+    main_text(part * 100)
+    began = time.perf_counter()
+    main_text(part * 20_000)
+    assert time.perf_counter() - began < 5  # walking to the root for each takes minutes

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,32 +47,45 @@ WEAK_CHARS = 200
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 FAVOURED = frozenset("article content post entry body text story main page".split())
 BASE_POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
-#: Elements whose start ends an open one of the listed kinds, up to the nearest of the second list.
+#: Elements whose start ends the nearest open one of the listed kinds, unless one of the second list is nearer.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+ENDS_BLOCK = ("p", "table td th li div section article main body")
+RULES = sorted({*ENDS.values(), ENDS_BLOCK})
+#: By element, the rules whose open element it becomes, or hides.
+OPENS = {tag: [(r, tag in r[0].split()) for r in RULES if tag in r[0].split() or tag in r[1].split()] for r in RULES for part in r for tag in part.split()}
+#: Ancestors that a paragraph passes points to, its own container included.
+LEVELS = 6
 
-TOKEN = re.compile(
+TAG = r"<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{})>"
+TOKENS = (
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)",
-    re.I | re.S,
+    r"|" + TAG + r"|(?P<open></?[a-z][^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)"
+    r"|(?P<text>[^<]+|<)"
 )
+#: With quoted values in tags, and for pages whose quotes don't close, without.
+QUOTED = re.compile(TOKENS.format(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"), re.I | re.S)
+UNQUOTED = re.compile(TOKENS.format(r"[^>]*"), re.I | re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "labels", "marks", "hidden", "score", "chars", "links", "all_chars", "all_links")
+    __slots__ = ("tag", "parent", "items", "labels", "marks", "hidden", "open", "score", "chars", "links", "all_chars", "all_links", "is_scored")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
         self.labels, self.marks, self.hidden = [], frozenset(), False
+        self.open: dict = parent.open if parent else {}  # by rule of ENDS, the element that the next start ends
+        for rule, ends in OPENS.get(tag, ()):
+            if ends or self.open.get(rule):
+                self.open = self.open | {rule: self if ends else None}
         if attrs and not attrs.isspace():
             self.read(attrs)
         self.score, self.chars, self.links = 0.0, 0, 0
         self.all_chars = self.all_links = 0
+        self.is_scored = False
 
     def read(self, attrs: str) -> None:
         """Labels, marks of noise and hiding, from attributes by their names."""
@@ -101,56 +115,71 @@ class Node:
         return bool(self.marks)
 
 
-def measure(root: Node) -> None:
-    """``all_chars`` and ``all_links`` of each element: its text, and what of it is in links."""
-    found, stack = [], [(root, False)]
-    while stack:
-        node, linked = stack.pop()
-        found.append(node)
-        linked = linked or node.tag == "a"
-        for item in node.items:
-            if isinstance(item, str):
-                n = len(item.strip())
-                node.all_chars += n
-                node.all_links += n * linked
-            else:
-                stack.append((item, linked))
+def measure(found: list[Node]) -> None:
+    """``all_chars`` and ``all_links`` of each element, given in page order: its text, and
+    what of it is in links."""
+    linked = set()
+    for node in found:
+        node.all_chars = sum([len(item.strip()) for item in node.items if isinstance(item, str)])
+        if node.tag == "a" or (linked and node.parent in linked):
+            linked.add(node)
+            node.all_links = node.all_chars
     for node in reversed(found):
         if node.parent:
             node.parent.all_chars += node.all_chars
             node.parent.all_links += node.all_links
 
 
-def parse(page: str) -> Node:
-    """A tree of elements and texts; unclosed and crossed tags are tolerated."""
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags, texts and what is between.  Once a tag is met whose quotes don't close, quotes
+    in tags mean nothing for the rest of the page, so no tag is looked at twice."""
+    for m in QUOTED.finditer(page):
+        if m["open"] and m["open"].endswith(">"):
+            yield from UNQUOTED.finditer(page, m.start())
+            return
+        yield m
+
+
+def parse(page: str) -> list[Node]:
+    """The elements of a page in page order, the root first; unclosed and crossed tags are tolerated."""
     root = at = Node("html", None)
-    for m in TOKEN.finditer(page):
+    found = [root]
+    unclosed = Counter()  # elements between the root and ``at``
+
+    def left(node: Node, upto: Node) -> Node:
+        while node is not upto:
+            unclosed[node.tag] -= 1
+            node = node.parent
+        return node
+
+    for m in tokens(page):
         if text := m["text"]:
             at.items.append(text)
         elif tag := (m["tag"] or "").lower():
             if m["close"]:
-                node = at
-                while node is not root and node.tag != tag:
-                    node = node.parent
-                at = node.parent if node is not root else at
+                if unclosed[tag]:
+                    node = at
+                    while node.tag != tag:
+                        node = node.parent
+                    at = left(at, node.parent)
                 continue
             if tag in ("html", "body") and at is root:
                 at.labels += Node(tag, None, m["attrs"]).labels
                 continue
-            ends, stop = ENDS.get(tag, ("p", "table td th li div section article main body") if tag in BLOCK else ("", ""))
-            node = at
-            while ends and node is not root and node.tag not in stop.split() and node.tag not in ends.split():
-                node = node.parent
-            if ends and node is not root and node.tag in ends.split():
-                at = node.parent
+            rule = ENDS.get(tag, ENDS_BLOCK if tag in BLOCK else None)
+            if rule and at.open.get(rule):
+                at = left(at, at.open[rule].parent)
             if tag in VOID:
                 at.items.append(" " if tag == "br" else Node(tag, at))
+                found += at.items[-1:] if tag != "br" else []
                 continue
             at.items.append(node := Node(tag, at, m["attrs"]))
+            found.append(node)
             if not m["attrs"].endswith("/") or tag in BLOCK:
                 at = node
-    measure(root)
-    return root
+                unclosed[tag] += 1
+    measure(found)
+    return found
 
 
 def walk(top: Node) -> Iterator[tuple[Node, str | None, bool]]:
@@ -188,24 +217,48 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
             open_links += 1 if starts else -1
 
 
-def best_container(root: Node) -> list[Node]:
-    """The best container with its kept siblings, in page order."""
-    scored: dict[int, Node] = {}
-    for node, text, links in blocks(root):
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25)
-        near, depth = (node if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else node.parent or node), 0
-        while near:
-            if id(near) not in scored:
-                scored[id(near)] = near
-                near.score = BASE_POINTS.get(near.tag, 0.0) + 10 * bool(FAVOURED & {*near.labels})
+def points_of(text: str) -> float:
+    """A paragraph's points: one, its commas, and up to three for length; less if it is short."""
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25)
+
+
+def score(found: list[Node]) -> list[Node]:
+    """Of a page's elements those that hold text to keep, in page order, with their points, the characters
+    of that text, and those of them in links.
+
+    A paragraph's points go to its container, half to the next, then less and less, to
+    :data:`LEVELS` of them; characters are summed up the tree once.
+    """
+    for node, text, links in blocks(found[0]):
+        points, near = points_of(text), node if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else node.parent or node
+        near.is_scored = True
+        near.chars += len(text)
+        near.links += links
+        for depth in range(LEVELS):
             near.score += points / (1 if not depth else 2 if depth == 1 else 3 * depth)
-            near.chars += len(text)
-            near.links += links
-            near, depth = near.parent, depth + 1
+            if not (near := near.parent):
+                break
+    for node in reversed(found):
+        if node.is_scored:
+            node.score += BASE_POINTS.get(node.tag, 0.0) + 10 * bool(FAVOURED & {*node.labels})
+            if node.parent:
+                node.parent.is_scored = True
+                node.parent.chars += node.chars
+                node.parent.links += node.links
+    return [node for node in found if node.is_scored]
+
+
+def value(node: Node) -> float:
+    """Points discounted by link density."""
+    return node.score * (1 - min(1, node.links / max(1, node.chars)))
+
+
+def best_container(found: list[Node]) -> list[Node]:
+    """The best container of a page's elements with its kept siblings, in page order."""
+    scored = score(found)
     if not scored:
-        return [root]
-    value = lambda n: n.score * (1 - min(1, n.links / max(1, n.chars)))
-    best = max(scored.values(), key=value)
+        return found[:1]
+    best = max(scored, key=value)
     up: Node | None = best
     while up:  # an article is one container, however its parts score
         if up.tag in ("article", "main"):
@@ -219,7 +272,7 @@ def best_container(root: Node) -> list[Node]:
         return [without_link_lists(best)]
     floor = max(10, value(best) / 5)
     near = [n for n in best.parent.items if isinstance(n, Node)]
-    return [n for n in near if n is best or (id(n) in scored and value(n) >= floor and not n.noise(False)) or (n.tag == "p" and n.parent is best.parent and not n.noise(False))]
+    return [n for n in near if n is best or (n.is_scored and value(n) >= floor and not n.noise(False)) or (n.tag == "p" and n.parent is best.parent and not n.noise(False))]
 
 
 def without_link_lists(best: Node) -> Node:
