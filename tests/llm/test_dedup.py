@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tracewright.llm import simhash
-from tracewright.llm.exact_dedup import drop_duplicates, find_duplicates
+from tracewright.llm.common import materialize
+from tracewright.llm.exact_dedup import content, drop_duplicates, find_duplicates, located, sha256
 
 
 def want_exact(rows):
+    return Counter(want_exact_list(rows))
+
+
+def want_exact_list(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[t or ""].append(i)
@@ -20,7 +25,7 @@ def want_exact(rows):
         ids = [x for x in groups[t or ""] if x is not None]
         keep = max(ids) if ids else None
         out.append((i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
-    return Counter(out)
+    return out
 
 
 def test_exact_groups_match_brute_force(make_docs, odd_rows):
@@ -37,6 +42,36 @@ def test_equal_digests_are_told_apart_by_their_bytes(make_docs):
     assert Counter(map(tuple, weak.select("doc_id", "keep_id", "group_size", "kept").collect())) == want
 
 
+def test_later_batches_meet_the_digests_of_earlier_ones(spark, make_docs, tmp_path):
+    """Two calls with one state folder tell what one call over both batches tells of the second."""
+    draw = np.random.default_rng(9)
+    rows = [(i, prose(int(draw.integers(12)), 20)) for i in draw.permutation(60).tolist()] + [(None, prose(3, 20)), (99, None), (98, "")]
+    sides = rows[:30], rows[30:]
+    places = [f"file://{tmp_path}/with space+%41/{i}" for i in range(2)]
+    for side, place in zip(sides, places, strict=True):
+        make_docs(side).repartition(2).write.parquet(place)
+    weak = lambda text: (F.octet_length(text) % 3).cast("string")
+    for digest, name in ((sha256, "strong"), (weak, "weak")):
+        for in_place in (True, False):
+            state = f"file://{tmp_path}/state-{name}-{in_place}"
+            columns = ["doc_id", "keep_id", "group_size", "kept"]
+            first, second = (find_duplicates(spark.read.parquet(p), digest=digest, in_place=in_place, state=state).select(columns).collect() for p in places)
+            assert Counter(map(tuple, first)) == Counter(x[:4] for x in want_exact(sides[0]).elements())
+            want = Counter((i, *x[1:4]) for (i, _), x in zip(rows, want_exact_list(rows), strict=True) if (i, _) in sides[1])
+            assert Counter(map(tuple, second)) == want
+
+
+def test_locators_point_at_the_text(spark, make_docs, odd_rows, tmp_path):
+    make_docs(odd_rows).repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    texts, stored_as = located(docs, "doc_id", "text", True, "unused")
+    folder = f"file://{tmp_path}/state"
+    texts.select(F.xxhash64("path").alias("file"), "path", F.lit(stored_as).alias("text_column")).distinct().write.parquet(f"{folder}/files")
+    rows = materialize(texts.select(F.xxhash64("path").alias("file"), "row", "text"), "rows")
+    found = content(rows, folder).collect()
+    assert len(found) == len(odd_rows) and all(r.text == r.stored for r in found)
+
+
 def test_one_row_of_each_text_stays(make_docs, odd_rows):
     rows = odd_rows + [(100 + i, prose(i % 7, 20)) for i in range(60)]
     docs = make_docs(rows)

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tests.llm.conftest import prose
 from tracewright.llm.packing import match_and_fit, pack_documents
 from tracewright.llm.token_output import best_fit_decreasing, packed_rows, position_type, segments, write_packed
-from tracewright.llm.tokens import DEFAULT_TOKENIZER, encoder
+from tracewright.llm.tokens import DEFAULT_TOKENIZER, drops_spaces, encoder
 
 lengths_ = st.lists(st.integers(1, 64), max_size=120)
 
@@ -68,7 +69,28 @@ def plain_ids(text):
 def test_ids_equal_the_tokenizers_own(rows):
     for _, text in rows:
         assert encoder(DEFAULT_TOKENIZER).ids(text or "") == plain_ids(text)[:-1].tobytes()
-    for text in ("J\u030c A.B,C 3,4.5 it's I'M", "Σ ΑΣ x\x01y \x01", "<|endoftext|> a", "%%,. d.,e ?!, x,\u0301 É,é."):
+    for text in ("J\u030c A.B,C 3,4.5 it's I'M", "Σ ΑΣ x\x01y \x01", "<|endoftext|> a", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>,", "a <|EndOfText|> b", "x<|endoftext|>y", "%%,. d.,e ?!, x,\u0301 É,é."):
+        assert encoder(DEFAULT_TOKENIZER).ids(text) == plain_ids(text)[:-1].tobytes()
+
+
+def test_which_tokenizers_go_word_by_word():
+    import public_tokenizers
+
+    assert encoder(DEFAULT_TOKENIZER).by_word and not encoder("byte_bpe_50k.json").by_word
+    definition = json.load(open(public_tokenizers.path(DEFAULT_TOKENIZER)))
+    assert drops_spaces(definition)
+    definition["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r" ?\p{L}+|\s+"
+    assert not drops_spaces(definition)
+    definition["pre_tokenizer"] = None
+    assert not drops_spaces(definition)
+
+
+def test_random_texts_with_added_tokens():
+    draw = random.Random(12)
+    letters = "aAbZ09 .,'\t\n\x1c\x85\xa0\u0301é日ßİ<|>"
+    for _ in range(3000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 20)))
+        text += draw.choice(["", "<|EndOfText|>", "<|startoftext|>", "<|endoftext"]) + text[:3]
         assert encoder(DEFAULT_TOKENIZER).ids(text) == plain_ids(text)[:-1].tobytes()
 
 

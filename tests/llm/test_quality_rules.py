@@ -75,3 +75,15 @@ def test_languages_without_stop_words_are_not_judged_by_them(make_docs):
     assert {r.doc_id for r in judge_quality(docs).where("kept").collect()} == {r[0] for r in rows}
     bare = docs.drop("lang")
     assert {r.doc_id for r in keep_good(bare).collect()} == {r[0] for r in rows if r[0] < 20}
+
+
+def test_stop_words_are_a_parameter(make_docs):
+    """With Russian words in the table, Russian without any of them is judged, and goes."""
+    few = "река камень рынок зелёный открытый письмо зима дом малый ответ дорога".split()
+    docs = make_docs([(1, prose(1, 200, few), "ru"), (2, prose(2, 200, [*few, "и", "не"]), "ru"), (3, prose(3, 200, OTHER_SCRIPTS["el"].split()), "el"), (4, prose(4, 200, few), None), (5, prose(5, 200), "en")])
+    assert {r.doc_id for r in keep_good(docs).collect()} == {1, 2, 3, 4, 5}
+    own = {**quality_rules.STOP_WORDS, "ru": ["и", "не"]}
+    assert {r.doc_id for r in keep_good(docs, stop_words=own).collect()} == {2, 3, 5}
+    clashing = docs.selectExpr("*", "'mine' as _metrics", "'mine' as __metrics")
+    left = keep_good(clashing)
+    assert left.columns == clashing.columns and left.count() == 5

@@ -3,19 +3,26 @@
 A stream of (digest, stable identifier, content locator) runs through keyed state that
 lives on disk (RocksDB) and never expires.  State holds for each digest the identifier
 that stays, the locator of its content and the number of rows; texts stay where they
-are.  Every hit is then checked: the bytes at the locator against the row's own.
+are, and a locator is a file and a row in it.  Every hit is then checked: the bytes at the
+locator against the row's own.  Given a folder, the state outlives a call, and later
+batches meet the digests of earlier ones.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
-from pyspark.sql.types import StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, new_path, text_of
+from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, new_path, scratch, text_of
+from tracewright.storage import remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Files that one micro-batch takes in.
@@ -28,19 +35,36 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def arrivals(docs: DataFrame, id_column: str, text_column: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """(digest, doc_id, n_bytes) of each row, null text as empty.  The id, with the table
-    it came from, is the content's locator."""
-    return docs.select(digest(text_of(text_column)).alias("digest"), F.col(id_column).alias("doc_id"), F.octet_length(text_of(text_column)).alias("n_bytes"))
+def located(docs: DataFrame, id_column: str, text_column: str, in_place: bool, folder: str) -> tuple[DataFrame, str]:
+    """(doc_id, text, path, row) of each row, and the name of the text's column in the files.
+
+    With ``in_place`` rows are found in the Parquet files they were read from; where there
+    are none, and without it, ids and texts are written below ``folder`` first.
+    """
+    path, row = F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")
+    if in_place:
+        try:
+            return docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), path, row), text_column
+        except AnalysisException:  # not a scan of Parquet files
+            pass
+    docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder).select("doc_id", "text", path, row), "text"
 
 
 def keyed_state(stream: DataFrame) -> DataFrame:
-    """The stateful operator over a stream of :func:`arrivals`, in update mode.
+    """The stateful operator over a stream of (digest, doc_id, file, row), in update mode.
 
     Rows are combined within each task before they reach the state, so a digest that a
-    third of all rows share costs one row a task.
+    third of all rows share costs one row a task.  All values are numbers, so the state
+    of a digest has a fixed size.
     """
-    return stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("n_bytes").alias("n_bytes"))
+    at_keep = lambda c: F.max_by(c, "doc_id")
+    return stream.groupBy("digest").agg(
+        F.max("doc_id").alias("keep_id"),
+        F.count("*").alias("group_size"),
+        F.coalesce(at_keep("file"), F.max_by("file", "row")).alias("file"),
+        F.coalesce(at_keep("row"), F.max("row")).alias("row"),
+    )
 
 
 def run_stream(spark: SparkSession, reader: DataStreamReader, source: str, into: str, checkpoint: str) -> None:
@@ -71,64 +95,101 @@ def run_stream(spark: SparkSession, reader: DataStreamReader, source: str, into:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def repeated_groups(spark: SparkSession, updates: str, schema: StructType) -> DataFrame:
-    """(digest, keep_id, group_size) of the digests that two rows or more share, from the
-    latest update of each."""
-    history = spark.read.schema(schema.add("batch", "long")).parquet(updates)
-    latest = history.groupBy("digest").agg(F.max_by(F.struct("keep_id", "group_size"), "batch").alias("last"))
-    return materialize(latest.where("last.group_size > 1").select("digest", "last.keep_id", "last.group_size"), "repeated")
-
-
-def collisions(texts: DataFrame, groups: DataFrame) -> DataFrame:
+def take_in(spark: SparkSession, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Run (digest, doc_id, path, row) through the state in ``folder``: the rows as they
+    arrived, with ``file`` for the path, and those of their digests that two rows or more
+    share, with keep_id, group_size and the locator of the row that stays."""
+    arrivals, updates = f"{folder}/arrivals/{uuid.uuid4().hex}", f"{folder}/updates"
+    rows.select("digest", "doc_id", F.xxhash64("path").alias("file"), "row").write.parquet(arrivals)
+    arrived = spark.read.parquet(arrivals)
+    shape = keyed_state(arrived).schema
+    history = spark.read.schema(shape.add("batch", "long"))
+    spark.createDataFrame([], keyed_state(arrived).schema).write.mode("ignore").parquet(f"{updates}/batch=-1")
+    seen = history.parquet(updates).agg(F.max("batch")).first()[0]
+    reader = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).option("recursiveFileLookup", "true")
+    run_stream(spark, reader, f"{folder}/arrivals", updates, f"{folder}/checkpoint")
+    fresh = history.parquet(updates).where(F.col("batch") > F.lit(-1 if seen is None else seen))
+    values = F.struct("keep_id", "group_size", "file", "row")
+    latest = fresh.groupBy("digest").agg(F.max_by(values, "batch").alias("last")).select("digest", "last.*")
+    return arrived, materialize(latest.where("group_size > 1"), "repeated", keep=True)
+
+
+def content(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (written, with ``file`` and ``row``) with ``stored``, the text at each locator.
+
+    The catalog names the files; what reaches the driver is a path for each that is read.
+    """
+    spark = rows.sparkSession
+    paths = defaultdict(set)
+    for r in joined(spark.read.parquet(f"{folder}/files"), rows.select("file").distinct(), "file", "left_semi").select("path", "text_column").distinct().toLocalIterator():
+        paths[r.text_column].add(unquote(r.path))
+    found = [
+        spark.read.schema(f"`{column}` string").parquet(*sorted(files)).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(f"`{column}`").alias("stored"))
+        for column, files in paths.items()
+    ]
+    if not found:
+        return rows.withColumn("stored", F.lit(None).cast("string")).limit(0)
+    return joined(reduce(DataFrame.unionByName, found), rows, ["file", "row"], "inner")
+
+
+def collisions(texts: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
     """Digests under which some row's bytes differ from those at the locator.
 
     Only rows of repeated digests are compared.  A group's staying text is replicated
     once per :data:`COPIES_PER_REPLICA` copies, so no join key grows with the group.
     """
-    tagged = joined(texts, groups, "digest", "inner")
-    stays = tagged.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "group_size").agg(F.min("_text").alias("_stays"))
     replicas = F.ceil(F.col("group_size") / COPIES_PER_REPLICA).cast("int")
-    stays = stays.select("digest", "_stays", F.explode(F.sequence(F.lit(0), replicas - 1)).alias("_replica"))
-    hits = tagged.select("digest", "_text", F.pmod(F.xxhash64("doc_id"), replicas).cast("int").alias("_replica"))
-    return hits.join(stays, ["digest", "_replica"]).where(F.col("_text") != F.col("_stays")).select("digest").distinct()
+    stays = content(groups, folder).select("digest", "stored", F.explode(F.sequence(F.lit(0), replicas - 1)).alias("replica"))
+    hits = joined(texts, groups.select("digest", "group_size"), "digest", "inner").select("digest", "text", F.pmod(F.xxhash64("path", "row"), replicas).cast("int").alias("replica"))
+    return hits.join(stays, ["digest", "replica"]).where(F.col("text") != F.col("stored")).select("digest").distinct()
 
 
-def find_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def find_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest: Callable[[Column], Column] = sha256, in_place: bool = False, state: str | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, keep_id, group_size, kept.
 
     Of equal texts the largest id stays.  Null text counts as empty; a null id is smaller
     than all others, and stays only where all ids of the text are null.  Rows that
     repeat the staying id carry ``kept`` each; :func:`drop_duplicates` leaves one of
     them.  An empty table gives an empty one; other columns are not read.
+
+    ``in_place`` says that ``docs`` was read from Parquet files whose texts are as they are
+    there; then these are the content's place.  With ``state``, a folder that all executors
+    share, the call is one batch of many: ids and sizes count the rows of earlier batches
+    too, and a row of those may be the one that stays.  Files that locators name must last
+    as long as the state.
     """
     spark = docs.sparkSession
-    rows = arrivals(docs, id_column, text_column, digest)
-    source, updates = new_path(spark, "arrivals"), new_path(spark, "dedup-updates")
-    rows.write.parquet(source)
-    arrived = spark.read.schema(rows.schema).parquet(source)
-    state = keyed_state(arrived)
-    state.limit(0).write.parquet(f"{updates}/batch=-1")
-    run_stream(spark, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER), source, updates, new_path(spark, "dedup-checkpoint"))
-    groups = repeated_groups(spark, updates, state.schema)
-
-    texts = docs.select(digest(text_of(text_column)).alias("digest"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("_text"))
-    clash = materialize(collisions(texts, groups), "collisions")
-    found = joined(arrived, groups, "digest", "left").select(
-        "doc_id",
-        "digest",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-    )
-    if not clash.isEmpty():  # texts that only share a digest are told apart by their bytes
-        several = texts.join(clash, "digest", "left_semi")
-        by_text = several.groupBy("digest", "_text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        found = found.join(clash, "digest", "left_anti").unionByName(several.join(by_text, ["digest", "_text"]).select("doc_id", "digest", "keep_id", "group_size"))
+    with scratch(spark):
+        folder = state or new_path(spark, "dedup", keep=True)
+        texts, stored_as = located(docs, id_column, text_column, in_place, f"{folder}/content/{uuid.uuid4().hex}")
+        texts = texts.withColumn("digest", digest(F.col("text")))
+        files = texts.select(F.xxhash64("path").alias("file"), "path", F.lit(stored_as).alias("text_column")).distinct()
+        files.write.mode("append").parquet(f"{folder}/files")
+        arrived, groups = take_in(spark, texts.select("digest", "doc_id", "path", "row"), folder)
+        clash = materialize(collisions(texts, groups, folder), "collisions", keep=True)
+        found = joined(arrived, groups, "digest", "left").select(
+            "doc_id",
+            "digest",
+            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        )
+        if not clash.isEmpty():  # texts that only share a digest are told apart by their bytes
+            every = spark.read.schema(arrived.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/arrivals")
+            several = materialize(every.join(clash, "digest", "left_semi"), "several")
+            by_text = materialize(content(several, folder).groupBy("digest", F.col("stored").alias("text")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "by-text", keep=True)
+            apart = texts.join(by_text, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
+            found = found.join(clash, "digest", "left_anti").unionByName(apart)
+        if not state:
+            remove(spark, f"{folder}/updates")
+            remove(spark, f"{folder}/checkpoint")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
-def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", in_place: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; one row for each text."""
-    found = find_duplicates(docs, id_column, text_column)
+    found = find_duplicates(docs, id_column, text_column, in_place=in_place)
     columns, key, sum_ = docs.columns, free_name("_id", docs.columns), free_name("_digest", docs.columns)
     lost = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("digest").alias(sum_)).distinct(), "lost")
     again = found.where("kept and group_size > 1").groupBy("digest", "doc_id").count().where("count > 1")

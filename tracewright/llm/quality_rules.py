@@ -3,31 +3,37 @@
 A threshold table over length, symbol, stop-word and line ratios is compiled into Spark
 columns; no user function runs, and no row leaves its partition.
 
-The stop words are those of English, French, German and Spanish, so that rule judges only
-what may be in one of them: not texts mainly in another script than the Latin one, nor
-rows whose ``lang`` names another language.  All other rules hold for every language; the
-counts go by words between white space, so scripts without spaces rarely reach 50.
+The stop words given are those of English, French, German and Spanish; a table for other
+languages is a parameter.  Their rule judges only what may be in one of the table's
+languages: not texts mainly in a script that none of its words is in, nor rows whose
+``lang`` names another language.  All other rules hold for every language; the counts go
+by words between white space, so scripts without spaces rarely reach 50.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import SEPARATORS, free_name, let, text_of, words_of
 
+StopWords = Mapping[str, Sequence[str]]
+
 SYMBOLS = "#*$%&|<>"
-#: Frequent function words of English, French, German and Spanish.
-STOP_WORDS = (
-    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were "
-    "le la les de des du et en un une est que qui dans pour par sur pas au avec ce il elle son ne se plus "
-    "der die das und den von zu mit sich ist im nicht ein eine als auch es auf dem für "
-    "el los las del y una por con para su al lo como más o pero sus le"
-).split()
-#: Codes of the languages that have stop words, and codes that name no language.
-STOP_WORD_LANGUAGES = "en eng fr fra fre de deu ger es spa".split()
+#: Frequent function words by language.
+STOP_WORDS = {
+    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were".split(),
+    "fr": "le la les de des du et en un une est que qui dans pour par sur pas au avec ce il elle son ne se plus".split(),
+    "de": "der die das und den von zu mit sich ist im nicht ein eine als auch es auf dem für".split(),
+    "es": "el los las del y una por con para su al lo como más o pero sus le".split(),
+}
+#: Other codes of these languages, codes that name no language, and scripts.
+OTHER_CODES = {"en": "eng", "fr": "fra fre", "de": "deu ger", "es": "spa"}
+SCRIPTS = "Latin Cyrillic Greek Arabic Hebrew Devanagari Bengali Tamil Thai Hangul Hiragana Katakana Han Armenian Georgian".split()
 NO_LANGUAGE = "und unk zxx mul mis".split()
 
 
@@ -74,7 +80,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(windows, covered))
 
 
-def text_metrics(text: Column) -> Column:
+def all_words(stop_words: StopWords) -> list[str]:
+    return sorted({w for words in stop_words.values() for w in words})
+
+
+def text_metrics(text: Column, stop_words: StopWords = STOP_WORDS) -> Column:
     """Struct of counts and ratios of a non-null text; ratios over no words or lines are 0."""
     stripped = F.translate(text, SEPARATORS, "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SEPARATORS, "")) > 0)
@@ -86,7 +96,7 @@ def text_metrics(text: Column) -> Column:
         lambda w: F.struct(
             count(F.size(w)).alias("n_words"),
             repeated_words(w).alias("n_repeat_words"),
-            count(F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted({*STOP_WORDS}))))).alias("n_stop_words"),
+            count(F.size(F.filter(w, lambda x: F.lower(x).isin(*all_words(stop_words))))).alias("n_stop_words"),
         ),
     )
     chars_in = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
@@ -125,21 +135,23 @@ def base_failed(metrics: Column) -> Column:
     return (metrics["n_words"] < 50) | (100 * metrics["n_repeat_words"] > 50 * metrics["n_words"])
 
 
-def without_stop_words(docs: DataFrame, text_column: str, lang_column: str) -> Column:
-    """Whether a row's language has no stop words in the list, as far as lang or script say.
+def without_stop_words(docs: DataFrame, text_column: str, lang_column: str, stop_words: StopWords = STOP_WORDS) -> Column:
+    """Whether a row's language has no stop words in the table, as far as lang or script say.
 
     ``lang`` counts where it is a code of two or three letters, with or without a region;
-    a text is in another script where its letters outside the Latin one, with their marks,
-    are half or more of all that isn't white space.
+    a text is in another script where its letters outside the words' scripts, with their
+    marks, are half or more of all that isn't white space.
     """
     text = text_of(text_column)
-    other_letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+|\p{IsLatin}+", ""))
+    scripts = [s for s in SCRIPTS if any(regex.search(rf"\p{{{s}}}", w) for w in all_words(stop_words))]
+    other_letters = F.length(F.regexp_replace(text, "|".join([r"[^\p{L}\p{M}]+", *(rf"\p{{Is{s}}}+" for s in scripts)]), ""))
     word_chars = F.length(F.translate(text, SEPARATORS, ""))
     by_script = (other_letters > 0) & (2 * other_letters >= word_chars)
     if lang_column not in docs.columns:
         return by_script
+    other_codes = [c for lang in stop_words for c in OTHER_CODES.get(lang, "").split()]
     code = F.regexp_extract(F.lower(F.trim(F.col(lang_column).cast("string"))), "^([a-z]{2,3})(?:[-_].*)?$", 1)
-    return F.coalesce((code != "") & ~code.isin(*STOP_WORD_LANGUAGES, *NO_LANGUAGE), F.lit(False)) | by_script
+    return F.coalesce((code != "") & ~code.isin(*stop_words, *other_codes, *NO_LANGUAGE), F.lit(False)) | by_script
 
 
 def passes(metrics: Column, rules: tuple[Rule, ...] = RULES, without_stop_words: Column | None = None) -> Column:
@@ -158,7 +170,7 @@ def passes(metrics: Column, rules: tuple[Rule, ...] = RULES, without_stop_words:
     return condition
 
 
-def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
+def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang", stop_words: StopWords = STOP_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed`` and ``kept``.
 
     A null text counts as empty: no words, so ``base_failed``.  Repeated rows are judged
@@ -166,20 +178,20 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     the stop-word rule alone, and no other column is.
     """
     name = free_name("_metrics", docs.columns)
-    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column))), F.col(name)
+    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column), stop_words)), F.col(name)
     return judged.select(
         F.col(id_column),
         *[metrics[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed(metrics).alias("base_failed"),
-        (~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column))).alias("kept"),
+        (~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column, stop_words))).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES, lang_column: str = "lang", stop_words: StopWords = STOP_WORDS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
     name = free_name("_metrics", docs.columns)
-    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column))), F.col(name)
-    return judged.where(~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column))).drop(name)
+    judged, metrics = docs.withColumn(name, text_metrics(text_of(text_column), stop_words)), F.col(name)
+    return judged.where(~base_failed(metrics) & passes(metrics, rules, without_stop_words(docs, text_column, lang_column, stop_words))).drop(name)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
@@ -188,7 +200,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     It puts the stop-word rule to every text, so it agrees where all texts are in
     languages that have stop words, as those of the given tables are."""
     tests = " and ".join([f"{r.metric} >= {r.least}" for r in rules if r.least is not None] + [f"{r.metric} <= {r.most}" for r in rules if r.most is not None])
-    stop = ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS}))
+    stop = ", ".join(f"'{w}'" for w in all_words(STOP_WORDS))
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 w as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as pos from

@@ -40,7 +40,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_duplicates(read_table(spark, sf_dir, "documents"))
+    found = find_duplicates(read_table(spark, sf_dir, "documents"), in_place=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

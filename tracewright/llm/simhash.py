@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, text_of
+from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, scratch, text_of
 
 BITS = 64
 RADIUS = 4
@@ -207,15 +207,16 @@ def roots(edges: DataFrame) -> DataFrame:
 def component_rows(docs: DataFrame, id_column: str, text_column: str, radius: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root, component_id) of the fingerprints that two
     rows or more share or that link; ``root`` names a component also where no id does."""
-    prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
-    tree = roots(links(tile_jobs(classes, radius, classes.count()), radius))
-    members = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    members = materialize(members.join(classes, "fp"), "members")
-    named = materialize(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
-    linked = materialize(members.join(named, "root").select("fp", "root", "component_id"), "linked")
-    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
-    return prints, materialize(linked.unionByName(alone), "components")
+    with scratch(docs.sparkSession):
+        prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints", keep=True)
+        classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
+        tree = roots(links(tile_jobs(classes, radius, classes.count()), radius))
+        members = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+        members = materialize(members.join(classes, "fp"), "members")
+        named = materialize(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
+        linked = materialize(members.join(named, "root").select("fp", "root", "component_id"), "linked")
+        alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
+        return prints, materialize(linked.unionByName(alone), "components", keep=True)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
