@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import materialize, read_table
+from tracewright.llm.common import materialize, read_table, scratch
 from tracewright.llm.exact_dedup import drop_duplicates
 from tracewright.llm.mixing import take_mix
 from tracewright.llm.packing import pack_documents
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return drop_duplicates(docs)
+    return drop_duplicates(docs, in_place=True)  # stages are handed Parquet
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL has neither the fingerprints nor the tokenizer; tests hold ``run`` against brute force.
+#: SQL has neither the fingerprints nor the tokenizer; ``tests/llm/test_pipeline.py`` holds
+#: ``run`` and each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table below ``sf_dir``."""
+    """All stages over the ``documents`` table below ``sf_dir``.
+
+    What a stage writes on its way goes when its rows are written, and what stages hand on
+    when the last has written its own.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        name, stage = STAGES[-1]
+        return materialize(stage(spark, docs, sf_dir), name, keep=True)
