@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,10 @@ SLICE = 1 << 16
 BUCKET = 4096
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str | bytes) -> int:
     """64-bit SimHash over the XXH64 (seed 42) of 4-word shingles, as an unsigned number."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and the six separators only
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    words = data.lower().split()  # bytes: A-Z only, and the six separators only
     if not words:
         return 0
     count = max(1, len(words) - SHINGLE_WORDS + 1)
@@ -53,15 +55,14 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fp) of each row, fp as a signed long; a text without words has 0."""
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text"))
-    out = StructType([base.schema["doc_id"], StructField("fp", LongType())])
+    base = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).cast("binary").alias("text"))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or "") for t in batch.pop("_text")], dtype=np.uint64)
-            yield batch.assign(fp=found.view(np.int64))
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), dtype=np.uint64, count=len(batch))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return base.mapInPandas(apply, out)
+    return base.mapInArrow(apply, StructType([base.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def field_masks(fields: int, radius: int) -> list[int]:

@@ -12,13 +12,14 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tracewright.llm.common import new_path
-from tracewright.llm.tokens import DEFAULT_TOKENIZER, encoded, pieces_of
+from tracewright.llm.tokens import DEFAULT_TOKENIZER, encoded, pieces_of, texts_in
 
 CAPACITY = 2048
 #: Pieces of a task that are packed together; bounds a worker's memory.
@@ -86,7 +87,7 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFA
     positions (32-bit beyond 65536) that restart at each segment and count on over the padding; ``doc_ids``,
     ``pieces`` and ``starts`` name each segment.  Overlong documents are cut without loss.
     """
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text"))
+    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     long_list = ArrayType(LongType())
     out = StructType(
         [
@@ -115,28 +116,24 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFA
                 [held[i][2] for i in chosen],
             )
 
-    def frames(held: list[tuple]) -> Iterator[pd.DataFrame]:
+    def frames(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(held)
         while part := list(islice(rows, FRAME_ROWS)):
-            frame = pd.DataFrame(part, columns=[f.name for f in out][1:])
-            frame.insert(0, "sequence", np.int64(0))
-            yield frame
+            columns = [pa.array(c, t.type) for c, t in zip([[0] * len(part), *zip(*part, strict=True)], arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            # object keeps ids whole where some are null
-            keys = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for doc_id, whole in zip(keys, encoded(batch["_text"], tokenizer), strict=True):
-                held.extend((doc_id if doc_id is None else type_of(doc_id), *p) for p in pieces_of(whole, capacity))
+            for doc_id, whole in zip(batch["doc_id"], encoded(texts_in(batch), tokenizer), strict=True):
+                held.extend((doc_id.as_py(), *p) for p in pieces_of(whole, capacity))
                 if len(held) >= window:
                     yield from frames(held)
                     held = []
         yield from frames(held)
 
-    integral = base.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
-    type_of = int if integral else (lambda v: v)
-    return base.mapInPandas(pack, out).withColumn("sequence", F.monotonically_increasing_id())
+    arrow = to_arrow_schema(out)
+    return base.mapInArrow(pack, out).withColumn("sequence", F.monotonically_increasing_id())
 
 
 def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, **columns: str) -> DataFrame:

@@ -9,11 +9,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm.common import SEPARATORS
 
@@ -169,30 +169,31 @@ def encoded(texts: Iterable[str | None], tokenizer: str, at_once: int = 1 << 17)
         yield from (ids + end for ids in encoder(tokenizer).ids_of(group))
 
 
+def texts_in(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, one at a time: all of them as Python's would be the batch again."""
+    return (t.as_py() for t in batch["text"])
+
+
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
     """(number, ids before it, its ids) of each piece of a document's ids."""
     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
         yield piece, at // 4, ids[at : at + 4 * capacity]
 
 
-def token_pieces(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENIZER, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most ``capacity`` ids: id, piece, start, length, ids_crc32[, ids].
+def token_pieces(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENIZER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32.
 
     A null text counts as empty and gives the end-of-document id alone.
     """
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text"))
-    fields = [base.schema["doc_id"], *(StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32")), *([StructField("ids", BinaryType())] if with_ids else [])]
-    names = [f.name for f in fields]
+    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    fields = [base.schema["doc_id"], *(StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32"))]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, whole in zip(batch["doc_id"], encoded(batch["_text"], tokenizer), strict=True):
-                for piece, start, ids in pieces_of(whole, capacity):
-                    rows.append((doc_id, piece, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
-                if with_ids and len(rows) >= 2000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    return base.mapInPandas(cut, StructType(fields))
+            for at, whole in enumerate(encoded(texts_in(batch), tokenizer)):
+                rows += [(at, piece, start, len(ids) // 4, zlib.crc32(ids)) for piece, start, ids in pieces_of(whole, capacity)]
+            found = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(found[0]), *found[1:]], names=[f.name for f in fields])
+
+    return base.mapInArrow(cut, StructType(fields))
