@@ -30,15 +30,24 @@ def errored() -> Column:
     return F.coalesce(F.col("is_error"), F.lit(False))
 
 
-def in_stream_order(calls: DataFrame, trace: Trace | None = None) -> DataFrame:
-    """``calls`` with ``first``, the order in which all calls are visited: streams as first
-    seen, then time, then log position."""
-    if trace is None:
-        seen = F.min("seq").over(stream_window())
-        return calls.withColumn("first", F.struct(seen, sort_time(), F.col("seq")))
-    streams = trace.streams.select(F.col("session").alias("_s"), F.col("agent").alias("_a"), "stream_ord")
-    joined = calls.join(streams, (F.col("session") == F.col("_s")) & F.col("agent").eqNullSafe(F.col("_a")))
-    return joined.withColumn("first", F.struct("stream_ord", sort_time(), F.col("seq"))).drop("_s", "_a", "stream_ord")
+def counted_in_order(calls: DataFrame, groups: dict[str, Column], counts: Column | None = None, **also: Column) -> DataFrame:
+    """groups, n and ``also`` (counts too), and ``first``, for breaking ties as a visit of all
+    calls would: streams as first seen, then time, then log position.
+
+    ``counts`` says which calls count; the others still tell where a stream is first seen.
+    Calls are combined by stream and group before anything is ordered, so what moves is
+    small and no window runs over calls.
+    """
+    counts = F.lit(True) if counts is None else counts
+    per = calls.groupBy("session", "agent", *[c.alias(n) for n, c in groups.items()]).agg(
+        F.min("seq").alias("_seq"), F.count_if(counts).alias("n"), F.min(F.when(counts, F.struct(sort_time(), F.col("seq")))).alias("_at"), *[F.count_if(counts & c).alias(n) for n, c in also.items()]
+    )
+    placed = per.withColumn("_seen", F.min("_seq").over(stream_window())).where("n > 0")
+    return placed.groupBy(*groups).agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in also], F.min(F.struct("_seen", "_at")).alias("first"))
+
+
+def commonest(counted: DataFrame, k: int) -> DataFrame:
+    return counted.orderBy(F.desc("n"), F.asc("first")).limit(k).drop("first")
 
 
 def error_rate(calls: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def error_rate(calls: DataFrame) -> DataFrame:
 
 def error_rate_by_tool(calls: DataFrame, k: int = 14) -> DataFrame:
     """The ``k`` most used tools with their error rates; a null name takes a place, then goes."""
-    top = most_common(in_stream_order(calls), "name", k, "first", (F.count_if(errored()).alias("errors"),), "tool")
+    top = commonest(counted_in_order(calls, {"tool": F.col("name")}, errors=errored()), k)
     return top.where("tool is not null").select("tool", F.col("errors").alias("n"), F.col("n").alias("of")).select("tool", "n", "of", *rate_columns("n", "of"))
 
 
@@ -95,10 +104,10 @@ def agent_calls(trace: Trace) -> DataFrame:
     return streams.join(per, ["session", "agent"], "left").fillna(zeros)
 
 
-def unresolved_by_status(trace: Trace) -> DataFrame:
+def unresolved_by_status(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """Agent runs with calls, by end status: streams, unresolved, final_errored."""
     return (
-        agent_calls(trace)
+        (agents if agents is not None else agent_calls(trace))
         .where("n_calls > 0")
         .groupBy(F.coalesce("end_status", F.lit("unknown")).alias("end_status"))
         .agg(F.count("*").alias("of"), F.count_if("has_unresolved").alias("n"), F.count_if("last_errored").alias("final_errored"))
@@ -125,9 +134,12 @@ def call_class() -> Column:
     )
 
 
+def _tiers() -> Column:
+    return F.filter(F.array(*[F.lit(t) for t in TIERS_MS]), lambda t: t <= F.col("duration_ms"))
+
+
 def _by_tier(calls: DataFrame) -> DataFrame:
-    tiers = F.filter(F.array(*[F.lit(t) for t in TIERS_MS]), lambda t: t <= F.col("duration_ms"))
-    return calls.where("duration_ms is not null").withColumn("tier_ms", F.explode(tiers))
+    return calls.where("duration_ms is not null").withColumn("tier_ms", F.explode(_tiers()))
 
 
 def longtail_tiers(calls: DataFrame) -> DataFrame:
@@ -157,9 +169,9 @@ def longtail_composition(calls: DataFrame) -> DataFrame:
 
 def longtail_by_tool(calls: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` most frequent tools of each tier."""
-    ordered = in_stream_order(calls)
-    counted = _by_tier(ordered).groupBy("tier_ms", F.col("name").alias("tool")).agg(F.count("*").alias("n"), F.min("first").alias("_first"))
-    return top_per_group(counted, ["tier_ms"], [F.desc("n"), F.asc("_first")], k).drop("_first")
+    tiered = calls.withColumn("tier_ms", F.explode_outer(_tiers()))  # a call below all tiers stays, uncounted
+    counted = counted_in_order(tiered, {"tier_ms": F.col("tier_ms"), "tool": F.col("name")}, F.col("tier_ms").isNotNull())
+    return top_per_group(counted, ["tier_ms"], [F.desc("n"), F.asc("first")], k).drop("first")
 
 
 def duration_quantiles(calls: DataFrame) -> DataFrame:
@@ -168,8 +180,16 @@ def duration_quantiles(calls: DataFrame) -> DataFrame:
 
 
 def extreme_calls(calls: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` longest calls: a top-k, not a sort of all."""
-    ordered = in_stream_order(calls.where("duration_ms is not null")).orderBy(F.desc("duration_ms"), F.asc("first")).limit(k)
+    """The ``k`` longest calls, of equal ones those visited first.
+
+    Only calls as long as the ``k``-th longest are placed among the streams.
+    """
+    timed = calls.where("duration_ms is not null")
+    least = timed.orderBy(F.desc("duration_ms")).limit(k).agg(F.min("duration_ms").alias("_least"))
+    seen = timed.groupBy(F.col("session").alias("_session"), F.col("agent").alias("_agent")).agg(F.min("seq").alias("_seen"))
+    longest = timed.join(F.broadcast(least), F.col("duration_ms") >= F.col("_least"))  # one row
+    placed = longest.join(seen, F.col("session").eqNullSafe(F.col("_session")) & F.col("agent").eqNullSafe(F.col("_agent")))
+    ordered = placed.orderBy(F.desc("duration_ms"), F.asc("_seen"), sort_time(), "seq").limit(k)
     return ordered.select(F.col("name").alias("tool"), "duration_ms", F.round(F.col("duration_ms") / 60_000, 1).alias("minutes"), call_class().alias("class"), "is_error", "background", "result_chars", "seq")
 
 
@@ -178,36 +198,40 @@ def never_returned(calls: DataFrame) -> DataFrame:
 
 
 def never_returned_by_tool(calls: DataFrame, k: int = 6) -> DataFrame:
-    return most_common(in_stream_order(calls).where("status = 'unmatched'"), "name", k, "first", name="tool")
+    return commonest(counted_in_order(calls, {"tool": F.col("name")}, F.coalesce(F.col("status") == "unmatched", F.lit(False))), k)
 
 
-def repeat_summary(calls: DataFrame, strict: bool = False) -> DataFrame:
+def repeat_summary(calls: DataFrame, strict: bool = False, runs: DataFrame | None = None) -> DataFrame:
     """One row on runs of repeated calls: runs, calls_in_runs of all calls, streams with
-    any and with a stuck run, errors_in_runs, and quantiles of length."""
-    runs = repeat_runs(calls, strict)
+    any and with a stuck run, errors_in_runs, and quantiles of length.
+
+    Here and below, ``runs``, ``agents`` and ``joined`` are what :func:`repeat_runs`,
+    :func:`agent_calls` and :func:`with_context` give, where a report has kept them.
+    """
+    runs = runs if runs is not None else repeat_runs(calls, strict)
     of_runs = runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum("length"), F.lit(0)).alias("calls_in_runs"), F.coalesce(F.sum("errors_in_run"), F.lit(0)).alias("errors_in_runs"), *nearest_rank("length"), F.max("length").cast("double").alias("max"))
     per_stream = runs.groupBy("session", "agent").agg(F.max("length").alias("longest")).agg(F.count("*").alias("repeat_streams"), F.count_if(F.col("longest") >= STUCK_RUN).alias("stuck_streams"))
     totals = calls.groupBy("session", "agent").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_calls"), F.count("*").alias("streams"))
     return of_runs.crossJoin(per_stream).crossJoin(totals)  # one row each
 
 
-def repeat_lengths(calls: DataFrame, strict: bool = False, k: int = 12) -> DataFrame:
+def repeat_lengths(calls: DataFrame, strict: bool = False, k: int = 12, runs: DataFrame | None = None) -> DataFrame:
     """How many runs have each of the ``k`` smallest lengths."""
-    return repeat_runs(calls, strict).groupBy("length").agg(F.count("*").alias("runs")).orderBy("length").limit(k)
+    return (runs if runs is not None else repeat_runs(calls, strict)).groupBy("length").agg(F.count("*").alias("runs")).orderBy("length").limit(k)
 
 
-def repeat_by_tool(calls: DataFrame, strict: bool = False, k: int = 8) -> DataFrame:
-    return most_common(repeat_runs(calls, strict), "tool", k, "first_seq", name="tool")
+def repeat_by_tool(calls: DataFrame, strict: bool = False, k: int = 8, runs: DataFrame | None = None) -> DataFrame:
+    return most_common(runs if runs is not None else repeat_runs(calls, strict), "tool", k, "first_seq", name="tool")
 
 
-def longest_runs(calls: DataFrame, strict: bool = False, k: int = 5) -> DataFrame:
-    return repeat_runs(calls, strict).orderBy(F.desc("length"), F.asc("first_seq")).limit(k)
+def longest_runs(calls: DataFrame, strict: bool = False, k: int = 5, runs: DataFrame | None = None) -> DataFrame:
+    return (runs if runs is not None else repeat_runs(calls, strict)).orderBy(F.desc("length"), F.asc("first_seq")).limit(k)
 
 
-def stuck_and_ending(trace: Trace) -> DataFrame:
+def stuck_and_ending(trace: Trace, agents: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Agent runs with calls, with and without a stuck run: how many ended badly."""
-    agents = agent_calls(trace).where("n_calls > 0")
-    stuck = repeat_runs(trace.tool_calls.where("agent is not null")).where(F.col("length") >= STUCK_RUN).select("session", "agent").distinct().withColumn("stuck", F.lit(True))
+    agents = (agents if agents is not None else agent_calls(trace)).where("n_calls > 0")
+    stuck = (runs if runs is not None else repeat_runs(trace.tool_calls)).where(F.col("agent").isNotNull() & (F.col("length") >= STUCK_RUN)).select("session", "agent").distinct().withColumn("stuck", F.lit(True))
     bad = F.coalesce(F.col("end_status").isin("failed", "killed"), F.lit(False))
     flagged = agents.join(stuck, ["session", "agent"], "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
     return flagged.groupBy("stuck").agg(F.count_if(bad).alias("n"), F.count("*").alias("of")).select("stuck", "n", "of", *rate_columns("n", "of"))
@@ -222,38 +246,38 @@ def bin_label(index: Column) -> Column:
     return F.when(index == MAX_BIN, F.format_string("%03dk+", low)).otherwise(F.format_string("%03d-%03dk", low, low + BIN_TOKENS // 1000))
 
 
-def context_error_rate(calls: DataFrame, api_calls: DataFrame, mode: str = "strict") -> DataFrame:
+def context_error_rate(calls: DataFrame, api_calls: DataFrame, mode: str = "strict", joined: DataFrame | None = None) -> DataFrame:
     """Error rate by the size of the context that the calling model held."""
-    joined = with_context(calls, api_calls, mode).where("context_tokens is not null")
+    joined = (joined if joined is not None else with_context(calls, api_calls, mode)).where("context_tokens is not null")
     binned = joined.groupBy(context_bin().alias("bin")).agg(F.count_if(errored()).alias("n"), F.count("*").alias("of"))
     return binned.select("bin", bin_label(F.col("bin")).alias("label"), "n", "of", *rate_columns("n", "of"))
 
 
-def context_join_counts(calls: DataFrame, api_calls: DataFrame, mode: str = "strict") -> DataFrame:
-    return with_context(calls, api_calls, mode).agg(F.count("context_tokens").alias("joined"), F.count_if(F.col("context_tokens").isNull()).alias("unjoinable"))
+def context_join_counts(calls: DataFrame, api_calls: DataFrame, mode: str = "strict", joined: DataFrame | None = None) -> DataFrame:
+    return (joined if joined is not None else with_context(calls, api_calls, mode)).agg(F.count("context_tokens").alias("joined"), F.count_if(F.col("context_tokens").isNull()).alias("unjoinable"))
 
 
-def context_trend(calls: DataFrame, api_calls: DataFrame, mode: str = "strict", min_calls: int = MIN_BIN_CALLS) -> DataFrame:
-    bins = context_error_rate(calls, api_calls, mode).where(F.col("of") >= min_calls).withColumn("score", F.col("bin").cast("double"))
+def context_trend(calls: DataFrame, api_calls: DataFrame, mode: str = "strict", min_calls: int = MIN_BIN_CALLS, joined: DataFrame | None = None) -> DataFrame:
+    bins = context_error_rate(calls, api_calls, mode, joined).where(F.col("of") >= min_calls).withColumn("score", F.col("bin").cast("double"))
     return trend_test(bins, [])
 
 
-def context_trend_by_tool(calls: DataFrame, api_calls: DataFrame, k: int = 3, mode: str = "strict", min_calls: int = MIN_BIN_CALLS) -> DataFrame:
+def context_trend_by_tool(calls: DataFrame, api_calls: DataFrame, k: int = 3, mode: str = "strict", min_calls: int = MIN_BIN_CALLS, joined: DataFrame | None = None) -> DataFrame:
     """The trend within each of the ``k`` busiest tools, free of shifts in the mix of tools."""
-    busy = most_common(in_stream_order(calls).where("name is not null and name != ''"), "name", k, "first", name="tool").select("tool")
-    joined = with_context(calls, api_calls, mode).where("context_tokens is not null").join(F.broadcast(busy), F.col("name") == F.col("tool"))  # k rows
+    busy = commonest(counted_in_order(calls, {"tool": F.col("name")}, F.coalesce(F.col("name") != "", F.lit(False))), k).select("tool")
+    joined = (joined if joined is not None else with_context(calls, api_calls, mode)).where("context_tokens is not null").join(F.broadcast(busy), F.col("name") == F.col("tool"))  # k rows
     bins = joined.groupBy("tool", context_bin().alias("bin")).agg(F.count_if(errored()).alias("n"), F.count("*").alias("of"))
     return trend_test(bins.where(F.col("of") >= min_calls).withColumn("score", F.col("bin").cast("double")), ["tool"])
 
 
-def context_composition(calls: DataFrame, api_calls: DataFrame, k: int = 4, mode: str = "strict", min_calls: int = MIN_BIN_CALLS) -> DataFrame:
+def context_composition(calls: DataFrame, api_calls: DataFrame, k: int = 4, mode: str = "strict", min_calls: int = MIN_BIN_CALLS, joined: DataFrame | None = None) -> DataFrame:
     """The ``k`` tools that make up most of each bin, with their share of it."""
     from pyspark.sql import Window
 
-    joined = in_stream_order(with_context(calls, api_calls, mode)).where("context_tokens is not null")
-    per = joined.groupBy(context_bin().alias("bin"), F.coalesce(F.nullif("name", F.lit("")), F.lit("?")).alias("tool")).agg(F.count("*").alias("n"), F.min("first").alias("_first"))
+    groups = {"bin": context_bin(), "tool": F.coalesce(F.nullif("name", F.lit("")), F.lit("?"))}
+    per = counted_in_order(joined if joined is not None else with_context(calls, api_calls, mode), groups, F.col("context_tokens").isNotNull())
     per = per.withColumn("of", F.sum("n").over(Window.partitionBy("bin"))).where(F.col("of") >= min_calls)
-    top = top_per_group(per, ["bin"], [F.desc("n"), F.asc("_first")], k)
+    top = top_per_group(per, ["bin"], [F.desc("n"), F.asc("first")], k)
     return top.select("bin", "tool", "n", "of", F.round(100 * F.col("n") / F.col("of"), 1).alias("pct"))
 
 
@@ -270,43 +294,44 @@ def compaction_triggers(compacts: DataFrame) -> DataFrame:
     return compacts.groupBy(F.coalesce(F.nullif("trigger", F.lit("")), F.lit("unknown")).alias("trigger")).agg(F.count("*").alias("n"))
 
 
-def end_status_rates(trace: Trace) -> DataFrame:
+def end_status_rates(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """Agent runs by end status, null counted as unknown."""
-    streams = trace.streams.where("agent is not null")
+    streams = agents if agents is not None else trace.streams.where("agent is not null")
     counted = streams.groupBy(F.coalesce(F.nullif("end_status", F.lit("")), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
     return _of_all(counted).withColumnRenamed("label", "end_status")
 
 
-def hard_failures_by_type(trace: Trace, k: int = 6) -> DataFrame:
-    return most_common(trace.streams.where("agent is not null and end_status in ('failed', 'killed')"), "agent_type", k, "stream_ord", name="agent_type")
+def hard_failures_by_type(trace: Trace, k: int = 6, agents: DataFrame | None = None) -> DataFrame:
+    streams = agents if agents is not None else trace.streams.where("agent is not null")
+    return most_common(streams.where("end_status in ('failed', 'killed')"), "agent_type", k, "stream_ord", name="agent_type")
 
 
-def recovery(trace: Trace) -> DataFrame:
+def recovery(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """Runs with and without a tool error: how many completed, of all and of those whose
     outcome is known (a null status counts as known here, ``unknown`` doesn't)."""
-    runs = agent_calls(trace).where("n_calls > 0").withColumn("had_error", F.col("n_errors") > 0)
+    runs = (agents if agents is not None else agent_calls(trace)).where("n_calls > 0").withColumn("had_error", F.col("n_errors") > 0)
     done, unknown = F.col("end_status") == "completed", F.col("end_status").eqNullSafe("unknown")
     return runs.groupBy("had_error").agg(F.count_if(done).alias("n"), F.count("*").alias("of"), F.count_if(~unknown).alias("known"), F.count_if(unknown).alias("unknown")).select("had_error", "n", "of", "known", "unknown", *rate_columns("n", "of"))
 
 
-def recovery_test(trace: Trace) -> DataFrame:
+def recovery_test(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """z of completion with errors against without, over all runs and over known outcomes."""
-    wide = recovery(trace).agg(*[F.coalesce(F.max(F.when(F.col("had_error") == flag, F.col(c))), F.lit(0)).alias(f"{side}_{c}") for side, flag in (("error", True), ("clean", False)) for c in ("n", "of", "known")])
+    wide = recovery(trace, agents).agg(*[F.coalesce(F.max(F.when(F.col("had_error") == flag, F.col(c))), F.lit(0)).alias(f"{side}_{c}") for side, flag in (("error", True), ("clean", False)) for c in ("n", "of", "known")])
     z = lambda of: two_proportion_z(F.col("error_n"), F.col(f"error_{of}"), F.col("clean_n"), F.col(f"clean_{of}"))
     return wide.withColumns({"z": z("of"), "z_known": z("known")})
 
 
-def thin_evidence(trace: Trace) -> DataFrame:
+def thin_evidence(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """Completed runs by number of calls; runs without calls count."""
     n = F.col("n_calls")
     bucket = F.when(n == 0, "0").when(n <= 2, "1-2").when(n < 10, "3-9").otherwise("10+")
-    done = agent_calls(trace).where("end_status = 'completed'")
+    done = (agents if agents is not None else agent_calls(trace)).where("end_status = 'completed'")
     return done.groupBy(bucket.alias("calls")).agg(F.count("*").alias("runs"), F.count_if(n <= THIN_CALLS).alias("thin"))
 
 
-def run_length(trace: Trace) -> DataFrame:
+def run_length(trace: Trace, agents: DataFrame | None = None) -> DataFrame:
     """Quantiles of calls per agent run, runs without calls included."""
-    return agent_calls(trace).agg(F.count("*").alias("runs"), *nearest_rank("n_calls"), F.max("n_calls").cast("double").alias("max"))
+    return (agents if agents is not None else agent_calls(trace)).agg(F.count("*").alias("runs"), *nearest_rank("n_calls"), F.max("n_calls").cast("double").alias("max"))
 
 
 def summary(trace: Trace) -> DataFrame:
@@ -333,4 +358,5 @@ def summary(trace: Trace) -> DataFrame:
 
 
 def top_models(trace: Trace, k: int = 6) -> DataFrame:
-    return most_common(in_stream_order(trace.api_calls.withColumn("ts_result", F.lit(None).cast("long")).where("model is not null and model != ''")), "model", k, "first", name="model")
+    calls = trace.api_calls.where("model is not null and model != ''").withColumn("ts_result", F.lit(None).cast("long"))
+    return commonest(counted_in_order(calls, {"model": F.col("model")}), k)

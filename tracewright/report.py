@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,12 @@ def _row(df: DataFrame) -> dict:
     return df.first().asDict(True)
 
 
+def _gather(**tables: DataFrame) -> dict[str, list]:
+    """All rows of small tables, by name; their jobs run side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return dict(zip(tables, pool.map(lambda t: t.collect(), tables.values()), strict=True))
+
+
 def _dist(row: dict) -> dict:
     return {k: row[k] for k in DIST}
 
@@ -148,18 +155,46 @@ def shareable(trace: Trace, manifest: dict | None = None) -> dict:
     return out | {k: manifest[k] for k in ("corpus_id", "schema_version") if manifest and k in manifest}
 
 
-def study_errors(trace: Trace) -> dict:
+@dataclass(frozen=True)
+class Kept:
+    """What several analyses read, computed once and kept while a report is made: runs of
+    repeated calls (by strictness), agent runs with their counts, and calls with the size
+    of their context."""
+
+    runs: dict[bool, DataFrame]
+    agents: DataFrame
+    joined: DataFrame
+
+    @staticmethod
+    def of(trace: Trace, mode: str = "strict") -> Kept:
+        calls = trace.tool_calls
+        joined = study.with_context(calls, trace.api_calls, mode).select("session", "agent", "ts", "ts_result", "seq", "name", "is_error", "context_tokens")
+        return Kept({strict: study.repeat_runs(calls, strict).persist() for strict in (False, True)}, study.agent_calls(trace).persist(), joined.persist())
+
+    def release(self) -> None:
+        for table in (*self.runs.values(), self.agents, self.joined):
+            table.unpersist()
+
+
+def study_errors(trace: Trace, kept: Kept) -> dict:
     calls = trace.tool_calls
-    overall = _row(study.error_rate(calls))
-    rates = lambda df, key: {r[key]: _rate(r["n"], r["of"]) for r in df.orderBy(df["n"].desc()).collect()}
-    status = {r["end_status"]: r for r in study.unresolved_by_status(trace).collect()}
+    got = _gather(
+        overall=study.error_rate(calls),
+        by_tool=study.error_rate_by_tool(calls),
+        next_call=study.after_error_tool_call(calls),
+        response=study.after_error_model_response(calls, trace.api_calls),
+        status=study.unresolved_by_status(trace, kept.agents),
+        long=study.long_versus_short(calls),
+    )
+    overall, long = got["overall"][0], got["long"][0]
+    rates = lambda rows: {r["label"]: _rate(r["n"], r["of"]) for r in sorted(rows, key=lambda r: -r["n"])}
+    status = {r["end_status"]: r for r in got["status"]}
     done = status["completed"].asDict() if "completed" in status else {"n": 0, "of": 0, "final_errored": 0}
-    long = _row(study.long_versus_short(calls))
     return {
         "overall_error_rate": _rate(overall["n"], overall["of"]),
-        "error_rate_by_tool": {r["tool"]: _rate(r["n"], r["of"]) for r in study.error_rate_by_tool(calls).collect()},
-        "after_error_next_tool_call": rates(study.after_error_tool_call(calls), "label"),
-        "after_error_model_response": rates(study.after_error_model_response(calls, trace.api_calls), "label"),
+        "error_rate_by_tool": {r["tool"]: _rate(r["n"], r["of"]) for r in got["by_tool"]},
+        "after_error_next_tool_call": rates(got["next_call"]),
+        "after_error_model_response": rates(got["response"]),
         "declared_complete_with_unresolved_error": {
             "rate": _rate(done["n"], done["of"]),
             "final_call_errored_rate": _rate(done["final_errored"], done["of"]),
@@ -173,71 +208,95 @@ def study_errors(trace: Trace) -> dict:
     }
 
 
-def study_longtail(trace: Trace) -> dict:
+def study_longtail(trace: Trace, kept: Kept) -> dict:
     calls = trace.tool_calls
-    totals, never = _row(study.duration_quantiles(calls)), _row(study.never_returned(calls))
-    tiers = {r["tier_ms"]: {"calls": r["n"], "share_of_calls": _rate(r["n"], r["of"]), "share_of_tool_time_pct": r["time_pct"], "composition_by_calls": {}, "composition_by_time_pct": {}, "by_tool": []} for r in study.longtail_tiers(calls).collect()}
-    parts = study.longtail_composition(calls).collect()
-    for r in sorted(parts, key=lambda r: -r["n"]):
+    got = _gather(
+        totals=study.duration_quantiles(calls),
+        never=study.never_returned(calls),
+        tiers=study.longtail_tiers(calls),
+        parts=study.longtail_composition(calls),
+        by_tool=study.longtail_by_tool(calls),
+        extremes=study.extreme_calls(calls),
+        never_by_tool=study.never_returned_by_tool(calls),
+    )
+    totals, never = got["totals"][0].asDict(), got["never"][0]
+    tiers = {r["tier_ms"]: {"calls": r["n"], "share_of_calls": _rate(r["n"], r["of"]), "share_of_tool_time_pct": r["time_pct"], "composition_by_calls": {}, "composition_by_time_pct": {}, "by_tool": []} for r in got["tiers"]}
+    for r in sorted(got["parts"], key=lambda r: -r["n"]):
         tiers[r["tier_ms"]]["composition_by_calls"][r["class"]] = _rate(r["n"], r["of"])
-    for r in sorted(parts, key=lambda r: -r["ms"]):
+    for r in sorted(got["parts"], key=lambda r: -r["ms"]):
         tiers[r["tier_ms"]]["composition_by_time_pct"][r["class"]] = r["time_pct"]
-    for r in sorted(study.longtail_by_tool(calls).collect(), key=lambda r: -r["n"]):
+    for r in sorted(got["by_tool"], key=lambda r: -r["n"]):
         tiers[r["tier_ms"]]["by_tool"].append([r["tool"], r["n"]])
     return {
         "timed_calls": totals["timed_calls"],
         "total_tool_hours": totals["total_hours"] or 0.0,
         "duration_quantiles_ms": _quantiles(totals),
         "tiers": {f"ge_{t // 1000}s": v for t, v in sorted(tiers.items())},
-        "extremes": [{k: r[k] for k in ("tool", "minutes", "class", "is_error", "background", "result_chars")} for r in study.extreme_calls(calls).collect()],
-        "never_returned": {"count": never["n"], "rate": _rate(never["n"], never["of"]), "by_tool": [[r["tool"], r["n"]] for r in study.never_returned_by_tool(calls).collect()]},
+        "extremes": [{k: r[k] for k in ("tool", "minutes", "class", "is_error", "background", "result_chars")} for r in got["extremes"]],
+        "never_returned": {"count": never["n"], "rate": _rate(never["n"], never["of"]), "by_tool": [[r["tool"], r["n"]] for r in got["never_by_tool"]]},
     }
 
 
-def study_looping(trace: Trace) -> dict:
-    calls, out = trace.tool_calls, {}
-    for label, strict in (("upper_bound", False), ("lower_bound", True)):
-        r = _row(study.repeat_summary(calls, strict))
+def study_looping(trace: Trace, kept: Kept) -> dict:
+    calls, sides = trace.tool_calls, (("upper_bound", False), ("lower_bound", True))
+    tables = {"ends": study.stuck_and_ending(trace, kept.agents, kept.runs[False])}
+    for label, strict in sides:
+        runs = kept.runs[strict]
+        tables |= {
+            f"{label} summary": study.repeat_summary(calls, strict, runs),
+            f"{label} lengths": study.repeat_lengths(calls, strict, runs=runs),
+            f"{label} longest": study.longest_runs(calls, strict, runs=runs),
+            f"{label} by tool": study.repeat_by_tool(calls, strict, runs=runs),
+        }
+    got, out = _gather(**tables), {}
+    for label, _ in sides:
+        r = got[f"{label} summary"][0].asDict()
         out |= {"total_tool_calls": r["total_calls"], "streams_with_tool_calls": r["streams"], "stuck_run_threshold": study.STUCK_RUN}
         out[label] = {
             "runs": r["runs"],
             "share_of_calls_inside_a_repeat_run": _rate(r["calls_in_runs"], r["total_calls"]),
             "share_of_streams_with_any_repeat": _rate(r["repeat_streams"], r["streams"]),
             "share_of_streams_with_a_stuck_run": _rate(r["stuck_streams"], r["streams"]),
-            "run_length_distribution": _map(study.repeat_lengths(calls, strict), "length", "runs"),
+            "run_length_distribution": {x["length"]: x["runs"] for x in got[f"{label} lengths"]},
             "run_length_quantiles": _quantiles(r),
-            "longest_runs": [{k: x[k] for k in ("length", "tool", "args_shape", "start_ts", "errors_in_run")} for x in study.longest_runs(calls, strict).collect()],
-            "runs_by_tool": [[x["tool"], x["n"]] for x in study.repeat_by_tool(calls, strict).collect()],
+            "longest_runs": [{k: x[k] for k in ("length", "tool", "args_shape", "start_ts", "errors_in_run")} for x in got[f"{label} longest"]],
+            "runs_by_tool": [[x["tool"], x["n"]] for x in got[f"{label} by tool"]],
             "errors_inside_runs": r["errors_in_runs"],
         }
-    ends = {r["stuck"]: (r["n"], r["of"]) for r in study.stuck_and_ending(trace).collect()}
+    ends = {r["stuck"]: (r["n"], r["of"]) for r in got["ends"]}
     stuck, free = ends.get(True, (0, 0)), ends.get(False, (0, 0))
     out["stuck_run_vs_bad_ending"] = {"agent_streams_scored": stuck[1] + free[1], "with_stuck_run": _rate(*stuck), "without_stuck_run": _rate(*free)}
     return out
 
 
-def study_context(trace: Trace, mode: str = "strict") -> dict:
-    calls, api = trace.tool_calls, trace.api_calls
-    joined = _row(study.context_join_counts(calls, api, mode))
-    bins = sorted(study.context_error_rate(calls, api, mode).collect(), key=lambda r: r["bin"])
-    trend = _row(study.context_trend(calls, api, mode))
-    window = _row(study.compaction_window(calls, trace.compacts))
+def study_context(trace: Trace, kept: Kept) -> dict:
+    calls, api, joined = trace.tool_calls, trace.api_calls, kept.joined
+    got = _gather(
+        counts=study.context_join_counts(calls, api, joined=joined),
+        bins=study.context_error_rate(calls, api, joined=joined),
+        trend=study.context_trend(calls, api, joined=joined),
+        window=study.compaction_window(calls, trace.compacts),
+        composition=study.context_composition(calls, api, joined=joined),
+        by_tool=study.context_trend_by_tool(calls, api, joined=joined),
+        triggers=study.compaction_triggers(trace.compacts),
+    )
+    trend, window = got["trend"][0].asDict(), got["window"][0]
     composition: dict = {}
-    for r in sorted(study.context_composition(calls, api, 4, mode).collect(), key=lambda r: (r["bin"], -r["n"])):
+    for r in sorted(got["composition"], key=lambda r: (r["bin"], -r["n"])):
         composition.setdefault(f"{r['bin'] * study.BIN_TOKENS // 1000:03d}k", {})[r["tool"]] = r["pct"]
     return {
-        "calls_joined_to_context_size": joined["joined"],
-        "calls_unjoinable": joined["unjoinable"],
-        "error_rate_by_context_bin": {r["label"]: _rate(r["n"], r["of"]) for r in bins},
+        "calls_joined_to_context_size": got["counts"][0]["joined"],
+        "calls_unjoinable": got["counts"][0]["unjoinable"],
+        "error_rate_by_context_bin": {r["label"]: _rate(r["n"], r["of"]) for r in sorted(got["bins"], key=lambda r: r["bin"])},
         "bins_used_in_trend_test": trend["bins_used"],
         "min_calls_per_bin_for_trend": study.MIN_BIN_CALLS,
         "trend_test": _trend(trend | ({"note": "too few bins"} if trend["bins_used"] < 3 else {})),
-        "trend_test_stratified_by_tool": {r["tool"]: {"bins_used": r["bins_used"], "trend_test": _trend(r.asDict())} for r in study.context_trend_by_tool(calls, api, mode=mode).collect()},
+        "trend_test_stratified_by_tool": {r["tool"]: {"bins_used": r["bins_used"], "trend_test": _trend(r.asDict())} for r in got["by_tool"]},
         "tool_composition_by_context_bin_pct": composition,
         "compaction": {
             "events": window["compactions"],
             "streams_with_any_compaction": window["streams"],
-            "by_trigger": _map(study.compaction_triggers(trace.compacts), "trigger"),
+            "by_trigger": {r["trigger"]: r["n"] for r in got["triggers"]},
             "post_compaction_window_minutes": study.AFTER_COMPACT_MS // 60_000,
             "error_rate_after_compaction": _rate(window["near_n"], window["near_of"]),
             "baseline_error_rate": _rate(window["all_n"], window["all_of"]),
@@ -246,14 +305,22 @@ def study_context(trace: Trace, mode: str = "strict") -> dict:
     }
 
 
-def study_termination(trace: Trace) -> dict:
-    statuses = {r["end_status"]: (r["n"], r["of"]) for r in sorted(study.end_status_rates(trace).collect(), key=lambda r: -r["n"])}
+def study_termination(trace: Trace, kept: Kept) -> dict:
+    agents = kept.agents
+    got = _gather(
+        statuses=study.end_status_rates(trace, agents),
+        groups=study.recovery(trace, agents),
+        test=study.recovery_test(trace, agents),
+        thin=study.thin_evidence(trace, agents),
+        hard=study.hard_failures_by_type(trace, agents=agents),
+        length=study.run_length(trace, agents),
+    )
+    statuses = {r["end_status"]: (r["n"], r["of"]) for r in sorted(got["statuses"], key=lambda r: -r["n"])}
     total = next(iter(statuses.values()))[1] if statuses else 0
-    groups = {r["had_error"]: r for r in study.recovery(trace).collect()}
+    groups = {r["had_error"]: r for r in got["groups"]}
     none = {"n": 0, "of": 0, "known": 0, "unknown": 0}
     error, clean = (groups[k].asDict() if k in groups else none for k in (True, False))
-    test = _row(study.recovery_test(trace))
-    thin = study.thin_evidence(trace).collect()
+    test, thin = got["test"][0], got["thin"]
     bad = statuses.get("failed", (0, 0))[0] + statuses.get("killed", (0, 0))[0]
     return {
         "agent_runs": total,
@@ -268,14 +335,15 @@ def study_termination(trace: Trace) -> dict:
             "known_status_only": {"error_runs": _rate(error["n"], error["known"]), "clean_runs": _rate(clean["n"], clean["known"]), "test": _test(test["z_known"], (error["n"], error["known"]), (clean["n"], clean["known"]))},
             "unknown_status_share": {"error_runs": _rate(error["unknown"], error["of"]), "clean_runs": _rate(clean["unknown"], clean["of"])},
         },
-        "hard_failures": {"failed_or_killed": _rate(bad, total), "by_agent_type": [[r["agent_type"], r["n"]] for r in study.hard_failures_by_type(trace).collect()]},
+        "hard_failures": {"failed_or_killed": _rate(bad, total), "by_agent_type": [[r["agent_type"], r["n"]] for r in got["hard"]]},
         "thin_evidence": {"rate": _rate(sum(r["thin"] for r in thin), sum(r["runs"] for r in thin)), "completed_runs_by_tool_call_count": {r["calls"]: r["runs"] for r in thin}},
-        "run_length": {"tool_calls_per_agent_run": _quantiles(_row(study.run_length(trace)))},
+        "run_length": {"tool_calls_per_agent_run": _quantiles(got["length"][0].asDict())},
     }
 
 
-def study_summary(trace: Trace) -> dict:
-    return _row(study.summary(trace)) | {"top_models": [[r["model"], r["n"]] for r in study.top_models(trace).collect()]}
+def study_summary(trace: Trace, kept: Kept) -> dict:
+    got = _gather(summary=study.summary(trace), models=study.top_models(trace))
+    return got["summary"][0].asDict(True) | {"top_models": [[r["model"], r["n"]] for r in got["models"]]}
 
 
 ANALYSES = {"summary": study_summary, "looping": study_looping, "errors": study_errors, "longtail": study_longtail, "context": study_context, "termination": study_termination}
@@ -287,9 +355,13 @@ def study_report(trace: Trace, only: tuple[str, ...] | None = None) -> dict:
     if unknown:
         raise ValueError(f"unknown analyses: {', '.join(sorted(unknown))}; known: {', '.join(ANALYSES)}")
     chosen = {name: run for name, run in ANALYSES.items() if only is None or name in only}
-    with ThreadPoolExecutor(len(chosen)) as pool:  # their jobs are small and share the executors
-        found = {name: pool.submit(run, trace) for name, run in chosen.items()}
-        return {name: f.result() for name, f in found.items()}
+    kept = Kept.of(trace)
+    try:
+        with ThreadPoolExecutor(len(chosen)) as pool:  # their jobs are small and share the executors
+            found = {name: pool.submit(run, trace, kept) for name, run in chosen.items()}
+            return {name: f.result() for name, f in found.items()}
+    finally:
+        kept.release()
 
 
 def snapshot(trace: Trace, label: str, generated_at: str | None = None) -> dict:

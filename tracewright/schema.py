@@ -6,7 +6,7 @@ event in its log; it breaks ties between equal times and says which event came l
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,12 +79,21 @@ class Trace:
     """An event log with ``seq``.  Views are lazy; reading one prunes the other kinds."""
 
     events: DataFrame
+    views: dict[str, DataFrame] = field(default_factory=dict)
 
     def cached(self) -> Trace:
-        """The same log kept in memory and on disk, for reports that read it many times."""
-        return Trace(self.events.persist())
+        """The same log kept in memory and on disk, for reports that read it many times.
+
+        What is windowed by stream is kept partitioned by stream, so no window moves it again.
+        """
+        spark = self.events.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_stream = {kind: self.of(kind).repartition(parts, "session", "agent").persist() for kind in ("tool_call", "api_call", "compact")}
+        return Trace(self.events.persist(), by_stream)
 
     def of(self, kind: str) -> DataFrame:
+        if kind in self.views:
+            return self.views[kind]
         fields = [f.name for f in kind_schema(kind) if f.name in self.events.columns]
         return self.events.where(F.col("ev") == kind).select(*fields, "seq")
 
