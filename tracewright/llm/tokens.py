@@ -98,8 +98,11 @@ class Encoder:
         """Remember the ids of ``words``, encoded many at once and cut apart again: runs of
         letters at the ids that end words, others at a mark put between them."""
         texts = [w.decode() for w in words]
+        kinds: tuple[list[int], list[int]] = ([], [])
+        for i, t in enumerate(texts):
+            kinds[t.isalpha()].append(i)
         for letters, between in ((True, " "), (False, f" {_MARK} ")):
-            chosen = [i for i, t in enumerate(texts) if t.isalpha() == letters]
+            chosen = kinds[letters]
             for at in range(0, len(chosen), 1000):
                 part = chosen[at : at + 1000]
                 ids = self.whole([between.join([texts[i] for i in part])])[0]
