@@ -58,6 +58,7 @@ ISLANDS = """{p}marks as (select *, case when row_number() over s = 1 or lag(nam
     count(*) filter (is_error) as errors_in_run, arg_min(seq, sort_ts::hugeint * 10000000 + seq) as first_seq from {p}numbered group by session, agent, island having count(*) >= 2)"""
 BY_SIZE = "or lag(result_chars) over s is distinct from result_chars"
 UPPER, LOWER, LOW = ISLANDS.format(strict="", p=""), ISLANDS.format(strict=BY_SIZE, p=""), ISLANDS.format(strict=BY_SIZE, p="low_")
+EXACT = ISLANDS.format(strict="", p="exact_").replace("from tool_calls", "from (select * replace (args_shape || ':' || (result_chars % 9)::varchar as args_shape) from tool_calls)")
 AGENTS = f"""placed as (select *, row_number() over (partition by session, agent order by sort_ts, seq) as pos, lead(seq) over (partition by session, agent order by sort_ts, seq) is null as is_last from tool_calls where agent is not null),
 opened as (select *, is_error and coalesce(max(case when not is_error then pos end) over (partition by session, agent, name) < pos, true) as open from placed),
 per as (select session, agent, count(*) as n_calls, count(*) filter (is_error) as n_errors, bool_or(open) as has_unresolved, bool_or(is_last and is_error) as last_errored from opened group by session, agent),
@@ -456,7 +457,17 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         select generated_at, calls, errors, row_number() over w as position, calls - first_value(calls) over w as calls_from_first, calls - lag(calls) over w as calls_from_previous,
         errors - first_value(errors) over w as errors_from_first, errors - lag(errors) over w as errors_from_previous from d window w as (order by generated_at)""",
     ),
-    "what_moved": (_moved, None),
+    "what_moved": (
+        _ROUND(_moved, before=9, after=9, change=9),
+        """with t as (select agent is null as main, count(*) as calls, count(*) filter (is_error) as errors, sum(duration_ms)::double as tool_ms,
+            list_sort(list(duration_ms) filter (duration_ms is not null))[1 + round_even(0.95 * (count(duration_ms) - 1), 0)::int] as p95 from tool_calls group by 1),
+        a as (select agent is null as main, sum(greatest(0, ts_last - ts))::double as model_ms from api_calls group by 1),
+        s as (select t.main, errors::double / calls as error_rate, p95::double as p95, tool_ms / (tool_ms + model_ms) as busy from t join a on a.main = t.main),
+        b as (select m.error_rate as e0, g.error_rate as e1, m.p95 as d0, g.p95 as d1, m.busy as s0, g.busy as s1 from s m, s g where m.main and not g.main),
+        r as (select 'tool_error_rate' as metric, e0 as before, e1 as after, 0.01 as least, true as judged from b union all select 'duration_p95_ms', d0, d1, 1000.0, true from b union all select 'tool_share_of_busy_time', s0, s1, 0.01, false from b)
+        select metric, round(before, 9) as before, round(after, 9) as after, round(after - before, 9) as change,
+        case when abs(after - before) < least then 'flat' when not judged then null when after > before then 'worse' else 'better' end as verdict from r""",
+    ),
     # one corpus against another
     "replication_by_session": (
         _T(replication.by_session),
@@ -470,7 +481,12 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         round(100 * (coalesce(hi.k, 0)::double / streams), 3) as stuck_upper_pct, round(100 * ({_share("coalesce(done, 0)", "runs")}), 3) as finished_pct
         from c join n using (session) left join hi using (session) left join lo using (session) left join d using (session)""",
     ),
-    "bracket_position": (_bracket_position, None),
+    "bracket_position": (
+        _ROUND(_bracket_position, lower_pct=9, upper_pct=9, exact_pct=9, position=9),
+        f"""with {UPPER}, {LOW}, {EXACT}, n as (select (select count(*) from tool_calls)::double as calls, (select coalesce(sum(length), 0)::bigint from low_runs) as low, (select coalesce(sum(length), 0)::bigint from runs) as high, (select coalesce(sum(length), 0)::bigint from exact_runs) as exact),
+        p as (select 100 * (low / calls) as lower_pct, 100 * (high / calls) as upper_pct, 100 * (exact / calls) as exact_pct from n)
+        select round(lower_pct, 9) as lower_pct, round(upper_pct, 9) as upper_pct, round(exact_pct, 9) as exact_pct, round(case when upper_pct <> lower_pct then (exact_pct - lower_pct) / (upper_pct - lower_pct) end, 9) as position from p""",
+    ),
     # workloads
     "asof_turn_split": (
         _turn_split,
