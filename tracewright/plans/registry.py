@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import Z95
-from tracewright.plans import characterize, doctor, overtime, replication, study, workload
+from tracewright.plans import characterize, doctor, overtime, raw, replication, study, workload
 from tracewright.sources.bridge import trace, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +516,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         """with s as (select count(*) as n from documents group by length(text)), e as (select count(*) as n from documents group by text)
         select (select count(*) from s) as shape_keys, (select coalesce(sum(n), 0)::bigint from s where n > 1) as shape_repeated, (select count(*) from e) as exact_keys, (select coalesce(sum(n), 0)::bigint from e where n > 1) as exact_repeated""",
     ),
+    # raw transcripts and trajectories
+    **raw.QUERIES,
 }
 
 

@@ -368,8 +368,11 @@ def with_outcomes(sessions: DataFrame, metas: DataFrame, tools: DataFrame, uses:
 
 def export(spark: SparkSession, root: str, salt: str) -> Export:
     """The event log of the transcripts below ``root``."""
-    lines = read_lines(spark, root)
-    metas = read_metas(spark, root)
+    return export_lines(read_lines(spark, root), read_metas(spark, root), salt)
+
+
+def export_lines(lines: DataFrame, metas: DataFrame, salt: str) -> Export:
+    """The event log of lines as :func:`read_lines` gives them, and of agents' metas."""
     numbered, broken = parse_lines(lines)
     kept = numbered.where("_first and _op_first")
     blocks = _blocks(kept.where("type in ('assistant', 'user')"))
