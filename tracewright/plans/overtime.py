@@ -97,6 +97,13 @@ def by_agent_type(trace: Trace) -> DataFrame:
     return runs.join(per_type, "agent_type", "left").withColumn("tool_ms", F.coalesce("tool_ms", F.lit(0)))
 
 
+def types_by_unaccounted(trace: Trace) -> DataFrame:
+    """Agent types by runs without a recorded outcome, most first, then by name."""
+    order = Window.orderBy(F.desc("unaccounted"), "agent_type")  # a row per agent type
+    rate = F.when(F.col("resolvable_runs") > 0, F.col("unaccounted_resolvable") / F.col("resolvable_runs"))
+    return by_agent_type(trace).select(F.row_number().over(order).alias("rank"), "agent_type", "runs", "unaccounted", rate.alias("resolvable_rate"))
+
+
 def validate(snapshots: DataFrame) -> DataFrame:
     """``snapshots`` unchanged; running it raises at a negative count or one above its whole."""
     inside = F.lit(True)

@@ -81,6 +81,20 @@ TIERS = "(select unnest([10000, 30000, 60000, 300000, 600000, 1800000]) as tier_
 RATIO = "case when tok_in + cache_read + cache_create > 0 then cache_read::double / (tok_in + cache_read + cache_create) end"
 
 
+def _trend_by_tool_sql(least: int) -> str:
+    return f"""with {CONTEXT}, {FIRST}, busy as (select name as tool from ordered where name is not null group by name order by count(*) desc, min(first) limit 3),
+        c as (select tool, bin::double as x, count(*) filter (is_error)::double as s, count(*)::double as t from joined join busy on name = tool where context_tokens is not null group by 1, 2 having count(*) >= {least}),
+        m as (select tool, count(*) as bins_used, sum(t) as t, sum(s) as s, sum(t * x) as tx, sum(s * x) as sx, sum(t * x * x) as txx from c group by 1),
+        v as (select *, s / t as p, tx / t as mean from m), n as (select *, case when bins_used < 3 then 'too few bins' when p in (0, 1) or p * (1 - p) * (txx - t * mean * mean) <= 0 then 'degenerate' end as note from v)
+        select tool, bins_used, round(case when note is null then (sx - s * mean) / sqrt(p * (1 - p) * (txx - t * mean * mean)) else 0.0 end, 6) as z, note from n"""
+
+
+def _composition_sql(least: int) -> str:
+    return f"""with {CONTEXT}, {FIRST}, c as (select bin, coalesce(j.name, '?') as tool, count(*) as n, min(o.first) as f from joined j join ordered o using (seq) where context_tokens is not null group by 1, 2),
+        d as (select *, (sum(n) over (partition by bin))::bigint as of from c)
+        select bin, tool, n, of, round(100 * n / of, 1) as pct from d where of >= {least} qualify row_number() over (partition by bin order by n desc, f) <= 4"""
+
+
 def _long_tail(where: str, tiers: str, digits: str) -> str:
     r = (lambda e: f"round({e}, {digits})") if digits else (lambda e: e)
     return f"""with s as (select count(*) as n, sum(duration_ms)::double as ms from tool_calls where {where}),
@@ -163,6 +177,32 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(args_shape(F.col("props")).alias("shape")).agg(F.count("*").alias("n"))
 
 
+def _varied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of values of every type, written around each event's own."""
+    from tracewright.functions.shapes import args_shape
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 7
+    around = lambda before, after: F.concat(F.lit(before), value, F.lit(after))
+    json = (
+        F.when(kind == 0, around("[", ', "x", {}]'))
+        .when(kind == 1, around('"', '"'))
+        .when(kind == 2, around('{"b": true, "a": null, "z": ', ".5}"))
+        .when(kind == 3, "null")
+        .when(kind == 4, around('{"s": "', ' \\u00e9\\n", "deep": {"x": [], "y": {}}, "-": -3}'))
+        .when(kind == 5, around("-", "e2"))
+        .otherwise("{}")
+    )
+    return e.groupBy(args_shape(json).alias("shape")).agg(F.count("*").alias("n"))
+
+
+def _mixed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some tools under names that may be shared, others not."""
+    calls = trace(spark, sf_dir).tool_calls
+    name = F.when(F.col("name") == "click", "Bash").when(F.col("name") == "view", "Read").otherwise(F.col("name"))
+    return doctor.time_by_shareable_tool(calls.withColumn("name", name))
+
+
 def _turn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant message with the latest user message at or before it."""
     from tracewright.operators.joins import asof_backward
@@ -173,10 +213,32 @@ def _turn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of the users against the second."""
+    """One half of the sessions, by their hash, against the other."""
     whole = trace(spark, sf_dir)
-    half = lambda odd: overtime.snapshot(type(whole)(whole.events.where((F.length("session") > 0) & (F.crc32(F.col("session").cast("binary")) % 2 == odd))))
-    return overtime.gate(half(0), half(1)).select("metric", "rule", F.round("base", 6).alias("base"), F.round("current", 6).alias("current"), F.round("z", 6).alias("z"), "gated", "skipped", "regressed")
+    half = lambda late: overtime.snapshot(type(whole)(whole.events.where((F.md5(F.col("session").cast("binary")) >= "8") == late)))
+    return overtime.gate(half(False), half(True)).select("metric", "rule", F.round("base", 6).alias("base"), F.round("current", 6).alias("current"), F.round("z", 6).alias("z"), "gated", "skipped", "regressed")
+
+
+def _gate_sql() -> str:
+    rank = lambda c, q: f"list_sort(list({c}) filter ({c} is not null))[1 + round_even({q} * (count({c}) - 1), 0)::int]"
+    late = "md5(session) >= '8' as late"
+    rows = []
+    for metric, n, of in (("unaccounted_resolvable_rate", "could_gone", "could"), ("never_returned_rate", "lost", "calls"), ("tool_error_rate", "errors", "calls")):
+        void = f"(b.{of} = 0 or c.{of} = 0)"
+        z = f"case when not {void} then {_z(f'c.{n}', f'c.{of}', f'b.{n}', f'b.{of}')} end"
+        rows.append(f"select '{metric}' as metric, 'proportion' as rule, {_share(f'b.{n}', f'b.{of}')} as base, {_share(f'c.{n}', f'c.{of}')} as current, {z} as z, true as gated, {void} as skipped, coalesce({z} > {Z95!r}, false) as regressed from b, c")
+    for metric, least in overtime.THRESHOLDS.items():
+        b, c = f"b.{metric}", f"c.{metric}"
+        rows.append(f"select '{metric}', 'threshold', {b}, {c}, null, true, false, {c} > {b} * 1.1 and abs({c} - {b}) >= {least} from b, c")
+    rows += [f"select '{metric}', 'report', b.{metric}, c.{metric}, null, false, false, false from b, c" for metric in overtime.UNGATED]
+    return f"""with t as (select {late}, count(*) as calls, count(*) filter (status <> 'matched') as lost, count(*) filter (is_error) as errors, sum(duration_ms) as tool_ms, sum(duration_ms) filter (duration_ms >= 60000) as long_ms,
+        {rank("duration_ms", 0.5)}::double as duration_p50_ms, {rank("duration_ms", 0.95)}::double as duration_p95_ms from tool_calls group by 1),
+    a as (select {late}, sum(greatest(0, ts_last - ts)) as model_ms, {rank(f"({RATIO})", 0.5)} as cache_read_share_p50 from api_calls group by 1),
+    r as (select {late}, workflow is null as could, coalesce(end_status, '') not in ('completed', 'failed') as gone from sessions where agent is not null),
+    s as (select late, count(*) as agents, count(*) filter (gone) as unaccounted, count(*) filter (could) as could, count(*) filter (could and gone) as could_gone from r group by 1),
+    sides as (select *, coalesce(long_ms, 0)::double / tool_ms as longtail_share_60s, unaccounted::double / agents as unaccounted_rate, tool_ms::double / (tool_ms + model_ms) as tool_share_of_busy_time from t join a using (late) join s using (late)),
+    b as (select * from sides where not late), c as (select * from sides where late), rows_ as ({" union all ".join(rows)})
+    select metric, rule, round(base, 6) as base, round(current, 6) as current, round(z, 6) as z, gated, skipped, regressed from rows_"""
 
 
 def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +271,7 @@ def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = lambda plan: lambda spark, d: plan(trace(spark, d))
 _C = lambda plan, *a: lambda spark, d: plan(trace(spark, d).tool_calls, *a)
 _A = lambda plan: lambda spark, d: plan(trace(spark, d).api_calls)
-_CA = lambda plan, *a: lambda spark, d: plan(trace(spark, d).tool_calls, trace(spark, d).api_calls, *a)
+_CA = lambda plan, *a: lambda spark, d: (lambda t: plan(t.tool_calls, t.api_calls, *a))(trace(spark, d))
 _ROUND = lambda q, **digits: lambda spark, d: (lambda df: df.withColumns({c: F.round(c, n) for c, n in digits.items()}))(q(spark, d))
 
 _ALL: dict[str, tuple[Query, str | None]] = {
@@ -300,20 +362,10 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         v as (select *, s / t as p, tx / t as mean from m), n as (select *, case when bins_used < 3 then 'too few bins' when p in (0, 1) or p * (1 - p) * (txx - t * mean * mean) <= 0 then 'degenerate' end as note from v)
         select bins_used, round(case when note is null then (sx - s * mean) / sqrt(p * (1 - p) * (txx - t * mean * mean)) else 0.0 end, 6) as z, note from n""",
     ),
-    "context_trend_by_tool": (
-        _ROUND(_CA(study.context_trend_by_tool, 3, "strict", 20), z=6),
-        f"""with {CONTEXT}, {FIRST}, busy as (select name as tool from ordered where name is not null group by name order by count(*) desc, min(first) limit 3),
-        c as (select tool, bin::double as x, count(*) filter (is_error)::double as s, count(*)::double as t from joined join busy on name = tool where context_tokens is not null group by 1, 2 having count(*) >= 20),
-        m as (select tool, count(*) as bins_used, sum(t) as t, sum(s) as s, sum(t * x) as tx, sum(s * x) as sx, sum(t * x * x) as txx from c group by 1),
-        v as (select *, s / t as p, tx / t as mean from m), n as (select *, case when bins_used < 3 then 'too few bins' when p in (0, 1) or p * (1 - p) * (txx - t * mean * mean) <= 0 then 'degenerate' end as note from v)
-        select tool, bins_used, round(case when note is null then (sx - s * mean) / sqrt(p * (1 - p) * (txx - t * mean * mean)) else 0.0 end, 6) as z, note from n""",
-    ),
-    "context_composition_topk": (
-        _CA(study.context_composition, 4, "strict", 20),
-        f"""with {CONTEXT}, {FIRST}, c as (select bin, coalesce(j.name, '?') as tool, count(*) as n, min(o.first) as f from joined j join ordered o using (seq) where context_tokens is not null group by 1, 2),
-        d as (select *, (sum(n) over (partition by bin))::bigint as of from c)
-        select bin, tool, n, of, round(100 * n / of, 1) as pct from d where of >= 20 qualify row_number() over (partition by bin order by n desc, f) <= 4""",
-    ),
+    "context_trend_by_tool": (_ROUND(_CA(study.context_trend_by_tool, 3, "strict", 20), z=6), _trend_by_tool_sql(20)),
+    "context_trend_by_tool_full_bins": (_ROUND(_CA(study.context_trend_by_tool), z=6), _trend_by_tool_sql(study.MIN_BIN_CALLS)),
+    "context_composition_topk": (_CA(study.context_composition, 4, "strict", 20), _composition_sql(20)),
+    "context_composition_full_bins": (_CA(study.context_composition), _composition_sql(study.MIN_BIN_CALLS)),
     "compaction_window_errors": (
         _ROUND(lambda spark, d: study.compaction_window(trace(spark, d).tool_calls, trace(spark, d).compacts), z=6),
         f"""with m as (select t.is_error, exists (select 1 from compacts c where c.session = t.session and c.agent is not distinct from t.agent and t.ts - c.ts between 0 and 600000) as near from tool_calls t),
@@ -432,6 +484,10 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     ),
     "time_by_tool": (_C(doctor.time_by_tool), "select coalesce(name, '?') as tool, sum(duration_ms)::bigint as ms from tool_calls where duration_ms is not null group by 1"),
     "time_by_shareable_tool": (_C(doctor.time_by_shareable_tool), "select 'other' as tool, sum(duration_ms)::bigint as ms from tool_calls where duration_ms is not null"),
+    "time_by_shareable_tool_mixed": (
+        _mixed_tools,
+        "select case name when 'click' then 'Bash' when 'view' then 'Read' else 'other' end as tool, sum(duration_ms)::bigint as ms from tool_calls where duration_ms is not null group by 1",
+    ),
     "doctor_long_tail": (_ROUND(_C(doctor.long_tail), call_share=9, time_share=9), _long_tail("duration_ms is not null", "[10000, 30000, 60000]", "9")),
     # over time
     "snapshot": (
@@ -442,6 +498,12 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         {_share("long_ms", "tool_ms_total")} as longtail_share_60s, {_share("unaccounted", "agents")} as unaccounted_rate, {_share("unaccounted_resolvable", "resolvable_runs")} as unaccounted_resolvable_rate,
         {_share("never_returned", "tool_calls")} as never_returned_rate, {_share("tool_errors", "tool_calls")} as tool_error_rate, {_share("tool_ms_total", "(tool_ms_total + model_ms_total)")} as tool_share_of_busy_time from counters, r, c""",
     ),
+    "types_by_unaccounted": (
+        _T(overtime.types_by_unaccounted),
+        """with t as (select coalesce(nullif(agent_type, ''), '(untyped)') as agent_type, count(*) as runs, count(*) filter (coalesce(end_status, '') not in ('completed', 'failed')) as unaccounted,
+            count(*) filter (workflow is null) as resolvable_runs, count(*) filter (workflow is null and coalesce(end_status, '') not in ('completed', 'failed')) as unaccounted_resolvable from sessions where agent is not null group by 1)
+        select row_number() over (order by unaccounted desc, agent_type) as rank, agent_type, runs, unaccounted, case when resolvable_runs > 0 then unaccounted_resolvable::double / resolvable_runs end as resolvable_rate from t""",
+    ),
     "by_agent_type": (
         _T(overtime.by_agent_type),
         """with a as (select *, coalesce(agent_type, '(untyped)') as type, coalesce(end_status, '') not in ('completed', 'failed') as un from sessions where agent is not null),
@@ -450,7 +512,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         t as (select type as agent_type, sum(duration_ms)::bigint as tool_ms from tool_calls c join a on c.agent = a.agent where duration_ms is not null group by 1)
         select r.*, coalesce(tool_ms, 0) as tool_ms from r left join t using (agent_type)""",
     ),
-    "gate_two_halves": (_gate, None),
+    "gate_two_halves": (_gate, _gate_sql()),
     "timeline": (
         _timeline,
         """with d as (select strftime(make_timestamp(ms * 1000), '%Y-%m-%d') as generated_at, count(*) as calls, count(*) filter (k % 7 = 0) as errors from base group by 1)
@@ -511,6 +573,11 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     # shapes
     "dedup_first_wins": (_dedup, "select event_id, user_id, event_type, ms // 86400000 as day from base qualify row_number() over (partition by user_id, event_type, ms // 86400000 order by event_id) = 1"),
     "args_shape": (_shapes, "select 'k:i' as shape, count(*) as n from events"),
+    "args_shape_varied": (
+        _varied_shapes,
+        """with v as (select event_id % 7 as i, length(props->>'$.k') as l from events)
+        select case i when 0 then 'a3' when 1 then 's' || l when 2 then 'a:n,b:b,z:f' when 3 then 'n' when 4 then '-:i,deep:o2,s:s' || (l + 3) when 5 then 'f' else '' end as shape, count(*) as n from v group by 1""",
+    ),
     "shape_vs_exact_bracket": (
         _bracket,
         """with s as (select count(*) as n from documents group by length(text)), e as (select count(*) as n from documents group by text)
