@@ -3,7 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
-from tracewright import cli
+from tracewright import cli, report
+from tracewright.sources import events
 from tracewright.streaming import live
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -68,7 +69,48 @@ def test_command_line_over_a_transcript_tree(spark, tmp_path, capsys, monkeypatc
     track = str(tmp_path / "track.json")
     assert cli.main(["over-time", "track", out, out, "--json", track]) == 0
     assert cli.main(["over-time", "check", track, out]) == 0
+    capsys.readouterr()
+    assert cli.main(["over-time", "track", out]) == 0
+    told = capsys.readouterr().out
+    assert "one snapshot alone" in told and "| tool_error_rate | 100.0% |" in told and "- nothing by enough to tell" in told
+    assert cli.main(["doctor", "--root", str(tmp_path / "tree"), "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["tool_errors"] == 1
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["files_vanished"] == 0
     assert cli.main(["replay", out]) == 0
     (tree / "s.jsonl").write_text(json.dumps({"type": "brand-new", "uuid": "z"}) + "\n")
     assert cli.main(["export", str(tmp_path / "tree"), "--out", str(tmp_path / "out2")]) == 2
     assert cli.main(["export", str(tmp_path / "tree"), "--out", str(tmp_path / "out3"), "--allow-unknown"]) == 0
+
+
+def test_a_timeline_tells_what_moved_and_ranks_agent_types():
+    types = {"few": {"runs": 3, "unaccounted": 1, "unresolvable": 0, "resolvable_runs": 3, "unaccounted_resolvable": 1, "tool_ms": 100}, "many": {"runs": 4, "unaccounted": 4, "unresolvable": 4, "resolvable_runs": 0, "unaccounted_resolvable": 0, "tool_ms": 0}}
+    snap = lambda label, **more: {"label": label, "agents": 7, "resolvable_runs": 3, "by_agent_type": types} | more
+    moved = [
+        {"metric": "tool_error_rate", "change": 0.02, "verdict": "worse"},
+        {"metric": "duration_p95_ms", "change": -999.0, "verdict": "flat"},
+        {"metric": "cache_read_share_p50", "change": -0.5, "verdict": None},
+        {"metric": "never_returned_rate", "change": None, "verdict": None},
+    ]
+    text = report.render_timeline([snap("a", tool_error_rate=0.1), snap("b", tool_error_rate=0.12)], moved)
+    assert "| tool_error_rate | 10.0% | 12.0% |" in text and "| duration_p50_ms | n/a | n/a |" in text
+    assert "- tool_error_rate rose by 2.0% (worse)" in text and "- cache_read_share_p50 fell by 50.0% (reported only)" in text
+    assert "duration_p95_ms fell" not in text and "4 of the last snapshot's runs" in text
+    assert text.index("| many | 4 | 4 | 4 | n/a |") < text.index("| few | 3 | 1 | 0 | 33.3% |")
+
+
+def test_places_in_a_log_of_several_files_are_unique(spark, tmp_path):
+    folder = tmp_path / "a log.jsonl"
+    folder.mkdir()
+    for name in ("part b", "part a"):
+        (folder / f"{name}.json").write_text("\n".join(json.dumps({"ev": "prompt", "session": name, "ts": i}) for i in range(3)) + "\n")
+    rows = events.read_jsonl(spark, str(folder)).prompts.orderBy("seq").collect()
+    assert [(r.session, r.ts) for r in rows] == [(f, i) for f in ("part a", "part b") for i in range(3)]
+    assert len({r.seq for r in rows}) == 6
+
+
+def test_manifests_stand_in_the_store_of_their_log(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    events.write_manifest(spark, {"label": "é"}, folder)
+    assert events.read_manifest(spark, folder) == {"label": "é"} and events.read_manifest(spark, f"{folder}/none") == {}
+    (tmp_path / "log" / "manifest.json").write_text("{")
+    assert events.read_manifest(spark, folder, tolerate_corrupt=True) == {}

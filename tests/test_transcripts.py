@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracewright.functions.shapes import keyed_token, token
 from tracewright.sources import transcripts
 
 SECRET = "never-in-the-log"
@@ -113,3 +115,21 @@ def test_no_content_survives_and_oddities_are_listed(spark, done):
     assert m["anomalies"]["unknown_system_subtypes"] == {"brand_new": 1} and m["anomalies"]["unknown_line_types"] == {"<no type>": 1}
     assert (m["files"], m["sessions"], m["agents"], m["journals_skipped"], m["duplicate_lines"]) == (4, 1, 3, 1, 2)
     assert m["corpus_id"].startswith("t_") and len(m["corpus_id"]) == 14
+
+
+def test_no_plan_shows_the_salt(spark):
+    df = spark.createDataFrame([("/home",), ("",), (None,)], "cwd string").select(token(F.col("cwd"), "very-secret-salt").alias("t"))
+    assert "very-secret-salt" not in df._jdf.queryExecution().toString()
+    assert [r.t for r in df.collect()] == [keyed_token("/home", "very-secret-salt"), None, None]
+
+
+def test_files_that_go_during_an_export_are_told(spark, tmp_path):
+    tree = tmp_path / "proj"
+    tree.mkdir()
+    for name in ("s1", "s2"):
+        (tree / f"{name}.jsonl").write_text(json.dumps(line("user", 1, name, message={"content": "x"})) + "\n")
+    listed = transcripts.list_files(spark, str(tmp_path))
+    lines = transcripts.read_lines(spark, str(tmp_path))
+    (tree / "s2.jsonl").unlink()
+    assert [r.session for r in lines.collect()] == ["s1"]
+    assert len(listed - transcripts.list_files(spark, str(tmp_path))) == 1

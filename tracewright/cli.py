@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from tracewright import report
 from tracewright.plans import overtime, workload
 from tracewright.sources import events, trajectories, transcripts
+from tracewright.storage import new_path, scratch
 
 SALT = os.path.expanduser("~/.config/tracewright/salt")
 
@@ -31,20 +32,20 @@ def _print(value: dict, path: str | None) -> None:
 
 
 def _export(spark: SparkSession, root: str, out: str | None):
-    """(trace, manifest); written below ``out``, or kept as a plan where none is given."""
+    """(trace, manifest) of transcripts, written below ``out`` or where the caller's scratch is."""
     if not events.exists(spark, root):
         raise FileNotFoundError(f"no transcripts at {root}")
     salt = events.load_or_create_salt(SALT, os.environ.get("TRACEWRIGHT_SALT"))
+    listed = transcripts.list_files(spark, root)
     done = transcripts.export(spark, root, salt)
-    trace = done.trace
+    at = f"{out or new_path(spark, 'export')}/events"
+    events.write_table(done.trace, at)
+    trace = events.read_table(spark, at)
+    done = transcripts.Export(trace.events, done.anomalies, done.counts)
+    vanished = len(listed - transcripts.list_files(spark, root))
+    manifest = transcripts.manifest(done, root, salt, datetime.now(UTC).isoformat(timespec="seconds"), transcripts.count_journals(spark, root), vanished=vanished)
     if out:
-        os.makedirs(out, exist_ok=True)
-        events.write_table(trace, f"{out}/events")
-        trace = events.read_table(spark, f"{out}/events")
-        done = transcripts.Export(trace.events, done.anomalies, done.counts)
-    manifest = transcripts.manifest(done, root, salt, datetime.now(UTC).isoformat(timespec="seconds"), transcripts.count_journals(spark, root))
-    if out:
-        events.write_manifest(manifest, out)
+        events.write_manifest(spark, manifest, out)
     return trace, manifest
 
 
@@ -59,7 +60,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def characterize(spark: SparkSession, a: argparse.Namespace) -> int:
-    stats = report.characterization(events.open_log(spark, a.traces), events.read_manifest(a.traces))
+    stats = report.characterization(events.open_log(spark, a.traces), events.read_manifest(spark, a.traces))
     if a.out:
         os.makedirs(a.out, exist_ok=True)
         _print(stats, f"{a.out}/stats.json")
@@ -71,19 +72,20 @@ def characterize(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def doctor(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Findings of a log, or of transcripts exported on the fly and not kept."""
-    if a.traces:
-        trace, manifest = events.open_log(spark, a.traces, "lenient"), events.read_manifest(a.traces, True)
-    else:
-        trace, manifest = _export(spark, a.root, None)
-    if a.share:
-        _print(report.shareable(trace, manifest), a.share)
-        with open(a.share, encoding="utf-8") as f:
-            sys.stdout.write(f.read())
-    elif a.json:
-        _print(report.findings(trace), None)
-    else:
-        sys.stdout.write(report.render_findings(trace))
+    """Findings of a log, or of transcripts exported once on the fly and not kept."""
+    with scratch(spark):
+        if a.traces:
+            trace, manifest = events.open_log(spark, a.traces, "lenient"), events.read_manifest(spark, a.traces, True)
+        else:
+            trace, manifest = _export(spark, a.root, None)
+        if a.share:
+            _print(report.shareable(trace, manifest), a.share)
+            with open(a.share, encoding="utf-8") as f:
+                sys.stdout.write(f.read())
+        elif a.json:
+            _print(report.findings(trace), None)
+        else:
+            sys.stdout.write(report.render_findings(trace))
     return 0
 
 
@@ -96,6 +98,7 @@ def study(spark: SparkSession, a: argparse.Namespace) -> int:
         return 1 if moved else 0
     if a.json:
         _print(found, a.json)
+        sys.stdout.write(report.render_headlines(found))
     else:
         sys.stdout.write(report.render_tree("Study", found))
     return 0
@@ -103,11 +106,10 @@ def study(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def adapt(spark: SparkSession, a: argparse.Namespace) -> int:
     done = trajectories.adapter(a.adapter)(spark, a.inputs, exact=a.shape == "exact", limit_per_file=a.limit, only_actions=tuple(a.only_actions) if a.only_actions else None)
-    os.makedirs(a.out, exist_ok=True)
     events.write_table(trajectories.checked(done.trace), f"{a.out}/events")
     counters = {r["counter"]: r["n"] for r in done.counters.collect()}
     kinds = {r[0]: r[1] for r in events.read_table(spark, f"{a.out}/events").events.groupBy("ev").count().collect()}
-    events.write_manifest({"schema_version": 1, "adapter": a.adapter, "shape_mode": a.shape, "events_by_type": kinds | counters, "provenance": {"sources": a.inputs, "only_actions": a.only_actions}}, a.out)
+    events.write_manifest(spark, {"schema_version": 1, "adapter": a.adapter, "shape_mode": a.shape, "events_by_type": kinds | counters, "provenance": {"sources": a.inputs, "only_actions": a.only_actions}}, a.out)
     return 0
 
 
@@ -117,7 +119,7 @@ def _snapshot(spark: SparkSession, path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         return held["snapshots"][-1] if "snapshots" in held else held
-    manifest = events.read_manifest(path, tolerate_corrupt=True)
+    manifest = events.read_manifest(spark, path, tolerate_corrupt=True)
     return report.snapshot(events.open_log(spark, path, "lenient"), os.path.basename(path.rstrip("/")), manifest.get("generated_at"))
 
 
@@ -128,10 +130,17 @@ def _frame(spark: SparkSession, snapshots: list[dict]):
 
 
 def track(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Snapshots in order of time: as text, or with all their figures as JSON."""
     snapshots = [_snapshot(spark, p) for p in a.snapshots]
-    frame = _frame(spark, snapshots)
-    line = overtime.timeline(frame, tuple(c for c in ("unaccounted_resolvable_rate", "never_returned_rate", "tool_error_rate", "duration_p50_ms", "duration_p95_ms", "longtail_share_60s") if c in frame.columns))
-    _print({"snapshots": snapshots, "timeline": [r.asDict() for r in line.orderBy("position").collect()]}, a.json)
+    watched = [c for c in overtime.WATCHED if c in snapshots[0]]
+    rows = [r.asDict() for r in overtime.timeline(_frame(spark, snapshots), tuple(watched)).orderBy("position").collect()]
+    ordered = [snapshots[r["ord"]] for r in rows]
+    kinds = {c: overtime.WATCHED[c] for c in watched}
+    moved = [r.asDict() for r in overtime.what_moved(*(_frame(spark, [s]) for s in (ordered[0], ordered[-1])), kinds).collect()]
+    if a.json:
+        _print({"snapshots": snapshots, "timeline": rows, "moved": moved}, a.json)
+    else:
+        sys.stdout.write(report.render_timeline(ordered, moved))
     return 0
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +49,19 @@ def content_chars(json: Column) -> Column:
     return F.when(F.substring(text, 1, 1) == '"', F.length(plain)).when(F.substring(text, 1, 1) == "[", F.coalesce(total, F.lit(0))).otherwise(0).cast("long")
 
 
-def token(value: Column, salt: str) -> Column:
+def keyed_token(text: str | None, salt: str) -> str | None:
     """Keyed pseudonym ``t_`` and 12 hex digits; null for null or empty."""
-    digest = F.sha2(F.concat(F.lit(salt), value).cast("binary"), 256)
-    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit("t_"), F.substring(digest, 1, 12)))
+    return f"t_{hmac.new(salt.encode(), text.encode(), 'sha256').hexdigest()[:12]}" if text else None
+
+
+def token(value: Column, salt: str) -> Column:
+    """:func:`keyed_token` of a column.  The salt travels in the function, so no plan shows it."""
+
+    @F.pandas_udf("string")
+    def keyed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: keyed_token(v, salt))
+
+    return keyed(value)
 
 
 def exact_signature(json: Column) -> Column:

@@ -22,6 +22,19 @@ PROPORTIONS = {
 #: metric: the least change that counts.
 THRESHOLDS = {"duration_p50_ms": 1000.0, "duration_p95_ms": 1000.0, "longtail_share_60s": 0.01}
 UNGATED = ("unaccounted_rate", "tool_share_of_busy_time", "cache_read_share_p50")
+#: What a timeline shows: metric, its unit, and the direction that is worse if it has one.
+WATCHED: dict[str, tuple[str, int | None]] = {
+    "unaccounted_rate": ("rate", None),
+    "unaccounted_resolvable_rate": ("rate", 1),
+    "never_returned_rate": ("rate", 1),
+    "tool_error_rate": ("rate", 1),
+    "longtail_share_60s": ("rate", 1),
+    "duration_p50_ms": ("ms", 1),
+    "duration_p95_ms": ("ms", 1),
+    "duration_p99_ms": ("ms", 1),
+    "tool_share_of_busy_time": ("rate", None),
+    "cache_read_share_p50": ("rate", None),
+}
 TOLERANCE = 0.1
 MOVED = {"rate": 0.01, "ms": 1000.0}
 

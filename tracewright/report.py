@@ -387,20 +387,26 @@ def pct(x: float | None) -> str:
     return "n/a" if x is None else f"{100 * x:.1f}%"
 
 
+def compared(name: str) -> str:
+    """An outside corpus's figure with how far it holds; a comparison, not a norm."""
+    value, note = doctor.REFERENCE[name]
+    return f"one outside corpus had {pct(value)} ({note})"
+
+
 def render_findings(trace: Trace) -> str:
     f = findings(trace)
     out = [f"# {f['sessions']} sessions, {f['agents']} agent runs", "", "## Runs without a recorded outcome", ""]
-    out += [f"{f['unaccounted']} of {f['agents']} ({pct(f['unaccounted_rate'])}); one outside corpus had {pct(doctor.REFERENCE['unaccounted_run_rate'])}.", ""]
+    out += [f"{f['unaccounted']} of {f['agents']} ({pct(f['unaccounted_rate'])}); {compared('unaccounted_run_rate')}.", ""]
     for e in doctor.unaccounted_examples(trace).collect():
         ran = f"{e['runtime_min']:.0f} min" if e["runtime_min"] else "an unknown time"
         out.append(f"- {e['agent_type'] or 'agent'} ran {ran}" + ", in the background" * bool(e["background"]))
     out += ["", "## Calls that never returned", "", f"{f['never_returned']} of {f['tool_calls']}; error rate {pct(f['tool_error_rate'])}.", "", "## Where the time went", ""]
-    out += [f"Tools took {pct(f['tool_share_of_busy_time'])} of busy time ({fmt_ms(f['tool_ms_total'])}; models {fmt_ms(f['model_ms_total'])}).", "", "| at least | calls | tool time |", "|---|---|---|"]
+    out += [f"Tools took {pct(f['tool_share_of_busy_time'])} of busy time ({fmt_ms(f['tool_ms_total'])}; models {fmt_ms(f['model_ms_total'])}); {compared('tool_share_of_busy_time')}.", "", "| at least | calls | tool time |", "|---|---|---|"]
     out += [f"| {r['over_ms'] // 1000} s | {pct(r['call_share'])} | {pct(r['time_share'])} |" for r in doctor.long_tail(trace.tool_calls).collect()] if f["tool_ms_total"] else []
     out += ["", f"Slowest {fmt_ms(f['slowest_call_ms'])}, p50 {fmt_ms(f['duration_p50_ms'])}, p95 {fmt_ms(f['duration_p95_ms'])}.", ""]
     out += [f"- {tool}: {fmt_ms(ms)} ({pct(ms / f['tool_ms_total'] if f['tool_ms_total'] else 0)})" for tool, ms in list(f["by_tool_ms"].items())[:5]]
     t = f["tokens"]
-    out += ["", "## What it cost", "", f"cache-read {t['cache_read']:,}, cache-write {t['cache_create']:,}, output {t['out']:,}, raw input {t['in']:,}; the median call reads {pct(f['cache_read_share_p50'])} of its input from cache."]
+    out += ["", "## What it cost", "", f"cache-read {t['cache_read']:,}, cache-write {t['cache_create']:,}, output {t['out']:,}, raw input {t['in']:,}; the median call reads {pct(f['cache_read_share_p50'])} of its input from cache; {compared('cache_read_share_p50')}."]
     return "\n".join(out) + "\n"
 
 
@@ -425,3 +431,40 @@ def render_gate(rows: list[dict]) -> str:
     out += [f"- skipped {r['metric']}: nothing to compare" for r in rows if r["skipped"]]
     out += [f"- reported only, {r['metric']}: {r['base']:.4g} -> {r['current']:.4g}" for r in rows if not r["gated"]]
     return "\n".join(out) + "\n"
+
+
+def render_timeline(snapshots: list[dict], moved: list[dict]) -> str:
+    """Snapshots side by side in order of time, what moved from first to last, and the last
+    one's agent types, those with most runs without an outcome first."""
+    last = snapshots[-1]
+    show = lambda value, unit: "n/a" if value is None else pct(value) if unit == "rate" else fmt_ms(value)
+    out = ["# Over time", ""]
+    out += ["There is one snapshot alone, so nothing to compare it with.", ""] if len(snapshots) == 1 else []
+    out += ["| | " + " | ".join(str(s["label"]) for s in snapshots) + " |", "|---" * (len(snapshots) + 1) + "|"]
+    out += [f"| {m} | " + " | ".join(show(s.get(m), unit) for s in snapshots) + " |" for m, (unit, _) in overtime.WATCHED.items()]
+    hidden = last["agents"] - last["resolvable_runs"]
+    out += ["", f"{hidden:g} of the last snapshot's runs are of a kind whose outcome is never recorded; the resolvable rate leaves them out."] if hidden else []
+    out += ["", "## What moved", ""]
+    told = []
+    for r in moved:
+        unit, worse = overtime.WATCHED[r["metric"]]
+        if r["change"] is not None and abs(r["change"]) >= overtime.MOVED[unit]:
+            told.append(f"- {r['metric']} {'rose' if r['change'] > 0 else 'fell'} by {show(abs(r['change']), unit)} ({r['verdict'] or 'reported only'})")
+    out += told or ["- nothing by enough to tell"]
+    out += ["", f"## Agent types of {last['label']}", "", "Their names are the user's own; keep this table to yourself.", ""]
+    types = sorted(last.get("by_agent_type", {}).items(), key=lambda kv: (-kv[1]["unaccounted"], kv[0]))
+    out += ["| type | runs | no outcome | outcome never recorded | rate of the rest | tool time |", "|---|---|---|---|---|---|"] if types else ["no agent runs"]
+    for name, t in types:
+        rate = t["unaccounted_resolvable"] / t["resolvable_runs"] if t["resolvable_runs"] else None
+        out.append(f"| {name} | {t['runs']} | {t['unaccounted']} | {t['unresolvable']} | {pct(rate)} | {fmt_ms(t['tool_ms'])} |")
+    return "\n".join(out) + "\n"
+
+
+def render_headlines(found: dict) -> str:
+    """A study's overall rates, a line each: every rate that stands at the top of an analysis."""
+    out = []
+    for analysis, tree in found.items():
+        for name, value in tree.items():
+            if isinstance(value, dict) and {"n", "of", "pct", "ci95_pct"} <= value.keys():
+                out.append(f"{analysis}, {name}: {value['pct']:.2f}% [{value['ci95_pct'][0]:.2f}, {value['ci95_pct'][1]:.2f}] ({value['n']}/{value['of']})")
+    return "\n".join(out) + "\n"

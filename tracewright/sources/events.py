@@ -6,33 +6,50 @@ import json
 import os
 import secrets
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.schema import Trace, event_schema
 
 MODES = {"strict": "FAILFAST", "lenient": "DROPMALFORMED"}
+#: Bits of ``seq`` for the place in a file; those above it number the files.
+FILE_BITS = 41
+
+
+def _store(spark: SparkSession, path: str):
+    """(file system, path) of the store that a path's scheme names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store its scheme names."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    store, at = _store(spark, path)
+    return store.exists(at)
+
+
+def _one_slash(path: str) -> Column:
+    """Local paths as one spelling: they are listed with three slashes and read with one."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def read_jsonl(spark: SparkSession, path: str, mode: str = "strict") -> Trace:
     """An event log of JSON lines.
 
-    ``strict`` raises at a malformed line; ``lenient`` leaves it out.  ``seq`` grows with
-    the place in the file, whatever its splits: the first byte of a row's split stands
-    above its number in the task that read it.
+    ``strict`` raises at a malformed line; ``lenient`` leaves it out.  ``seq`` is unique and
+    grows with the place in the file, whatever its splits, and from file to file by path: a
+    row stands behind the first byte of its split by its number in the task that read it,
+    and a split never holds more rows than bytes.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"no event log at {path}: export one first")
     reader = spark.read.schema(event_schema()).option("mode", MODES[mode])
-    rows = reader.json(path).select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    return Trace(rows.withColumn("seq", F.shiftleft("_block", 24) + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_block", "_id"))
+    rows = reader.json(path)
+    files = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "_file_no long, _file string").withColumn("_file", _one_slash("_file"))
+    placed = rows.select("*", _one_slash("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_at"))
+    numbered = placed.join(files, "_file", "left")
+    known = F.coalesce("_file_no", F.raise_error(F.lit("a row of a file that was not listed")).cast("long"))
+    return Trace(numbered.select(*rows.columns, (F.shiftleft(known, FILE_BITS) + F.col("_at")).alias("seq")))
 
 
 def write_jsonl(trace: Trace, path: str) -> None:
@@ -63,20 +80,29 @@ def open_log(spark: SparkSession, path: str, mode: str = "strict") -> Trace:
     return read_jsonl(spark, path, mode) if path.endswith((".jsonl", ".json")) else read_table(spark, path)
 
 
-def write_manifest(manifest: dict, folder: str) -> None:
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2)
-        f.write("\n")
+def write_manifest(spark: SparkSession, manifest: dict, folder: str) -> None:
+    """The manifest beside a log, in the log's own store, without a checksum beside it, as
+    people edit manifests."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = fs.Path(f"{folder}/manifest.json")
+    store = fs.FileSystem.newInstance(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        store.setWriteChecksum(False)
+        out = store.create(at, True)
+        out.write(bytearray((json.dumps(manifest, indent=2) + "\n").encode()))
+        out.close()
+    finally:
+        store.close()
 
 
-def read_manifest(folder: str, tolerate_corrupt: bool = False) -> dict:
+def read_manifest(spark: SparkSession, folder: str, tolerate_corrupt: bool = False) -> dict:
     """The manifest beside a log; empty where there is none."""
     path = f"{folder}/manifest.json"
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return {}
+    text = "\n".join(r.value for r in spark.read.text(path).collect())
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(text)
     except ValueError:
         if tolerate_corrupt:
             return {}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.shapes import args_shape, content_chars, token
+from tracewright.functions.shapes import args_shape, content_chars, keyed_token, token
 from tracewright.schema import SCHEMA_VERSION, Trace, event_schema
 
 #: The transcript format's line types, system subtypes, and final statuses.
@@ -105,6 +105,11 @@ def count_journals(spark: SparkSession, root: str) -> int:
     return files.select(F.col("path")).where(F.contains("path", F.lit("/subagents/"))).count()
 
 
+def list_files(spark: SparkSession, root: str) -> set[str]:
+    """Paths of the transcripts below ``root`` as the store lists them now."""
+    return set(spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).inputFiles())
+
+
 @dataclass(frozen=True)
 class Export:
     """The event log, what was odd in the transcripts, and what the manifest counts."""
@@ -332,6 +337,7 @@ def session_events(numbered: DataFrame, kept: DataFrame, lines: DataFrame, orpha
         F.col("t_start").alias("ts"),
         "t_start",
         "t_end",
+        token(F.col("project_dir"), salt).alias("project"),
         token(F.col("cwd"), salt).alias("cwd"),
         token(F.col("git_branch"), salt).alias("git_branch"),
         "entrypoint",
@@ -389,7 +395,7 @@ def export_lines(lines: DataFrame, metas: DataFrame, salt: str) -> Export:
     marks = find_marks(kept)
 
     kinds = {"session": sessions, "api_call": api_calls.where("ts is not null"), "tool_call": tools, "notification": notifications, "prompt": prompts.where("ts is not null"), **marks}
-    fields = [f for f in event_schema() if f.name not in ("ev", "session", "agent", "project")]
+    fields = [f for f in event_schema() if f.name not in ("ev", "session", "agent")]
     events = None
     for kind, rows in kinds.items():
         have = set(rows.columns)
@@ -401,7 +407,6 @@ def export_lines(lines: DataFrame, metas: DataFrame, salt: str) -> Export:
             *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
         )
         events = wide if events is None else events.unionByName(wide)
-    events = events.withColumn("project", F.when(F.col("ev") == "session", token(F.col("project_dir"), salt)))
     files = lines.select(*FILE_KEY).distinct()
     rank = F.row_number().over(Window.orderBy("project_dir", "session", F.col("agent_hex").isNotNull(), "file"))  # one row per file
     in_file = F.row_number().over(Window.partitionBy("file").orderBy("_line", "_at"))
@@ -437,22 +442,21 @@ def counts(lines: DataFrame, metas: DataFrame, kept: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.count_if(F.col("_agent") == 0).alias("sessions"), F.count_if(F.col("_agent") == 1).alias("agents"))
 
 
-def manifest(done: Export, root: str, salt: str, generated_at: str, journals: int = 0, samples: int = 8) -> dict:
+def manifest(done: Export, root: str, salt: str, generated_at: str, journals: int = 0, samples: int = 8, vanished: int = 0) -> dict:
     """The export's counters as a plain dictionary; reads the log once written, and little of it."""
-    spark = done.events.sparkSession
     sessions = done.trace.sessions
     types = {r[0]: r[1] for r in sessions.select(F.explode("line_types").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect()}
     versions = sorted(r[0] for r in sessions.select(F.explode("versions").alias("v")).distinct().collect())
     totals = sessions.agg(F.coalesce(F.sum("n_duplicate_lines"), F.lit(0)), F.coalesce(F.sum("n_orphan_results"), F.lit(0))).first()
     odd = done.anomalies.groupBy("kind", "key").agg(F.count("*").alias("n")).collect()
     by_kind = lambda kind: {r["key"]: r["n"] for r in odd if r["kind"] == kind}
-    tokens = spark.range(1).select(token(F.lit("corpus"), salt), token(F.lit(root), salt)).first()
     return {
         "schema_version": SCHEMA_VERSION,
-        "corpus_id": tokens[0],
-        "root": tokens[1],
+        "corpus_id": keyed_token("corpus", salt),
+        "root": keyed_token(root, salt),
         "generated_at": generated_at,
         **done.counts.first().asDict(),
+        "files_vanished": vanished,
         "journals_skipped": journals,
         "duplicate_lines": totals[0],
         "orphan_tool_results": totals[1],
