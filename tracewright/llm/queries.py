@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import kd_clusters, quality_rules, url_filter
+from tracewright.llm import kd_clusters, lexical_search, quality_rules, url_filter
 from tracewright.llm import mixing as mixing_
 from tracewright.llm.common import id_remainder, read_table
 from tracewright.llm.exact_dedup import find_duplicates
@@ -67,6 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.QUERY_RULES)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_output,
         op9_mixing,
         op10_url_filter,
+        op11_lexical_search,
         op13_centroid_clustering,
     )
     return {op.__name__: op for op in ops}
@@ -101,5 +106,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op9_mixing": mixing_.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op11_lexical_search": lexical_search.oracle_sql(),
         "op13_centroid_clustering": kd_clusters.oracle_sql(),
     }
