@@ -16,6 +16,7 @@ from tracewright.llm.language_id import identify_language
 from tracewright.llm.packing import pack_documents
 from tracewright.llm.quality_classifier import score_quality
 from tracewright.llm.simhash import hex_of, near_duplicates
+from tracewright.llm.suffix_dedup import find_repeats
 from tracewright.llm.token_output import write_token_ids
 
 
@@ -71,6 +72,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(read_table(spark, sf_dir, "documents"), keep="none", in_place=True)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_url_filter,
         op11_lexical_search,
+        op12_suffix_dedup,
         op13_centroid_clustering,
     )
     return {op.__name__: op for op in ops}
