@@ -11,6 +11,7 @@ and the next larger one its longest later match.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,16 +29,16 @@ LEAST = 400
 #: Positions of a text that are hashed at once.
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2^64
-#: Bytes of contexts after which a suffix array is closed.
-LOT_BYTES = 1 << 19
+#: Letters after which a suffix array is closed.
+LOT = 1 << 19
 #: Contexts of an anchor that one suffix array takes; an anchor with more is parted by offset.
 GROUP = 1024
-#: Parts into which the offsets of such an anchor are cut.
-PARTS = 16
+#: Ranges into which the offsets of runs around an anchor are cut.
+PARTS = 8
 
 
 def gram_of(least: int) -> int:
-    return max(1, least // 4)
+    return max(1, least // 2)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -46,15 +47,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps)
 
 
-def sliding(values: np.ndarray, width: int, best: np.ufunc, neutral: int) -> np.ndarray:
-    """``best`` of each ``width`` values that follow each other, from running bests of blocks in both directions."""
-    n = len(values)
-    blocks = np.full(-(-n // width) * width, neutral, values.dtype)
-    blocks[:n] = values
-    blocks = blocks.reshape(-1, width)
-    ahead = best.accumulate(blocks, axis=1).ravel()
-    behind = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[: n - width + 1], ahead[width - 1 : n])
+def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of each ``width`` values that follow each other, from bests of half as many."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values, reach = best(values[:-step], values[step:]), reach + step
+    return values
 
 
 class Anchors:
@@ -80,9 +79,10 @@ class Anchors:
         grams ^= grams >> np.uint64(32)
         grams *= np.uint64(0xD6E8FEB86659FD93)
         grams ^= grams >> np.uint64(29)
-        least = np.zeros(n - self.least + 1 + 2 * (width - 1), np.uint64)
-        least[width - 1 : len(least) - width + 1] = sliding(grams, width, np.minimum, (1 << 64) - 1)
-        at = np.flatnonzero(grams == sliding(least, width, np.maximum, 0))
+        upper = (grams >> np.uint64(32)).astype(np.uint32)  # 32 bits choose: equal ones are anchors all
+        least = np.zeros(n - self.least + 1 + 2 * (width - 1), np.uint32)
+        least[width - 1 : len(least) - width + 1] = sliding(upper, width, np.minimum)
+        at = np.flatnonzero(upper == sliding(least, width, np.maximum))
         return at + begin, grams[at].view(np.int64)
 
 
@@ -90,43 +90,37 @@ class Anchors:
 
 
 def suffix_order(text: np.ndarray, cap: int) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
-    """Ranks of all suffixes by their first ``cap`` bytes, and a function for the common prefix of pairs of them, at most ``cap``.
+    """Ranks of all suffixes by their first ``cap`` letters, and a function for the common prefix of pairs of them, at most ``cap``.
 
-    Ranks by 8 bytes double their reach until they have ``cap``; the text is padded by zeros.
+    Letters are numbers from 0; what would lie past the end is a letter below all.  Ranks
+    double their reach until they have ``cap``.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(cap + 8, np.uint8)]).astype(np.uint64)
-    words = np.zeros(n + cap, np.uint64)
-    for b in range(8):
-        words = words << np.uint64(8) | padded[b : b + n + cap]
-    words >>= np.uint64(8 * max(0, 8 - cap))
 
     def ranked(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.cumsum(np.diff(keys[order], prepend=keys[order[:1]]) != 0)
+        by_key = np.argsort(keys)
+        rank = np.empty(n, np.int64)
+        rank[by_key] = np.cumsum(np.diff(keys[by_key], prepend=keys[by_key[:1]]) != 0) + 1
         return rank
 
-    levels, reach = [(8, ranked(words))], 8
+    levels, reach = [(1, ranked(text))], 1
     while reach < cap:
         step = min(reach, cap - reach)
         rank = levels[-1][1]
-        levels.append((reach + step, ranked(rank * np.int64(len(rank)) + np.concatenate([rank[step:], np.zeros(step, np.int64)]))))
+        levels.append((reach + step, ranked(rank * np.int64(n + 1) + np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])[:n])))
         reach += step
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         length = np.where(levels[-1][1][a] == levels[-1][1][b], cap, 0)
         open_ = np.flatnonzero(length < cap)
-        a, b = a[open_], b[open_]
+        a, b, found = a[open_], b[open_], length[open_]
         for size, rank in levels[-2::-1]:
-            fits = length[open_] + size <= cap
-            skip = np.where(fits, length[open_], 0)
-            length[open_] += np.where(fits & (rank[a + skip] == rank[b + skip]), size, 0)
-        for _ in range(8):  # under 8 bytes are left; at one that differs, length stays
-            length[open_] += (length[open_] < cap) & (padded[a + length[open_]] == padded[b + length[open_]])
+            x, y = np.minimum(a + found, n - 1), np.minimum(b + found, n - 1)
+            found += np.where((np.maximum(a, b) + found < n) & (found + size <= cap) & (rank[x] == rank[y]), size, 0)
+        length[open_] = found
         return length
 
-    return levels[-1][1][:n], common
+    return levels[-1][1], common
 
 
 def nearest(place: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -229,55 +223,131 @@ def cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(lists, ROW).select("doc_id", *ROW, "text", "wanted").mapInArrow(apply, out)
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """The rows by :func:`order`, as an Arrow function needs it."""
+    keys = [(c, "ascending") for c in ("doc_id", *ROW, "at")]
+    return rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_end")).combine_chunks()
+
+
+def runs_batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*ROW, "begin", "end"])
+
+
+def ranges_of(least: int) -> tuple[list[int], int]:
+    """Where ranges of offsets begin that together hold all offsets of runs around an anchor, and how many offsets each has."""
+    span = least - gram_of(least) + 1
+    width = -(-span // PARTS)
+    return sorted({*range(0, span - width, width), span - width}), width
+
+
+STRETCH = ["doc_id", *ROW, "at", "core", "left", "right"]
+
+
+def narrowed(rows: pa.Table, least: int, later: bool) -> tuple[pa.RecordBatch, pa.Table]:
+    """Of one anchor's contexts the stretches that equal another's (file, row, begin, end), and those that
+    share their core with unequal ones, for the suffix array (doc_id, file, row, at, core, left, right).
+
+    A stretch holds the runs of a range of offsets: what all of them share, its core, with
+    fewer bytes to its left and right than the range has offsets.  Equal stretches go into
+    the array once, as the first of them.
+    """
+    rows = in_order(rows)
+    lows, width = ranges_of(least)
+    at, begin, end, n = (rows[c].to_pylist() for c in ("at", "begin", "end", "n"))
+    data = rows["bytes"].to_pylist()
+    same, unlike = [], []
+    for low in lows:
+        cores: dict[int, dict[tuple[bytes, bytes], list[int]]] = defaultdict(dict)
+        for i, (p, x, y, text) in enumerate(zip(at, begin, end, data, strict=True)):
+            a, b = max(p - low - width + 1, x), min(p - low + least, y)
+            if b - a >= least:  # then some run lies in the context, and the core in that run
+                c, d = p - low, p - low - width + 1 + least
+                cores[xxhash.xxh3_64_intdigest(text[c - x : d - x])].setdefault((text[a - x : c - x], text[d - x : b - x]), []).append(i)
+        for core, wholes in cores.items():
+            for (left, right), equal in wholes.items():
+                if len(equal) > 1 or n[equal[0]] > 1:
+                    c, d = -low - len(left), least - low - width + 1 + len(right)
+                    same += [(i, at[i] + c, at[i] + d) for i in (equal if later else equal[1:])]
+                if len(wholes) > 1:
+                    unlike.append((equal[0], at[equal[0]] - low, core, left, right))
+    i, a, b = zip(*same, strict=True) if same else ((), (), ())
+    covered = runs_batch(*(rows[c].take(pa.array(i, pa.int64())).combine_chunks() for c in ROW), a, b)
+    i, a, core, left, right = zip(*unlike, strict=True) if unlike else ((), (), (), (), ())
+    of = pa.array(i, pa.int64())
+    parts = [pa.array(a, pa.int64()), pa.array(core, pa.uint64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+    return covered, pa.Table.from_arrays([*[rows[c].take(of).combine_chunks() for c in ("doc_id", *ROW)], *parts], names=STRETCH)
+
+
 def runs_of(held: pa.Table, least: int, later: bool) -> pa.RecordBatch:
-    """(file, row, begin, end) of what repeats an earlier run (or, with ``later``, any other) of these contexts' texts."""
-    rows = held.take(pc.sort_indices(held, sort_keys=[(c, "ascending") for c in ("doc_id", *ROW)], null_placement="at_end")).combine_chunks()
-    file, row, begin, end = (rows[c].to_numpy() for c in (*ROW, "begin", "end"))
-    text = np.frombuffer(b"".join(rows["bytes"].to_pylist()), np.uint8)
+    """(file, row, begin, end) of what repeats an earlier run (or, with ``later``, any other) of these stretches.
+
+    In the suffix array's text a core is one letter, so a run is as many letters as its
+    range has offsets.
+    """
+    if not len(held):
+        return runs_batch([], [], [], [])
+    width = ranges_of(least)[1]
+    rows = in_order(held)
+    file, row, core_at = (rows[c].to_numpy() for c in (*ROW, "at"))
+    left, right = (np.array(pc.binary_length(rows[c]).to_numpy(), np.int64) for c in ("left", "right"))
+    size = left + 1 + right
+    begin = np.cumsum(size) - size
+    text = np.zeros(size.sum(), np.int64)
+    is_core = np.zeros(len(text), bool)
+    is_core[begin + left] = True
+    text[is_core] = 256 + np.unique(rows["core"].to_numpy(), return_inverse=True)[1]
+    text[~is_core] = np.frombuffer(b"".join(x for both in zip(rows["left"].to_pylist(), rows["right"].to_pylist(), strict=True) for x in both), np.uint8)
     number = np.cumsum((np.diff(file, prepend=file[:1]) != 0) | (np.diff(row, prepend=row[:1]) != 0))  # of the document, in order
-    starts = end - begin - least + 1  # of runs, in each context
+    starts = size - width + 1  # of runs, in each stretch
     inside = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-    at = np.repeat(np.cumsum(end - begin) - (end - begin), starts) + inside
-    place = np.repeat((number << 40) + begin, starts) + inside
-    hit = np.flatnonzero(factors(text, at, place, least, later) >= least)
+    at = np.repeat(begin, starts) + inside
+    place = np.repeat((number << 40) + core_at - left, starts) + inside
+    hit = np.flatnonzero(factors(text, at, place, width, later) >= width)
     if not len(hit):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=[*ROW, "begin", "end"])
+        return runs_batch([], [], [], [])
     first, past = merged(place[hit], place[hit] + least)  # places of documents lie far apart
     own, begin = np.searchsorted(number, first >> 40), first & ((1 << 40) - 1)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (file[own], row[own], begin, begin + past - first)], names=[*ROW, "begin", "end"])
+    return runs_batch(file[own], row[own], begin, begin + past - first)
 
 
 def matched(pieces: DataFrame, least: int, later: bool) -> DataFrame:
     """(file, row, begin, end) of repeated runs: a suffix array for each lot of anchors."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        lot: list[pa.Table] = []
+        group: list[pa.RecordBatch] = []  # of one anchor, whose contexts may go on in the next batch
         size, last = 0, None
         for batch in batches:
-            anchor, sizes = batch["anchor"].to_numpy(), batch["end"].to_numpy() - batch["begin"].to_numpy()
+            anchor = batch["anchor"].to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
-                if size >= LOT_BYTES and anchor[a] != last:  # an anchor's contexts may go on in the next batch
-                    yield runs_of(pa.Table.from_batches(held), least, later)
-                    held, size = [], 0
-                held.append(batch.slice(a, b - a))
-                size, last = size + int(sizes[a:b].sum()), anchor[a]
-        if held:
-            yield runs_of(pa.Table.from_batches(held), least, later)
-
-    dealt = pieces.select("anchor", "doc_id", *ROW, "begin", "end", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+                if group and anchor[a] != last:
+                    same, unlike = narrowed(pa.Table.from_batches(group), least, later)
+                    yield same
+                    lot.append(unlike)
+                    group, size = [], size + len(unlike) * ranges_of(least)[1] * 2
+                    if size >= LOT:
+                        yield runs_of(pa.concat_tables(lot), least, later)
+                        lot, size = [], 0
+                group.append(batch.slice(a, b - a))
+                last = anchor[a]
+        if group:
+            same, unlike = narrowed(pa.Table.from_batches(group), least, later)
+            yield same
+            yield runs_of(pa.concat_tables([*lot, unlike]), least, later)
+
+    dealt = pieces.select("anchor", "doc_id", *ROW, "n", "at", "begin", "end", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(apply, StructType(longs(*ROW, "begin", "end")))
 
 
-def parted(pieces: DataFrame, least: int, within: int, width: int) -> DataFrame:
+def parted(pieces: DataFrame, least: int, width: int) -> DataFrame:
     """A row for each context and range of ``width`` offsets: what all runs at these offsets share (``core``) and all that they cover (``whole``), as hashes.
 
-    A run's offset is the number of its bytes before the anchor.  ``offsets`` lists where
-    the ranges of ``within`` offsets begin that are cut into those of ``width``.
+    A run's offset is the number of its bytes before the anchor; ``lows`` lists where the
+    ranges begin.
     """
-    span = least - gram_of(least) + 1
     kept = ["doc_id", "anchor", "context", "n", *ROW, "at"]
     out = StructType([*[pieces.schema[c] for c in kept], *longs("low", "begin", "end", "whole"), StructField("core", BinaryType())])
 
@@ -285,12 +355,11 @@ def parted(pieces: DataFrame, least: int, within: int, width: int) -> DataFrame:
         for batch in batches:
             found = []
             for i in range(len(batch)):
-                anchor, at, begin, end, data, offsets = (batch[c][i].as_py() for c in ("anchor", "at", "begin", "end", "bytes", "offsets"))
-                for low in (x for o in offsets for x in range(o, min(o + within, span), width)):
-                    high = min(low + width, span) - 1
-                    a, b = max(at - high, begin), min(at - low + least, end)
-                    if b - a >= least:  # then some run lies in the context, and the core in that run
-                        core = data[at - low - begin : at - high + least - begin]
+                anchor, at, begin, end, data, lows = (batch[c][i].as_py() for c in ("anchor", "at", "begin", "end", "bytes", "lows"))
+                for low in lows:
+                    a, b = max(at - low - width + 1, begin), min(at - low + least, end)
+                    if b - a >= least:
+                        core = data[at - low - begin : at - low - width + 1 + least - begin]
                         found.append((i, low, a, b, xxhash.xxh3_64_intdigest(data[a - begin : b - begin]), xxhash.xxh3_128_digest(b"%d %d %s" % (anchor, low, core))))
             if found:
                 source, low, a, b, whole, core = zip(*found, strict=True)
@@ -334,12 +403,12 @@ def repeated_runs(texts: DataFrame, least: int, later: bool) -> DataFrame:
     hot = pieces.where("hot")
     if hot.isEmpty():
         return runs
-    span = least - gram_of(least) + 1
-    width = -(-span // PARTS)
-    ranges = materialize(parted(hot.withColumn("offsets", F.array(F.lit(0).cast("long"))), least, span, width), "ranges")
+    lows, width = ranges_of(least)
+    ranges = materialize(parted(hot.withColumn("lows", F.array(*[F.lit(x).cast("long") for x in lows])), least, width), "ranges")
     equal, differ = shared(ranges, later)
-    narrow = hot.join(differ.groupBy("anchor", "context").agg(F.collect_list("low").alias("offsets")), ["anchor", "context"])
-    single = materialize(parted(narrow, least, width, 1), "offsets")
+    offsets = F.explode(F.sequence("low", F.col("low") + width - 1)).alias("offset")
+    narrow = differ.select("anchor", "context", offsets).groupBy("anchor", "context").agg(F.collect_set("offset").alias("lows"))
+    single = materialize(parted(hot.join(narrow, ["anchor", "context"]), least, 1), "offsets")
     return runs.unionByName(equal).unionByName(shared(single, later)[0])
 
 
