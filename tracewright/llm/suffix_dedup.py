@@ -27,10 +27,13 @@ from tracewright.llm.exact_dedup import located
 
 LEAST = 400
 #: Positions of a text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2^64
 #: Letters after which a suffix array is closed.
 LOT = 1 << 19
+#: Rows whose results are handed on together, and bytes after which they are.
+ROWS_AT_ONCE = 1000
+BYTES_AT_ONCE = 1 << 22
 #: Contexts of an anchor that one suffix array takes; an anchor with more is parted by offset.
 GROUP = 1024
 #: Ranges into which the offsets of runs around an anchor are cut.
@@ -189,7 +192,7 @@ def contexts(texts: DataFrame, least: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(least)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, len(b), ROWS_AT_ONCE)):
             held, source = [], []
             for i, (file, row, text) in enumerate(zip(batch["file"].to_pylist(), batch["row"].to_pylist(), batch["text"], strict=True)):
                 data = text.as_py()
@@ -214,11 +217,16 @@ def cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for i in range(len(batch)):
                 text, own = batch["text"][i].as_py(), batch["wanted"][i].values
-                row = pa.array(np.zeros(len(own), np.int64))
                 pieces = [text[b:e] for b, e in zip(own.field("begin").to_pylist(), own.field("end").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch[c].slice(i, 1).take(row) for c in ("doc_id", *ROW)], *[own.field(c) for c in (*numbers, "hot")], pa.array(pieces, pa.binary())], names=out.names)
+                row = pa.array(np.zeros(len(own), np.int64))
+                held.append(pa.RecordBatch.from_arrays([*[batch[c].slice(i, 1).take(row) for c in ("doc_id", *ROW)], *[own.field(c) for c in (*numbers, "hot")], pa.array(pieces, pa.binary())], names=out.names))
+                size += sum(map(len, pieces))
+                if size >= BYTES_AT_ONCE or i == len(batch) - 1:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
 
     return texts.join(lists, ROW).select("doc_id", *ROW, "text", "wanted").mapInArrow(apply, out)
 
@@ -436,24 +444,35 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         texts, _ = located(docs, id_column, text_column, in_place, new_path(spark, "texts", keep=True))
         texts = texts.select("doc_id", F.xxhash64("path").alias("file"), "row", F.col("text").cast("binary").alias("text"))
         runs = repeated_runs(texts, least, keep == "none")
-        lists = materialize(runs.groupBy(*ROW).agg(F.collect_list(F.struct("begin", "end")).alias("runs")), "runs", keep=True)
-
-    out = StructType([texts.schema["doc_id"], *longs("n_bytes"), StructField("removed", RUNS), StructField("kept", BinaryType())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begins, ends, offsets, kept, sizes = [], [], [0], [], []
-            for text, own in zip(batch["text"], batch["runs"], strict=True):
-                data = text.as_py()
-                sizes.append(len(data))
-                if own.is_valid:
-                    a, b = merged(*(own.values.field(c).to_numpy() for c in ("begin", "end")))
-                    begins.append(a)
-                    ends.append(b)
-                    data = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
-                offsets.append(offsets[-1] + (len(begins[-1]) if own.is_valid else 0))
-                kept.append(data)
-            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (begins, ends)], names=["begin", "end"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs), pa.array(kept, pa.binary())], names=out.names)
-
-    return texts.join(lists, ROW, "left").select("doc_id", "text", "runs").mapInArrow(apply, out)
+        lists = runs.groupBy(*ROW).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+        removed = materialize(lists.select(*ROW, merged_runs("runs").alias("removed")), "removed", keep=True)
+    found = texts.join(removed, ROW, "left")
+    some = F.col("removed").isNotNull()  # only these texts go to Python
+    return found.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("removed", F.array().cast(RUNS)).alias("removed"),
+        F.when(some, without(F.when(some, F.col("text")), F.col("removed"))).otherwise(F.col("text")).alias("kept"),
+    )
+
+
+@F.arrow_udf(RUNS)
+def merged_runs(lists: pa.Array) -> pa.Array:
+    found = [merged(*(own.values.field(c).to_numpy() for c in ("begin", "end"))) for own in lists]
+    runs = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a, _ in found])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(runs, names=["begin", "end"]))
+
+
+@F.arrow_udf(BinaryType())
+def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    """The texts without the bytes in their runs; null for null."""
+
+    def rest(text: pa.Scalar, own: pa.Scalar) -> bytes | None:
+        if not text.is_valid:
+            return None
+        data, runs = text.as_py(), own.values
+        begins, ends = (runs.field(c).to_pylist() for c in ("begin", "end"))
+        return b"".join(data[x:y] for x, y in zip([0, *ends], [*begins, len(data)], strict=True))
+
+    return pa.array([rest(t, r) for t, r in zip(texts, removed, strict=True)], pa.binary())
