@@ -446,14 +446,16 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         runs = repeated_runs(texts, least, keep == "none")
         lists = runs.groupBy(*ROW).agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
         removed = materialize(lists.select(*ROW, merged_runs("runs").alias("removed")), "removed", keep=True)
-    found = texts.join(removed, ROW, "left")
-    some = F.col("removed").isNotNull()  # only these texts go to Python
-    return found.select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.coalesce("removed", F.array().cast(RUNS)).alias("removed"),
-        F.when(some, without(F.when(some, F.col("text")), F.col("removed"))).otherwise(F.col("text")).alias("kept"),
-    )
+    found = texts.join(removed, ROW, "left").withColumn("removed", F.coalesce("removed", F.array().cast(RUNS)))
+    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "removed", without(F.col("text"), F.col("removed")).alias("kept"))
+
+
+def without(text: Column, removed: Column) -> Column:
+    """The bytes outside the runs: slices between them, joined as Latin-1, which has a letter for each byte."""
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(removed, lambda r: r["end"]))
+    ends = F.concat(F.transform(removed, lambda r: r["begin"]), F.array(F.octet_length(text).cast("long")))
+    letters = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(text, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "ISO-8859-1"))
+    return F.when(F.size(removed) == 0, text).otherwise(F.encode(F.array_join(letters, ""), "ISO-8859-1"))
 
 
 @F.arrow_udf(RUNS)
@@ -462,17 +464,3 @@ def merged_runs(lists: pa.Array) -> pa.Array:
     runs = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2
     offsets = np.concatenate([[0], np.cumsum([len(a) for a, _ in found])])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(runs, names=["begin", "end"]))
-
-
-@F.arrow_udf(BinaryType())
-def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
-    """The texts without the bytes in their runs; null for null."""
-
-    def rest(text: pa.Scalar, own: pa.Scalar) -> bytes | None:
-        if not text.is_valid:
-            return None
-        data, runs = text.as_py(), own.values
-        begins, ends = (runs.field(c).to_pylist() for c in ("begin", "end"))
-        return b"".join(data[x:y] for x, y in zip([0, *ends], [*begins, len(data)], strict=True))
-
-    return pa.array([rest(t, r) for t, r in zip(texts, removed, strict=True)], pa.binary())
