@@ -248,42 +248,52 @@ def ranges_of(least: int) -> tuple[list[int], int]:
     return sorted({*range(0, span - width, width), span - width}), width
 
 
-STRETCH = ["doc_id", *ROW, "at", "core", "left", "right"]
-
-
-def narrowed(rows: pa.Table, least: int, later: bool) -> tuple[pa.RecordBatch, pa.Table]:
-    """Of one anchor's contexts the stretches that equal another's (file, row, begin, end), and those that
-    share their core with unequal ones, for the suffix array (doc_id, file, row, at, core, left, right).
-
-    A stretch holds the runs of a range of offsets: what all of them share, its core, with
-    fewer bytes to its left and right than the range has offsets.  Equal stretches go into
-    the array once, as the first of them.
-    """
-    rows = in_order(rows)
-    lows, width = ranges_of(least)
-    at, begin, end, n = (rows[c].to_pylist() for c in ("at", "begin", "end", "n"))
-    data = rows["bytes"].to_pylist()
-    same, unlike = [], []
-    for low in lows:
-        cores: dict[int, dict[tuple[bytes, bytes], list[int]]] = defaultdict(dict)
-        for i, (p, x, y, text) in enumerate(zip(at, begin, end, data, strict=True)):
-            a, b = max(p - low - width + 1, x), min(p - low + least, y)
-            if b - a >= least:  # then some run lies in the context, and the core in that run
-                c, d = p - low, p - low - width + 1 + least
-                cores[xxhash.xxh3_64_intdigest(text[c - x : d - x])].setdefault((text[a - x : c - x], text[d - x : b - x]), []).append(i)
-        for core, wholes in cores.items():
-            for (left, right), equal in wholes.items():
-                if len(equal) > 1 or n[equal[0]] > 1:
-                    c, d = -low - len(left), least - low - width + 1 + len(right)
-                    same += [(i, at[i] + c, at[i] + d) for i in (equal if later else equal[1:])]
-                if len(wholes) > 1:
-                    unlike.append((equal[0], at[equal[0]] - low, core, left, right))
-    i, a, b = zip(*same, strict=True) if same else ((), (), ())
-    covered = runs_batch(*(rows[c].take(pa.array(i, pa.int64())).combine_chunks() for c in ROW), a, b)
-    i, a, core, left, right = zip(*unlike, strict=True) if unlike else ((), (), (), (), ())
-    of = pa.array(i, pa.int64())
-    parts = [pa.array(a, pa.int64()), pa.array(core, pa.uint64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-    return covered, pa.Table.from_arrays([*[rows[c].take(of).combine_chunks() for c in ("doc_id", *ROW)], *parts], names=STRETCH)
+#: A context as a tuple.
+CONTEXT = ["doc_id", *ROW, "n", "at", "begin", "end", "bytes"]
+
+
+class Lot:
+    """What contexts of several anchors give: runs known to repeat, and stretches for one suffix array."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.shape = pa.schema([("doc_id", id_type), *[(c, pa.int64()) for c in (*ROW, "at")], ("core", pa.uint64()), ("left", pa.binary()), ("right", pa.binary())])
+        self.same: list[tuple] = []
+        self.unlike: list[tuple] = []
+
+    def take_in(self, rows: list[tuple], least: int, later: bool) -> None:
+        """One anchor's contexts, in order.  Stretches that equal another's are runs; those that share their core with unequal ones are left to the suffix array.
+
+        A stretch holds the runs of a range of offsets: what all of them share, its core, with
+        fewer bytes to its left and right than the range has offsets.  Equal stretches go
+        into the array once, as the first of them.
+        """
+        lows, width = ranges_of(least)
+        for low in lows:
+            cores: dict[int, dict[tuple[bytes, bytes], list[tuple]]] = defaultdict(dict)
+            for row in rows:
+                _, _, _, _, at, begin, end, data = row
+                a, b = max(at - low - width + 1, begin), min(at - low + least, end)
+                if b - a >= least:  # then some run lies in the context, and the core in that run
+                    c, d = at - low, at - low - width + 1 + least
+                    cores[xxhash.xxh3_64_intdigest(data[c - begin : d - begin])].setdefault((data[a - begin : c - begin], data[d - begin : b - begin]), []).append(row)
+            for core, wholes in cores.items():
+                for (left, right), equal in wholes.items():
+                    first = equal[0]
+                    if len(equal) > 1 or first[3] > 1:
+                        c, d = -low - len(left), least - low - width + 1 + len(right)
+                        self.same += [(r[1], r[2], r[4] + c, r[4] + d) for r in (equal if later else equal[1:])]
+                    if len(wholes) > 1:
+                        self.unlike.append((*first[:3], first[4] - low, core, left, right))
+
+    def full(self, least: int) -> bool:
+        return 2 * ranges_of(least)[1] * len(self.unlike) >= LOT or len(self.same) >= LOT
+
+    def runs(self, least: int, later: bool) -> Iterator[pa.RecordBatch]:
+        if self.same:
+            yield runs_batch(*zip(*self.same, strict=True))
+        if self.unlike:
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.unlike, strict=True), self.shape.types, strict=True)]
+            yield runs_of(pa.Table.from_arrays(columns, schema=self.shape), least, later)
 
 
 def runs_of(held: pa.Table, least: int, later: bool) -> pa.RecordBatch:
@@ -292,8 +302,6 @@ def runs_of(held: pa.Table, least: int, later: bool) -> pa.RecordBatch:
     In the suffix array's text a core is one letter, so a run is as many letters as its
     range has offsets.
     """
-    if not len(held):
-        return runs_batch([], [], [], [])
     width = ranges_of(least)[1]
     rows = in_order(held)
     file, row, core_at = (rows[c].to_numpy() for c in (*ROW, "at"))
@@ -322,31 +330,24 @@ def matched(pieces: DataFrame, least: int, later: bool) -> DataFrame:
     """(file, row, begin, end) of repeated runs: a suffix array for each lot of anchors."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot: list[pa.Table] = []
-        group: list[pa.RecordBatch] = []  # of one anchor, whose contexts may go on in the next batch
-        size, last = 0, None
+        lot = None
+        group: list[tuple] = []  # of one anchor, whose contexts may go on in the next batch
+        last = None
         for batch in batches:
-            anchor = batch["anchor"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if group and anchor[a] != last:
-                    same, unlike = narrowed(pa.Table.from_batches(group), least, later)
-                    yield same
-                    lot.append(unlike)
-                    group, size = [], size + len(unlike) * ranges_of(least)[1] * 2
-                    if size >= LOT:
-                        yield runs_of(pa.concat_tables(lot), least, later)
-                        lot, size = [], 0
-                group.append(batch.slice(a, b - a))
-                last = anchor[a]
-        if group:
-            same, unlike = narrowed(pa.Table.from_batches(group), least, later)
-            yield same
-            yield runs_of(pa.concat_tables([*lot, unlike]), least, later)
-
-    dealt = pieces.select("anchor", "doc_id", *ROW, "n", "at", "begin", "end", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+            lot = lot or Lot(batch["doc_id"].type)
+            for anchor, *row in zip(*(batch[c].to_pylist() for c in ("anchor", *CONTEXT)), strict=True):
+                if anchor != last:
+                    lot.take_in(group, least, later)
+                    group, last = [], anchor
+                    if lot.full(least):
+                        yield from lot.runs(least, later)
+                        lot = Lot(batch["doc_id"].type)
+                group.append(tuple(row))
+        if lot:
+            lot.take_in(group, least, later)
+            yield from lot.runs(least, later)
+
+    dealt = pieces.select("anchor", *CONTEXT).repartition("anchor").sortWithinPartitions("anchor", order())
     return dealt.mapInArrow(apply, StructType(longs(*ROW, "begin", "end")))
 
 
