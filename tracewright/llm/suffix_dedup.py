@@ -31,8 +31,9 @@ SLICE = 1 << 18
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2^64
 #: Letters after which a suffix array is closed.
 LOT = 1 << 19
-#: Rows whose results are handed on together, and bytes after which they are.
+#: Rows whose results are handed on together, results, and bytes after which they are.
 ROWS_AT_ONCE = 1000
+FOUND_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 22
 #: Contexts of an anchor that one suffix array takes; an anchor with more is parted by offset.
 GROUP = 1024
@@ -370,11 +371,12 @@ def parted(pieces: DataFrame, least: int, width: int) -> DataFrame:
                     if b - a >= least:
                         core = data[at - low - begin : at - low - width + 1 + least - begin]
                         found.append((i, low, a, b, xxhash.xxh3_64_intdigest(data[a - begin : b - begin]), xxhash.xxh3_128_digest(b"%d %d %s" % (anchor, low, core))))
-            if found:
-                source, low, a, b, whole, core = zip(*found, strict=True)
-                take = pa.array(source)
-                hashes = pa.array(np.array(whole, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*[batch[c].take(take) for c in kept], pa.array(low), pa.array(a), pa.array(b), hashes, pa.array(core, pa.binary())], names=out.names)
+                if len(found) >= FOUND_AT_ONCE or found and i == len(batch) - 1:
+                    source, low, a, b, whole, core = zip(*found, strict=True)
+                    take = pa.array(source)
+                    hashes = pa.array(np.array(whole, np.uint64).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([*[batch[c].take(take) for c in kept], pa.array(low), pa.array(a), pa.array(b), hashes, pa.array(core, pa.binary())], names=out.names)
+                    found = []
 
     return pieces.mapInArrow(apply, out)
 
