@@ -47,7 +47,7 @@ def mixed_rows(seed, n, least):
 
 
 @pytest.mark.parametrize("keep", ["first", "none"])
-@pytest.mark.parametrize("least, group, lot", [(400, 1024, 1 << 19), (40, 1024, 1), (40, 3, 1 << 19), (9, 2, 100), (2, 1024, 1 << 19)])
+@pytest.mark.parametrize("least, group, lot", [(400, 1 << 14, 1 << 19), (40, 1 << 14, 1), (40, 3, 1 << 19), (9, 2, 100), (2, 1 << 14, 1 << 19)])
 def test_runs_match_every_run_by_its_bytes(make_docs, odd_rows, monkeypatch, least, group, lot, keep):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "LOT", lot)

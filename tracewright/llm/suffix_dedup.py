@@ -11,6 +11,7 @@ and the next larger one its longest later match.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -36,7 +37,7 @@ ROWS_AT_ONCE = 1000
 FOUND_AT_ONCE = 10_000
 BYTES_AT_ONCE = 1 << 22
 #: Contexts of an anchor that one suffix array takes; an anchor with more is parted by offset.
-GROUP = 1024
+GROUP = 1 << 14
 #: Ranges into which the offsets of runs around an anchor are cut.
 PARTS = 8
 
@@ -415,12 +416,17 @@ def repeated_runs(texts: DataFrame, least: int, later: bool) -> DataFrame:
     if hot.isEmpty():
         return runs
     lows, width = ranges_of(least)
-    ranges = materialize(parted(hot.withColumn("lows", F.array(*[F.lit(x).cast("long") for x in lows])), least, width), "ranges")
-    equal, differ = shared(ranges, later)
-    offsets = F.explode(F.sequence("low", F.col("low") + width - 1)).alias("offset")
-    narrow = differ.select("anchor", "context", offsets).groupBy("anchor", "context").agg(F.collect_set("offset").alias("lows"))
-    single = materialize(parted(hot.join(narrow, ["anchor", "context"]), least, 1), "offsets")
-    return runs.unionByName(equal).unionByName(shared(single, later)[0])
+    rows = hot.withColumn("lows", F.array(*[F.lit(x).cast("long") for x in lows]))
+    while True:  # what shares a core with unequal ones is parted more finely, until runs are told apart one by one
+        equal, differ = shared(materialize(parted(rows, least, width), "ranges"), later)
+        runs = runs.unionByName(equal)
+        if width == 1:
+            return runs
+        finer = 1 if width <= 5 else math.isqrt(width)
+        last = F.col("low") + width - finer
+        starts = F.explode(F.array_union(F.sequence("low", last, F.lit(finer).cast("long")), F.array(last))).alias("start")
+        rows = hot.join(differ.select("anchor", "context", starts).groupBy("anchor", "context").agg(F.collect_set("start").alias("lows")), ["anchor", "context"])
+        width = finer
 
 
 def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, keep: str = "first", in_place: bool = False) -> DataFrame:
