@@ -1,52 +1,96 @@
-"""Shapes and sizes of JSON values: what is kept of content is its structure alone."""
+"""Shapes and sizes of JSON values: what is kept of content is its structure alone.
+
+Values are variants.  A variant keeps what a number's spelling says of its type (1.0 is a
+decimal, 1 an integer), which JSON text written from it no longer does.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import hmac
+import json
+from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, VariantVal
+
+
+@F.arrow_udf(StringType())
+def last_keys(texts: pa.Array) -> pa.Array:
+    """JSON in which each object has each key once, with the value that came last; null for what isn't JSON."""
+
+    def once(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, allow_nan=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([once(t) for t in texts.to_pylist()], pa.string())
+
+
+def parsed(text: Column) -> Column:
+    """Variant of a JSON text, null where it is none or larger than a variant may be.
+
+    Spark refuses objects that repeat a key; such texts, and no others, are rewritten in
+    Python first, so that the last of equal keys stands.
+    """
+    plain = F.try_parse_json(text)
+    return F.coalesce(plain, F.try_parse_json(last_keys(F.when(plain.isNull(), text))))
+
+
+def kind_of(value: Column) -> Column:
+    """The variant's type as ``schema_of_variant`` names it, without what it holds: STRING, BIGINT, DECIMAL, OBJECT ..."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+
 
+def string_of(value: Column) -> Column:
+    """A variant's string, null for any other type."""
+    return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-def type_code(json: Column) -> Column:
-    """Code of a JSON text's value: b, s and its length, i, f, n, a or o and its size, or ?.
 
-    Lengths count code points.  Numbers with a point or an exponent are f.
+def type_code(value: Column) -> Column:
+    """Code of a variant: b, s and its length, i, f, n, a or o and its size, or ?; n for null.
+
+    Lengths count code points.  Numbers that are spelled with a point or an exponent are f;
+    so are integers of over 38 digits.
     """
-    text = F.trim(json)
-    first = F.substring(text, 1, 1)
-    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
+    kind = kind_of(value)
+    number = F.try_variant_get(value, "$", "decimal(38,0)")
+    beyond_long = F.rlike(F.schema_of_variant(value), F.lit(r",0\)$")) & (F.abs(number) > F.lit(2**63 - 1).cast("decimal(38,0)"))
     return (
-        F.when(json.isNull() | (text == "null"), "n")
-        .when(text.isin("true", "false"), "b")
-        .when(first == '"', F.concat(F.lit("s"), F.length(unquoted)))
-        .when(first == "[", F.concat(F.lit("a"), F.json_array_length(text)))
-        .when(first == "{", F.concat(F.lit("o"), F.size(F.json_object_keys(text))))
-        .when(F.rlike(text, F.lit(r"^-?\d+$")), "i")
-        .when(F.rlike(text, F.lit(r"^-?\d")), "f")
+        F.when(value.isNull() | (kind == "VOID"), "n")
+        .when(kind == "BOOLEAN", "b")
+        .when(kind == "STRING", F.concat(F.lit("s"), F.length(F.try_variant_get(value, "$", "string"))))
+        .when(kind == "ARRAY", F.concat(F.lit("a"), F.size(F.try_variant_get(value, "$", "array<variant>"))))
+        .when(kind == "OBJECT", F.concat(F.lit("o"), F.size(F.try_variant_get(value, "$", "map<string,variant>"))))
+        .when(kind == "BIGINT", "i")
+        .when(kind == "DECIMAL", F.when(F.coalesce(beyond_long, F.lit(False)), "i").otherwise("f"))
+        .when(kind.isin("DOUBLE", "FLOAT"), "f")
         .otherwise("?")
     )
 
 
-def args_shape(json: Column) -> Column:
+def args_shape(value: Column) -> Column:
     """``key:code`` of an object's entries in key order, joined by commas; another value's
     bare code; null for null."""
-    entries = F.from_json(json, "map<string,variant>")
-    coded = F.transform(F.map_entries(entries), lambda e: F.struct(e["key"].alias("k"), type_code(F.to_json(e["value"])).alias("c")))
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    coded = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), type_code(e["value"]).alias("c")))
     joined = F.array_join(F.transform(F.array_sort(coded), lambda e: F.concat(e["k"], F.lit(":"), e["c"])), ",")
-    return F.when(json.isNull(), None).when(F.substring(F.trim(json), 1, 1) == "{", joined).otherwise(type_code(json))
+    return F.when(value.isNull(), None).when(kind_of(value) == "OBJECT", joined).otherwise(type_code(value))
 
 
-def content_chars(json: Column) -> Column:
-    """Characters of message content: a string's length, or the summed lengths of the
-    ``text``, ``thinking`` and string ``content`` of a list's blocks; else 0."""
-    blocks = F.from_json(json, "array<struct<text:string,thinking:string,content:variant>>")
-    size = lambda b: F.coalesce(F.length(b["text"]), F.lit(0)) + F.coalesce(F.length(b["thinking"]), F.lit(0)) + F.when(F.schema_of_variant(b["content"]) == "STRING", F.length(F.try_variant_get(b["content"], "$", "string"))).otherwise(0)
-    total = F.aggregate(blocks, F.lit(0), lambda t, b: t + F.coalesce(size(b), F.lit(0)))
-    text = F.trim(json)
-    plain = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
-    return F.when(F.substring(text, 1, 1) == '"', F.length(plain)).when(F.substring(text, 1, 1) == "[", F.coalesce(total, F.lit(0))).otherwise(0).cast("long")
+def content_chars(value: Column) -> Column:
+    """Characters of message content: a string's length, or the summed lengths of a list's
+    strings and of the string ``text``, ``thinking`` and ``content`` of its objects; else 0."""
+    length = lambda x: F.coalesce(F.length(string_of(x)), F.lit(0))
+    field = lambda x, name: length(F.try_variant_get(x, f"$.{name}", "variant"))
+    size = lambda x: F.when(kind_of(x) == "OBJECT", field(x, "text") + field(x, "thinking") + field(x, "content")).otherwise(length(x))
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    total = F.aggregate(parts, F.lit(0), lambda t, x: t + F.coalesce(size(x), F.lit(0)))
+    return F.when(kind_of(value) == "STRING", length(value)).when(kind_of(value) == "ARRAY", F.coalesce(total, F.lit(0))).otherwise(0).cast("long")
 
 
 def keyed_token(text: str | None, salt: str) -> str | None:
@@ -64,6 +108,27 @@ def token(value: Column, salt: str) -> Column:
     return keyed(value)
 
 
-def exact_signature(json: Column) -> Column:
-    """Signature that is equal where JSON objects are equal, whatever their key order."""
-    return F.when(json.isNotNull(), F.concat(F.lit("x"), F.substring(F.sha2(F.to_json(F.try_parse_json(json)).cast("binary"), 256), 1, 20)))
+@F.arrow_udf(StringType())
+def exact_signature(values: pa.Array) -> pa.Array:
+    """Signature that is equal where variants are equal, whatever their key order; 1 and 1.0 differ at any depth.  Null for null.
+
+    Spark's own text of a variant drops a decimal's zeros and a list's schema mixes its
+    members' types, so this reads the variants.
+    """
+
+    def plain(v: object) -> object:
+        if isinstance(v, dict):
+            return {k: plain(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [plain(x) for x in v]
+        if isinstance(v, Decimal):
+            return float(v) if v.as_tuple().exponent < 0 else int(v)
+        return v
+
+    def sign(v: dict | None) -> str | None:
+        if v is None:
+            return None
+        text = json.dumps(plain(VariantVal(v["value"], v["metadata"]).toPython()), sort_keys=True)
+        return "x" + hashlib.sha256(text.encode()).hexdigest()[:20]
+
+    return pa.array([sign(v) for v in values.to_pylist()], pa.string())

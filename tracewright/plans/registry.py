@@ -170,16 +170,9 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(day, ["user_id", "event_type", "day"], ["event_id"]).select("event_id", "user_id", "event_type", "day")
 
 
-def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewright.functions.shapes import args_shape
-
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy(args_shape(F.col("props")).alias("shape")).agg(F.count("*").alias("n"))
-
-
 def _varied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of values of every type, written around each event's own."""
-    from tracewright.functions.shapes import args_shape
+    from tracewright.functions.shapes import args_shape, parsed
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     value, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 7
@@ -193,7 +186,30 @@ def _varied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, around("-", "e2"))
         .otherwise("{}")
     )
-    return e.groupBy(args_shape(json).alias("shape")).agg(F.count("*").alias("n"))
+    return e.select(parsed(json).alias("v")).groupBy(args_shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+def _spelled_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes, sizes and signatures that hang on how a value is spelled: whole floats, repeated keys, bare strings among blocks."""
+    from tracewright.functions.shapes import args_shape, content_chars, exact_signature, parsed
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 8
+    around = lambda before, after: F.concat(F.lit(before), value, F.lit(after))
+    json = (
+        F.when(kind == 0, around('{"a": ', ".0}"))
+        .when(kind == 1, around('{"a": "x", "a": ', "}"))
+        .when(kind == 2, around('{"deep": {"x": 1, "x": ', "}}"))
+        .when(kind == 3, around('["', '", {"text": "de", "content": 5, "thinking": "f"}, null, 7, ["no"]]'))
+        .when(kind == 4, around('[{"text": 5}, {"content": "', '"}]'))
+        .when(kind == 5, around('"', '"'))
+        .when(kind == 6, around('{"big": 1234567890123456789', ', "e": 1e2}'))
+        .otherwise(around('{"a": ', ', "b": [1.0]}'))
+    )
+    other = F.when(kind == 0, around('{"a": ', "}")).when(kind == 7, around('{"b": [1.00], "a": ', "}")).otherwise(json)
+    rows = e.select(parsed(json).alias("v"), parsed(other).alias("w"))
+    same = exact_signature(F.col("v")) == exact_signature(F.col("w"))
+    return rows.groupBy(args_shape(F.col("v")).alias("shape"), content_chars(F.col("v")).alias("chars"), same.alias("same")).agg(F.count("*").alias("n"))
 
 
 def _mixed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,12 +588,17 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     **{f"policy_select_{p}": (_select(p), _select_sql(p)) for p in workload.POLICIES},
     # shapes
     "dedup_first_wins": (_dedup, "select event_id, user_id, event_type, ms // 86400000 as day from base qualify row_number() over (partition by user_id, event_type, ms // 86400000 order by event_id) = 1"),
-    "args_shape": (_shapes, "select 'k:i' as shape, count(*) as n from events"),
     "args_shape_varied": (
         _varied_shapes,
         """with v as (select event_id % 7 as i, length(props->>'$.k') as l from events)
         select case i when 0 then 'a3' when 1 then 's' || l when 2 then 'a:n,b:b,z:f' when 3 then 'n' when 4 then '-:i,deep:o2,s:s' || (l + 3) when 5 then 'f' else '' end as shape, count(*) as n from v group by 1""",
     ),
+    "args_shape_spelling": (
+        _spelled_shapes,
+        """with v as (select event_id % 8 as i, length(props->>'$.k') as l from events)
+        select case i when 0 then 'a:f' when 1 then 'a:i' when 2 then 'deep:o1' when 3 then 'a5' when 4 then 'a2' when 5 then 's' || l when 6 then 'big:i,e:f' else 'a:i,b:a1' end as shape,
+               cast(case i when 3 then l + 3 when 4 then l when 5 then l else 0 end as bigint) as chars, i <> 0 as same, count(*) as n from v group by all""",
+    ),
     "shape_vs_exact_bracket": (
         _bracket,
         """with s as (select count(*) as n from documents group by length(text)), e as (select count(*) as n from documents group by text)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.shapes import args_shape, content_chars, keyed_token, token
+from tracewright.functions.shapes import args_shape, content_chars, keyed_token, parsed, token
 from tracewright.schema import SCHEMA_VERSION, Trace, event_schema
 
 #: The transcript format's line types, system subtypes, and final statuses.
@@ -49,8 +49,8 @@ def _true(path: str, of: str = "v") -> Column:
     return F.coalesce((F.schema_of_variant(value) == "BOOLEAN") & F.try_variant_get(F.col(of), f"$.{path}", "boolean"), F.lit(False))
 
 
-def _json(path: str, of: str = "v") -> Column:
-    return F.to_json(F.try_variant_get(F.col(of), f"$.{path}", "variant"))
+def _value(path: str, of: str = "v") -> Column:
+    return F.try_variant_get(F.col(of), f"$.{path}", "variant")
 
 
 def _millis(path: str) -> Column:
@@ -83,7 +83,7 @@ def read_metas(spark: SparkSession, root: str) -> DataFrame:
     """One row per agent meta file; unreadable ones have null fields."""
     raw = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "agent-*.meta.json").option("wholetext", True).load(root)
     pattern = r"^([^/]+)/([^/]+)/subagents/(?:(.*)/)?agent-([^/]+)\.meta\.json$"
-    rows = raw.select(_relative(root).alias("file"), F.try_parse_json("value").alias("v")).where(F.rlike("file", F.lit(pattern)))
+    rows = raw.select(_relative(root).alias("file"), parsed(F.col("value")).alias("v")).where(F.rlike("file", F.lit(pattern)))
     folder = F.substring_index(F.regexp_extract("file", pattern, 3), "/", -1)
     return rows.select(
         F.regexp_extract("file", pattern, 1).alias("project_dir"),
@@ -125,10 +125,11 @@ class Export:
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed lines without re-appended copies, with the number of lines and copies of
-    the file; lines that aren't JSON objects)."""
-    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    the file; lines that aren't JSON objects).  Of a key that an object repeats the last
+    value stands; a line beyond a variant's size is a parse error."""
+    read = lines.withColumn("v", parsed(F.col("value")))
     is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
-    good = parsed.where(is_object).drop("value").withColumns(
+    good = read.where(is_object).drop("value").withColumns(
         {
             "type": _text("type"),
             "uuid": _text("uuid"),
@@ -141,7 +142,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = good.withColumn("_first", F.col("uuid").isNull() | (by_uuid == 1))
     by_op = F.row_number().over(Window.partitionBy("file", is_op & F.col("_first"), F.coalesce("op", F.lit("?")), "ts").orderBy("line"))
     numbered = numbered.withColumn("_op_first", ~(is_op & F.col("_first")) | (by_op == 1))
-    return numbered, parsed.where(~is_object).select("file", "line", F.lit("parse_error").alias("kind"), F.lit("").alias("key"))
+    return numbered, read.where(~is_object).select("file", "line", F.lit("parse_error").alias("kind"), F.lit("").alias("key"))
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
@@ -222,7 +223,7 @@ def match_tools(blocks: DataFrame) -> DataFrame:
         F.struct(
             "ts",
             F.coalesce(F.nullif(_get("name", of="b"), F.lit("")), F.lit("?")).alias("name"),
-            F.coalesce(args_shape(_json("input", "b")), F.lit("n")).alias("args_shape"),
+            F.coalesce(args_shape(_value("input", "b")), F.lit("n")).alias("args_shape"),
             F.col("uuid").alias("api_uuid"),
             F.try_variant_get("_line", "$.message.id", "string").alias("api_message_id"),
             _true("input.run_in_background", "b").alias("background"),
@@ -240,7 +241,7 @@ def match_tools(blocks: DataFrame) -> DataFrame:
         F.lit("result").alias("kind"),
         F.lit(None).cast(uses.schema["use"].dataType).alias("use"),
         _true("is_error", "b").alias("is_error"),
-        F.coalesce(content_chars(_json("content", "b")), F.lit(0)).alias("result_chars"),
+        F.coalesce(content_chars(_value("content", "b")), F.lit(0)).alias("result_chars"),
     )
     order = Window.partitionBy("file", "id").orderBy("line", "block")
     both = uses.unionByName(results).where("id is not null")
@@ -296,7 +297,7 @@ def find_prompts(lines: DataFrame) -> DataFrame:
         "ts",
         "uuid",
         _get("parentUuid").alias("parent_uuid"),
-        F.coalesce(content_chars(_json("message.content")), F.lit(0)).alias("text_chars"),
+        F.coalesce(content_chars(_value("message.content")), F.lit(0)).alias("text_chars"),
         _text("origin").alias("origin"),
         _true("isSidechain").alias("sidechain"),
     )
@@ -309,7 +310,7 @@ def find_marks(lines: DataFrame) -> dict[str, DataFrame]:
     return {
         "turn": system.where("subtype = 'turn_duration'").select(*at, _get("durationMs", "bigint").alias("duration_ms"), _get("messageCount", "bigint").alias("message_count"), _get("pendingBackgroundAgentCount", "bigint").alias("pending_background_agents")),
         "compact": system.where("subtype = 'compact_boundary'").select(*at, _text("compactMetadata.trigger").alias("trigger"), _get("compactMetadata.preTokens", "bigint").alias("pre_tokens")),
-        "queue_op": lines.where("type = 'queue-operation' and ts is not null").select(*at, "op", F.coalesce(content_chars(_json("content")), F.lit(0)).alias("content_chars")),
+        "queue_op": lines.where("type = 'queue-operation' and ts is not null").select(*at, "op", F.coalesce(content_chars(_value("content")), F.lit(0)).alias("content_chars")),
     }
 
 
