@@ -35,6 +35,11 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return f"{around[-1] if around else shared_dir(spark) + '/tracewright'}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any of Hadoop's file systems, if it exists."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
