@@ -156,6 +156,13 @@ def test_page_order_and_closing_match_a_walk_to_the_root():
             assert not ends or not up or up.tag not in ends.split()
 
 
+def test_time_grows_with_a_tag_name():
+    for page in ("<article><p>text, text</p></article><" + "b" * 100_000, "<b" * 50_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 3
+
+
 @pytest.mark.parametrize("part", ["<div>some text, here", "<b></i>x", "<p><li><h1>x", "<a '\">x", "<p><span>y<h1>z", "<div class='ad'>x", "<ul><li>a, b"])
 def test_time_grows_with_the_page(part):
     main_text(part * 100)

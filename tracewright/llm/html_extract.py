@@ -56,7 +56,7 @@ OPENS = {tag: [(r, tag in r[0].split()) for r in RULES if tag in r[0].split() or
 #: Ancestors that a paragraph passes points to, its own container included.
 LEVELS = 6
 
-TAG = r"<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{})>"
+TAG = r"<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>{})>"
 TOKENS = (
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
