@@ -21,12 +21,14 @@ from tracewright.llm.common import joined, materialize, scratch, text_of
 BITS = 18
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 6000
-#: Bound of the different features of one training text.
-SAMPLE_FEATURES = 8192
+#: Bound of the vectors that the learner holds, in feature ids of 8 bytes each with its value.
+SAMPLE_IDS = 1 << 24
 EPOCHS = 4
 #: Bound of the words whose hashes a worker remembers.
 REMEMBERED = 200_000
 WORDS = 1 << 16
+#: Training texts whose vectors are handed on together.
+ROWS_AT_ONCE = 100
 
 ALPHA, BETA, L1, L2, SCALE = 1.0, 1.0, 0.005, 0.1, 8.0
 
@@ -93,24 +95,19 @@ def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> tup
 
 
 def example(text: str) -> tuple[bytes, bytes]:
-    """(feature ids, values) of a training text; of over :data:`SAMPLE_FEATURES` different
-    features those stay whose mixed ids are smallest, the same ids of every text."""
+    """(feature ids, values) of a training text, all of them: at most ``2**BITS`` and the bias."""
     ids, counts = np.unique(feature_ids(text), return_counts=True)
-    if len(ids) > SAMPLE_FEATURES:
-        mixed = ids.astype(np.uint32) * np.uint32(2654435761) % np.uint32(1 << BITS)
-        few = np.sort(np.argpartition(mixed, SAMPLE_FEATURES)[:SAMPLE_FEATURES])
-        ids, counts = ids[few], counts[few]
     values = SCALE * counts / max(1, counts.sum())
     return np.append(ids, 1 << BITS).astype(np.int32).tobytes(), np.append(values, 1.0).astype(np.float32).tobytes()
 
 
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, float]:
-    """(weights, bias) learned from about :data:`SAMPLE_ROWS` labelled ids.
+    """(weights, bias) learned from about :data:`SAMPLE_ROWS` labelled ids, fewer where their
+    vectors together pass :data:`SAMPLE_IDS`.
 
     Ids are drawn by hash; one that is labelled both ways doesn't teach, and of several
-    rows of one id the text with the smallest hash does.  Texts become vectors of bounded
-    size where they are read; one task learns from these and returns the weights that
-    aren't zero.
+    rows of one id the text with the smallest hash does.  Texts become vectors where they
+    are read; one task learns from these and returns the weights that aren't zero.
     """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     with scratch(docs.sparkSession):
@@ -124,8 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
 
         def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [example(t) for t in batch["text"]]
-                yield pd.DataFrame({"label": batch["label"], "ids": [f[0] for f in found], "vals": [f[1] for f in found]})
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.iloc[at : at + ROWS_AT_ONCE]
+                    found = [example(t) for t in part["text"]]
+                    yield pd.DataFrame({"label": part["label"], "lot": part["lot"], "ids": [f[0] for f in found], "vals": [f[1] for f in found]})
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             examples = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), int(r.label)) for batch in batches for r in batch.itertuples(index=False)]
@@ -133,8 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
             at = np.flatnonzero(w)
             yield pd.DataFrame({"id": np.append(at, 1 << BITS).astype(np.int32), "weight": np.append(w[at], bias).astype(np.float32)})
 
-        rows = sample.mapInPandas(vectors, "label int, ids binary, vals binary")
-        found = rows.repartition(1).sortWithinPartitions("label", "ids", "vals").mapInPandas(learn, "id int, weight float").toPandas()
+        lot = (F.pmod(F.xxhash64("id", F.lit("lot")), F.lit(1 << 40)) / float(1 << 40)).alias("lot")
+        rows = materialize(sample.select("label", "text", lot).mapInPandas(vectors, "label int, lot double, ids binary, vals binary"), "vectors")
+        size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        found = rows.where(F.col("lot") < SAMPLE_IDS * 4 / max(1, size)).drop("lot").repartition(1).sortWithinPartitions("label", "ids", "vals").mapInPandas(learn, "id int, weight float").toPandas()
     w = np.zeros((1 << BITS) + 1, np.float32)
     w[found["id"]] = found["weight"]
     return w[:-1], float(w[-1])
