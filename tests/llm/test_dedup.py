@@ -3,11 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tracewright.llm import simhash
+from tracewright.llm import exact_dedup, simhash
 from tracewright.llm.common import materialize
 from tracewright.llm.exact_dedup import content, drop_duplicates, find_duplicates, located, sha256
 
@@ -42,6 +43,29 @@ def test_equal_digests_are_told_apart_by_their_bytes(make_docs):
     assert Counter(map(tuple, weak.select("doc_id", "keep_id", "group_size", "kept").collect())) == want
 
 
+def test_a_failed_batch_that_is_run_again_counts_once(make_docs, tmp_path, monkeypatch):
+    rows = [(i, prose(i % 7, 20)) for i in range(30)]
+    first, second = make_docs(rows[:15]), make_docs(rows[15:])
+    state = f"file://{tmp_path}/state"
+    find_duplicates(first, state=state, batch="1").collect()
+    stream = exact_dedup.run_stream
+
+    def fails_before(*_):
+        raise OSError("lost")
+
+    def fails_after(*arguments):
+        stream(*arguments)
+        raise OSError("lost")
+
+    for failing in (fails_before, fails_after):
+        monkeypatch.setattr(exact_dedup, "run_stream", failing)
+        with pytest.raises(OSError, match="lost"):
+            find_duplicates(second, state=state, batch="2")
+    monkeypatch.setattr(exact_dedup, "run_stream", stream)
+    found = find_duplicates(second, state=state, batch="2").select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert Counter(map(tuple, found)) == Counter(x[:4] for x in want_exact_list(rows)[15:])
+
+
 def test_later_batches_meet_the_digests_of_earlier_ones(spark, make_docs, tmp_path):
     """Two calls with one state folder tell what one call over both batches tells of the second."""
     draw = np.random.default_rng(9)

@@ -20,9 +20,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, new_path, scratch, text_of
-from tracewright.storage import remove
+from tracewright.storage import exists, remove
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Files that one micro-batch takes in.
@@ -47,7 +48,8 @@ def located(docs: DataFrame, id_column: str, text_column: str, in_place: bool, f
             return docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), path, row), text_column
         except AnalysisException:  # not a scan of Parquet files
             pass
-    docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).write.parquet(folder)
+    if not exists(docs.sparkSession, f"{folder}/_SUCCESS"):  # a batch that is run again keeps its locators
+        docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).write.mode("overwrite").parquet(folder)
     return docs.sparkSession.read.parquet(folder).select("doc_id", "text", path, row), "text"
 
 
@@ -95,20 +97,28 @@ def run_stream(spark: SparkSession, reader: DataStreamReader, source: str, into:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def take_in(spark: SparkSession, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+def take_in(spark: SparkSession, rows: DataFrame, folder: str, batch: str) -> tuple[DataFrame, DataFrame]:
     """Run (digest, doc_id, path, row) through the state in ``folder``: the rows as they
     arrived, with ``file`` for the path, and those of their digests that two rows or more
-    share, with keep_id, group_size and the locator of the row that stays."""
-    arrivals, updates = f"{folder}/arrivals/{uuid.uuid4().hex}", f"{folder}/updates"
-    rows.select("digest", "doc_id", F.xxhash64("path").alias("file"), "row").write.parquet(arrivals)
-    arrived = spark.read.parquet(arrivals)
-    shape = keyed_state(arrived).schema
-    history = spark.read.schema(shape.add("batch", "long"))
-    spark.createDataFrame([], keyed_state(arrived).schema).write.mode("ignore").parquet(f"{updates}/batch=-1")
-    seen = history.parquet(updates).agg(F.max("batch")).first()[0]
-    reader = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).option("recursiveFileLookup", "true")
+    share, with keep_id, group_size and the locator of the row that stays.
+
+    Arrivals are written under the batch's name, and when they stand a mark that says after
+    which update.  A call that finds the mark is the retry of one that failed: it takes in
+    nothing again.
+    """
+    arrivals, mark, updates = f"{folder}/arrivals/{batch}", f"{folder}/begun/{batch}", f"{folder}/updates"
+    shape = rows.select("digest", "doc_id", F.lit(0).cast("long").alias("file"), "row").schema
+    state = keyed_state(spark.createDataFrame([], shape)).schema
+    spark.createDataFrame([], state).write.mode("ignore").parquet(f"{updates}/batch=-1")
+    history = spark.read.schema(StructType([*state, StructField("batch", LongType())]))
+    if not exists(spark, f"{mark}/_SUCCESS"):
+        rows.select("digest", "doc_id", F.xxhash64("path").alias("file"), "row").write.mode("overwrite").parquet(arrivals)
+        history.parquet(updates).agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("after")).write.mode("overwrite").parquet(mark)
+    after = spark.read.parquet(mark).first()["after"]
+    arrived = spark.read.schema(shape).parquet(arrivals)
+    reader = spark.readStream.schema(shape).option("maxFilesPerTrigger", FILES_PER_TRIGGER).option("recursiveFileLookup", "true")
     run_stream(spark, reader, f"{folder}/arrivals", updates, f"{folder}/checkpoint")
-    fresh = history.parquet(updates).where(F.col("batch") > F.lit(-1 if seen is None else seen))
+    fresh = history.parquet(updates).where(F.col("batch") > after)
     values = F.struct("keep_id", "group_size", "file", "row")
     latest = fresh.groupBy("digest").agg(F.max_by(values, "batch").alias("last")).select("digest", "last.*")
     return arrived, materialize(latest.where("group_size > 1"), "repeated", keep=True)
@@ -121,7 +131,7 @@ def content(rows: DataFrame, folder: str) -> DataFrame:
     """
     spark = rows.sparkSession
     paths = defaultdict(set)
-    for r in joined(spark.read.parquet(f"{folder}/files"), rows.select("file").distinct(), "file", "left_semi").select("path", "text_column").distinct().toLocalIterator():
+    for r in joined(spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/files"), rows.select("file").distinct(), "file", "left_semi").select("path", "text_column").distinct().toLocalIterator():
         paths[r.text_column].add(unquote(r.path))
     found = [
         spark.read.schema(f"`{column}` string").parquet(*sorted(files)).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of(f"`{column}`").alias("stored"))
@@ -145,7 +155,7 @@ def collisions(texts: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
 
 
 def find_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest: Callable[[Column], Column] = sha256, in_place: bool = False, state: str | None = None
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest: Callable[[Column], Column] = sha256, in_place: bool = False, state: str | None = None, batch: str | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, keep_id, group_size, kept.
 
@@ -158,16 +168,17 @@ def find_duplicates(
     there; then these are the content's place.  With ``state``, a folder that all executors
     share, the call is one batch of many: ids and sizes count the rows of earlier batches
     too, and a row of those may be the one that stays.  Files that locators name must last
-    as long as the state.
+    as long as the state.  ``batch`` names the call's rows there: a call that failed may be
+    made again under its name, with the same rows, and counts them once.
     """
-    spark = docs.sparkSession
+    spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
     with scratch(spark):
         folder = state or new_path(spark, "dedup", keep=True)
-        texts, stored_as = located(docs, id_column, text_column, in_place, f"{folder}/content/{uuid.uuid4().hex}")
+        texts, stored_as = located(docs, id_column, text_column, in_place, f"{folder}/content/{batch}")
         texts = texts.withColumn("digest", digest(F.col("text")))
         files = texts.select(F.xxhash64("path").alias("file"), "path", F.lit(stored_as).alias("text_column")).distinct()
-        files.write.mode("append").parquet(f"{folder}/files")
-        arrived, groups = take_in(spark, texts.select("digest", "doc_id", "path", "row"), folder)
+        files.write.mode("overwrite").parquet(f"{folder}/files/{batch}")
+        arrived, groups = take_in(spark, texts.select("digest", "doc_id", "path", "row"), folder, batch)
         clash = materialize(collisions(texts, groups, folder), "collisions", keep=True)
         found = joined(arrived, groups, "digest", "left").select(
             "doc_id",
