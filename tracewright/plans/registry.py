@@ -170,6 +170,26 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(day, ["user_id", "event_type", "day"], ["event_id"]).select("event_id", "user_id", "event_type", "day")
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.functions.shapes import args_shape, parsed
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(parsed(F.col("props")).alias("v")).groupBy(args_shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+def _long_short_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tool's error rate of calls of a minute and over against its shorter ones, with p."""
+    from tracewright.functions.stats import significant, two_proportion_z, two_sided_p
+    from tracewright.sources.bridge import trace
+
+    calls = trace(spark, sf_dir).tool_calls.where("duration_ms is not null")
+    long = F.col("duration_ms") >= 60_000
+    sides = {"long": long, "short": ~long}
+    counts = calls.groupBy("name").agg(*[c for s, on in sides.items() for c in (F.count_if(on & F.col("is_error")).alias(f"{s}_n"), F.count_if(on).alias(f"{s}_of"))])
+    tested = counts.select("name", two_proportion_z(*[F.col(c) for c in ("long_n", "long_of", "short_n", "short_of")]).alias("z"))
+    return tested.select("name", F.round("z", 6).alias("z"), F.round(two_sided_p(F.col("z")), 6).alias("p"), significant(F.col("z")).alias("significant"))
+
+
 def _varied_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of values of every type, written around each event's own."""
     from tracewright.functions.shapes import args_shape, parsed
@@ -320,6 +340,14 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         count(*) filter (duration_ms < 60000 and is_error) as short_n, count(*) filter (duration_ms < 60000) as short_of from tool_calls where duration_ms is not null)
         select *, round({_z("long_n", "long_of", "short_n", "short_of")}, 6) as z from c""",
     ),
+    "error_long_vs_short_p": (
+        _long_short_p,
+        f"""with c as (select event_type, count(*) filter (duration_ms >= 60000 and is_error) as long_n, count(*) filter (duration_ms >= 60000) as long_of,
+        count(*) filter (duration_ms < 60000 and is_error) as short_n, count(*) filter (duration_ms < 60000) as short_of from (select *, name as event_type from tool_calls) where duration_ms is not null group by 1),
+        t as (select event_type as name, {_z("long_n", "long_of", "short_n", "short_of")} as z from c)
+        select name, round(z, 6) as z, round(p, 6) as p, p < 0.05 as significant from (
+          select name, z, case when z = 0 then 1.0 else 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 150), lambda n: exp(2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2) + (2 * n + 1) * ln(abs(z) / sqrt(2))))) end as p from t)""",
+    ),
     # the long tail
     "longtail_tiers": (
         _C(study.longtail_tiers),
@@ -588,6 +616,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     **{f"policy_select_{p}": (_select(p), _select_sql(p)) for p in workload.POLICIES},
     # shapes
     "dedup_first_wins": (_dedup, "select event_id, user_id, event_type, ms // 86400000 as day from base qualify row_number() over (partition by user_id, event_type, ms // 86400000 order by event_id) = 1"),
+    "args_shape": (_shapes, "select 'k:i' as shape, count(*) as n from events"),
     "args_shape_varied": (
         _varied_shapes,
         """with v as (select event_id % 7 as i, length(props->>'$.k') as l from events)
