@@ -106,6 +106,10 @@ def random_page(draw):
     return "".join(parts)
 
 
+def ancestors(node):
+    return [node.parent, *ancestors(node.parent)] if node.parent else []
+
+
 def slow_values(found):
     """Each element's value from all paragraphs, each with all its ancestors."""
     root = found[0]
@@ -120,10 +124,12 @@ def slow_values(found):
     for node in found:
         mine = [(chain.index(node), text, links) for chain, text, links in paragraphs if node in chain]
         if mine:
-            points = html_extract.BASE_POINTS.get(node.tag, 0.0) + (10 if html_extract.FAVOURED & {*node.labels} else 0)
+            favoured = node.tag not in ("article", "main") and html_extract.FAVOURED & {*node.labels}
+            points = html_extract.BASE_POINTS.get(node.tag, 0.0) + (10 if favoured else 0)
             for depth, text, _ in mine:
-                if depth < html_extract.LEVELS:
-                    points += (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25) / {0: 1, 1: 2}.get(depth, 3 * depth)
+                chain = next(c for c, t, _ in paragraphs if t is text)
+                steps = sum(1 for n in chain[:depth] if n.tag == "article" or not any(up.tag == "article" for up in [n, *ancestors(n)]))
+                points += (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 80) / 2**steps
             values[node] = points * (1 - min(1, sum(k for _, _, k in mine) / sum(len(t) for _, t, _ in mine)))
     return values
 
@@ -137,6 +143,96 @@ def test_scores_match_a_scorer_that_asks_every_ancestor():
         assert {*scored} == {*want} and all(abs(html_extract.value(n) - want[n]) < 1e-9 for n in scored)
 
 
+def slow_text(page):
+    """The text of a page by the plain rules: every paragraph asks its ancestors."""
+    found = html_extract.parse(page)
+    weight = lambda text, links: html_extract.points_of(text) * (1 - min(1, links / len(text)))
+    seen = list(html_extract.blocks(found[0]))
+    if sum(weight(t, k) for _, t, k in seen) < html_extract.ENOUGH and any(n.names for n in found):
+        for node in found:
+            node.marks = frozenset()
+        sums = {}
+        for node, text, links in html_extract.blocks(found[0]):
+            path = []
+            for n in reversed([node, *ancestors(node)]):
+                names = {x for v in n.names.values() for x in v}
+                if names and n.tag not in ("html", "body", "main") and path[-1:] != [names]:
+                    path.append(names)
+            key = tuple(tuple(sorted(names)) for names in path)
+            sums[key] = sums.get(key, 0) + weight(text, links)
+        top = max(sums, key=lambda k: (sums[k] * html_extract.LABELLED ** len(k), not k), default=())
+        article = {x for names in top for x in names}
+        for node in found:
+            node.marks = frozenset(w for w, names in node.names.items() if not names & article)
+    values = slow_values(found)
+    if not values:
+        return "\n".join(t for _, t, _ in html_extract.blocks(found[0]))
+    best = max(values, key=lambda n: (values[n], -found.index(n)))
+    floor = max(10, values[best] / 5)
+
+    def stays(items):
+        box = html_extract.Node("div", None)
+        box.items = items
+        texts = list(html_extract.blocks(box))
+        prose = [len(t) - k for n, t, k in texts if n.tag in html_extract.TERSE or len(t) >= 80 or html_extract.PROSE.search(t)]
+        return not texts or sum(prose) > sum(len(t) for _, t, _ in texts) / 2
+
+    if best.tag in ("article", "main") and best.parent:
+        tops = [n for n in best.parent.items if not isinstance(n, str)]
+        tops = [n for n in tops if n is best or (not n.noise(False) and (values.get(n, 0) >= floor or (n.tag == "p" and stays([n]))))]
+    else:
+        for node in [best, *ancestors(best)][:-1]:
+            groups = []
+            for item in node.parent.items:
+                inline = item is not node and (isinstance(item, str) or item.tag in html_extract.INLINE)
+                if inline and groups and groups[-1][0]:
+                    groups[-1][1].append(item)
+                else:
+                    groups.append((inline, [item]))
+            kept = [g for _, g in groups if g[0] is node or (not isinstance(g[0], str) and values.get(g[0], 0) >= floor) or stays(g)]
+            node.parent.items = [item for g in kept for item in g]
+        tops = found[:1]
+    return "\n".join(t for top in tops for _, t, _ in html_extract.blocks(top))
+
+
+def test_texts_match_plain_rules():
+    draw = random.Random(9)
+    for _ in range(600):
+        page = random_page(draw)
+        assert main_text(page) == slow_text(page)
+        page = page.replace("section", "article").replace("class=post", "class=widget-text")
+        assert main_text(page) == slow_text(page)
+
+
+@pytest.mark.parametrize("name", ["page menu-open", "share-price-report", "ad-free", "login-required", "widget-text", "elementor-widget elementor-widget-text", "col notice-board"])
+def test_a_label_around_the_article_is_overruled(name):
+    page = f"<div class='menu'><ul><li><a href=/>Home</a></li></ul></div><div class='{name}'><h1>T</h1>{FIVE}<div class=comments><p>{LONG}</p></div></div><footer>x</footer>"
+    assert main_text(f"<body>{page}</body>") == f"T\n{FIVE_TEXT}"
+    parts = "".join(f"<div class='{name}'>{p}</p></div>" for p in FIVE.split("</p>")[:-1])
+    assert main_text(f"<body><div class=menu><p>Home, x</p></div>{parts}</body>") == FIVE_TEXT
+
+
+def test_a_form_around_the_page_is_overruled_and_comments_are_not():
+    assert main_text(f"<form id=aspnetForm><div>{FIVE}</div><div class=ad>Buy</div></form>") == FIVE_TEXT
+    comments = f"<div class=comments><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(f"<div><p>{LONG}</p>{comments}</div>") == LONG
+
+
+STRAY = ["Sign in", "Menu", "We use cookies. Accept", "Copyright 2020 All rights reserved", "Posted in News by admin"]
+
+
+def test_points_choose_the_container(monkeypatch):
+    pages = []
+    for tag in ("article", "div class='story'", "div", "section", "main"):
+        for around in ("body", "div", "td"):
+            stray = [f"<div>{t}</div>" for t in STRAY]
+            pages.append(f"<{around}>{stray[0]}{stray[1]}{stray[2]}<{tag}><h1>T</h1>{FIVE}</{tag.split()[0]}>{stray[3]}{stray[4]}</{around}>")
+    for page in pages:
+        assert main_text(page) == f"T\n{FIVE_TEXT}"
+    monkeypatch.setattr(html_extract, "value", lambda node: 1.0)
+    assert all(main_text(page) != f"T\n{FIVE_TEXT}" for page in pages)
+
+
 def test_page_order_and_closing_match_a_walk_to_the_root():
     """Elements are listed as a walk of the tree meets them, and a start ends what the plain rule says."""
     draw = random.Random(8)
@@ -163,7 +259,7 @@ def test_time_grows_with_a_tag_name():
         assert time.perf_counter() - began < 3
 
 
-@pytest.mark.parametrize("part", ["<div>some text, here", "<b></i>x", "<p><li><h1>x", "<a '\">x", "<p><span>y<h1>z", "<div class='ad'>x", "<ul><li>a, b"])
+@pytest.mark.parametrize("part", ["<div>some text, here", "<b></i>x", "<p><li><h1>x", "<a '\">x", "<p><span>y<h1>z", "<div class='ad'>x", "<ul><li>a, b", "<form>x", "<div class='ad menu'><div class=menu>a, b."])
 def test_time_grows_with_the_page(part):
     main_text(part * 100)
     began = time.perf_counter()

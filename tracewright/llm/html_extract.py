@@ -1,9 +1,15 @@
 """Operator 1: main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, a container's
-points are discounted by the share of its text that stands in links.  An article or main
-element is kept with those siblings that score enough beside it; where the best container
-is no such element, all that stands around it is kept but noise and lists of links.
+Paragraphs pass points for their length and commas to their ancestors, half of them with
+each step up, whole inside an article element; a container's points are discounted by the
+share of its text that stands in links.  The best container is kept with those siblings
+that score enough or read as text.  Around a container that is no article or main element
+the same is asked of what stands beside its ancestors.
+
+Elements that are never the article (nav, footer, script, ...) and hidden ones go outright.
+Labels (words in class, id, role, and a form's tag) mark noise, but each cuts the points
+below it to a tenth (:data:`LABELLED`): where little is left without labelled elements, the
+class names around most of the remaining points are taken to name the article instead.
 """
 
 from __future__ import annotations
@@ -47,14 +53,23 @@ WEAK_CHARS = 200
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 FAVOURED = frozenset("article content post entry body text story main page".split())
 BASE_POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0}
+#: A paragraph's points shrink to this share with each label around it, where labels are weighed.
+LABELLED = 0.1
+#: Points of all text outside labelled elements from which on labels stand unasked.
+ENOUGH = 20.0
+#: Least points of a kept sibling, and their least share of the best container's.
+SIBLING_POINTS, SIBLING_SHARE = 10.0, 0.2
+#: Characters from which on a text reads as such without punctuation.
+LONG_TEXT = 80
+PROSE = re.compile(r"[,;،、，；]|[.!?:…。！？।؟][\"'”»)\]]*$")
+#: Blocks that are text without punctuation.
+TERSE = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote".split())
 #: Elements whose start ends the nearest open one of the listed kinds, unless one of the second list is nearer.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 ENDS_BLOCK = ("p", "table td th li div section article main body")
 RULES = sorted({*ENDS.values(), ENDS_BLOCK})
 #: By element, the rules whose open element it becomes, or hides.
 OPENS = {tag: [(r, tag in r[0].split()) for r in RULES if tag in r[0].split() or tag in r[1].split()] for r in RULES for part in r for tag in part.split()}
-#: Ancestors that a paragraph passes points to, its own container included.
-LEVELS = 6
 
 TAG = r"<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>{})>"
 TOKENS = (
@@ -72,18 +87,20 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "labels", "marks", "hidden", "open", "score", "chars", "links", "all_chars", "all_links", "is_scored")
+    __slots__ = ("tag", "parent", "items", "labels", "names", "marks", "hidden", "open", "score", "total", "chars", "links", "all_chars", "all_links", "is_scored")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
-        self.labels, self.marks, self.hidden = [], frozenset(), False
+        self.labels, self.hidden = [], False
+        self.names: dict[str, set[str]] = {"form": {"<form>"}} if tag == "form" else {}  # by mark, the names that hold it
+        self.marks = frozenset(self.names)
         self.open: dict = parent.open if parent else {}  # by rule of ENDS, the element that the next start ends
         for rule, ends in OPENS.get(tag, ()):
             if ends or self.open.get(rule):
                 self.open = self.open | {rule: self if ends else None}
         if attrs and not attrs.isspace():
             self.read(attrs)
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.total, self.chars, self.links = 0.0, 0.0, 0, 0
         self.all_chars = self.all_links = 0
         self.is_scored = False
 
@@ -96,17 +113,22 @@ class Node:
         words = {k: [w.lower() for w in WORD.findall(found.get(k, ""))] for k in ("class", "id", "role")}
         self.labels = [w for k in found if k in words for w in words[k]]
         self.hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(found.get("style", "")))
-        named = [*words["class"], *words["role"]]
-        marks = {w for b, w in zip(["", *named], named, strict=False) if w in NOISE and b not in ("has", "no", "with", "without")}
+        before = ""
+        for name in [*found.get("class", "").split(), *found.get("role", "").split()]:
+            for word in (w.lower() for w in WORD.findall(name)):
+                if word in NOISE and before not in ("has", "no", "with", "without"):
+                    self.names.setdefault(word, set()).add(name)
+                before = word
         if self.tag not in ANCHORED and all(w in NOISE or w in LAYOUT for w in words["id"]):
-            marks |= NOISE & {*words["id"]}
-        self.marks = frozenset(marks)
+            for word in NOISE & {*words["id"]}:
+                self.names.setdefault(word, set()).add(found["id"])
+        self.marks = frozenset(self.names)
 
     def noise(self, inside_article: bool) -> bool:
         """Whether this element and all in it is left out."""
         if self.tag in ("html", "body", "main"):
             return False
-        if self.hidden or (self.tag in DROPPED and not (self.tag == "header" and inside_article)):
+        if self.hidden or (self.tag in DROPPED and self.tag != "form" and not (self.tag == "header" and inside_article)):
             return True
         if self.tag == "article" or (self.tag == "header" and inside_article):
             return bool({"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"} & self.marks)
@@ -219,32 +241,42 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
 
 def points_of(text: str) -> float:
     """A paragraph's points: one, its commas, and up to three for length; less if it is short."""
-    return (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 25)
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * min(1, len(text) / 80)
+
+
+def container_of(node: Node) -> Node:
+    """The element that a block's points go to."""
+    return node.parent or node if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else node
 
 
 def score(found: list[Node]) -> list[Node]:
     """Of a page's elements those that hold text to keep, in page order, with their points, the characters
-    of that text, and those of them in links.
+    of that text, and those of them in links; the root's ``total`` is all points outside links.
 
-    A paragraph's points go to its container, half to the next, then less and less, to
-    :data:`LEVELS` of them; characters are summed up the tree once.
+    A paragraph's points go whole to its container and on to the article element around it,
+    and by half with each other step up.  Points and characters are summed up the tree once.
     """
+    inside = set()
+    for node in found:
+        node.score, node.total, node.chars, node.links, node.is_scored = 0.0, 0.0, 0, 0, False
+        if node.tag == "article" or (node.parent in inside):
+            inside.add(node)
     for node, text, links in blocks(found[0]):
-        points, near = points_of(text), node if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else node.parent or node
+        points, near = points_of(text), container_of(node)
         near.is_scored = True
+        near.score += points
         near.chars += len(text)
         near.links += links
-        for depth in range(LEVELS):
-            near.score += points / (1 if not depth else 2 if depth == 1 else 3 * depth)
-            if not (near := near.parent):
-                break
+        found[0].total += points * (1 - min(1, links / len(text)))
     for node in reversed(found):
         if node.is_scored:
-            node.score += BASE_POINTS.get(node.tag, 0.0) + 10 * bool(FAVOURED & {*node.labels})
             if node.parent:
                 node.parent.is_scored = True
+                node.parent.score += node.score * (1 if node in inside and node.tag != "article" else 0.5)
                 node.parent.chars += node.chars
                 node.parent.links += node.links
+            favoured = node.tag not in ("article", "main") and FAVOURED & {*node.labels}
+            node.score += BASE_POINTS.get(node.tag, 0.0) + 10 * bool(favoured)
     return [node for node in found if node.is_scored]
 
 
@@ -253,32 +285,72 @@ def value(node: Node) -> float:
     return node.score * (1 - min(1, node.links / max(1, node.chars)))
 
 
+def overrule(found: list[Node]) -> bool:
+    """Take from the page's elements the marks whose names label most of its points, if
+    these, cut by :data:`LABELLED` for each label, are more than those of the text without labels.
+
+    Paragraphs meet by the path of labels around them, so the parts of an article that all
+    have the same label count together.
+    """
+    paths: dict[tuple[int, frozenset[str]], int] = {}
+    above: list[tuple[int, frozenset[str], int]] = [(0, frozenset(), 0)]  # by path: the path around it, its names, labels
+    path_of: dict[Node, int] = {}
+    for node in found:
+        around = path_of[node.parent] if node.parent else 0
+        if node.names and node.tag not in ("html", "body", "main"):
+            names = frozenset().union(*node.names.values())
+            if names != above[around][1]:
+                if (around, names) not in paths:
+                    paths[around, names] = len(above)
+                    above.append((around, names, above[around][2] + 1))
+                around = paths[around, names]
+        path_of[node] = around
+        node.marks = frozenset()
+    points: Counter = Counter()
+    for node, text, links in blocks(found[0]):
+        points[path_of[node]] += points_of(text) * (1 - min(1, links / len(text)))
+    best = max(points, key=lambda path: (points[path] * LABELLED ** above[path][2], -path), default=0)
+    article: set[str] = set()
+    at = best
+    while at:
+        article |= above[at][1]
+        at = above[at][0]
+    for node in found:
+        if node.names:
+            node.marks = frozenset(word for word, names in node.names.items() if not names & article)
+    return bool(best)
+
+
 def best_container(found: list[Node]) -> list[Node]:
     """The best container of a page's elements with its kept siblings, in page order."""
     scored = score(found)
+    if found[0].total < ENOUGH and any(node.names for node in found) and overrule(found):
+        scored = score(found)
     if not scored:
         return found[:1]
     best = max(scored, key=value)
-    up: Node | None = best
-    while up:  # an article is one container, however its parts score
-        if up.tag in ("article", "main"):
-            best = up
-            if up.tag == "article":
-                break
-        up = up.parent
     if not best.parent:
         return [best]
+    floor = max(SIBLING_POINTS, SIBLING_SHARE * value(best))
     if best.tag not in ("article", "main"):
-        return [without_link_lists(best)]
-    floor = max(10, value(best) / 5)
+        return [with_texts_around(best, floor)]
     near = [n for n in best.parent.items if isinstance(n, Node)]
-    return [n for n in near if n is best or (n.is_scored and value(n) >= floor and not n.noise(False)) or (n.tag == "p" and n.parent is best.parent and not n.noise(False))]
+    return [n for n in near if n is best or (not n.noise(False) and ((n.is_scored and value(n) >= floor) or (n.tag == "p" and reads_as_text([n]))))]
+
+
+def reads_as_text(items: list[Node | str]) -> bool:
+    """Whether most characters are of sentences, headings, lists or tables, outside links; or there are none."""
+    aside = Node("div", None)
+    aside.items = items
+    found = list(blocks(aside))
+    text = sum(len(said) - links for node, said, links in found if node.tag in TERSE or len(said) >= LONG_TEXT or PROSE.search(said))
+    return not found or 2 * text > sum(len(said) for _, said, _ in found)
 
 
-def without_link_lists(best: Node) -> Node:
+def with_texts_around(best: Node, floor: float) -> Node:
     """The page around ``best`` where no element names the article: what stands beside it,
-    or beside an element around it, goes only if it is noise or mostly links.  A run of
-    text with the inline elements in it is judged as one."""
+    or beside an element around it, stays if it has ``floor`` points or reads as text.  A run
+    of text with the inline elements in it is judged as one."""
     node = best
     while node.parent:
         groups: list[list[Node | str]] = []
@@ -293,13 +365,10 @@ def without_link_lists(best: Node) -> Node:
             run = inline
         kept: list[Node | str] = []
         for group in groups:
-            if group[0] is not node:
-                aside = Node("div", None)
-                aside.items = group
-                found = [(len(text), links) for _, text, links in blocks(aside)]
-                if 2 * sum(n for _, n in found) > sum(n for n, _ in found):
-                    continue
-            kept += group
+            first = group[0]
+            scores = isinstance(first, Node) and first.is_scored and value(first) >= floor
+            if first is node or scores or reads_as_text(group):
+                kept += group
         node.parent.items = kept
         node = node.parent
     return node
