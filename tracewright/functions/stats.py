@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.selection import half_even, nearest, select_ranks
+
 #: Fixed value: the 97.5% point of the standard normal distribution.
 Z95 = 1.959963984540054
 
@@ -133,18 +135,16 @@ def dist(column: str) -> list[Column]:
     return [F.count(column).alias("n"), zero(F.round(F.avg(column), 2)).alias("mean"), *ranks, zero(F.max(column).cast("double")).alias("max")]
 
 
-def rounded_rank(values: DataFrame, column: str, points: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Quantiles at index round-half-even(q * (n - 1)) of the sorted values: keys, pNN...
+def dist_of(values: DataFrame, column: str, *more: Column) -> DataFrame:
+    """One row: :func:`dist` of a column of any size, exactly, and aggregates ``more``; no task holds its distinct values."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    names = [f"p{round(100 * q)}" for q in POINTS]
+    sums = values.agg(F.count(column).alias("n"), zero(F.round(F.avg(column), 2)).alias("mean"), zero(F.max(column).cast("double")).alias("max"), *more)
+    ranks = select_ranks(values, column, dict(zip(names, map(nearest, POINTS), strict=True)))
+    both = sums.crossJoin(F.broadcast(ranks))  # one row each
+    return both.select("n", "mean", *[zero(F.col(p).cast("double")).alias(p) for p in names], "max", *[c for c in sums.columns if c not in ("n", "mean", "max")])
 
-    Equal values are counted first, so what is ordered in one place is a histogram of the
-    distinct values and not the rows.
-    """
-    from pyspark.sql import Window
-
-    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(*keys)
-    upto = by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select(*keys, "_v", "_c", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
-    at = [F.rint(F.lit(q) * (F.col("_n") - 1)) for q in points]
-    holds = [(i >= F.col("_upto") - F.col("_c")) & (i < F.col("_upto")) for i in at]
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(h, F.col("_v"))).alias(f"p{round(100 * q)}") for h, q in zip(holds, points, strict=True)])
+
+def rounded_rank(values: DataFrame, column: str, points: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles at index round-half-even(q * (n - 1)) of the sorted values: keys, pNN..."""
+    return select_ranks(values, column, {f"p{round(100 * q)}": half_even(q) for q in points}, keys)
