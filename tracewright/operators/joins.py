@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values that rows without a key are spread over where a shuffle goes by key.
+SPREAD = 65536
+
+
+def known_key(key: Column) -> Column:
+    """The side of a join that :func:`spread_key` meets; null where the key is."""
+    return F.concat(F.lit("k"), key)
+
+
+def spread_key(key: Column, *by: Column) -> Column:
+    """A key that joins as ``key`` does but is never null: rows without one get one of
+    :data:`SPREAD` values, by the hash of ``by``, that no key equals.
+
+    A left join sends all its null keys to one task; these go everywhere, without a second
+    scan to split them off.
+    """
+    return F.coalesce(known_key(key), F.concat(F.lit("n"), F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("string")))
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: Column, into: str) -> DataFrame:
     """``left`` with ``into``: ``value`` of the latest ``right`` row of the key at or before
     the left row's time, null where there is none.
@@ -43,10 +62,10 @@ def within_after(calls: DataFrame, marks: DataFrame, keys: list[str], at: str, w
 
 
 def last_api_calls(api_calls: DataFrame, key: str = "uuid") -> DataFrame:
-    """The last api call of each key: key and context tokens, nulls as zero."""
+    """The last api call of each key: its :func:`known_key` and context tokens, nulls as zero."""
     usage = F.col("usage")
     tokens = F.coalesce(usage["cache_read"], F.lit(0)) + F.coalesce(usage["in"], F.lit(0)) + F.coalesce(usage["cache_create"], F.lit(0))
-    return api_calls.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(tokens, "seq").alias("context_tokens"))
+    return api_calls.where(F.col(key).isNotNull()).groupBy(known_key(F.col(key)).alias("_key")).agg(F.max_by(tokens, "seq").alias("context_tokens"))
 
 
 def with_context(tool_calls: DataFrame, api_calls: DataFrame, mode: str = "strict") -> DataFrame:
@@ -57,14 +76,14 @@ def with_context(tool_calls: DataFrame, api_calls: DataFrame, mode: str = "stric
     finds calls on later lines too.
     """
     left, right = ("api_uuid", "uuid") if mode == "strict" else ("api_message_id", "message_id")
-    api = last_api_calls(api_calls, right).withColumnRenamed(right, "_key")
-    return tool_calls.join(api, F.nullif(F.col(left), F.lit("")) == F.col("_key"), "left").drop("_key")
+    key = spread_key(F.nullif(F.col(left), F.lit("")), F.col("seq"))
+    return tool_calls.join(last_api_calls(api_calls, right), key == F.col("_key"), "left").drop("_key")
 
 
 def assert_joined(tool_calls: DataFrame, api_calls: DataFrame) -> DataFrame:
     """``tool_calls`` unchanged; running it raises at a call whose api call is missing or has
     no usage."""
-    known = api_calls.groupBy("uuid").agg(F.bool_or(F.col("usage").isNotNull()).alias("_usage")).withColumnRenamed("uuid", "_key")
-    joined = tool_calls.join(known, F.col("api_uuid") == F.col("_key"), "left")
+    known = api_calls.where("uuid is not null").groupBy(known_key(F.col("uuid")).alias("_key")).agg(F.bool_or(F.col("usage").isNotNull()).alias("_usage"))
+    joined = tool_calls.join(known, spread_key(F.col("api_uuid"), F.col("id")) == F.col("_key"), "left")
     checked = F.when(F.coalesce(F.col("_usage"), F.lit(False)), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("tool call without api usage: "), F.coalesce("id", F.lit("?")))).cast("string"))
     return joined.withColumn("status", checked).drop("_key", "_usage")

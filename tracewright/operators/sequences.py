@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tracewright.operators.joins import SPREAD
 from tracewright.schema import stream_order, stream_window
 
 
@@ -84,11 +85,13 @@ def gaps_between(events: DataFrame, partition: list[str], at: str = "ts", into:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key that has no null part; rows with a null key all stay."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """The first row of each key that has no null part; rows with a null key all stay, and
+    are spread over the tasks by their place in the order."""
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
+    spread = F.when(~has_key, F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+    rank = F.row_number().over(Window.partitionBy(*keys, spread).orderBy(*order))
     return df.withColumn("_rank", rank).where(~has_key | (F.col("_rank") == 1)).drop("_rank")
 
 

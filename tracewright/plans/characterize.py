@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.stats import dist, share
+from tracewright.functions.stats import dist_of, share
 from tracewright.operators.sequences import gaps_between, with_overlap
 from tracewright.operators.topk import most_common
 from tracewright.schema import Trace
@@ -33,12 +33,13 @@ def corpus(trace: Trace) -> DataFrame:
     wall = F.when(F.col("agent").isNull(), F.col("t_end") - F.col("t_start"))
     main = lambda c: F.when(F.col("agent").isNull(), F.col(c))
     sessions = trace.sessions.withColumn("_minutes", wall / 60_000)
-    return sessions.agg(
+    return dist_of(
+        sessions,
+        "_minutes",
         F.count_if(F.col("agent").isNull()).alias("sessions"),
         F.count("agent").alias("agents"),
         F.coalesce(F.round((F.max(main("t_end")) - F.min(main("t_start"))) / 86_400_000, 1), F.lit(0.0)).alias("span_days"),
         F.coalesce(F.round(F.sum(wall) / 3_600_000, 1), F.lit(0.0)).alias("session_hours_total"),
-        *dist("_minutes"),
     )
 
 
@@ -51,12 +52,13 @@ def main_prompts(prompts: DataFrame) -> DataFrame:
 
 
 def prompts_per_session(prompts: DataFrame) -> DataFrame:
-    return main_prompts(prompts).groupBy("session").agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("prompts"), *dist("_n"))
+    per = main_prompts(prompts).groupBy("session").agg(F.count("*").alias("_n"))
+    return dist_of(per, "_n", F.coalesce(F.sum("_n"), F.lit(0)).alias("prompts"))
 
 
 def inter_arrival(prompts: DataFrame) -> DataFrame:
     """Distribution of seconds between a session's neighbouring prompts, where over zero."""
-    return gaps_between(main_prompts(prompts), ["session"]).select((F.col("gap") / 1000).alias("_s")).agg(*dist("_s"))
+    return dist_of(gaps_between(main_prompts(prompts), ["session"]).select((F.col("gap") / 1000).alias("_s")), "_s")
 
 
 def queue_ops(trace: Trace) -> DataFrame:
@@ -90,7 +92,7 @@ def tool_counts(calls: DataFrame) -> DataFrame:
 
 
 def tool_durations(calls: DataFrame) -> DataFrame:
-    return timed_calls(calls).agg(*dist("duration_ms"), F.coalesce(F.round(F.sum("duration_ms") / 3_600_000, 1), F.lit(0.0)).alias("total_hours"))
+    return dist_of(timed_calls(calls), "duration_ms", F.coalesce(F.round(F.sum("duration_ms") / 3_600_000, 1), F.lit(0.0)).alias("total_hours"))
 
 
 def by_tool(calls: DataFrame, k: int = TOP_TOOLS) -> DataFrame:
@@ -131,7 +133,7 @@ def fan_out(api_calls: DataFrame) -> DataFrame:
 
 def agents_per_session(trace: Trace) -> DataFrame:
     per = trace.sessions.where("agent is not null").groupBy("session").agg(F.count("*").alias("_n"))
-    return per.agg(*dist("_n"))
+    return dist_of(per, "_n")
 
 
 def spawn_depths(trace: Trace) -> DataFrame:
@@ -146,7 +148,7 @@ def agent_end_status(trace: Trace) -> DataFrame:
 def agent_runtime(trace: Trace) -> DataFrame:
     """Distribution of an agent's minutes, with the share that ran in the background."""
     agents = trace.sessions.where("agent is not null").withColumn("_minutes", (F.col("t_end") - F.col("t_start")) / 60_000)
-    return agents.agg(*dist("_minutes"), F.round(share(F.count_if(F.coalesce("background", F.lit(False))), F.count("*")), 3).alias("background_share"))
+    return dist_of(agents, "_minutes", F.round(share(F.count_if(F.coalesce("background", F.lit(False))), F.count("*")), 3).alias("background_share"))
 
 
 def parallel_overlap(calls: DataFrame) -> DataFrame:
@@ -159,7 +161,7 @@ def notification_lag(trace: Trace) -> DataFrame:
     """Distribution of seconds from an agent's end to notifications of it."""
     ended = trace.sessions.where("agent is not null and t_end is not null").groupBy(F.col("session").alias("_s"), F.col("agent").alias("_a")).agg(F.max_by("t_end", "seq").alias("_end"))
     lags = trace.notifications.join(ended, (F.col("session") == F.col("_s")) & (F.col("agent_ref") == F.col("_a"))).where(F.col("ts") >= F.col("_end"))
-    return lags.select(((F.col("ts") - F.col("_end")) / 1000).alias("_lag")).agg(*dist("_lag"))
+    return dist_of(lags.select(((F.col("ts") - F.col("_end")) / 1000).alias("_lag")), "_lag")
 
 
 def tokens(api_calls: DataFrame) -> DataFrame:
@@ -176,11 +178,11 @@ def cache_ratio() -> Column:
 
 def cache_read_ratio(api_calls: DataFrame) -> DataFrame:
     """Distribution of the cached share, each rounded to four digits first."""
-    return api_calls.select(F.round(cache_ratio(), 4).alias("_r")).agg(*dist("_r"))
+    return dist_of(api_calls.select(F.round(cache_ratio(), 4).alias("_r")), "_r")
 
 
 def turns(trace: Trace) -> DataFrame:
     """Distribution of a turn's seconds, and the share with background agents pending."""
     rows = trace.turns.withColumn("_s", F.col("duration_ms") / 1000)
     pending = F.count_if(F.coalesce("pending_background_agents", F.lit(0)) > 0)
-    return rows.agg(*dist("_s"), F.round(share(pending, F.count("*")), 3).alias("pending_share"))
+    return dist_of(rows, "_s", F.round(share(pending, F.count("*")), 3).alias("pending_share"))

@@ -70,15 +70,19 @@ def snapshot(trace: Trace) -> DataFrame:
         total(F.when(ms >= LONG_MS, ms)).alias("_long_ms"),
         *[total(F.when(api, F.col("usage")[k])).alias(f"tokens_{k}") for k in ("in", "out", "cache_read", "cache_create")],
     )
-    ranks = rounded_rank(trace.tool_calls, "duration_ms", POINTS).agg(*[F.coalesce(F.max(f"p{p}"), F.lit(0)).alias(f"duration_p{p}_ms") for p in (50, 95, 99)])
     known = F.col("usage.in").isNotNull() & F.col("usage.cache_read").isNotNull() & F.col("usage.cache_create").isNotNull()
     whole = F.col("usage.in") + F.col("usage.cache_read") + F.col("usage.cache_create")
-    ratios = trace.api_calls.where(known & (whole > 0)).select((F.col("usage.cache_read") / whole).alias("r"))
-    cache = rounded_rank(ratios, "r", (0.5,)).agg(F.coalesce(F.max("p50"), F.lit(0.0)).alias("cache_read_share_p50"))
-    return sums.crossJoin(ranks).crossJoin(cache).select(  # one row each
+    shares = F.when(known & (whole > 0), F.col("usage.cache_read") / whole)
+    both = F.when(call, F.struct(F.lit("duration").alias("of"), ms.cast("double").alias("v"))).when(api, F.struct(F.lit("cache").alias("of"), shares.alias("v")))
+    found = rounded_rank(events.select(both.alias("_x")).where("_x.v is not null").select("_x.of", "_x.v"), "v", POINTS, ("of",))
+    of = lambda name, p: F.max(F.when(F.col("of") == name, F.col(f"p{p}")))
+    ranks = found.agg(
+        *[F.coalesce(of("duration", p).cast("long"), F.lit(0)).alias(f"duration_p{p}_ms") for p in (50, 95, 99)],
+        F.coalesce(of("cache", 50), F.lit(0.0)).alias("cache_read_share_p50"),
+    )
+    return sums.crossJoin(ranks).select(  # one row each
         *[c for c in sums.columns if c != "_long_ms"],
         *ranks.columns,
-        "cache_read_share_p50",
         share(F.col("_long_ms"), F.col("tool_ms_total")).alias("longtail_share_60s"),
         share(F.col("unaccounted"), F.col("agents")).alias("unaccounted_rate"),
         share(F.col("unaccounted_resolvable"), F.col("resolvable_runs")).alias("unaccounted_resolvable_rate"),

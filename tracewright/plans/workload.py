@@ -13,7 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.stats import dist
+from tracewright.functions.stats import dist_of
 from tracewright.operators.joins import asof_backward
 from tracewright.operators.sequences import replay_completion
 from tracewright.schema import Trace
@@ -178,7 +178,7 @@ def fidelity(replayed: DataFrame) -> DataFrame:
     """Distribution of |replayed - traced| / traced over main turns."""
     main = replayed.where("agent is null and traced_ms > 0")
     error = F.abs(F.col("completion_ts") - F.col("arrival_ts") - F.col("traced_ms")) / F.col("traced_ms")
-    return main.select(F.round(error, 4).alias("_e")).agg(*dist("_e"))
+    return dist_of(main.select(F.round(error, 4).alias("_e")), "_e")
 
 
 def replicate(turn_rows: DataFrame, factor: int, seed: int = REPLICA_SEED) -> DataFrame:
