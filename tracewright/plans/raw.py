@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.plans import replication
 from tracewright.schema import Trace
 from tracewright.sources import rendered, trajectories, transcripts
+from tracewright.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,6 +97,12 @@ def adapted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(spark, sf_dir).trace.sessions.select("session", "agent", "t_start", "t_end", "end_status", "agent_type", "resolved", "harness_error")
 
 
+def adapted_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = materialize(_converted(spark, sf_dir).trace.events, "verdicts")  # read by five branches
+    found = replication.verdicts(Trace(log))
+    return found.withColumn("z", F.round("z", 6)).withColumn("p", F.round("p", 6))
+
+
 def adapted_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(spark, sf_dir).counters
 
@@ -123,6 +131,8 @@ acted as (select *, 'i' || user_id || '-' || chunk || ':' || response as api, ag
     case when k % 3 = 0 then 'exit_code' when k % 8 = 2 then 'editor_ERROR_prefix' when k % 8 = 4 then 'editor_no_exact_match' end as label,
     case when k % 3 = 0 then k % 7 <> 0 else k % 8 in (2, 4) end as bad from acts)"""
 SHAPE = "'big:b,k:i,none:n,note:s' || length(props) || ',run_in_background:b,tags:a' || (k % 3) || ',value:f'"
+ARGS_SHAPE = """case when k % 4 = 0 then 'command:s' || length(props) || ',n:i' when k % 4 = 1 then '_unparsed:s7' when action = 'run' then 'command:s' || length(props)
+    when action = 'edit' then 'content:s' || length(props) || ',path:s1' else 'url:s1' end"""
 MARKS = """select 'turn' as kind, file, ms as ts, null::varchar as label, d as n from raw where k % 4 = 1
     union all select 'compact', file, ms, case when k % 3 = 0 then 'auto' else 'manual' end, d from raw where k % 4 = 2
     union all select 'queue_op', file, ms, 'enqueue', length(props) from raw join ops using (event_id) where nth = 1"""
@@ -176,7 +186,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "trajectory_tool_calls": (
         adapted_calls,
         f"""with {RECORDS} select agent, agent || ':' || (2 * event_id) as id, action as name, 'fn_' || action as function_name,
-        case when k % 4 = 0 then 'command:s' || length(props) || ',n:i' when k % 4 = 1 then '_unparsed:s7' when action = 'run' then 'command:s' || length(props) when action = 'edit' then 'content:s' || length(props) || ',path:s1' else 'url:s1' end as args_shape,
+        {ARGS_SHAPE} as args_shape,
         ms as ts, case when seen then ms + d end as ts_result, case when seen then greatest(0, d) end as duration_ms, case when has_usage then api end as api_uuid, seen and bad as is_error, case when seen then length(body) else 0 end as result_chars,
         case when seen then 'matched' else 'unmatched' end as status from acted where tool""",
     ),
@@ -189,7 +199,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "trajectory_sessions": (
         adapted_sessions,
         f"""with {RECORDS} select 'events' as session, agent, min(least(ms, case when tool and seen then ms + d end)) as t_start, max(greatest(ms, case when tool and seen then ms + d end)) as t_end,
-        case when chunk % 5 = 0 then 'failed' when bool_or(action = 'finish') then 'completed' else 'killed' end as end_status, arg_min('m' || (k % 2), event_id) as agent_type, chunk % 2 = 0 as resolved, case when chunk % 5 = 0 then 'step cap' else '' end as harness_error
+        case when chunk % 5 = 0 then 'failed' when bool_or(action = 'finish') then 'completed' else 'killed' end as end_status, arg_min('m' || (k % 2), event_id) as agent_type, chunk % 2 = 0 as resolved, case when chunk % 10 = 5 then 'agent got stuck in a loop' when chunk % 5 = 0 then 'step cap' else '' end as harness_error
         from acted group by agent, chunk""",
     ),
     "trajectory_counters": (

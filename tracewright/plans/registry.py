@@ -29,6 +29,11 @@ def _z(a: str, a_of: str, b: str, b_of: str) -> str:
     return f"case when {a_of} = 0 or {b_of} = 0 or {pooled} in (0, 1) then 0.0 else ({a}::double / {a_of} - {b}::double / {b_of}) / sqrt({pooled} * (1 - {pooled}) * (1.0 / {a_of} + 1.0 / {b_of})) end"
 
 
+def _p(z: str) -> str:
+    """Two-sided p of a z to six digits: by a series, which converges for |z| <= 7, and 0 beyond."""
+    return f"case when {z} = 0 then 1.0 when abs({z}) > 7 then 0.0 else 1 - 2 / sqrt(pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 150), lambda i: exp(2 * i * ln(2) + lgamma(i + 1) - lgamma(2 * i + 2) + (2 * i + 1) * ln(abs({z}) / sqrt(2))))) end"
+
+
 def _dist(c: str) -> str:
     ranks = ", ".join(f"coalesce(quantile_disc({c}, {q}), 0)::double as p{round(100 * q)}" for q in (0.5, 0.9, 0.95, 0.99))
     return f"count({c}) as n, coalesce(round(avg({c}), 2), 0.0) as mean, {ranks}, coalesce(max({c}), 0)::double as max"
@@ -635,6 +640,18 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     ),
     # raw transcripts and trajectories
     **raw.QUERIES,
+    "trajectory_verdicts": (
+        raw.adapted_verdicts,
+        f"""with {raw.RECORDS}, calls as (select *, {raw.ARGS_SHAPE} as shape from acted where tool),
+        runs_ as (select *, row_number() over (partition by agent order by ms, event_id) - row_number() over (partition by agent, action, shape order by ms, event_id) as run from calls),
+        stuck as (select distinct agent from (select agent from runs_ group by agent, action, shape, run having count(*) >= 5)),
+        ends as (select agent, chunk % 2 = 0 as resolved, count(*) filter (tool and seen and bad) > 0 as failed, chunk % 10 = 5 as looped from acted group by agent, chunk),
+        told as (select 'stuck_run' as signal, agent in (select agent from stuck) as present, resolved from ends union all select 'tool_error', failed, resolved from ends union all select 'flagged_as_loop', looped, resolved from ends),
+        c as (select signal, present, count(*) filter (resolved) as n, count(*) as of from told group by 1, 2),
+        t as (select signal, coalesce(max(n) filter (present), 0) as n1, coalesce(max(of) filter (present), 0) as of1, coalesce(max(n) filter (not present), 0) as n0, coalesce(max(of) filter (not present), 0) as of0 from c group by 1),
+        z as (select signal, {_z("n1", "of1", "n0", "of0")} as z from t)
+        select signal, present, n, of, {_rate()}, round(z, 6) as z, round({_p("z")}, 6) as p from c join z using (signal)""",
+    ),
 }
 
 

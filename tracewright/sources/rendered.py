@@ -128,6 +128,6 @@ def trajectory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda texts: F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
     history = F.when(F.col("chunk") % 2 == 0, listed(F.flatten(pairs))).otherwise(listed(F.transform(pairs, listed)))
     instance = F.concat(F.lit("i"), F.col("user_id"), F.lit("-"), F.col("chunk"))
-    error = F.when(F.col("chunk") % 5 == 0, "step cap").otherwise("")
+    error = F.when(F.col("chunk") % 10 == 5, "agent got stuck in a loop").when(F.col("chunk") % 5 == 0, "step cap").otherwise("")
     value = F.concat(F.lit('{"instance_id":"'), instance, F.lit('","error":"'), error, F.lit('","report":{"resolved":'), (F.col("chunk") % 2 == 0).cast("string"), F.lit('},"history":'), history, F.lit("}"))
     return held.select(F.lit("events").alias("session"), F.parse_json(value).alias("v"), (F.col("user_id") * 100_000_000 + F.col("chunk")).alias("record"), instance.alias("agent"))
