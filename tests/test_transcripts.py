@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import VERSION
 from tracewright.functions.shapes import keyed_token, token
 from tracewright.sources import transcripts
 
@@ -115,6 +116,47 @@ def test_no_content_survives_and_oddities_are_listed(spark, done):
     assert m["anomalies"]["unknown_system_subtypes"] == {"brand_new": 1} and m["anomalies"]["unknown_line_types"] == {"<no type>": 1}
     assert (m["files"], m["sessions"], m["agents"], m["journals_skipped"], m["duplicate_lines"]) == (4, 1, 3, 1, 2)
     assert m["corpus_id"].startswith("t_") and len(m["corpus_id"]) == 14
+    assert m["tool_version"] == VERSION and m["versions_seen"] == ["1.0"] and m["orphan_tool_results"] == 1
+    assert m["lines_by_type"] == {"assistant": 8, "queue-operation": 1, "summary": 1, "system": 3, "user": 6}
+    assert m["events_by_type"] == {kind: len(of(done, kind)) for kind in {e["ev"] for e in done[1]}}
+
+
+def test_a_manifest_names_a_bounded_number_of_kinds(done):
+    rows = {(r["section"], r["key"]): r["n"] for r in transcripts.tallies(done[0], named=2).collect()}
+    types = {k: n for (section, k), n in rows.items() if section == "lines_by_type"}
+    assert types == {"assistant": 8, "user": 6, "<others>": 5}
+
+
+def text_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_content_is_read_once_and_never_moves(spark, done, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "s.jsonl").write_text(json.dumps(line("user", 1, "u", message={"content": "x"})) + "\n")
+    cut = transcripts.cut_lines(transcripts.read_lines(spark, str(tmp_path)))
+    assert "variant" not in cut.schema.simpleString() and "value" not in cut.columns
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan and plan.count("try_parse_json") + plan.count("parse_json(") <= 4
+    for table in (done[0].events, done[0].anomalies, done[0].counts):
+        told = text_of(table)
+        assert "text" not in [r.rsplit(" ", 1)[-1] for r in told.splitlines() if "Relation" in r]
+        assert "variant" not in told.lower()
+
+
+def test_places_of_lines_follow_the_file_through_its_splits(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    texts = [json.dumps({"type": "summary", "uuid": str(i)}) for i in range(3000)]
+    (tmp_path / "p" / "s.jsonl").write_text("\n\n".join(texts) + "\n")
+    (tmp_path / "p" / "t.jsonl").write_text("\n".join(texts[:5]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = transcripts.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 8
+        rows = lines.orderBy("file", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    assert [r.value for r in rows] == texts + texts[:5] and len({(r.file, r.line) for r in rows}) == 3005
 
 
 def test_no_plan_shows_the_salt(spark):

@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -32,7 +33,9 @@ def _print(value: dict, path: str | None) -> None:
 
 
 def _export(spark: SparkSession, root: str, out: str | None):
-    """(trace, manifest) of transcripts, written below ``out`` or where the caller's scratch is."""
+    """(trace, manifest) of transcripts, written below ``out`` or where the caller's scratch is.
+    What is written on the way goes with the scratch."""
+    started = time.monotonic()
     if not events.exists(spark, root):
         raise FileNotFoundError(f"no transcripts at {root}")
     salt = events.load_or_create_salt(SALT, os.environ.get("TRACEWRIGHT_SALT"))
@@ -43,14 +46,15 @@ def _export(spark: SparkSession, root: str, out: str | None):
     trace = events.read_table(spark, at)
     done = transcripts.Export(trace.events, done.anomalies, done.counts)
     vanished = len(listed - transcripts.list_files(spark, root))
-    manifest = transcripts.manifest(done, root, salt, datetime.now(UTC).isoformat(timespec="seconds"), transcripts.count_journals(spark, root), vanished=vanished)
+    manifest = transcripts.manifest(done, root, salt, datetime.now(UTC).isoformat(timespec="seconds"), transcripts.count_journals(spark, root), vanished=vanished, duration_s=round(time.monotonic() - started, 2))
     if out:
         events.write_manifest(spark, manifest, out)
     return trace, manifest
 
 
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
-    _, manifest = _export(spark, a.root, a.out)
+    with scratch(spark), scratch(spark):  # the narrow rows are written to keep, so into the outer one
+        _, manifest = _export(spark, a.root, a.out)
     odd = manifest["anomalies"]
     print(f"{manifest['files']} files, {sum(manifest['events_by_type'].values())} events -> {a.out}")
     if any(odd[k] for k in ("unknown_line_types", "unknown_system_subtypes")) and not a.allow_unknown:
@@ -73,7 +77,7 @@ def characterize(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def doctor(spark: SparkSession, a: argparse.Namespace) -> int:
     """Findings of a log, or of transcripts exported once on the fly and not kept."""
-    with scratch(spark):
+    with scratch(spark), scratch(spark):
         if a.traces:
             trace, manifest = events.open_log(spark, a.traces, "lenient"), events.read_manifest(spark, a.traces, True)
         else:

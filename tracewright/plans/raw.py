@@ -20,24 +20,19 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.where("_first and _op_first")
 
 
-def _blocks(kept: DataFrame, types: str) -> DataFrame:
-    return transcripts._blocks(kept.where(f"type in ({types})"))
-
-
 def _export(spark: SparkSession, sf_dir: str) -> transcripts.Export:
     return transcripts.export_lines(rendered.transcript_lines(spark, sf_dir), rendered.transcript_metas(spark, sf_dir), "salt")
 
 
 def merged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(spark, sf_dir)
-    calls = transcripts.merge_messages(kept, _blocks(kept, "'assistant'"))
+    calls = transcripts.merge_messages(_kept(spark, sf_dir))
     sizes = [F.col(f"blocks.{c}").alias(c) for c in ("text", "text_chars", "thinking_chars", "tool_use", "other")]
     tokens = [F.col(f"usage.{c}").alias(f"tokens_{c}") for c in ("in", "out", "cache_read")]
     return calls.select("file", "message_id", "uuid", "ts", "ts_last", "request_id", "model", "stop_reason", *sizes, *tokens)
 
 
 def matched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = transcripts.match_tools(_blocks(_kept(spark, sf_dir), "'assistant', 'user'").where("block_type in ('tool_use', 'tool_result')"))
+    calls = transcripts.match_tools(transcripts.tool_blocks(_kept(spark, sf_dir)))
     return calls.select("file", "id", "name", "args_shape", "ts", "ts_result", "duration_ms", "api_uuid", "api_message_id", "is_error", "result_chars", "background", "status")
 
 

@@ -152,7 +152,7 @@ def shareable(trace: Trace, manifest: dict | None = None) -> dict:
     found = findings(trace)
     by_tool = _map(doctor.time_by_shareable_tool(trace.tool_calls), "tool", "ms")
     out = {"aggregate_version": 1, **{k: found[k] for k in SHARED}, "tool_ms_by_builtin": dict(sorted(by_tool.items()))}
-    return out | {k: manifest[k] for k in ("corpus_id", "schema_version") if manifest and k in manifest}
+    return out | {k: manifest[k] for k in ("corpus_id", "schema_version", "tool_version") if manifest and k in manifest}
 
 
 @dataclass(frozen=True)

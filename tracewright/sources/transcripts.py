@@ -2,9 +2,10 @@
 
 A transcript tree holds ``<project>/<session>.jsonl`` for main threads and
 ``<project>/<session>/subagents/**/agent-<hex>.jsonl`` for agents, with a
-``agent-<hex>.meta.json`` beside each.  The export is one plan: lines are read as text and
-parsed once; re-appended lines go; messages are merged, calls matched with results, and
-runs given an outcome by windows and joins within a file or session.  Nothing of content
+``agent-<hex>.meta.json`` beside each.  Lines are read and parsed once, where they lie, and
+cut to narrow rows of ids, sizes, shapes and numbers before anything is shuffled; those are
+written to the shared folder, and re-appended lines go, messages are merged, calls matched
+with results, and runs given an outcome by windows and joins over them.  Nothing of content
 survives but shapes, sizes, ids and numbers.
 """
 
@@ -15,8 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.shapes import args_shape, content_chars, keyed_token, parsed, token
+from tracewright import VERSION
+from tracewright.functions.shapes import args_shape, content_chars, keyed_token, kind_of, parsed, token
+from tracewright.operators.ordering import running
 from tracewright.schema import SCHEMA_VERSION, Trace, event_schema
+from tracewright.storage import materialize
 
 #: The transcript format's line types, system subtypes, and final statuses.
 HANDLED_TYPES = ("user", "assistant", "system", "queue-operation")
@@ -32,25 +36,31 @@ TERMINAL = ("completed", "failed", "killed")
 
 FILE_KEY = ["project_dir", "session", "agent_hex", "file"]
 END = 1 << 40
+#: Kinds, versions and oddities that a manifest names for each of its counters; what is rarer is summed as OTHERS.
+NAMED = 1000
+OTHERS = "<others>"
+USAGE = "input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>, service_tier string, speed string"
 
 
-def _get(path: str, kind: str = "string", of: str = "v") -> Column:
-    return F.try_variant_get(F.col(of), f"$.{path}", kind)
+def _in(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
 
 
-def _text(path: str, of: str = "v") -> Column:
+def _get(path: str, kind: str = "string", of: str | Column = "v") -> Column:
+    return F.try_variant_get(_in(of), f"$.{path}", kind)
+
+
+def _text(path: str, of: str | Column = "v") -> Column:
     """A string at ``path``, null where the value is of another type."""
-    value = F.try_variant_get(F.col(of), f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(of), f"$.{path}", "string"))
+    return F.when(kind_of(_value(path, of)) == "STRING", _get(path, of=of))
 
 
-def _true(path: str, of: str = "v") -> Column:
-    value = F.try_variant_get(F.col(of), f"$.{path}", "variant")
-    return F.coalesce((F.schema_of_variant(value) == "BOOLEAN") & F.try_variant_get(F.col(of), f"$.{path}", "boolean"), F.lit(False))
+def _true(path: str, of: str | Column = "v") -> Column:
+    return F.coalesce((kind_of(_value(path, of)) == "BOOLEAN") & _get(path, "boolean", of), F.lit(False))
 
 
-def _value(path: str, of: str = "v") -> Column:
-    return F.try_variant_get(F.col(of), f"$.{path}", "variant")
+def _value(path: str, of: str | Column = "v") -> Column:
+    return _get(path, "variant", of)
 
 
 def _millis(path: str) -> Column:
@@ -66,17 +76,18 @@ def _relative(root: str) -> Column:
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """(project_dir, session, agent_hex, file, line, value): non-blank lines of transcripts.
 
-    ``line`` counts within the file, in byte order, however the file was split.
+    ``line`` is unique in the file and grows with the place in it, however the file was
+    split: a row stands behind the first byte of its split by its number in the task that
+    read it, and a split never holds more rows than bytes.  No line moves for it.
     """
     raw = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", True).load(root)
-    found = raw.select("value", _relative(root).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    found = raw.select("value", _relative(root).alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("line"))
     agent = r"^([^/]+)/([^/]+)/subagents/(?:.*/)?agent-([^/]+)\.jsonl$"
     main = r"^([^/]+)/([^/]+)\.jsonl$"
     is_agent, is_main = F.rlike("file", F.lit(agent)), F.rlike("file", F.lit(main))
     part = lambda i: F.when(is_agent, F.regexp_extract("file", agent, i)).otherwise(F.regexp_extract("file", main, i))
     kept = found.where((is_agent | is_main) & F.rlike("value", F.lit(r"\S")))
-    order = Window.partitionBy("file").orderBy("_block", "_id")
-    return kept.select(part(1).alias("project_dir"), part(2).alias("session"), F.when(is_agent, F.regexp_extract("file", agent, 3)).alias("agent_hex"), "file", F.row_number().over(order).cast("long").alias("line"), "value")
+    return kept.select(part(1).alias("project_dir"), part(2).alias("session"), F.when(is_agent, F.regexp_extract("file", agent, 3)).alias("agent_hex"), "file", "line", "value")
 
 
 def read_metas(spark: SparkSession, root: str) -> DataFrame:
@@ -123,88 +134,145 @@ class Export:
         return Trace(self.events)
 
 
-def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed lines without re-appended copies, with the number of lines and copies of
-    the file; lines that aren't JSON objects).  Of a key that an object repeats the last
-    value stands; a line beyond a variant's size is a parse error."""
-    read = lines.withColumn("v", parsed(F.col("value")))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
-    good = read.where(is_object).drop("value").withColumns(
-        {
-            "type": _text("type"),
-            "uuid": _text("uuid"),
-            "ts": _millis("timestamp"),
-            "op": _text("operation"),
-        }
+def cut_lines(lines: DataFrame) -> DataFrame:
+    """Each line as a narrow row: the columns of ``lines`` but ``value``, and what the export
+    reads of it.  ``ok`` says whether it is a JSON object.
+
+    Of a key that an object repeats the last value stands; a line beyond a variant's size
+    isn't ``ok``.
+    """
+    read = lines.withColumn("v", parsed(F.col("value"))).withColumn("type", _text("type"))
+    kind, content = F.col("type"), _value("message.content")
+    user, spoken = kind == "user", kind.isin("assistant", "user")
+    read = read.withColumn("_content", F.when(spoken, _get("message.content", "array<variant>")))
+    listed = F.array_join(F.filter(F.transform(F.from_json(F.to_json(content), "array<struct<text:string>>"), lambda p: p["text"]), lambda t: F.length(t) > 0), "\n")
+    scanned = F.when(kind_of(content) == "STRING", _get("message.content")).when(kind_of(content) == "ARRAY", listed)
+    read = read.withColumn("_bodies", F.when(user, F.regexp_extract_all(scanned, F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), F.lit(1))))
+    has_result = F.exists("_content", lambda b: _get("type", of=b) == "tool_result")
+    usage = _value("message.usage")
+    u = F.from_json(F.to_json(usage), USAGE)
+    tokens = F.struct(
+        u["input_tokens"].alias("in"),
+        u["output_tokens"].alias("out"),
+        u["cache_read_input_tokens"].alias("cache_read"),
+        u["cache_creation_input_tokens"].alias("cache_create"),
+        u["cache_creation"]["ephemeral_5m_input_tokens"].alias("cache_create_5m"),
+        u["cache_creation"]["ephemeral_1h_input_tokens"].alias("cache_create_1h"),
+        u["service_tier"].alias("service_tier"),
+        u["speed"].alias("speed"),
+    )
+    told = lambda flag: F.coalesce(flag, F.lit(False))
+    said = lambda c: F.when(kind == "assistant", c)
+    return read.select(
+        *[c for c in lines.columns if c != "value"],
+        told(kind_of(F.col("v")) == "OBJECT").alias("ok"),
+        "type",
+        _text("uuid").alias("uuid"),
+        _millis("timestamp").alias("ts"),
+        _text("operation").alias("op"),
+        _get("parentUuid").alias("parent_uuid"),
+        _true("isSidechain").alias("sidechain"),
+        *[_text(path).alias(name) for path, name in (("cwd", "cwd"), ("gitBranch", "git_branch"), ("entrypoint", "entrypoint"), ("version", "version"), ("subtype", "subtype"), ("origin", "origin"))],
+        told(kind_of(_value("message")) == "OBJECT").alias("has_message"),
+        said(_text("message.id")).alias("message_id"),
+        F.when(spoken, _get("message.id")).alias("api_message_id"),
+        said(_text("requestId")).alias("request_id"),
+        said(_text("effort")).alias("effort"),
+        said(_text("message.model")).alias("model"),
+        said(_text("message.stop_reason")).alias("stop_reason"),
+        said(F.when(kind_of(usage) == "OBJECT", tokens)).alias("usage"),
+        F.filter(F.transform("_content", lambda b, at: F.when(kind_of(b) == "OBJECT", _block(b, at))), lambda b: b.isNotNull()).alias("blocks"),
+        F.transform("_bodies", _notice).alias("notes"),
+        told(user & ~told(has_result) & ~told(F.size("_bodies") > 0) & ~_true("isMeta")).alias("is_prompt"),
+        F.when(user, F.coalesce(content_chars(content), F.lit(0))).alias("text_chars"),
+        _get("durationMs", "bigint").alias("duration_ms"),
+        _get("messageCount", "bigint").alias("message_count"),
+        _get("pendingBackgroundAgentCount", "bigint").alias("pending_background_agents"),
+        _text("compactMetadata.trigger").alias("trigger"),
+        _get("compactMetadata.preTokens", "bigint").alias("pre_tokens"),
+        F.when(kind == "queue-operation", F.coalesce(content_chars(_value("content")), F.lit(0))).alias("content_chars"),
     )
+
+
+def _block(b: Column, at: Column) -> Column:
+    """What is kept of a content block."""
+    kind = _text("type", b)
+    is_use, is_result = kind == "tool_use", kind == "tool_result"
+    said = F.when(kind == "text", F.length(_text("text", b))).when(kind == "thinking", F.length(_text("thinking", b)))
+    return F.struct(
+        at.alias("at"),
+        kind.alias("kind"),
+        F.when(is_use, _text("id", b)).when(is_result, _text("tool_use_id", b)).alias("id"),
+        F.when(is_use, F.coalesce(F.nullif(_get("name", of=b), F.lit("")), F.lit("?"))).alias("name"),
+        F.when(is_use, F.coalesce(args_shape(_value("input", b)), F.lit("n"))).alias("args_shape"),
+        F.when(is_use, _true("input.run_in_background", b)).otherwise(False).alias("background"),
+        F.when(is_result, _true("is_error", b)).otherwise(False).alias("is_error"),
+        F.coalesce(F.when(is_result, content_chars(_value("content", b))).otherwise(said.cast("long")), F.lit(0)).alias("chars"),
+    )
+
+
+def _notice(body: Column, at: Column) -> Column:
+    """What is kept of a notification's text."""
+    tag = lambda name: F.nullif(F.trim(F.regexp_extract(body, rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
+    return F.struct(at.alias("at"), F.regexp_replace(tag("task-id"), "^agent-", "").alias("agent_ref"), tag("tool-use-id").alias("tool_use_id"), tag("status").alias("status"))
+
+
+def mark_copies(cut: DataFrame) -> DataFrame:
+    """``cut`` with ``_first`` and ``_op_first``: false for what was appended again.  Lines
+    that can't be copies are partitions of their own."""
     is_op = F.coalesce(F.col("type") == "queue-operation", F.lit(False)) & F.col("ts").isNotNull()
-    by_uuid = F.row_number().over(Window.partitionBy("file", "uuid").orderBy("line"))
-    numbered = good.withColumn("_first", F.col("uuid").isNull() | (by_uuid == 1))
-    by_op = F.row_number().over(Window.partitionBy("file", is_op & F.col("_first"), F.coalesce("op", F.lit("?")), "ts").orderBy("line"))
-    numbered = numbered.withColumn("_op_first", ~(is_op & F.col("_first")) | (by_op == 1))
-    return numbered, read.where(~is_object).select("file", "line", F.lit("parse_error").alias("kind"), F.lit("").alias("key"))
+    by_uuid = Window.partitionBy("file", "uuid", F.when(F.col("uuid").isNull(), F.col("line"))).orderBy("line")
+    marked = cut.withColumn("_first", F.row_number().over(by_uuid) == 1)
+    known = is_op & F.col("_first")
+    by_op = Window.partitionBy("file", F.when(known, F.coalesce("op", F.lit("?"))), F.when(known, F.col("ts")), F.when(~known, F.col("line"))).orderBy("line")
+    return marked.withColumn("_op_first", F.row_number().over(by_op) == 1)
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Content blocks that are objects, in order."""
-    content = F.try_variant_get("v", "$.message.content", "array<variant>")
-    exploded = lines.select(*FILE_KEY, "line", "ts", "uuid", _true("isSidechain").alias("sidechain"), F.col("v").alias("_line"), F.posexplode(content).alias("block", "b"))
-    return exploded.where(F.startswith(F.schema_of_variant("b"), F.lit("OBJECT"))).withColumn("block_type", _text("type", "b"))
+def _split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return marked.where("ok"), marked.where("not ok").select("file", "line", F.lit("parse_error").alias("kind"), F.lit("").alias("key"))
 
 
-def merge_messages(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(narrow rows with their marks; lines that aren't JSON objects)."""
+    return _split(mark_copies(cut_lines(lines)))
+
+
+def merge_messages(lines: DataFrame) -> DataFrame:
     """Model calls: neighbouring assistant lines of one message id are one call.
 
     A user or system line ends a message; queue operations and ignored lines don't.  A line
     without a message object neither joins nor ends one.  A call is placed where the
     message ended.
     """
-    has_message = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.message", "variant")), F.lit("OBJECT")), F.lit(False))
     flush = F.col("type").isin("user", "system")
-    rows = lines.where(flush | ((F.col("type") == "assistant") & has_message)).withColumn("_id", F.when(F.col("type") == "assistant", _text("message.id")))
+    rows = lines.where(flush | ((F.col("type") == "assistant") & F.col("has_message")))
     order = Window.partitionBy("file").orderBy("line")
-    opens = ~flush & (F.col("_id").isNull() | ~F.lag("_id").over(order).eqNullSafe(F.col("_id")))
+    opens = ~flush & (F.col("message_id").isNull() | ~F.lag("message_id").over(order).eqNullSafe(F.col("message_id")))
     rows = rows.withColumn("_opens", opens)
     later = order.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumns({"_group": F.sum(F.col("_opens").cast("int")).over(order), "_end": F.coalesce(F.first(F.when(F.col("_opens") | flush, F.col("line")), ignorenulls=True).over(later), F.lit(END))})
-    said = rows.where(~flush)
-
-    counted = blocks.groupBy("file", "line").agg(
-        *[F.count_if(F.col("block_type") == k).alias(f"_{k}") for k in ("text", "thinking", "tool_use")],
-        F.count_if(~F.coalesce(F.col("block_type").isin("text", "thinking", "tool_use"), F.lit(False))).alias("_other"),
-        *[F.coalesce(F.sum(F.when(F.col("block_type") == k, F.length(_text(k, "b")))), F.lit(0)).alias(f"_{k}_chars") for k in ("text", "thinking")],
-    )
-    said = said.join(counted, ["file", "line"], "left")
-    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line")))
-    usage = F.try_variant_get("v", "$.message.usage", "variant")
-    has_usage = F.startswith(F.schema_of_variant(usage), F.lit("OBJECT"))
-    first = F.min_by(F.struct("ts", "uuid", _get("parentUuid").alias("parent_uuid"), _true("isSidechain").alias("sidechain")), "line")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    merged = said.groupBy(*FILE_KEY, "_group").agg(
-        first.alias("_f"),
-        F.min_by("_end", "line").alias("_line_end"),
+    of = lambda kind: F.filter("blocks", lambda b: b["kind"] == kind)
+    n = lambda blocks: F.coalesce(F.size(blocks), F.lit(0))
+    chars = lambda kind: F.aggregate(of(kind), F.lit(0).cast("long"), lambda t, b: t + b["chars"])
+    other = n(F.col("blocks")) - n(of("text")) - n(of("thinking")) - n(of("tool_use"))
+    sizes = {"text": n(of("text")), "text_chars": chars("text"), "thinking": n(of("thinking")), "thinking_chars": chars("thinking"), "tool_use": n(of("tool_use")), "other": other}
+    last = lambda name: F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line")))
+    merged = rows.where(~flush).groupBy(*FILE_KEY, "_group").agg(
+        F.min_by(F.struct("ts", "uuid", "parent_uuid", "sidechain"), "line").alias("_f"),
         F.max_by("_end", "line").alias("line"),
-        F.first("_id").alias("message_id"),
-        last(F.col("ts")).alias("ts_last"),
-        last(_text("requestId")).alias("request_id"),
-        last(_text("effort")).alias("effort"),
-        last(_text("message.model")).alias("model"),
-        last(_text("message.stop_reason")).alias("stop_reason"),
-        F.max_by(F.to_json(usage), F.when(has_usage, F.col("line"))).alias("_usage"),
-        F.struct(*[total(f"_{c}").alias(c) for c in ("text", "text_chars", "thinking", "thinking_chars", "tool_use", "other")]).alias("blocks"),
+        F.first("message_id").alias("message_id"),
+        last("ts").alias("ts_last"),
+        *[last(name).alias(name) for name in ("request_id", "effort", "model", "stop_reason", "usage")],
+        F.struct(*[F.coalesce(F.sum(size), F.lit(0)).alias(name) for name, size in sizes.items()]).alias("blocks"),
     )
-    u = F.from_json("_usage", "input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>, service_tier string, speed string")
-    usage_out = F.struct(
-        u["input_tokens"].alias("in"),
-        u["output_tokens"].alias("out"),
-        u["cache_read_input_tokens"].alias("cache_read"),
-        u["cache_creation_input_tokens"].alias("cache_create"),
-        u["cache_creation"]["ephemeral_5m_input_tokens"].alias("cache_create_5m"),
-        u["cache_creation"]["ephemeral_1h_input_tokens"].alias("cache_create_1h"),
-        u["service_tier"].alias("service_tier"),
-        u["speed"].alias("speed"),
-    )
-    return merged.select(*FILE_KEY, F.col("line"), F.lit(-1).alias("_at"), "_f.*", "message_id", "ts_last", "request_id", "effort", "model", "stop_reason", "blocks", usage_out.alias("usage"))
+    return merged.select(*FILE_KEY, "line", F.lit(-1).alias("_at"), "_f.*", "message_id", "ts_last", "request_id", "effort", "model", "stop_reason", "blocks", "usage")
+
+
+def tool_blocks(lines: DataFrame) -> DataFrame:
+    """Tool uses and results, one row each."""
+    wanted = F.filter("blocks", lambda b: b["kind"].isin("tool_use", "tool_result"))
+    said = lines.where("type in ('assistant', 'user')").select(*FILE_KEY, "line", "type", "ts", "uuid", "sidechain", "api_message_id", F.explode(wanted).alias("b"))
+    return said.select(*FILE_KEY, "line", "type", "ts", "uuid", "sidechain", "api_message_id", "b.*")
 
 
 def match_tools(blocks: DataFrame) -> DataFrame:
@@ -213,124 +281,71 @@ def match_tools(blocks: DataFrame) -> DataFrame:
     A result matches if what came before it for that id is a use; else it is an orphan.  A
     use is unmatched if nothing follows it, and dropped if another use does.
     """
-    uses = blocks.where("block_type = 'tool_use'").select(
-        *FILE_KEY,
-        "line",
-        "block",
-        "ts",
-        _text("id", "b").alias("id"),
-        F.lit("use").alias("kind"),
-        F.struct(
-            "ts",
-            F.coalesce(F.nullif(_get("name", of="b"), F.lit("")), F.lit("?")).alias("name"),
-            F.coalesce(args_shape(_value("input", "b")), F.lit("n")).alias("args_shape"),
-            F.col("uuid").alias("api_uuid"),
-            F.try_variant_get("_line", "$.message.id", "string").alias("api_message_id"),
-            _true("input.run_in_background", "b").alias("background"),
-            "sidechain",
-        ).alias("use"),
-        F.lit(False).alias("is_error"),
-        F.lit(0).cast("long").alias("result_chars"),
-    )
-    results = blocks.where("block_type = 'tool_result'").select(
-        *FILE_KEY,
-        "line",
-        "block",
-        "ts",
-        _text("tool_use_id", "b").alias("id"),
-        F.lit("result").alias("kind"),
-        F.lit(None).cast(uses.schema["use"].dataType).alias("use"),
-        _true("is_error", "b").alias("is_error"),
-        F.coalesce(content_chars(_value("content", "b")), F.lit(0)).alias("result_chars"),
-    )
-    order = Window.partitionBy("file", "id").orderBy("line", "block")
-    both = uses.unionByName(results).where("id is not null")
-    both = both.withColumns({"_before": F.lag("use").over(order), "_kind_before": F.lag("kind").over(order), "_after": F.lead("kind").over(order)})
-    is_result = F.col("kind") == "result"
-    matched = is_result & F.coalesce(F.col("_kind_before") == "use", F.lit(False))
+    is_result = F.col("kind") == "tool_result"
+    use = F.struct("ts", "name", "args_shape", F.col("uuid").alias("api_uuid"), "api_message_id", "background", "sidechain")
+    order = Window.partitionBy("file", "id").orderBy("line", "at")
+    both = blocks.where("id is not null").withColumn("use", F.when(~is_result, use))
+    both = both.withColumns({"_before": F.lag("use").over(order), "_after": F.lead("kind").over(order)})
+    matched = is_result & F.col("_before").isNotNull()
     status = F.when(matched, "matched").when(is_result, "orphan_result").otherwise("unmatched")
-    use = F.when(matched, F.col("_before")).when(~is_result, F.col("use"))
-    rows = both.where(is_result | F.col("_after").isNull()).withColumns({"status": status, "_use": use})
+    used = F.when(matched, F.col("_before")).when(~is_result, F.col("use"))
+    rows = both.where(is_result | F.col("_after").isNull()).withColumns({"status": status, "_use": used})
     flag = lambda c: F.coalesce(F.col(f"_use.{c}"), F.lit(False)).alias(c)
     return rows.select(
         *FILE_KEY,
         F.when(is_result, F.col("line")).otherwise(F.lit(END + 1) + F.col("line")).alias("line"),
-        F.col("block").alias("_at"),
+        F.col("at").alias("_at"),
         F.col("_use.ts").alias("ts"),
         F.when(is_result, F.col("ts")).alias("ts_result"),
         F.when(is_result, F.col("ts") - F.col("_use.ts")).alias("duration_ms"),
         "id",
         *[F.col(f"_use.{c}").alias(c) for c in ("name", "args_shape", "api_uuid", "api_message_id")],
         "is_error",
-        "result_chars",
+        F.when(is_result, F.col("chars")).otherwise(0).alias("result_chars"),
         flag("background"),
         flag("sidechain"),
         "status",
     )
 
 
-def _scan_text() -> Column:
-    """A line's text content, searched for notifications and never kept."""
-    content = F.try_variant_get("v", "$.message.content", "variant")
-    parts = F.from_json(F.to_json(content), "array<struct<text:string>>")
-    listed = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: F.length(t) > 0), "\n")
-    return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get("v", "$.message.content", "string")).when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), listed)
-
-
 def find_notifications(lines: DataFrame) -> DataFrame:
-    bodies = F.regexp_extract_all(_scan_text(), F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), F.lit(1))
-    found = lines.where("type = 'user'").select(*FILE_KEY, "line", "ts", F.posexplode(bodies).alias("_at", "body"))
-    tag = lambda name: F.nullif(F.trim(F.regexp_extract("body", rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
-    return found.select(*FILE_KEY, "line", (F.col("_at") + 10_000).alias("_at"), "ts", F.regexp_replace(tag("task-id"), "^agent-", "").alias("agent_ref"), tag("tool-use-id").alias("tool_use_id"), tag("status").alias("status"))
+    found = lines.where("type = 'user'").select(*FILE_KEY, "line", "ts", F.explode("notes").alias("n"))
+    return found.select(*FILE_KEY, "line", (F.col("n.at") + 10_000).alias("_at"), "ts", "n.agent_ref", "n.tool_use_id", "n.status")
 
 
 def find_prompts(lines: DataFrame) -> DataFrame:
     """User lines that carry no result and no notification and aren't meta."""
-    content = F.try_variant_get("v", "$.message.content", "array<variant>")
-    has_result = F.coalesce(F.exists(content, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result"), F.lit(False))
-    notified = F.coalesce(F.rlike(_scan_text(), F.lit(r"(?s)<task-notification>.*?</task-notification>")), F.lit(False))
-    kept = lines.where((F.col("type") == "user") & ~has_result & ~notified & ~_true("isMeta"))
-    return kept.select(
-        *FILE_KEY,
-        "line",
-        F.lit(20_000).alias("_at"),
-        "ts",
-        "uuid",
-        _get("parentUuid").alias("parent_uuid"),
-        F.coalesce(content_chars(_value("message.content")), F.lit(0)).alias("text_chars"),
-        _text("origin").alias("origin"),
-        _true("isSidechain").alias("sidechain"),
-    )
+    return lines.where("is_prompt").select(*FILE_KEY, "line", F.lit(20_000).alias("_at"), "ts", "uuid", "parent_uuid", "text_chars", "origin", "sidechain")
 
 
 def find_marks(lines: DataFrame) -> dict[str, DataFrame]:
     """Turns, compactions and queue operations."""
-    system = lines.where("type = 'system'").withColumn("subtype", _text("subtype"))
     at = [*FILE_KEY, "line", F.lit(0).alias("_at"), "ts"]
     return {
-        "turn": system.where("subtype = 'turn_duration'").select(*at, _get("durationMs", "bigint").alias("duration_ms"), _get("messageCount", "bigint").alias("message_count"), _get("pendingBackgroundAgentCount", "bigint").alias("pending_background_agents")),
-        "compact": system.where("subtype = 'compact_boundary'").select(*at, _text("compactMetadata.trigger").alias("trigger"), _get("compactMetadata.preTokens", "bigint").alias("pre_tokens")),
-        "queue_op": lines.where("type = 'queue-operation' and ts is not null").select(*at, "op", F.coalesce(content_chars(_value("content")), F.lit(0)).alias("content_chars")),
+        "turn": lines.where("type = 'system' and subtype = 'turn_duration'").select(*at, "duration_ms", "message_count", "pending_background_agents"),
+        "compact": lines.where("type = 'system' and subtype = 'compact_boundary'").select(*at, "trigger", "pre_tokens"),
+        "queue_op": lines.where("type = 'queue-operation' and ts is not null").select(*at, "op", "content_chars"),
     }
 
 
-def session_events(numbered: DataFrame, kept: DataFrame, lines: DataFrame, orphans: DataFrame, salt: str) -> DataFrame:
-    """One session event per file."""
-    first = lambda path: F.min_by(_text(path), F.when(_text(path).isNotNull(), F.col("line")))
-    typed = kept.where("type is not null")
-    per_file = typed.groupBy(*FILE_KEY).agg(
-        F.min("ts").alias("t_start"),
-        F.max("ts").alias("t_end"),
-        first("cwd").alias("cwd"),
-        first("gitBranch").alias("git_branch"),
-        first("entrypoint").alias("entrypoint"),
-        F.array_sort(F.collect_set(_text("version"))).alias("versions"),
+def session_events(marked: DataFrame, tools: DataFrame, salt: str) -> DataFrame:
+    """One session event per file, lines that couldn't be read counted among its lines."""
+    kept = F.col("ok") & F.col("_first") & F.col("_op_first")
+    typed = kept & F.col("type").isNotNull()
+    first = lambda name: F.min_by(name, F.when(typed & F.col(name).isNotNull(), F.col("line"))).alias(name)
+    per_file = marked.groupBy(*FILE_KEY).agg(
+        F.count("*").alias("n_lines"),
+        F.count_if(F.col("ok") & ~(F.col("_first") & F.col("_op_first"))).alias("n_duplicate_lines"),
+        F.min(F.when(typed, F.col("ts"))).alias("t_start"),
+        F.max(F.when(typed, F.col("ts"))).alias("t_end"),
+        first("cwd"),
+        first("git_branch"),
+        first("entrypoint"),
+        F.array_sort(F.collect_set(F.when(typed, F.col("version")))).alias("versions"),
     )
-    types = typed.groupBy("file", "type").agg(F.count("*").alias("n")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("line_types"))
-    copies = numbered.groupBy("file").agg(F.count_if(~F.col("_first") | ~F.col("_op_first")).alias("n_duplicate_lines"))
-    sizes = lines.groupBy(*FILE_KEY).agg(F.count("*").alias("n_lines"))
-    lost = orphans.where("status = 'orphan_result'").groupBy("file").agg(F.count("*").alias("n_orphan_results"))
-    joined = sizes.join(per_file.drop("project_dir", "session", "agent_hex"), "file", "left").join(types, "file", "left").join(copies, "file", "left").join(lost, "file", "left")
+    types = marked.where(typed).groupBy("file", "type").agg(F.count("*").alias("n")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("line_types"))
+    lost = tools.where("status = 'orphan_result'").groupBy("file").agg(F.count("*").alias("n_orphan_results"))
+    joined = per_file.join(types, "file", "left").join(lost, "file", "left")
     return joined.select(
         *FILE_KEY,
         F.lit(-1).cast("long").alias("line"),
@@ -342,9 +357,9 @@ def session_events(numbered: DataFrame, kept: DataFrame, lines: DataFrame, orpha
         token(F.col("cwd"), salt).alias("cwd"),
         token(F.col("git_branch"), salt).alias("git_branch"),
         "entrypoint",
-        F.coalesce("versions", F.array().cast("array<string>")).alias("versions"),
+        "versions",
         "n_lines",
-        F.coalesce("n_duplicate_lines", F.lit(0)).alias("n_duplicate_lines"),
+        "n_duplicate_lines",
         F.coalesce("n_orphan_results", F.lit(0)).alias("n_orphan_results"),
         F.coalesce("line_types", F.create_map().cast("map<string,bigint>")).alias("line_types"),
     )
@@ -379,19 +394,26 @@ def export(spark: SparkSession, root: str, salt: str) -> Export:
 
 
 def export_lines(lines: DataFrame, metas: DataFrame, salt: str) -> Export:
-    """The event log of lines as :func:`read_lines` gives them, and of agents' metas."""
-    numbered, broken = parse_lines(lines)
+    """The event log of lines as :func:`read_lines` gives them, and of agents' metas.
+
+    The lines' narrow rows, numbered within their file, and the metas are written to the
+    shared folder at once; all else is a plan over them.  They hold working directories as they stand, so an
+    export that is not kept belongs into a :func:`~tracewright.storage.scratch`.
+    """
+    number = F.row_number().over(Window.partitionBy("file").orderBy("line")).cast("long")
+    marked = materialize(mark_copies(cut_lines(lines).withColumn("line", number)), "lines", keep=True)
+    metas = materialize(metas, "metas", keep=True)
+    numbered, broken = _split(marked)
     kept = numbered.where("_first and _op_first")
-    blocks = _blocks(kept.where("type in ('assistant', 'user')"))
-    api_calls = merge_messages(kept, _blocks(kept.where("type = 'assistant'")))
-    assistant_uses = _blocks(kept.where("type = 'assistant'")).where("block_type = 'tool_use'")
-    tools = match_tools(blocks.where("block_type in ('tool_use', 'tool_result')"))
+    api_calls = merge_messages(kept)
+    blocks = tool_blocks(kept)
+    tools = match_tools(blocks)
+    uses = blocks.where("kind = 'tool_use' and type = 'assistant'").withColumn("_at", F.col("at"))
     notifications = find_notifications(kept)
     spawned = metas.where("tool_use_id is not null").groupBy("project_dir", "session", F.col("tool_use_id")).agg(F.max_by("agent_hex", "file").alias("_hex"))
     notifications = notifications.join(spawned, ["project_dir", "session", "tool_use_id"], "left").withColumn("agent_ref", F.coalesce("agent_ref", "_hex")).drop("_hex")
     tools = tools.join(spawned.withColumnsRenamed({"tool_use_id": "id", "_hex": "spawned_agent"}), ["project_dir", "session", "id"], "left")
-    uses = assistant_uses.select(*FILE_KEY, "line", F.col("block").alias("_at"), _text("id", "b").alias("id"), _true("input.run_in_background", "b").alias("background"))
-    sessions = with_outcomes(session_events(numbered, kept, lines, tools, salt), metas, tools, uses, notifications)
+    sessions = with_outcomes(session_events(marked, tools, salt), metas, tools, uses, notifications)
     prompts = find_prompts(kept)
     marks = find_marks(kept)
 
@@ -408,21 +430,21 @@ def export_lines(lines: DataFrame, metas: DataFrame, salt: str) -> Export:
             *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
         )
         events = wide if events is None else events.unionByName(wide)
-    files = lines.select(*FILE_KEY).distinct()
-    rank = F.row_number().over(Window.orderBy("project_dir", "session", F.col("agent_hex").isNotNull(), "file"))  # one row per file
+    files = marked.groupBy(*FILE_KEY).agg(F.lit(1).alias("_one"))
+    files = running(files, [F.col("project_dir"), F.col("session"), F.col("agent_hex").isNotNull(), F.col("file")], {"_file_no": F.col("_one")}, keep=True)
     in_file = F.row_number().over(Window.partitionBy("file").orderBy("_line", "_at"))
-    numbered_events = events.withColumn("_in_file", in_file).join(files.select("file", rank.alias("_file_no")), "file")
+    numbered_events = events.withColumn("_in_file", in_file).join(files.select("file", "_file_no"), "file")
     seq = F.shiftleft(F.col("_file_no").cast("long"), 32) + F.col("_in_file")
     out = numbered_events.withColumns({"seq": seq, "agent": F.col("agent_hex")}).select(*[f.name for f in event_schema()], "seq")
-    return Export(out, anomalies(kept, broken, api_calls, prompts), counts(lines, metas, kept))
+    return Export(out, anomalies(kept, broken, api_calls, prompts), counts(marked))
 
 
 def anomalies(kept: DataFrame, broken: DataFrame, api_calls: DataFrame, prompts: DataFrame) -> DataFrame:
     """(file, line, kind, key) of what the format's allow-lists don't know."""
     odd = lambda rows, kind, key: rows.select("file", "line", F.lit(kind).alias("kind"), key.alias("key"))
     known = [*HANDLED_TYPES, *IGNORED_TYPES]
-    no_message = ~F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.message", "variant")), F.lit("OBJECT")), F.lit(False))
-    subtype = _text("subtype")
+    no_message = ~F.col("has_message")
+    subtype = F.col("subtype")
     known_subtype = F.coalesce(subtype.isin(*HANDLED_SUBTYPES, *IGNORED_SUBTYPES), F.lit(False))
     found = broken.unionByName(odd(kept.where(F.col("type").isNull()), "unknown_line_type", F.lit("<no type>")))
     for part in (
@@ -437,38 +459,64 @@ def anomalies(kept: DataFrame, broken: DataFrame, api_calls: DataFrame, prompts:
     return found
 
 
-def counts(lines: DataFrame, metas: DataFrame, kept: DataFrame) -> DataFrame:
+def counts(lines: DataFrame) -> DataFrame:
     """One row: files, sessions, agents."""
     files = lines.groupBy("file").agg(F.max(F.col("agent_hex").isNotNull().cast("int")).alias("_agent"))
     return files.agg(F.count("*").alias("files"), F.count_if(F.col("_agent") == 0).alias("sessions"), F.count_if(F.col("_agent") == 1).alias("agents"))
 
 
-def manifest(done: Export, root: str, salt: str, generated_at: str, journals: int = 0, samples: int = 8, vanished: int = 0) -> dict:
-    """The export's counters as a plain dictionary; reads the log once written, and little of it."""
+def tallies(done: Export, named: int = NAMED) -> DataFrame:
+    """(section, key, n): the manifest's counters in one plan.
+
+    Of each section the ``named`` most counted keys stand, ties by key; the rest is summed
+    under ``<others>``, as kinds and versions are named by the input without a bound.
+    """
     sessions = done.trace.sessions
-    types = {r[0]: r[1] for r in sessions.select(F.explode("line_types").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect()}
-    versions = sorted(r[0] for r in sessions.select(F.explode("versions").alias("v")).distinct().collect())
-    totals = sessions.agg(F.coalesce(F.sum("n_duplicate_lines"), F.lit(0)), F.coalesce(F.sum("n_orphan_results"), F.lit(0))).first()
-    odd = done.anomalies.groupBy("kind", "key").agg(F.count("*").alias("n")).collect()
-    by_kind = lambda kind: {r["key"]: r["n"] for r in odd if r["kind"] == kind}
+    row = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+    entries = lambda section, column, key, n: F.transform(column, lambda e: row(section, key(e), n(e)))
+    of_session = F.flatten(
+        F.array(
+            entries("lines_by_type", F.map_entries("line_types"), lambda e: e["key"], lambda e: e["value"]),
+            entries("versions_seen", F.col("versions"), lambda v: v, lambda v: F.lit(1)),
+            F.array(row("totals", F.lit("duplicate_lines"), F.col("n_duplicate_lines")), row("totals", F.lit("orphan_tool_results"), F.col("n_orphan_results"))),
+        )
+    )
+    found = sessions.select(F.inline(of_session))
+    found = found.unionByName(done.events.select(F.lit("events_by_type").alias("section"), F.col("ev").alias("key"), F.lit(1).cast("long").alias("n")))
+    found = found.unionByName(done.anomalies.select(F.col("kind").alias("section"), "key", F.lit(1).cast("long").alias("n")))
+    files = done.counts.select(F.inline(F.array(*[row("totals", F.lit(c), F.col(c)) for c in ("files", "sessions", "agents")])))
+    summed = found.unionByName(files).groupBy("section", "key").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key"))
+    return summed.withColumn("key", F.when(place <= named, F.col("key")).otherwise(OTHERS)).groupBy("section", "key").agg(F.sum("n").alias("n"))
+
+
+def manifest(done: Export, root: str, salt: str, generated_at: str, journals: int = 0, samples: int = 8, vanished: int = 0, duration_s: float | None = None) -> dict:
+    """The export's counters as a plain dictionary, of a bounded size: see :func:`tallies`.
+    Reads the log once written and the narrow rows, never the transcripts again."""
+    held: dict[str, dict[str, int]] = {}
+    for r in tallies(done).orderBy("section", "key").collect():
+        held.setdefault(r["section"], {})[r["key"]] = r["n"]
+    totals = held.get("totals", {})
     return {
         "schema_version": SCHEMA_VERSION,
+        "tool_version": VERSION,
         "corpus_id": keyed_token("corpus", salt),
         "root": keyed_token(root, salt),
         "generated_at": generated_at,
-        **done.counts.first().asDict(),
+        "duration_s": duration_s,
+        **{c: totals.get(c, 0) for c in ("files", "sessions", "agents")},
         "files_vanished": vanished,
         "journals_skipped": journals,
-        "duplicate_lines": totals[0],
-        "orphan_tool_results": totals[1],
-        "lines_by_type": types,
-        "events_by_type": {r[0]: r[1] for r in done.events.groupBy("ev").count().collect()},
-        "versions_seen": versions,
+        "duplicate_lines": totals.get("duplicate_lines", 0),
+        "orphan_tool_results": totals.get("orphan_tool_results", 0),
+        "lines_by_type": held.get("lines_by_type", {}),
+        "events_by_type": held.get("events_by_type", {}),
+        "versions_seen": sorted(held.get("versions_seen", {})),
         "anomalies": {
-            "unknown_line_types": by_kind("unknown_line_type"),
-            "unknown_system_subtypes": by_kind("unknown_system_subtype"),
-            "missing_timestamps": by_kind("missing_timestamp"),
-            "parse_errors": sum(r["n"] for r in odd if r["kind"] == "parse_error"),
+            "unknown_line_types": held.get("unknown_line_type", {}),
+            "unknown_system_subtypes": held.get("unknown_system_subtype", {}),
+            "missing_timestamps": held.get("missing_timestamp", {}),
+            "parse_errors": sum(held.get("parse_error", {}).values()),
             "samples": [f"{r['kind']} {r['key']}".strip() for r in done.anomalies.orderBy("file", "line").limit(samples).collect()],
         },
     }
