@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from tracewright import cli, report
 from tracewright.sources import events
 from tracewright.streaming import live
@@ -77,6 +79,17 @@ def test_command_line_over_a_transcript_tree(spark, tmp_path, capsys, monkeypatc
     assert json.loads(capsys.readouterr().out)["tool_errors"] == 1
     assert json.loads((tmp_path / "out" / "manifest.json").read_text())["files_vanished"] == 0
     assert cli.main(["replay", out]) == 0
+    table = str(tmp_path / "all.snapshots")
+    for _ in range(2):  # repeated, it leaves one row
+        assert cli.main(["over-time", "record", out, "--table", table]) == 0
+    assert len(cli._table(spark, table)) == 1
+    told, direct = cli._snapshot(spark, table), cli._snapshot(spark, out)
+    assert told["label"] == "out" and {k: told[k] for k in direct if k != "by_agent_type"} == {k: v for k, v in direct.items() if k != "by_agent_type"}
+    assert cli.main(["over-time", "check", table, out]) == 0
+    shared = str(tmp_path / "shared.json")
+    assert cli.main(["doctor", "--traces", out, "--share", shared]) == 0
+    manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert json.loads(Path(shared).read_text())["tool_version"] == manifest["tool_version"] and manifest["duration_s"] > 0
     (tree / "s.jsonl").write_text(json.dumps({"type": "brand-new", "uuid": "z"}) + "\n")
     assert cli.main(["export", str(tmp_path / "tree"), "--out", str(tmp_path / "out2")]) == 2
     assert cli.main(["export", str(tmp_path / "tree"), "--out", str(tmp_path / "out3"), "--allow-unknown"]) == 0
@@ -98,6 +111,25 @@ def test_a_timeline_tells_what_moved_and_ranks_agent_types():
     assert text.index("| many | 4 | 4 | 4 | n/a |") < text.index("| few | 3 | 1 | 0 | 33.3% |")
 
 
+def test_the_first_malformed_line_is_named(spark, tmp_path, monkeypatch):
+    log = tmp_path / "events.jsonl"
+    good = json.dumps({"ev": "tool_call", "session": "s", "ts": 1, "name": "x" * 40, "status": "matched", "duration_ms": 5})
+    lines = [good, ""] * 400
+    log.write_text("\n".join(lines) + "\n")
+    assert events.first_malformed(spark, str(log)) is None
+    lines[700], lines[750] = '{"ev": "tool_', "{"
+    log.write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        file, at = events.first_malformed(spark, str(log))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    assert file.endswith("events.jsonl") and at == 701
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    with pytest.raises(ValueError, match="events.jsonl:701: malformed JSON"):
+        cli.main(["study", "report", "--trace", str(tmp_path), "--only", "errors"])
+
+
 def test_places_in_a_log_of_several_files_are_unique(spark, tmp_path):
     folder = tmp_path / "a log.jsonl"
     folder.mkdir()

@@ -9,13 +9,17 @@ import sys
 import time
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tracewright import report
 from tracewright.plans import overtime, workload
 from tracewright.sources import events, trajectories, transcripts
 from tracewright.storage import new_path, scratch
 
+TABLE = ".snapshots"
 SALT = os.path.expanduser("~/.config/tracewright/salt")
 
 
@@ -94,7 +98,14 @@ def doctor(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def study(spark: SparkSession, a: argparse.Namespace) -> int:
-    found = report.study_report(events.open_log(spark, a.trace), tuple(a.only) if a.only else None)
+    try:
+        found = report.study_report(events.open_log(spark, a.trace), tuple(a.only) if a.only else None)
+    except (PySparkException, Py4JJavaError) as e:  # the latter from jobs side by side
+        log = next((p for p in (f"{a.trace}/events.jsonl", a.trace) if p.endswith((".jsonl", ".json")) and events.exists(spark, p)), None)
+        bad = events.first_malformed(spark, log) if log else None
+        if bad:
+            raise ValueError(f"{bad[0]}:{bad[1]}: malformed JSON") from e
+        raise
     if a.check:
         with open(a.check, encoding="utf-8") as f:
             moved = report.drift(json.load(f), json.loads(json.dumps(found, default=str)))
@@ -117,8 +128,25 @@ def adapt(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _table(spark: SparkSession, path: str) -> list[dict]:
+    """Snapshots of a table in any store, by time."""
+    rows = overtime.read_snapshots(spark, path).orderBy(F.expr("try_to_timestamp(generated_at)").asc_nulls_last(), "ord").drop("ord", "snapshot_id").collect()
+    return [r.asDict() | {"by_agent_type": json.loads(r.by_agent_type or "{}")} for r in rows]
+
+
+def record(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Snapshots of logs into a table; one of the same name and time is replaced."""
+    for path in a.logs:
+        manifest = events.read_manifest(spark, path, tolerate_corrupt=True)
+        overtime.write_snapshot(events.open_log(spark, path, "lenient"), a.table, os.path.basename(path.rstrip("/")), manifest.get("generated_at"))
+    return 0
+
+
 def _snapshot(spark: SparkSession, path: str) -> dict:
-    """A snapshot from a log, a snapshot file, or the last of a track file."""
+    """A snapshot from a log, a snapshot file, or the last of a track file or of a table,
+    whose name ends in ``.snapshots``."""
+    if path.rstrip("/").endswith(TABLE):
+        return _table(spark, path)[-1]
     if path.endswith(".json") and os.path.isfile(path):
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
@@ -135,7 +163,7 @@ def _frame(spark: SparkSession, snapshots: list[dict]):
 
 def track(spark: SparkSession, a: argparse.Namespace) -> int:
     """Snapshots in order of time: as text, or with all their figures as JSON."""
-    snapshots = [_snapshot(spark, p) for p in a.snapshots]
+    snapshots = [s for p in a.snapshots for s in (_table(spark, p) if p.rstrip("/").endswith(TABLE) else [_snapshot(spark, p)])]
     watched = [c for c in overtime.WATCHED if c in snapshots[0]]
     rows = [r.asDict() for r in overtime.timeline(_frame(spark, snapshots), tuple(watched)).orderBy("position").collect()]
     ordered = [snapshots[r["ord"]] for r in rows]
@@ -207,6 +235,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int)
     p.add_argument("--only-actions", nargs="*")
     inner = sub.add_parser("over-time").add_subparsers(required=True)
+    p = command("record", record, inner)
+    p.add_argument("logs", nargs="+")
+    p.add_argument("--table", required=True, help=f"a folder in any store, its name ending in {TABLE}")
     p = command("track", track, inner)
     p.add_argument("snapshots", nargs="+")
     p.add_argument("--json")

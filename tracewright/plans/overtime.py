@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.stats import Z95, rounded_rank, share, two_proportion_z
+from tracewright.functions.stats import Z95, rounded_rank, share, two_proportion_z, two_sided_p, wilson_bound
 from tracewright.plans.doctor import ACCOUNTED, POINTS
 from tracewright.schema import Trace
 
@@ -163,7 +166,8 @@ def what_moved(first: DataFrame, last: DataFrame, kinds: dict[str, tuple[str, in
 
 
 def gate(base: DataFrame, current: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """metric, rule, base, current, z, gated, skipped, regressed of two one-row snapshots.
+    """metric, rule, base, current, z, p, both sides' 95% intervals in percent, gated, skipped,
+    regressed of two one-row snapshots.
 
     A proportion regresses if it is worse and the difference is significant; a threshold
     metric if it grew by over ``tolerance`` and by its least change at least.  A zero
@@ -173,15 +177,21 @@ def gate(base: DataFrame, current: DataFrame, tolerance: float = TOLERANCE) -> D
     side = lambda df, s: df.select(*[F.col(c).cast("double").alias(f"{s}_{c}") for c in names])
     both = side(base, "b").crossJoin(side(current, "c"))  # one row each
     null, no = F.lit(None).cast("double"), F.lit(False)
-    row = lambda metric, rule, b, c, z, gated, skipped, bad: F.struct(
-        F.lit(metric).alias("metric"), F.lit(rule).alias("rule"), b.alias("base"), c.alias("current"), z.alias("z"), F.lit(gated).alias("gated"), skipped.alias("skipped"), F.coalesce(bad, no).alias("regressed")
-    )
+    ci = lambda n, of: [F.round(100 * wilson_bound(n, of, sign), 3) for sign in (-1, 1)]
+    sides = ("base_lo_pct", "base_hi_pct", "current_lo_pct", "current_hi_pct")
+
+    def row(metric: str, rule: str, b: Column, c: Column, z: Column, gated: bool, skipped: Column, bad: Column, bounds: list[Column] | None = None) -> Column:
+        evidence = [F.when(z.isNotNull(), x).otherwise(null).alias(n) for x, n in zip(bounds or [null] * 4, sides, strict=True)]
+        return F.struct(
+            F.lit(metric).alias("metric"), F.lit(rule).alias("rule"), b.alias("base"), c.alias("current"), z.alias("z"), two_sided_p(z).alias("p"), *evidence, F.lit(gated).alias("gated"), skipped.alias("skipped"), F.coalesce(bad, no).alias("regressed")
+        )
+
     entries = []
     for m, (n, of, worse) in PROPORTIONS.items():
         b_n, b_of, c_n, c_of = (F.col(x) for x in (f"b_{n}", f"b_{of}", f"c_{n}", f"c_{of}"))
         malformed = F.coalesce((b_of <= 0) | (c_of <= 0) | (b_n > b_of) | (c_n > c_of) | (b_n < 0) | (c_n < 0), F.lit(True))
         z = F.when(~malformed, two_proportion_z(c_n, c_of, b_n, b_of))
-        entries.append(row(m, "proportion", share(b_n, b_of), share(c_n, c_of), z, True, malformed, ~malformed & (z * worse > Z95)))
+        entries.append(row(m, "proportion", share(b_n, b_of), share(c_n, c_of), z, True, malformed, ~malformed & (z * worse > Z95), [*ci(b_n, b_of), *ci(c_n, c_of)]))
     for m, floor in THRESHOLDS.items():
         b, c = F.col(f"b_{m}"), F.col(f"c_{m}")
         entries.append(row(m, "threshold", b, c, null, True, b.isNull() | c.isNull(), (c > b * (1 + tolerance)) & (F.abs(c - b) >= floor)))
@@ -190,11 +200,20 @@ def gate(base: DataFrame, current: DataFrame, tolerance: float = TOLERANCE) -> D
     return both.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshots of a table written by :func:`write_snapshot`."""
-    return validate(spark.read.parquet(path))
+def snapshot_id(label: str, generated_at: str | None) -> str:
+    """The name that a snapshot has in a table: equal for equal label and time."""
+    return "s" + hashlib.sha256(json.dumps([label, generated_at]).encode()).hexdigest()[:16]  # a letter first, so that no reader takes it for a number
+
 
+def write_snapshot(trace: Trace, path: str, label: str, generated_at: str | None) -> None:
+    """A log's snapshot into the table at ``path``, a folder of its own in it: a snapshot of
+    the same label and time is replaced, so a run that is repeated leaves one row."""
+    kinds = by_agent_type(trace)
+    types = kinds.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent_type", F.struct(*[c for c in kinds.columns if c != "agent_type"])))))).alias("by_agent_type"))  # a row per type
+    row = snapshot(trace).crossJoin(types).withColumns({"label": F.lit(label), "generated_at": F.lit(generated_at).cast("string"), "snapshot_id": F.lit(snapshot_id(label, generated_at))})  # one row each
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
 
-def write_snapshot(row: DataFrame, path: str, generated_at: str) -> None:
-    """Append a one-row snapshot to the table at ``path``."""
-    row.withColumn("generated_at", F.lit(generated_at)).withColumn("ord", F.unix_micros(F.current_timestamp())).write.mode("append").parquet(path)
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of a table written by :func:`write_snapshot`, with ``ord`` to part those of one time."""
+    return validate(spark.read.option("mergeSchema", True).parquet(path).withColumn("snapshot_id", F.col("snapshot_id").cast("string")).withColumn("ord", F.col("snapshot_id")))

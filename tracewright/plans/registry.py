@@ -253,18 +253,39 @@ def _turn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_backward(talk.where("role = 'assistant'").select("conv_id", "turn"), user, ["conv_id"], "turn", "turn", F.col("turn"), "prompt_turn")
 
 
-def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One half of the sessions, by their hash, against the other."""
     whole = trace(spark, sf_dir)
     half = lambda late: overtime.snapshot(type(whole)(whole.events.where((F.md5(F.col("session").cast("binary")) >= "8") == late)))
-    return overtime.gate(half(False), half(True)).select("metric", "rule", F.round("base", 6).alias("base"), F.round("current", 6).alias("current"), F.round("z", 6).alias("z"), "gated", "skipped", "regressed")
+    return overtime.gate(half(False), half(True))
+
+
+#: A gated proportion's metric, part and whole in the SQL below.
+GATED = (("unaccounted_resolvable_rate", "could_gone", "could"), ("never_returned_rate", "lost", "calls"), ("tool_error_rate", "errors", "calls"))
+
+
+def _gate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir).where("rule = 'proportion'").select("metric", F.round("p", 6).alias("p"), "base_lo_pct", "base_hi_pct", "current_lo_pct", "current_hi_pct")
+
+
+def _gate_evidence_sql() -> str:
+    bounds = lambda n, of: ", ".join(f"{_wilson(f'{s}.{n}', f'{s}.{of}', sign)} as {side}_{end}_pct" for s, side in (("b", "base"), ("c", "current")) for sign, end in (("-", "lo"), ("+", "hi")))
+    rows = [f"select '{metric}' as metric, {_z(f'c.{n}', f'c.{of}', f'b.{n}', f'b.{of}')} as z, {bounds(n, of)} from b, c where b.{of} > 0 and c.{of} > 0" for metric, n, of in GATED]
+    return f"""with t as (select md5(session) >= '8' as late, count(*) as calls, count(*) filter (status <> 'matched') as lost, count(*) filter (is_error) as errors from tool_calls group by 1),
+    s as (select md5(session) >= '8' as late, count(*) as could, count(*) filter (coalesce(end_status, '') not in ('completed', 'failed')) as could_gone from sessions where agent is not null and workflow is null group by 1),
+    b as (select * from t join s using (late) where not late), c as (select * from t join s using (late) where late), rows_ as ({" union all ".join(rows)})
+    select metric, round({_p("z")}, 6) as p, base_lo_pct, base_hi_pct, current_lo_pct, current_hi_pct from rows_"""
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir).select("metric", "rule", F.round("base", 6).alias("base"), F.round("current", 6).alias("current"), F.round("z", 6).alias("z"), "gated", "skipped", "regressed")
 
 
 def _gate_sql() -> str:
     rank = lambda c, q: f"list_sort(list({c}) filter ({c} is not null))[1 + round_even({q} * (count({c}) - 1), 0)::int]"
     late = "md5(session) >= '8' as late"
     rows = []
-    for metric, n, of in (("unaccounted_resolvable_rate", "could_gone", "could"), ("never_returned_rate", "lost", "calls"), ("tool_error_rate", "errors", "calls")):
+    for metric, n, of in GATED:
         void = f"(b.{of} = 0 or c.{of} = 0)"
         z = f"case when not {void} then {_z(f'c.{n}', f'c.{of}', f'b.{n}', f'b.{of}')} end"
         rows.append(f"select '{metric}' as metric, 'proportion' as rule, {_share(f'b.{n}', f'b.{of}')} as base, {_share(f'c.{n}', f'c.{of}')} as current, {z} as z, true as gated, {void} as skipped, coalesce({z} > {Z95!r}, false) as regressed from b, c")
@@ -562,6 +583,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
         select r.*, coalesce(tool_ms, 0) as tool_ms from r left join t using (agent_type)""",
     ),
     "gate_two_halves": (_gate, _gate_sql()),
+    "gate_evidence": (_gate_evidence, _gate_evidence_sql()),
     "timeline": (
         _timeline,
         """with d as (select strftime(make_timestamp(ms * 1000), '%Y-%m-%d') as generated_at, count(*) as calls, count(*) filter (k % 7 = 0) as errors from base group by 1)

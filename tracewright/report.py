@@ -427,7 +427,7 @@ def render_tree(title: str, tree: dict, depth: int = 1) -> str:
 def render_gate(rows: list[dict]) -> str:
     bad = [r for r in rows if r["regressed"]]
     out = [f"# {len(bad)} regression(s)" if bad else "# No regressions", ""]
-    out += [f"- {r['metric']} ({r['rule']}): {r['base']:.4g} -> {r['current']:.4g}" + (f", z = {r['z']:.2f}" if r["z"] is not None else "") for r in bad]
+    out += [f"- {r['metric']} ({r['rule']}): {r['base']:.4g} -> {r['current']:.4g}" + (f", z = {r['z']:.2f}, p = {r['p']:.2g}; 95%: {r['base_lo_pct']:.2f} to {r['base_hi_pct']:.2f}%, then {r['current_lo_pct']:.2f} to {r['current_hi_pct']:.2f}%" if r["z"] is not None else "") for r in bad]
     out += [f"- skipped {r['metric']}: nothing to compare" for r in rows if r["skipped"]]
     out += [f"- reported only, {r['metric']}: {r['base']:.4g} -> {r['current']:.4g}" for r in rows if not r["gated"]]
     return "\n".join(out) + "\n"

@@ -6,9 +6,10 @@ import json
 import os
 import secrets
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.shapes import parsed
 from tracewright.schema import Trace, event_schema
 
 MODES = {"strict": "FAILFAST", "lenient": "DROPMALFORMED"}
@@ -52,6 +53,21 @@ def read_jsonl(spark: SparkSession, path: str, mode: str = "strict") -> Trace:
     return Trace(numbered.select(*rows.columns, (F.shiftleft(known, FILE_BITS) + F.col("_at")).alias("seq")))
 
 
+def first_malformed(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """(file, line) of the first line of a log that isn't JSON; None where all are.
+
+    Lines are counted in each split, and a split's first bad line stands behind the lines of
+    the file's splits before it; no line is moved.  It is asked once a strict reader raised,
+    so whole logs aren't read twice.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    bad = F.rlike("value", F.lit(r"\S")) & F.try_parse_json("value").isNull() & parsed(F.col("value")).isNull()
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(bad, F.col("id"))).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = splits.withColumn("line", before + F.col("bad") - F.col("first") + 1).where("bad is not null").orderBy("file", "line").first()
+    return found and (found.file, found.line)
+
+
 def write_jsonl(trace: Trace, path: str) -> None:
     """JSON lines in ``seq`` order within each file, nulls left out."""
     trace.events.sortWithinPartitions("seq").drop("seq").write.mode("overwrite").json(path)
