@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tracewright.llm import suffix_dedup
@@ -119,3 +120,14 @@ def test_windows_and_runs():
         assert sliding(values, width, np.minimum).tolist() == [min(values[i : i + width]) for i in range(58 - width)]
     a, b = merged(np.array([9, 0, 3, 20]), np.array([12, 4, 9, 30]))
     assert (a.tolist(), b.tolist()) == ([0, 20], [12, 30])
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_texts_that_keep_all_bytes_are_not_moved(spark, monkeypatch, words):
+    monkeypatch.setattr(suffix_dedup, "WORDS", words)
+    texts = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(-7).cast("long").alias("file"), F.col("id").alias("row"), F.lit("x").alias("text"))
+    rows = texts.where("row % 50 = 3").select("file", "row")
+    found = suffix_dedup.marked(texts, rows)
+    assert found.columns == [*texts.columns, "may"] and found.count() == 5000
+    assert found.where("row % 50 = 3 and not may").count() == 0
+    assert words == 1 or found.where("may").count() < 1200
