@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tests.llm.conftest import prose
 from tracewright.llm.packing import match_and_fit, pack_documents
 from tracewright.llm.token_output import best_fit_decreasing, packed_rows, position_type, segments, write_packed
-from tracewright.llm.tokens import DEFAULT_TOKENIZER, drops_spaces, encoder
+from tracewright.llm.tokens import DEFAULT_TOKENIZER, drops_spaces, encoder, keeps_letters
 
 lengths_ = st.lists(st.integers(1, 64), max_size=120)
 
@@ -94,6 +94,33 @@ def test_random_texts_with_added_tokens():
         assert encoder(DEFAULT_TOKENIZER).ids(text) == plain_ids(text)[:-1].tobytes()
 
 
+def test_letters_and_punctuation_after_them_go_past_the_tokenizers_other_steps(monkeypatch):
+    chosen = encoder(DEFAULT_TOKENIZER)
+    assert chosen.direct and not encoder("byte_bpe_50k.json").direct
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcxyzABCéßñÖŉǅ") for _ in range(draw.randint(1, 12))) for _ in range(2000)]
+    marks = ["", ",", "%%%", "?!,", "'", "...", ")", "_", "<", "\\"]
+    seen = []
+    whole = chosen.whole
+    monkeypatch.setattr(chosen, "whole", lambda texts: seen.extend(texts) or whole(texts))
+    text = " ".join(w + draw.choice(marks) for w in words)
+    assert chosen.ids(text) == plain_ids(text)[:-1].tobytes()
+    assert set(seen) <= set(marks)
+    text = " ".join(w + draw.choice(["'s", "'", "\u0301,", "\u0338", "1,", "日.", "İ.", ",a", "’,"]) for w in words)
+    assert chosen.ids(text) == plain_ids(text)[:-1].tobytes()
+
+
+def test_letters_are_kept_by_some_pre_tokenizers_only():
+    import public_tokenizers
+
+    definition = json.load(open(public_tokenizers.path(DEFAULT_TOKENIZER)))
+    assert keeps_letters(definition)
+    first = definition["pre_tokenizer"]["pretokenizers"][0]
+    for pattern in (r"[\p{L}]{1,40}|[\p{N}]|[^\s\p{L}\p{N}]+", r"[\p{L}]+,?|[\p{N}]|[^\s\p{L}\p{N}]+", r"[\p{L}_]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        first["pattern"]["Regex"] = pattern
+        assert drops_spaces(definition) and not keeps_letters(definition)
+
+
 def check(found, rows, capacity):
     whole = defaultdict(list)
     for doc_id, text in rows:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,14 @@ from tracewright.llm.common import SEPARATORS
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_OF_DOCUMENT = 0
 #: Words whose ids a worker remembers at most, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _SPACES = bytes.maketrans(b"\t\n\x0b\f\r", b"     ")
-_MARK, WORD_END = "\x01", "</w>"
+#: Letters below are in their composed form, and all versions of Unicode agree which they are.
+_SAFE = "\u0250"
+_PUNCTUATION = string.punctuation.encode()
+#: The letters by which byte-level models spell bytes that aren't printable Latin-1.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
 #: The normalizer that turns each run of white space into one space.
 COLLAPSE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 _encoders: dict[str, Encoder] = {}
@@ -47,6 +54,37 @@ def drops_spaces(definition: dict) -> bool:
     return not any(re.search(r"\s", m[0]) for a in " a1.'" for b in " a1.'" for space in SEPARATORS for m in found.finditer(a + space + b))
 
 
+def keeps_letters(definition: dict) -> bool:
+    """Whether the pre-tokenizer (one that :func:`drops_spaces`) leaves a run of letters whole and cuts it from
+    ASCII punctuation after it, and then only spells bytes as letters."""
+    first, *rest = parts_of(definition["pre_tokenizer"], "Sequence", "pretokenizers")
+    if [(r["type"], r["add_prefix_space"], r["use_regex"]) if r["type"] == "ByteLevel" else None for r in rest] != [("ByteLevel", False, False)]:
+        return False
+    found = regex.compile(first["pattern"]["Regex"])
+    cut = lambda t: [m[0] for m in found.finditer(t)]
+    letters = [c for c in map(chr, range(ord(_SAFE))) if c.isalpha()]
+    marks = _PUNCTUATION.decode()
+    whole = ["".join(letters) * 9, *(a + b for a in "alrstvmde" for b in letters), *(b + a for a in "alrstvmde" for b in letters)]
+    return all(cut(w) == [w] for w in whole) and all(cut(c + a + b) == [c, *cut(a + b)] for a in marks for b in ["", *marks] for c in ("s", "ab", "é"))
+
+
+def is_safe(text: str) -> bool:
+    """Letters that normalizers leave as they are; a lowered İ ends in a mark, which is no letter."""
+    return text.isalpha() and max(text) < _SAFE
+
+
+class Known(dict):
+    """Ids of words by word; those not held come from older ones or are learned, and stay."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], older: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.older = learn, dict(older)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.older.get(word) or self.learn(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts.
 
@@ -62,62 +100,43 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = Known(self.learn, {})
         definition = json.loads(self.tokenizer.to_str())
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        mark = encode(_MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
         steps = parts_of(definition["normalizer"], "Sequence", "normalizers")
+        self.lowers = any(n["type"] == "Lowercase" for n in steps)
         #: Whether ASCII case is dropped, and a comma or stop after a letter stands alone.
-        self.folds = any(n["type"] == "Lowercase" for n in steps) and encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
-        #: By id whether it ends a word; where the tokenizer has such ids, a run of letters gives one.
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.folds = self.lowers and encode("Ab,C. d.") == encode("ab ,c . d .") and encode("ab,c. d.") == encode("ab ,c . d .")
         self.added = [t["content"].lower().encode() for t in definition["added_tokens"] if t["content"]]
         plain = all(n["type"] in ("NFC", "Lowercase") or n == COLLAPSE for n in steps) and definition["model"]["type"] == "BPE" and definition["model"]["dropout"] is None
-        self.by_word = self.mark is not None and plain and definition["truncation"] is None and definition["post_processor"] is None and drops_spaces(definition)
+        self.by_word = plain and definition["truncation"] is None and definition["post_processor"] is None and drops_spaces(definition)
+        #: Whether letters alone go to the model as one piece.
+        self.direct = self.by_word and keeps_letters(definition)
+        self.model = self.tokenizer.model
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember ``words``.  One that ends in a letter and a point is the word before
-        the point and the point, so it needs no encoding of its own."""
-        if self.folds:
-            pointed = [w for w in words if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
-            plain = {w[:-1] for w in pointed}.union(set(words).difference(pointed), (b",", b"."))
-            self.encode([w for w in plain if w not in self.known])
-            self.known.update([(w, self.known[w[:-1]] + self.known[w[-1:]]) for w in pointed])
-        else:
-            self.encode(words)
-
-    def encode(self, words: list[bytes]) -> None:
-        """Remember the ids of ``words``, encoded many at once and cut apart again: runs of
-        letters at the ids that end words, others at a mark put between them."""
-        texts = [w.decode() for w in words]
-        kinds: tuple[list[int], list[int]] = ([], [])
-        for i, t in enumerate(texts):
-            kinds[t.isalpha()].append(i)
-        for letters, between in ((True, " "), (False, f" {_MARK} ")):
-            chosen = kinds[letters]
-            for at in range(0, len(chosen), 1000):
-                part = chosen[at : at + 1000]
-                ids = self.whole([between.join([texts[i] for i in part])])[0]
-                numbers = np.frombuffer(ids, dtype="<u4")
-                if letters:
-                    stops = (4 * np.flatnonzero(self.ends[numbers]) + 4).tolist()
-                    starts = [0, *stops[:-1]]
-                else:
-                    marks = np.flatnonzero(numbers == self.mark).tolist()
-                    starts, stops = [0, *(4 * m + 4 for m in marks)], [*(4 * m for m in marks), len(ids)]
-                keys = [words[i] for i in part]
-                if len(stops) == len(part) and stops[-1] == len(ids):
-                    self.known.update(zip(keys, [ids[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
-                else:  # a letter that folds into several, or a word that holds the mark
-                    self.known.update(zip(keys, self.whole([texts[i] for i in part]), strict=True))
+    def pieces(self, letters: str) -> bytes:
+        """Ids of a run of letters, as the model has them."""
+        ids = [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, word: bytes) -> bytes:
+        """Ids of a word not met before.  Letters go to the model without the tokenizer's
+        other steps; a word that ends in a letter and punctuation is the word before the
+        punctuation and the punctuation."""
+        if self.direct:
+            if word.isalpha():
+                return self.pieces((word.lower() if self.lowers else word).decode())
+            stem = word.rstrip(_PUNCTUATION)
+            if len(stem) < len(word) and (stem[-1:].isalpha() or is_safe(stem.decode()[-1:].lower())):
+                return self.known[stem] + self.known[word[len(stem) :]]
+            text = word.decode().lower() if self.lowers else word.decode()
+            if is_safe(text):
+                return self.pieces(text)
+        return self.whole([word.decode()])[0]
 
     def words(self, text: str) -> list[bytes] | None:
         """The text's words, None where an added token may stand among them."""
@@ -133,14 +152,13 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return self.whole(texts)
-        split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = set().union(*filter(None, split)).difference(known)
-        known.update([(w, older[w]) for w in new if w in older])
-        self.learn([w for w in new if w not in known])
-        return [self.whole([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+            self.known = Known(self.learn, self.known)
+        found = []
+        for text in texts:
+            words = self.words(text)
+            found.append(self.whole([text])[0] if words is None else b"".join(map(self.known.__getitem__, words)))
+        return found
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
