@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tests.llm.conftest import prose
 from tracewright.llm.packing import match_and_fit, pack_documents
 from tracewright.llm.token_output import best_fit_decreasing, packed_rows, position_type, segments, write_packed
-from tracewright.llm.tokens import DEFAULT_TOKENIZER, drops_spaces, encoder, keeps_letters
+from tracewright.llm.tokens import DEFAULT_TOKENIZER, Known, drops_spaces, encoder, keeps_letters
 
 lengths_ = st.lists(st.integers(1, 64), max_size=120)
 
@@ -110,6 +110,16 @@ def test_letters_and_punctuation_after_them_go_past_the_tokenizers_other_steps(m
     assert chosen.ids(text) == plain_ids(text)[:-1].tobytes()
 
 
+def test_forgotten_words_are_learned_again():
+    asked = []
+    known = Known(lambda w: asked.append(w) or w.upper(), {})
+    assert [known[w] for w in (b"a", b"b", b"a")] == [b"A", b"B", b"A"]
+    later = Known(known.learn, known)
+    assert later[b"a"] == b"A" and len(later) == 1 and asked == [b"a", b"b"]
+    last = Known(known.learn, later)  # b was not met meanwhile
+    assert (last[b"a"], last[b"b"], asked) == (b"A", b"B", [b"a", b"b", b"b"])
+
+
 def test_letters_are_kept_by_some_pre_tokenizers_only():
     import public_tokenizers
 
