@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import materialize
+from tracewright.llm.common import TEXT_BATCHES, materialize, settings
 from tracewright.llm.tokens import DEFAULT_TOKENIZER, token_pieces
 
 CAPACITY = 2048
@@ -103,5 +103,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = D
     repeated rows is packed; a null id passes through; an empty table packs to nothing;
     other columns are not read.
     """
-    pieces = materialize(token_pieces(docs, capacity, tokenizer, id_column, text_column), "pieces")
+    with settings(docs.sparkSession, TEXT_BATCHES):
+        pieces = materialize(token_pieces(docs, capacity, tokenizer, id_column, text_column), "pieces")
     return pack_pieces(pieces, capacity)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, free_name, joined, materialize, scratch, text_of
+from tracewright.llm.common import BROADCAST_ROWS, TEXT_BATCHES, free_name, joined, materialize, scratch, settings, text_of
 
 BITS = 64
 RADIUS = 4
@@ -209,7 +209,8 @@ def component_rows(docs: DataFrame, id_column: str, text_column: str, radius: in
     """(doc_id, fp) of each row, and (fp, root, component_id) of the fingerprints that two
     rows or more share or that link; ``root`` names a component also where no id does."""
     with scratch(docs.sparkSession):
-        prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints", keep=True)
+        with settings(docs.sparkSession, TEXT_BATCHES):
+            prints = materialize(fingerprints(docs, id_column, text_column), "fingerprints", keep=True)
         classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
         tree = roots(links(tile_jobs(classes, radius, classes.count()), radius))
         members = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tree.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
