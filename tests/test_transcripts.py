@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright import VERSION
 from tracewright.functions.shapes import keyed_token, token
-from tracewright.sources import transcripts
+from tracewright.sources import rendered, transcripts
 
 SECRET = "never-in-the-log"
 
@@ -144,6 +144,29 @@ def test_content_is_read_once_and_never_moves(spark, done, tmp_path):
         assert "variant" not in told.lower()
 
 
+def test_what_branches_share_is_read_once(spark):
+    """A line and its usage are parsed once, not for each column that reads them."""
+    plan = text_of(transcripts.cut_lines(spark.createDataFrame([("f", 1, "{}")], "file string, line long, value string")))
+    assert plan.count("from_json(") == 1 and plan.count("try_parse_json(") + plan.count("parseJson(") <= 2
+
+
+def test_rendered_lines_are_dealt_to_tasks_however_few_splits_a_table_has(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id as event_id", "timestamp_millis(1000 * id) as ts", "id % 40 as user_id", "'x' as event_type", "1.5D as value", "'{\"k\": ' || id % 100 || '}' as props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    lines = rendered.transcript_lines(spark, str(tmp_path))
+    held = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(held) == 4 and max(r.n for r in held) < 2 * min(r.n for r in held)
+
+
+def test_a_bare_string_in_a_list_hides_no_notification(spark):
+    """Strings that aren't a block's text are passed over, and nothing else with them."""
+    note = "<task-notification><task-id>agent-aa</task-id><status>killed</status></task-notification>"
+    contents = [["bare", {"type": "text", "text": note}], [{"type": "text", "text": note}, 5, [note]], [{"type": "text", "text": {"deep": note}}, note]]
+    rows = spark.createDataFrame([("f", i, json.dumps({"type": "user", "message": {"content": c}})) for i, c in enumerate(contents)], "file string, line long, value string")
+    found = {r.line: ([n.status for n in r.notes], r.is_prompt) for r in transcripts.cut_lines(rows).collect()}
+    assert found == {0: (["killed"], False), 1: (["killed"], False), 2: ([], True)}
+
+
 def test_places_of_lines_follow_the_file_through_its_splits(spark, tmp_path):
     (tmp_path / "p").mkdir()
     texts = [json.dumps({"type": "summary", "uuid": str(i)}) for i in range(3000)]

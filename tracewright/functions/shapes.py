@@ -31,24 +31,33 @@ def last_keys(texts: pa.Array) -> pa.Array:
     return pa.array([once(t) for t in texts.to_pylist()], pa.string())
 
 
-def parsed(text: Column) -> Column:
+def parsed(text: Column, plain: Column | None = None) -> Column:
     """Variant of a JSON text, null where it is none or larger than a variant may be.
 
     Spark refuses objects that repeat a key; such texts, and no others, are rewritten in
-    Python first, so that the last of equal keys stands.
+    Python first, so that the last of equal keys stands.  With ``plain``, a column of
+    ``try_parse_json`` of the text, no other text is parsed again behind Python.
     """
-    plain = F.try_parse_json(text)
+    plain = F.try_parse_json(text) if plain is None else plain
     return F.coalesce(plain, F.try_parse_json(last_keys(F.when(plain.isNull(), text))))
 
 
 def kind_of(value: Column) -> Column:
     """The variant's type as ``schema_of_variant`` names it, without what it holds: STRING, BIGINT, DECIMAL, OBJECT ..."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+    return _head(F.schema_of_variant(value))
+
+
+def _head(schema: Column) -> Column:
+    return F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
+
+
+def is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def string_of(value: Column) -> Column:
     """A variant's string, null for any other type."""
-    return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
 
 
 def type_code(value: Column) -> Column:
@@ -57,16 +66,21 @@ def type_code(value: Column) -> Column:
     Lengths count code points.  Numbers that are spelled with a point or an exponent are f;
     so are integers of over 38 digits.
     """
-    kind = kind_of(value)
+    return _code(value, F.schema_of_variant(value))
+
+
+def _code(value: Column, schema: Column) -> Column:
+    """:func:`type_code` of a variant whose schema is known."""
+    kind = _head(schema)
     number = F.try_variant_get(value, "$", "decimal(38,0)")
-    beyond_long = F.rlike(F.schema_of_variant(value), F.lit(r",0\)$")) & (F.abs(number) > F.lit(2**63 - 1).cast("decimal(38,0)"))
+    beyond_long = F.endswith(schema, F.lit(",0)")) & (F.abs(number) > F.lit(2**63 - 1).cast("decimal(38,0)"))
     return (
-        F.when(value.isNull() | (kind == "VOID"), "n")
-        .when(kind == "BOOLEAN", "b")
-        .when(kind == "STRING", F.concat(F.lit("s"), F.length(F.try_variant_get(value, "$", "string"))))
+        F.when(value.isNull() | (schema == "VOID"), "n")
+        .when(schema == "BOOLEAN", "b")
+        .when(schema == "STRING", F.concat(F.lit("s"), F.length(F.try_variant_get(value, "$", "string"))))
+        .when(schema == "BIGINT", "i")
         .when(kind == "ARRAY", F.concat(F.lit("a"), F.size(F.try_variant_get(value, "$", "array<variant>"))))
         .when(kind == "OBJECT", F.concat(F.lit("o"), F.size(F.try_variant_get(value, "$", "map<string,variant>"))))
-        .when(kind == "BIGINT", "i")
         .when(kind == "DECIMAL", F.when(F.coalesce(beyond_long, F.lit(False)), "i").otherwise("f"))
         .when(kind.isin("DOUBLE", "FLOAT"), "f")
         .otherwise("?")
@@ -76,21 +90,29 @@ def type_code(value: Column) -> Column:
 def args_shape(value: Column) -> Column:
     """``key:code`` of an object's entries in key order, joined by commas; another value's
     bare code; null for null."""
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    coded = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), type_code(e["value"]).alias("c")))
-    joined = F.array_join(F.transform(F.array_sort(coded), lambda e: F.concat(e["k"], F.lit(":"), e["c"])), ",")
-    return F.when(value.isNull(), None).when(kind_of(value) == "OBJECT", joined).otherwise(type_code(value))
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))  # null but for objects
+    told = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.schema_of_variant(e["value"]).alias("s")))
+    coded = F.transform(told, lambda e: F.struct(e["k"].alias("k"), _code(e["v"], e["s"]).alias("c")))
+    joined = F.array_join(F.transform(F.sort_array(coded), lambda e: F.concat(e["k"], F.lit(":"), e["c"])), ",")
+    return F.when(value.isNull(), None).otherwise(F.coalesce(joined, type_code(value)))
 
 
-def content_chars(value: Column) -> Column:
-    """Characters of message content: a string's length, or the summed lengths of a list's
-    strings and of the string ``text``, ``thinking`` and ``content`` of its objects; else 0."""
+#: What of a block's fields counts as text.
+TEXTS = "struct<text:variant,thinking:variant,content:variant>"
+
+
+def list_chars(parts: Column) -> Column:
+    """Summed lengths of a list's strings and of the string ``text``, ``thinking`` and ``content``
+    of its objects; null for null."""
     length = lambda x: F.coalesce(F.length(string_of(x)), F.lit(0))
-    field = lambda x, name: length(F.try_variant_get(x, f"$.{name}", "variant"))
-    size = lambda x: F.when(kind_of(x) == "OBJECT", field(x, "text") + field(x, "thinking") + field(x, "content")).otherwise(length(x))
-    parts = F.try_variant_get(value, "$", "array<variant>")
-    total = F.aggregate(parts, F.lit(0), lambda t, x: t + F.coalesce(size(x), F.lit(0)))
-    return F.when(kind_of(value) == "STRING", length(value)).when(kind_of(value) == "ARRAY", F.coalesce(total, F.lit(0))).otherwise(0).cast("long")
+    read = F.transform(parts, lambda x: F.struct(x.alias("x"), F.try_variant_get(x, "$", TEXTS).alias("of")))
+    size = lambda p: F.when(p["of"].isNotNull(), length(p["of"]["text"]) + length(p["of"]["thinking"]) + length(p["of"]["content"])).otherwise(length(p["x"]))
+    return F.aggregate(read, F.lit(0), lambda t, p: t + size(p))
+
+
+def content_chars(value: Column) -> Column:
+    """Characters of message content: a string's length, :func:`list_chars` of a list, else 0."""
+    return F.coalesce(list_chars(F.try_variant_get(value, "$", "array<variant>")), F.length(string_of(value)), F.lit(0)).cast("long")
 
 
 def keyed_token(text: str | None, salt: str) -> str | None:

@@ -33,9 +33,11 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Users whose id 4 divides have a main thread; the three ids above each are its agents.
     An event becomes a model call of two lines with something between them, a tool use, its
     result, and now and then a prompt, a second result, a line written twice, a notification,
-    or a line that the format doesn't know.
+    or a line that the format doesn't know.  Events are dealt to tasks while they are narrow:
+    however few splits a table's file has, its lines are rendered and cut side by side.
     """
-    base = base_events(spark, sf_dir).where("user_id is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = base_events(spark, sf_dir).where("user_id is not null").repartition(parts, "event_id")
     k, ms, d, kind, props = (F.col(c) for c in ("k", "ms", "d", "event_type", "props"))
     e, user = F.col("event_id").cast("string"), F.col("user_id")
     id_ = lambda letter: F.concat(F.lit(letter), e)

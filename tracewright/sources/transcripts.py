@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import VERSION
-from tracewright.functions.shapes import args_shape, content_chars, keyed_token, kind_of, parsed, token
+from tracewright.functions.shapes import args_shape, content_chars, is_string, keyed_token, list_chars, parsed, string_of, token
 from tracewright.operators.ordering import running
 from tracewright.schema import SCHEMA_VERSION, Trace, event_schema
 from tracewright.storage import materialize
@@ -39,6 +39,19 @@ END = 1 << 40
 #: Kinds, versions and oddities that a manifest names for each of its counters; what is rarer is summed as OTHERS.
 NAMED = 1000
 OTHERS = "<others>"
+
+
+def _struct(fields: str) -> str:
+    return f"struct<{','.join(f'{f}:variant' for f in fields.split())}>"
+
+
+#: What is looked at of a line, its message and a content block, each read in one pass; null for what isn't an object.
+LINE = _struct(
+    "type uuid timestamp operation parentUuid isSidechain cwd gitBranch entrypoint version subtype origin requestId effort isMeta durationMs messageCount "
+    "pendingBackgroundAgentCount compactMetadata content"
+)
+MESSAGE = _struct("id model stop_reason usage")
+BLOCK = _struct("type id tool_use_id name input is_error text thinking content")
 USAGE = "input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>, service_tier string, speed string"
 
 
@@ -52,21 +65,17 @@ def _get(path: str, kind: str = "string", of: str | Column = "v") -> Column:
 
 def _text(path: str, of: str | Column = "v") -> Column:
     """A string at ``path``, null where the value is of another type."""
-    return F.when(kind_of(_value(path, of)) == "STRING", _get(path, of=of))
+    return F.when(is_string(_value(path, of)), _get(path, of=of))
 
 
-def _true(path: str, of: str | Column = "v") -> Column:
-    return F.coalesce((kind_of(_value(path, of)) == "BOOLEAN") & _get(path, "boolean", of), F.lit(False))
+def _is_true(value: Column) -> Column:
+    return F.coalesce((F.schema_of_variant(value) == "BOOLEAN") & F.try_variant_get(value, "$", "boolean"), F.lit(False))
 
 
 def _value(path: str, of: str | Column = "v") -> Column:
     return _get(path, "variant", of)
 
 
-def _millis(path: str) -> Column:
-    return F.unix_millis(F.try_to_timestamp(_text(path)))
-
-
 def _relative(root: str) -> Column:
     plain = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -141,16 +150,25 @@ def cut_lines(lines: DataFrame) -> DataFrame:
     Of a key that an object repeats the last value stands; a line beyond a variant's size
     isn't ``ok``.
     """
-    read = lines.withColumn("v", parsed(F.col("value"))).withColumn("type", _text("type"))
-    kind, content = F.col("type"), _value("message.content")
+    # What several columns read is a column first, so that no branch works it out again.
+    read = lines.withColumn("_plain", F.try_parse_json("value")).withColumn("v", parsed(F.col("value"), F.col("_plain"))).withColumn("_line", F.try_variant_get("v", "$", LINE))
+    of, message = (lambda name: F.col("_line")[name]), (lambda name: F.col("_message")[name])
+    read = read.withColumns({"type": string_of(of("type")), "_message": _get("message", MESSAGE)})
+    kind = F.col("type")
     user, spoken = kind == "user", kind.isin("assistant", "user")
-    read = read.withColumn("_content", F.when(spoken, _get("message.content", "array<variant>")))
-    listed = F.array_join(F.filter(F.transform(F.from_json(F.to_json(content), "array<struct<text:string>>"), lambda p: p["text"]), lambda t: F.length(t) > 0), "\n")
-    scanned = F.when(kind_of(content) == "STRING", _get("message.content")).when(kind_of(content) == "ARRAY", listed)
-    read = read.withColumn("_bodies", F.when(user, F.regexp_extract_all(scanned, F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), F.lit(1))))
-    has_result = F.exists("_content", lambda b: _get("type", of=b) == "tool_result")
-    usage = _value("message.usage")
-    u = F.from_json(F.to_json(usage), USAGE)
+    read = read.withColumns(
+        {
+            "_content": F.when(spoken, _get("message.content", "array<variant>")),
+            "_usage": F.when((kind == "assistant") & F.try_variant_get(message("usage"), "$", "struct<x:variant>").isNotNull(), F.from_json(F.to_json(message("usage")), USAGE)),
+        }
+    )
+    read = read.withColumn("_string", F.when(user & F.col("_content").isNull(), _text("message.content")))
+    read = read.withColumn("_read", F.transform("_content", lambda b: F.try_variant_get(b, "$", BLOCK)))
+    read = read.withColumn("_typed", F.transform("_read", lambda b: F.when(b.isNotNull(), F.struct(string_of(b["type"]).alias("kind"), b.alias("b")))))
+    listed = F.array_join(F.filter(F.transform("_read", lambda b: string_of(b["text"])), lambda t: F.length(t) > 0), "\n")
+    read = read.withColumn("_bodies", F.when(user, F.regexp_extract_all(F.coalesce(listed, "_string"), F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), F.lit(1))))
+    has_result = F.exists("_typed", lambda b: b["kind"] == "tool_result")
+    u = F.col("_usage")
     tokens = F.struct(
         u["input_tokens"].alias("in"),
         u["output_tokens"].alias("out"),
@@ -165,49 +183,46 @@ def cut_lines(lines: DataFrame) -> DataFrame:
     said = lambda c: F.when(kind == "assistant", c)
     return read.select(
         *[c for c in lines.columns if c != "value"],
-        told(kind_of(F.col("v")) == "OBJECT").alias("ok"),
+        F.col("_line").isNotNull().alias("ok"),
         "type",
-        _text("uuid").alias("uuid"),
-        _millis("timestamp").alias("ts"),
-        _text("operation").alias("op"),
-        _get("parentUuid").alias("parent_uuid"),
-        _true("isSidechain").alias("sidechain"),
-        *[_text(path).alias(name) for path, name in (("cwd", "cwd"), ("gitBranch", "git_branch"), ("entrypoint", "entrypoint"), ("version", "version"), ("subtype", "subtype"), ("origin", "origin"))],
-        told(kind_of(_value("message")) == "OBJECT").alias("has_message"),
-        said(_text("message.id")).alias("message_id"),
-        F.when(spoken, _get("message.id")).alias("api_message_id"),
-        said(_text("requestId")).alias("request_id"),
-        said(_text("effort")).alias("effort"),
-        said(_text("message.model")).alias("model"),
-        said(_text("message.stop_reason")).alias("stop_reason"),
-        said(F.when(kind_of(usage) == "OBJECT", tokens)).alias("usage"),
-        F.filter(F.transform("_content", lambda b, at: F.when(kind_of(b) == "OBJECT", _block(b, at))), lambda b: b.isNotNull()).alias("blocks"),
+        string_of(of("uuid")).alias("uuid"),
+        F.unix_millis(F.try_to_timestamp(string_of(of("timestamp")))).alias("ts"),
+        string_of(of("operation")).alias("op"),
+        F.try_variant_get(of("parentUuid"), "$", "string").alias("parent_uuid"),
+        _is_true(of("isSidechain")).alias("sidechain"),
+        *[string_of(of(field)).alias(name) for field, name in (("cwd", "cwd"), ("gitBranch", "git_branch"), ("entrypoint", "entrypoint"), ("version", "version"), ("subtype", "subtype"), ("origin", "origin"))],
+        F.col("_message").isNotNull().alias("has_message"),
+        said(string_of(message("id"))).alias("message_id"),
+        F.when(spoken, F.try_variant_get(message("id"), "$", "string")).alias("api_message_id"),
+        said(string_of(of("requestId"))).alias("request_id"),
+        said(string_of(of("effort"))).alias("effort"),
+        said(string_of(message("model"))).alias("model"),
+        said(string_of(message("stop_reason"))).alias("stop_reason"),
+        F.when(u.isNotNull(), tokens).alias("usage"),
+        F.filter(F.transform("_typed", lambda b, at: F.when(b.isNotNull(), _block(b["b"], b["kind"], at))), lambda b: b.isNotNull()).alias("blocks"),
         F.transform("_bodies", _notice).alias("notes"),
-        told(user & ~told(has_result) & ~told(F.size("_bodies") > 0) & ~_true("isMeta")).alias("is_prompt"),
-        F.when(user, F.coalesce(content_chars(content), F.lit(0))).alias("text_chars"),
-        _get("durationMs", "bigint").alias("duration_ms"),
-        _get("messageCount", "bigint").alias("message_count"),
-        _get("pendingBackgroundAgentCount", "bigint").alias("pending_background_agents"),
-        _text("compactMetadata.trigger").alias("trigger"),
-        _get("compactMetadata.preTokens", "bigint").alias("pre_tokens"),
-        F.when(kind == "queue-operation", F.coalesce(content_chars(_value("content")), F.lit(0))).alias("content_chars"),
+        told(user & ~told(has_result) & ~told(F.size("_bodies") > 0) & ~_is_true(of("isMeta"))).alias("is_prompt"),
+        F.when(user, F.coalesce(list_chars(F.col("_content")), F.length("_string"), F.lit(0)).cast("long")).alias("text_chars"),
+        *[F.try_variant_get(of(field), "$", "bigint").alias(name) for field, name in (("durationMs", "duration_ms"), ("messageCount", "message_count"), ("pendingBackgroundAgentCount", "pending_background_agents"))],
+        _text("trigger", of("compactMetadata")).alias("trigger"),
+        _get("preTokens", "bigint", of("compactMetadata")).alias("pre_tokens"),
+        F.when(kind == "queue-operation", content_chars(of("content"))).alias("content_chars"),
     )
 
 
-def _block(b: Column, at: Column) -> Column:
-    """What is kept of a content block."""
-    kind = _text("type", b)
+def _block(b: Column, kind: Column, at: Column) -> Column:
+    """What is kept of a content block whose fields are those of :data:`BLOCK`."""
     is_use, is_result = kind == "tool_use", kind == "tool_result"
-    said = F.when(kind == "text", F.length(_text("text", b))).when(kind == "thinking", F.length(_text("thinking", b)))
+    said = F.when(kind == "text", F.length(string_of(b["text"]))).when(kind == "thinking", F.length(string_of(b["thinking"])))
     return F.struct(
         at.alias("at"),
         kind.alias("kind"),
-        F.when(is_use, _text("id", b)).when(is_result, _text("tool_use_id", b)).alias("id"),
-        F.when(is_use, F.coalesce(F.nullif(_get("name", of=b), F.lit("")), F.lit("?"))).alias("name"),
-        F.when(is_use, F.coalesce(args_shape(_value("input", b)), F.lit("n"))).alias("args_shape"),
-        F.when(is_use, _true("input.run_in_background", b)).otherwise(False).alias("background"),
-        F.when(is_result, _true("is_error", b)).otherwise(False).alias("is_error"),
-        F.coalesce(F.when(is_result, content_chars(_value("content", b))).otherwise(said.cast("long")), F.lit(0)).alias("chars"),
+        F.when(is_use, string_of(b["id"])).when(is_result, string_of(b["tool_use_id"])).alias("id"),
+        F.when(is_use, F.coalesce(F.nullif(F.try_variant_get(b["name"], "$", "string"), F.lit("")), F.lit("?"))).alias("name"),
+        F.when(is_use, F.coalesce(args_shape(b["input"]), F.lit("n"))).alias("args_shape"),
+        F.when(is_use, _is_true(_value("run_in_background", b["input"]))).otherwise(False).alias("background"),
+        F.when(is_result, _is_true(b["is_error"])).otherwise(False).alias("is_error"),
+        F.coalesce(F.when(is_result, content_chars(b["content"])).otherwise(said.cast("long")), F.lit(0)).alias("chars"),
     )
 
 
