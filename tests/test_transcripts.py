@@ -158,6 +158,13 @@ def test_rendered_lines_are_dealt_to_tasks_however_few_splits_a_table_has(spark,
     assert len(held) == 4 and max(r.n for r in held) < 2 * min(r.n for r in held)
 
 
+def test_lines_are_rendered_by_compiled_code(spark, tmp_path):
+    """No line is written inside a lambda, which Spark interprets."""
+    rows = spark.range(8).selectExpr("id as event_id", "timestamp_millis(id) as ts", "id as user_id", "'x' as event_type", "1D as value", "'{\"k\": 1}' as props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    assert "lambda" not in text_of(rendered.transcript_lines(spark, str(tmp_path)))
+
+
 def test_a_bare_string_in_a_list_hides_no_notification(spark):
     """Strings that aren't a block's text are passed over, and nothing else with them."""
     note = "<task-notification><task-id>agent-aa</task-id><status>killed</status></task-notification>"

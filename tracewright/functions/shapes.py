@@ -101,18 +101,19 @@ def args_shape(value: Column) -> Column:
 TEXTS = "struct<text:variant,thinking:variant,content:variant>"
 
 
-def list_chars(parts: Column) -> Column:
-    """Summed lengths of a list's strings and of the string ``text``, ``thinking`` and ``content``
-    of its objects; null for null."""
+def summed_chars(parts: Column) -> Column:
+    """Summed lengths of the strings x and of the string ``text``, ``thinking`` and ``content``
+    of the objects b among a list's members (x, b); null for null."""
     length = lambda x: F.coalesce(F.length(string_of(x)), F.lit(0))
-    read = F.transform(parts, lambda x: F.struct(x.alias("x"), F.try_variant_get(x, "$", TEXTS).alias("of")))
-    size = lambda p: F.when(p["of"].isNotNull(), length(p["of"]["text"]) + length(p["of"]["thinking"]) + length(p["of"]["content"])).otherwise(length(p["x"]))
-    return F.aggregate(read, F.lit(0), lambda t, p: t + size(p))
+    size = lambda p: F.when(p["b"].isNotNull(), length(p["b"]["text"]) + length(p["b"]["thinking"]) + length(p["b"]["content"])).otherwise(length(p["x"]))
+    return F.aggregate(parts, F.lit(0), lambda t, p: t + size(p))
 
 
 def content_chars(value: Column) -> Column:
-    """Characters of message content: a string's length, :func:`list_chars` of a list, else 0."""
-    return F.coalesce(list_chars(F.try_variant_get(value, "$", "array<variant>")), F.length(string_of(value)), F.lit(0)).cast("long")
+    """Characters of message content: a string's length, or the summed lengths of a list's
+    strings and of the string ``text``, ``thinking`` and ``content`` of its objects; else 0."""
+    parts = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.struct(x.alias("x"), F.try_variant_get(x, "$", TEXTS).alias("b")))
+    return F.coalesce(summed_chars(parts), F.length(string_of(value)), F.lit(0)).cast("long")
 
 
 def keyed_token(text: str | None, salt: str) -> str | None:

@@ -70,11 +70,11 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, F.lit("{broken")),
         F.when(k % 19 == 0, _line("mystery", ms)),
     ]
-    numbered = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), p.alias("value")) for i, p in enumerate(parts)]), lambda p: p["value"].isNotNull())
+    numbered = F.array(*[F.struct(F.lit(i).alias("i"), p.alias("value")) for i, p in enumerate(parts)])
     main = user - user % 4
     is_agent = user % 4 != 0
     file = F.when(is_agent, F.concat(F.lit("p/"), main, F.lit("/subagents/agent-a"), user, F.lit(".jsonl"))).otherwise(F.concat(F.lit("p/"), main, F.lit(".jsonl")))
-    rows = base.select(F.lit("p").alias("project_dir"), main.cast("string").alias("session"), F.when(is_agent, F.concat(F.lit("a"), user)).alias("agent_hex"), file.alias("file"), "event_id", F.explode(numbered).alias("p"))
+    rows = base.select(F.lit("p").alias("project_dir"), main.cast("string").alias("session"), F.when(is_agent, F.concat(F.lit("a"), user)).alias("agent_hex"), file.alias("file"), "event_id", F.explode(numbered).alias("p")).where("p.value is not null")
     return rows.select("project_dir", "session", "agent_hex", "file", (F.col("event_id") * len(parts) + F.col("p.i")).cast("long").alias("line"), F.col("p.value").alias("value"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright import VERSION
-from tracewright.functions.shapes import args_shape, content_chars, is_string, keyed_token, list_chars, parsed, string_of, token
+from tracewright.functions.shapes import args_shape, content_chars, is_string, keyed_token, parsed, string_of, summed_chars, token
 from tracewright.operators.ordering import running
 from tracewright.schema import SCHEMA_VERSION, Trace, event_schema
 from tracewright.storage import materialize
@@ -158,16 +158,14 @@ def cut_lines(lines: DataFrame) -> DataFrame:
     user, spoken = kind == "user", kind.isin("assistant", "user")
     read = read.withColumns(
         {
-            "_content": F.when(spoken, _get("message.content", "array<variant>")),
+            "_blocks": _typed(F.when(spoken, _get("message.content", "array<variant>"))),
             "_usage": F.when((kind == "assistant") & F.try_variant_get(message("usage"), "$", "struct<x:variant>").isNotNull(), F.from_json(F.to_json(message("usage")), USAGE)),
         }
     )
-    read = read.withColumn("_string", F.when(user & F.col("_content").isNull(), _text("message.content")))
-    read = read.withColumn("_read", F.transform("_content", lambda b: F.try_variant_get(b, "$", BLOCK)))
-    read = read.withColumn("_typed", F.transform("_read", lambda b: F.when(b.isNotNull(), F.struct(string_of(b["type"]).alias("kind"), b.alias("b")))))
-    listed = F.array_join(F.filter(F.transform("_read", lambda b: string_of(b["text"])), lambda t: F.length(t) > 0), "\n")
+    read = read.withColumn("_string", F.when(user & F.col("_blocks").isNull(), _text("message.content")))
+    listed = F.array_join(F.filter(F.transform("_blocks", lambda p: string_of(p["b"]["text"])), lambda t: F.length(t) > 0), "\n")
     read = read.withColumn("_bodies", F.when(user, F.regexp_extract_all(F.coalesce(listed, "_string"), F.lit(r"(?s)<task-notification>(.*?)</task-notification>"), F.lit(1))))
-    has_result = F.exists("_typed", lambda b: b["kind"] == "tool_result")
+    has_result = F.exists("_blocks", lambda p: p["kind"] == "tool_result")
     u = F.col("_usage")
     tokens = F.struct(
         u["input_tokens"].alias("in"),
@@ -199,10 +197,10 @@ def cut_lines(lines: DataFrame) -> DataFrame:
         said(string_of(message("model"))).alias("model"),
         said(string_of(message("stop_reason"))).alias("stop_reason"),
         F.when(u.isNotNull(), tokens).alias("usage"),
-        F.filter(F.transform("_typed", lambda b, at: F.when(b.isNotNull(), _block(b["b"], b["kind"], at))), lambda b: b.isNotNull()).alias("blocks"),
+        F.filter(F.transform("_blocks", lambda p, at: F.when(p["b"].isNotNull(), _block(p["b"], p["kind"], at))), lambda b: b.isNotNull()).alias("blocks"),
         F.transform("_bodies", _notice).alias("notes"),
         told(user & ~told(has_result) & ~told(F.size("_bodies") > 0) & ~_is_true(of("isMeta"))).alias("is_prompt"),
-        F.when(user, F.coalesce(list_chars(F.col("_content")), F.length("_string"), F.lit(0)).cast("long")).alias("text_chars"),
+        F.when(user, F.coalesce(summed_chars(F.col("_blocks")), F.length("_string"), F.lit(0)).cast("long")).alias("text_chars"),
         *[F.try_variant_get(of(field), "$", "bigint").alias(name) for field, name in (("durationMs", "duration_ms"), ("messageCount", "message_count"), ("pendingBackgroundAgentCount", "pending_background_agents"))],
         _text("trigger", of("compactMetadata")).alias("trigger"),
         _get("preTokens", "bigint", of("compactMetadata")).alias("pre_tokens"),
@@ -210,6 +208,12 @@ def cut_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _typed(parts: Column) -> Column:
+    """Each member of a list as (x, b, kind): itself, its fields and its type where it is an object."""
+    read = F.transform(parts, lambda x: F.struct(x.alias("x"), F.try_variant_get(x, "$", BLOCK).alias("b")))
+    return F.transform(read, lambda p: F.struct(F.when(p["b"].isNull(), p["x"]).alias("x"), p["b"].alias("b"), string_of(p["b"]["type"]).alias("kind")))
+
+
 def _block(b: Column, kind: Column, at: Column) -> Column:
     """What is kept of a content block whose fields are those of :data:`BLOCK`."""
     is_use, is_result = kind == "tool_use", kind == "tool_result"
